@@ -55,6 +55,8 @@ def check(spark, rows, n, percent, **kw):
 def test_matches_brute_force(spark):
     check(spark, made(1), 4, 85, blocks=3)
     check(spark, made(2), 5, 80)
+    check(spark, made(4), 4, 85, block_rows=6)  # most by columns
+    check(spark, made(5), 5, 80, block_rows=1)
 
 
 def test_fingerprints_lose_no_link():
@@ -65,14 +67,16 @@ def test_fingerprints_lose_no_link():
         texts = [t for _, t in made(seed, groups=6, size=20)]
         for percent in (80, 85):
             value, at = jaccard.gram_sets(pa.array(texts), 4)
-            key, owner = jaccard.fingerprints(value, at, percent)
-            have = [set(key[owner == k].tolist()) for k in range(len(texts))]
+            key, owner, kind, need = jaccard.fingerprints(value, at, percent)
+            have = [[set(key[(owner == k) & (kind == j)].tolist()) for j in range(3)] for k in range(len(texts))]
             sets = [set(value[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
             for i in range(len(texts)):
                 for j in range(i):
                     a, b = sets[i], sets[j]
                     if a and b and a != b and 100 * len(a & b) >= percent * len(a | b):
-                        assert have[i] & have[j], (texts[i], texts[j])
+                        both = set().union(*have[i]) & set().union(*have[j])
+                        for k in (i, j):
+                            assert have[k][2] & both or any(len(have[k][d] & both) >= need[k][d] for d in (0, 1)), (texts[i], texts[j])
     assert np.array_equal(jaccard.classes(85)[:4], [1, 2, 3, 4])
 
 

@@ -3,19 +3,19 @@
 Links are pairs with a Jaccard similarity of at least ``percent`` / 100 between the sets of distinct word n-grams.
 
 1. Rows: each text becomes its set of n-gram hashes; equal sets are one row of the matrix (a node) from here on.
-2. Row blocks: two linked sets differ in at most ``floor(size * (100 - percent) / percent)`` n-grams, so if the
-   n-grams are hashed into one group more than that, at least one group is equal in both. Sizes are cut into classes
-   no wider than the ratio of linked sizes; a set writes the fingerprints of its groups for its own class and the one
-   below. Fingerprints are dealt into column blocks, and a task finds, block by block, the nodes that share one with
-   another node. Where a group is empty, the set also writes its n-grams with the smallest hashes (as many as a link
-   needs), so that no link rests on an empty group. Nodes that share nothing are linked to nothing.
-3. Columns: for the rest, n-grams in a single node are counted and dropped, and columns are ordered from rare to
-   frequent. A node keeps the columns that a link needs (its prefix), and drops out if it has too many n-grams
-   of its own.
-4. Product: in each column all nodes meet the node with the fewest n-grams of its own. Pairs below the bound on
-   overlap from sizes and own n-grams are discarded; for the others overlaps are counted on the whole rows.
-5. Components of these links; then only pairs of different components that still share a column are counted.
-   Pairs inside a component add nothing, so hot groups don't grow with the square of their size.
+2. Blocks: two linked sets differ in at most ``h = floor(size * (100 - percent) / percent)`` n-grams, so if n-grams
+   are hashed into ``h + 1 + e`` groups, at least ``1 + e`` groups are equal in both. Sizes are cut into classes no wider
+   than the ratio of linked sizes; a set writes the fingerprints of its groups for its own class and the one below.
+   Fingerprints are dealt into column blocks, and a task finds, block by block, which nodes share some. A node that
+   shares less than ``1 + e``, empty groups aside, has no links. (A set with too many empty groups also writes its
+   n-grams with the smallest hashes, as many as a link needs, so that no link rests on empty groups.)
+   Connected nodes form a row block.
+3. Product: a row block of up to ``block_rows`` nodes and ``block_bytes`` of text is multiplied in one task, which adds
+   up overlap counts column by column and discards pairs below the bound that follows from their sizes.
+4. Larger row blocks are multiplied by Spark, columns ordered from rare to frequent: a node keeps the columns that a
+   link needs and drops out if it has too many n-grams of its own. In each column all nodes meet the one with the
+   fewest own n-grams; then only pairs of components that still share a column are counted. Pairs inside a
+   component add nothing, so hot groups don't grow with the square of their size.
 
 Collisions of 64-bit hashes are taken as equality (a chance of about 2**-64 a pair).
 Defined results: null, empty and blank texts have no n-grams and are alone in their class; a text with fewer words
@@ -34,6 +34,7 @@ from . import textvec as tv
 from .components import components
 from .store import kept
 
+_NEVER = 1 << 30
 _SALT = [np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -70,21 +71,22 @@ def classes(percent: int, most: int = 1 << 31) -> np.ndarray:
     return np.array(low, np.int64)
 
 
-def fingerprints(value: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, index of its set): sets that are linked and not equal share a key."""
+def fingerprints(value: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, index of its set, kind), and how many keys of kind 0 and 1 each set must share to have links (one row a
+    set): kinds 0 and 1 are groups of its own class and of the one below, kind 2 stands in for empty groups."""
     low = classes(percent)
     size = np.diff(at)
-    kind = np.searchsorted(low, size, "right") - 1
+    own = np.searchsorted(low, size, "right") - 1
     text = np.repeat(np.arange(len(size)), size)
     hashed, spread = tv.mix(value ^ _SALT[1]), tv.mix(value ^ _SALT[2]) >> np.uint64(33)
-    keys, owners = [], []
+    keys, owners, kinds, needs = [], [], [], []
     short = np.zeros(len(size), bool)
     for down in (0, 1):
-        scheme = kind - down
-        ok = (size > 0) & (scheme >= 0)
-        groups = np.where(ok, (low[np.maximum(scheme, 0) + 1] - 1) * (100 - percent) // percent + 1, 0)
-        ok &= groups > 1  # one group alone is the whole set
-        groups = np.where(ok, groups, 0)
+        scheme = own - down
+        differ = np.where((size > 0) & (scheme >= 0), (low[np.maximum(scheme, 0) + 1] - 1) * (100 - percent) // percent, 0)
+        spare = 1 + differ // 3
+        ok = differ > 0  # otherwise only equal sets are linked
+        groups = np.where(ok, differ + 1 + spare, 0)
         mine = ok[text]
         base = np.cumsum(groups) - groups
         slot = base[text[mine]] + (spread[mine].astype(np.int64) * groups[text[mine]] >> 31)
@@ -96,37 +98,50 @@ def fingerprints(value: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.nd
         number = (used - base[owner]).astype(np.uint64) + (scheme[owner].astype(np.uint64) << np.uint64(32))
         keys.append(tv.mix(sums ^ tv.mix(number + np.uint64(1))))
         owners.append(owner)
-        short |= ok & (np.bincount(owner, minlength=len(size)) < groups)
+        kinds.append(np.full(len(owner), down))
+        empty = groups - np.bincount(owner, minlength=len(size))
+        needs.append(np.where(ok, np.maximum(1 + spare - empty, 1), _NEVER))
+        short |= ok & (empty > spare)
     prefix = size - -(-size * percent // 100) + 1
     rank = np.arange(len(value)) - at[text]  # hashes are sorted within a set
     extra = short[text] & (rank < prefix[text])
-    return np.concatenate([*keys, tv.mix(value[extra] ^ _SALT[2] ^ _SALT[1])]), np.concatenate([*owners, text[extra]])
+    keys.append(tv.mix(value[extra] ^ _SALT[2] ^ _SALT[1]))
+    owners.append(text[extra])
+    kinds.append(np.full(int(extra.sum()), 2))
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(kinds), np.stack(needs, axis=1)
 
 
 def _key_blocks(docs: DataFrame, text: str, n: int, percent: int, blocks: int) -> DataFrame:
-    """(block, node, size, key): packed fingerprints of many sets, dealt into column blocks by key."""
+    """(block, node, need, size, key): packed fingerprints of many sets, dealt into column blocks by key. node: hashes,
+    with two numbers each in need; size: how many keys of each kind follow."""
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch | None:
         value, at = gram_sets(part.column(text), n)
-        node = nodes_of(value, at)
-        at, node = _first_of_each(value, at, node)
-        key, owner = fingerprints(*at, percent)
+        (value, at), node = _first_of_each(value, at, nodes_of(value, at))
+        key, owner, kind, need = fingerprints(value, at, percent)
         if not len(key):
             return None
         block = ((key >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
-        order = np.lexsort((owner, block))
-        key, owner, block = key[order], owner[order], block[order]
+        order = np.lexsort((kind, owner, block))
+        key, owner, kind, block = key[order], owner[order], kind[order], block[order]
         pair = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])]))
-        count = np.diff(np.append(pair, len(key))).astype(np.int32)
+        which = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(key))))
+        count = np.bincount(which * 3 + kind, minlength=3 * len(pair)).reshape(-1, 3).astype(np.uint16)
         b = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         low = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         pairs_at = np.append(np.searchsorted(pair, b), len(pair))
         return pa.RecordBatch.from_arrays(
-            [pa.array(block[b].astype(np.int32)), tv.binary(node[owner[pair]], pairs_at), tv.binary(count, pairs_at), tv.binary(low.reshape(-1), np.append(b, len(key)) * 5)],
-            names=["block", "node", "size", "key"],
+            [
+                pa.array(block[b].astype(np.int32)),
+                tv.binary(node[owner[pair]], pairs_at),
+                tv.binary(need[owner[pair]].astype(np.int32).reshape(-1), 2 * pairs_at),
+                tv.binary(count.reshape(-1), 3 * pairs_at),
+                tv.binary(low.reshape(-1), np.append(b, len(key)) * 5),
+            ],
+            names=["block", "node", "need", "size", "key"],
         )
 
-    return tv.map_texts(docs, text, make, "block int, node binary, size binary, key binary")
+    return tv.map_texts(docs, text, make, "block int, node binary, need binary, size binary, key binary", limit=2 << 20)
 
 
 def _first_of_each(value: np.ndarray, at: np.ndarray, node: np.ndarray):
@@ -138,19 +153,81 @@ def _first_of_each(value: np.ndarray, at: np.ndarray, node: np.ndarray):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Nodes of one column block that share a key with another node."""
+    """One column block: (lead, node, need0, need1, k0, k1, k2), for each node how many keys of each kind it shares with
+    others, by the smallest node of all that have the key."""
     unpack = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    count = unpack("size", np.int32)
-    node = np.repeat(unpack("node", np.uint64), count)
-    wide = np.zeros((int(count.sum()), 8), np.uint8)
+    count = unpack("size", np.uint16).reshape(-1, 3).astype(np.int64)
+    need = unpack("need", np.int32).reshape(-1, 2)
+    entry = np.repeat(np.arange(len(count)), count.sum(axis=1))
+    kind = np.repeat(np.tile(np.arange(3), len(count)), count.reshape(-1))
+    node = unpack("node", np.uint64)
+    wide = np.zeros((len(entry), 8), np.uint8)
     wide[:, :5] = unpack("key", np.uint8).reshape(-1, 5)
     key = wide.reshape(-1).view("<u8")
-    order = np.argsort(key, kind="stable")
-    key, node = key[order], node[order]
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    order = np.lexsort((node[entry], key))
+    key, entry, kind = key[order], entry[order], kind[order]
+    name = node[entry]
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])]) if len(key) else np.zeros(0, bool)
+    key, entry, kind, name = key[fresh], entry[fresh], kind[fresh], name[fresh]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(key)))
-    differ = np.repeat(np.minimum.reduceat(node, begin) != np.maximum.reduceat(node, begin), size)
-    return pa.table({"node": pa.array(tv.signed(np.unique(node[differ])))})
+    lead, many = np.repeat(name[begin], size), np.repeat(size > 1, size)
+    lead, entry, kind, name = lead[many], entry[many], kind[many], name[many]
+    order = np.lexsort((name, lead))
+    lead, entry, kind, name = lead[order], entry[order], kind[order], name[order]
+    new = np.flatnonzero(np.concatenate([[True], (lead[1:] != lead[:-1]) | (name[1:] != name[:-1])])) if len(lead) else np.zeros(0, np.int64)
+    ks = [np.add.reduceat((kind == k).astype(np.int64), new) if len(new) else np.zeros(0, np.int64) for k in range(3)]
+    return pa.table({"lead": tv.signed(lead[new]), "node": tv.signed(name[new]), "need0": need[entry[new], 0], "need1": need[entry[new], 1], **{f"k{k}": v for k, v in enumerate(ks)}})
+
+
+def _candidates(shared: DataFrame) -> DataFrame:
+    """(a, b): nodes that share as much as links need, tied through the smallest node of each key."""
+    enough = shared.groupBy("node").agg(*(F.sum(f"k{k}").alias(f"k{k}") for k in range(3)), F.min("need0").alias("need0"), F.min("need1").alias("need1"))
+    enough = enough.where("k0 >= need0 or k1 >= need1 or k2 > 0").select("node")
+    return shared.where("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct().join(enough.withColumnRenamed("node", "b"), "b", "left_semi")
+
+
+def _product(percent: int, n: int):
+    """Row blocks of one task: (node, root), the smallest node that links reach."""
+
+    def run(table: pa.Table) -> pa.Table:
+        name = np.asarray(table.column("node").combine_chunks())
+        block = np.asarray(table.column("cluster").combine_chunks())
+        order = np.lexsort((name, block))
+        table, name, block = table.take(pa.array(order)), name[order], block[order]
+        root = name.copy()
+        begin = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(block)], strict=True):
+            value, at = gram_sets(table.column("text").slice(a, b - a).combine_chunks(), n)
+            root[a:b] = name[a:b][_linked(value, at, percent)]
+        return pa.table({"node": name, "root": root})
+
+    return run
+
+
+def _linked(value: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """For each set of a row block the first set that links reach."""
+    m, size = len(at) - 1, np.diff(at)
+    row = np.repeat(np.arange(m), size)
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+    df = np.diff(np.append(begin, len(value)))
+    overlap = np.zeros((m, m), np.int32)
+    for k in np.unique(df[df > 1]).tolist():  # all columns with k entries at once
+        column = row[begin[df == k][:, None] + np.arange(k)]
+        for part in np.array_split(column, max(1, column.size * k >> 22)):
+            flat = (part[:, :, None] * m + part[:, None, :]).reshape(-1)
+            overlap += np.bincount(flat, minlength=m * m).reshape(m, m).astype(np.int32)
+    linked = (100 + percent) * overlap.astype(np.int64) >= percent * (size[:, None] + size[None, :])
+    root = np.arange(m)
+    while True:
+        low = np.where(linked, root[None, :], m).min(axis=1)
+        low = np.minimum(low, root)
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -195,30 +272,35 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
     return components(first.union(_verified(rest, rows, percent)))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, blocks: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, blocks: int | None = None, block_rows: int = 400, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_grams and component_id (the smallest id that links reach) of each row."""
     spark = docs.sparkSession
     blocks = blocks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)[doc_id]
 
     def describe(part: pa.RecordBatch) -> pa.RecordBatch:
-        value, at = gram_sets(part.column(text), n)
-        return pa.RecordBatch.from_arrays([part.column(doc_id), pa.array(np.diff(at)), pa.array(tv.signed(nodes_of(value, at)))], names=["doc_id", "n_grams", "node"])
+        value, at = gram_sets(part.column("text"), n)
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "hash", "size")), pa.array(np.diff(at)), pa.array(tv.signed(nodes_of(value, at)))], names=["doc_id", "hash", "size", "n_grams", "node"])
 
     def sets(part: pa.RecordBatch) -> pa.RecordBatch:
         value, at = gram_sets(part.column("text"), n)
-        grams = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tv.signed(value)))
-        return pa.RecordBatch.from_arrays([pa.array(tv.signed(nodes_of(value, at))), part.column("node"), grams], names=["made", "node", "grams"])
-
-    all_docs = kept(tv.map_texts(docs, text, describe, f"doc_id {kind}, n_grams long, node long", doc_id))
-    rep = all_docs.where("n_grams > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    shared = _key_blocks(docs, text, n, percent, blocks).groupBy("block").applyInArrow(_shared, "node long").distinct()
-    wanted = kept(rep.join(shared, "node"))
-    texts = docs.select(F.col(f"`{doc_id}`").alias("rep"), F.col(f"`{text}`").alias("text")).join(wanted, "rep")
-    rows = tv.map_texts(texts, "text", sets, "made long, node long, grams array<long>", "node")
-    rows = kept(rows.where("made = node").select("node", "grams").dropDuplicates(["node"]))
-    root = links(rows, percent).join(wanted, "node")
-    least = root.groupBy("root").agg(F.min("rep").alias("least"))
+        return pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tv.signed(value)))], names=["node", "grams"])
+
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("hash", F.xxhash64("text"))
+    sized = slim.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    all_docs = kept(tv.map_texts(sized, "text", describe, f"doc_id {kind}, hash long, size long, n_grams long, node long", "doc_id", "hash", "size"))
+    rep = all_docs.where("n_grams > 0").groupBy("node").agg(F.min(F.struct("doc_id", "hash", "size")).alias("rep")).select("node", "rep.*")
+    shared = kept(_key_blocks(docs, text, n, percent, blocks).groupBy("block").applyInArrow(_shared, "lead long, node long, need0 int, need1 int, k0 long, k1 long, k2 long"))
+    cluster = components(_candidates(shared)).withColumnRenamed("root", "cluster").join(rep, "node")
+    small = cluster.groupBy("cluster").agg(F.expr(f"count(*) <= {block_rows} and sum(size) <= {block_bytes}").alias("small"))
+    wanted = kept(cluster.join(small, "cluster"))
+    texts = slim.join(wanted.select("doc_id", "hash", "node", "cluster", "small"), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash", "node"])
+    texts = kept(texts.select("node", "cluster", "small", "text"))
+    inside = texts.where("small").groupBy(F.pmod(F.hash("cluster"), F.lit(blocks)).alias("block")).applyInArrow(_product(percent, n), "node long, root long")
+    rows = kept(tv.map_texts(texts.where("not small"), "text", sets, "node long, grams array<long>", "node"))
+    root = inside if rows.isEmpty() else inside.union(links(rows, percent))
+    root = kept(root.join(wanted.select("node", "doc_id"), "node"))
+    least = root.groupBy("root").agg(F.min("doc_id").alias("least"))
     linked = root.join(least, "root").select("node", "least")
-    named = rep.join(linked, "node", "left").select("node", F.coalesce("least", "rep").alias("component"))
-    return all_docs.join(named, (all_docs.node == named.node) & (F.col("n_grams") > 0), "left").select("doc_id", "n_grams", F.coalesce("component", "doc_id").alias("component_id"))
+    named = rep.join(linked, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component"))
+    return all_docs.join(named, (all_docs.node == named.node) & (F.col("n_grams") > 0), "left").select(all_docs.doc_id, "n_grams", F.coalesce("component", all_docs.doc_id).alias("component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, rules, substrings
+from . import bpe, decontaminate, jaccard, language, quality, rules, substrings
 from .store import table
 
 #: Rows of an Arrow batch: long texts would make the default batch too large for a small worker.
@@ -29,10 +29,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), vocabulary(), ids=False, digests=True)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(documents(spark, sf_dir))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir), n=4, percent=85).withColumnRenamed("n_grams", "n_shingles")
 
@@ -49,7 +57,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_substrings, op7_jaccard, op9_quality_rules, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_substrings, op6_language, op7_jaccard, op9_quality_rules, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
