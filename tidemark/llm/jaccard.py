@@ -198,7 +198,7 @@ def _product(percent: int, n: int):
         root = name.copy()
         begin = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(block)], strict=True):
-            value, at = gram_sets(table.column("text").slice(a, b - a).combine_chunks(), n)
+            value, at = gram_sets(tv.unpacked(table.column("packed").slice(a, b - a)), n)
             root[a:b] = name[a:b][_linked(value, at, percent)]
         return pa.table({"node": name, "root": root})
 
@@ -294,10 +294,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cluster = components(_candidates(shared)).withColumnRenamed("root", "cluster").join(rep, "node")
     small = cluster.groupBy("cluster").agg(F.expr(f"count(*) <= {block_rows} and sum(size) <= {block_bytes}").alias("small"))
     wanted = kept(cluster.join(small, "cluster"))
-    texts = slim.join(wanted.select("doc_id", "hash", "node", "cluster", "small"), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash", "node"])
-    texts = kept(texts.select("node", "cluster", "small", "text"))
+    texts = tv.packed(slim, "text", "doc_id", "hash").join(wanted.select("doc_id", "hash", "node", "cluster", "small"), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash", "node"])
+    texts = kept(texts.select("node", "cluster", "small", "packed"))
     inside = texts.where("small").groupBy(F.pmod(F.hash("cluster"), F.lit(blocks)).alias("block")).applyInArrow(_product(percent, n), "node long, root long")
-    rows = kept(tv.map_texts(texts.where("not small"), "text", sets, "node long, grams array<long>", "node"))
+    rows = kept(tv.map_packed(texts.where("not small"), sets, "node long, grams array<long>", "node"))
     root = inside if rows.isEmpty() else inside.union(links(rows, percent))
     root = kept(root.join(wanted.select("node", "doc_id"), "node"))
     least = root.groupBy("root").agg(F.min("doc_id").alias("least"))

@@ -17,8 +17,8 @@ each suffix has one anchor rather than one for each difference, and a sixth of t
 4. Suffixes that repeat become spans, spans are joined to the texts, and the bytes are cut.
 
 Hot anchors and hot strings are settled within each slice first, and one row a slice goes on.
-64-bit hashes stand for strings (a chance of about 2**-64 a pair; 2**-40 more within a bucket's anchor is checked by
-rank).
+64-bit hashes stand for strings (a chance of about 2**-64 a pair; ranks and fingerprints of a bucket are
+shortened to what, with the anchor, still makes 72 bits or more).
 Defined results: null and empty texts have no bytes and nothing removed; repeated rows and ids are repetitions of
 each other; an empty table gives an empty result; other columns are not read.
 """
@@ -37,7 +37,7 @@ from . import textvec as tv
 from .store import kept
 
 LENGTH = 200
-GRAM = 64
+GRAM = 40
 SETTLED, OPEN, PROBE = 0, 1, 2
 
 
@@ -94,15 +94,29 @@ def _pack(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), *(tv.binary(v, at) for v in columns.values())], names=["bucket", *columns])
 
 
-_BLOCKS = {"anchor": np.uint64, "rank": np.uint64, "text": np.uint64, "lo": np.int32, "hi": np.int32}
-_SUFFIXES = {"key": np.uint64, "text": np.uint64, "at": np.int32, "open": np.uint8}
+_BLOCKS = {"anchor": np.uint32, "rank": "V6", "text": np.uint64, "lo": np.int32, "n": np.uint16}
+_SUFFIXES = {"anchor": np.uint32, "text": np.uint64, "lo": np.int32, "n": np.uint16, "open": np.uint8}
+_FOUND = "text long, anchor int, lo int, hi int, kind byte"
 
 
-def _unpack(table: pa.Table, kinds: dict[str, type]) -> dict[str, np.ndarray]:
+def _unpack(table: pa.Table, kinds: dict) -> dict[str, np.ndarray]:
     return {k: np.frombuffer(b"".join(table.column(k).to_pylist()), kind) for k, kind in kinds.items()}
 
 
+def _short(x: np.ndarray, size: int) -> np.ndarray:
+    """The low bytes of 64-bit numbers."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).view(f"V{size}").reshape(-1)
+
+
+def _wide(x: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, :size] = x.view(np.uint8).reshape(-1, size)
+    return out.reshape(-1).view("<u8")
+
+
 def _block_rows(docs: DataFrame, text: str, buckets: int, length: int, gram: int) -> DataFrame:
+    """Packed blocks by bucket; blocks that are settled within their slice go to buckets from ``buckets`` on."""
+
     def make(part: pa.RecordBatch) -> pa.RecordBatch | None:
         data, offsets = tv.text_bytes(part.column(text))
         prefix = tv.prefix_hash(tv.EXACT[data])
@@ -113,23 +127,19 @@ def _block_rows(docs: DataFrame, text: str, buckets: int, length: int, gram: int
         first = np.zeros(len(name), bool)
         first[np.unique(name, return_index=True)[1]] = True
         ok = first[owner]
-        owner, lo, hi, anchor, rank = owner[ok], lo[ok] - offsets[owner[ok]], hi[ok] - offsets[owner[ok]], anchor[ok], rank[ok]
+        owner, n, anchor, rank = owner[ok], (hi - lo)[ok], (anchor[ok] >> np.uint64(32)).astype(np.uint32), rank[ok]
+        lo = lo[ok] - offsets[owner]
         order = np.argsort(rank, kind="stable")
         begin, size = _groups(rank[order])
-        lead = np.ones(len(order), bool)
-        lead[begin] = False
-        again = order[lead]  # settled in the slice: these and the one that goes on for them
         settled = order[np.repeat(size > 1, size)]
-        goes = np.ones(len(rank), bool)
-        goes[again] = False
-        goes = np.flatnonzero(goes)
-        place = np.concatenate([(anchor[goes] >> np.uint64(20)) % np.uint64(buckets), np.uint64(buckets) + (rank[settled] >> np.uint64(20)) % np.uint64(buckets)]).astype(np.int64)
+        goes = order[begin]  # one of each rank
+        place = np.concatenate([anchor[goes] % np.uint32(buckets), buckets + anchor[settled] % np.uint32(buckets)]).astype(np.int64)
         rows = np.concatenate([goes, settled])
-        rows = rows[order := np.argsort(place, kind="stable")]
-        columns = {"anchor": anchor[rows], "rank": rank[rows], "text": name[owner[rows]], "lo": lo[rows], "hi": hi[rows]}
-        return _pack(place[order], {k: v.astype(_BLOCKS[k]) for k, v in columns.items()})
+        order = np.argsort(place, kind="stable")
+        rows = rows[order]
+        return _pack(place[order], {"anchor": anchor[rows], "rank": _short(rank[rows], 6), "text": name[owner[rows]], "lo": lo[rows].astype(np.int32), "n": n[rows].astype(np.uint16)})
 
-    return tv.map_texts(docs, text, make, "bucket int, anchor binary, rank binary, text binary, lo binary, hi binary", limit=2 << 20)
+    return tv.map_texts(docs, text, make, "bucket int, anchor binary, rank binary, text binary, lo binary, n binary", limit=2 << 20)
 
 
 def _classify(buckets: int):
@@ -139,66 +149,84 @@ def _classify(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         x = _unpack(table, _BLOCKS)
         kind = np.full(len(x["lo"]), SETTLED, np.int8)
-        keep = np.ones(len(kind), bool)
         if table.column("bucket")[0].as_py() < buckets:
+            x["rank"] = _wide(x["rank"], 6)
             order = np.lexsort((x["lo"], x["text"], x["rank"], x["anchor"]))
             x = {k: v[order] for k, v in x.items()}
-            fresh = np.concatenate([[True], (x["rank"][1:] != x["rank"][:-1]) | (x["text"][1:] != x["text"][:-1]) | (x["lo"][1:] != x["lo"][:-1])])
+            same = (x["rank"][1:] == x["rank"][:-1]) & (x["anchor"][1:] == x["anchor"][:-1])
+            fresh = np.concatenate([[True], ~same | (x["text"][1:] != x["text"][:-1]) | (x["lo"][1:] != x["lo"][:-1])])
             x = {k: v[fresh] for k, v in x.items()}
-            ranks, size = _groups(x["rank"])
+            same = (x["rank"][1:] == x["rank"][:-1]) & (x["anchor"][1:] == x["anchor"][:-1])
+            ranks = np.flatnonzero(np.concatenate([[True], ~same]))
+            size = np.diff(np.append(ranks, len(x["rank"])))
             anchors, many = _groups(x["anchor"])
             differ = np.repeat(np.diff(np.append(np.searchsorted(ranks, anchors), len(ranks))) > 1, many)
             twice = np.repeat(size > 1, size)
             probe = np.zeros(len(twice), bool)
             probe[ranks] = True
-            kind = np.where(twice, SETTLED, OPEN).astype(np.int8)
-            keep = twice | differ
-            extra = twice & differ & probe
+            keep, extra = twice | differ, twice & differ & probe
+            kind = np.concatenate([np.where(twice, SETTLED, OPEN)[keep], np.full(int(extra.sum()), PROBE)]).astype(np.int8)
             x = {k: np.concatenate([v[keep], v[extra]]) for k, v in x.items()}
-            kind = np.concatenate([kind[keep], np.full(int(extra.sum()), PROBE, np.int8)])
-        return pa.table({"text": tv.signed(x["text"].astype(np.uint64)), "lo": x["lo"], "hi": x["hi"], "kind": kind})
+        lo = x["lo"].astype(np.int32)
+        return pa.table({"text": tv.signed(x["text"].astype(np.uint64)), "anchor": x["anchor"].astype(np.uint32).view(np.int32), "lo": lo, "hi": (lo + x["n"]).astype(np.int32), "kind": kind})
 
     return run
 
 
-def _suffix_rows(found: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """Fingerprints of the suffixes of open and probe blocks, dealt into buckets by anchor."""
+def _runs(at: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Where runs of consecutive places in one block begin."""
+    return np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (block[1:] != block[:-1])])) if len(at) else np.zeros(0, np.int64)
+
+
+def _suffix_rows(found: DataFrame, buckets: int, length: int) -> DataFrame:
+    """Fingerprints of the suffixes of open and probe blocks as packed runs, by the anchor's bucket. Suffixes that are
+    settled within their slice go to buckets from ``buckets`` on; two of each go on for them."""
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch | None:
         blocks = part.column("blocks")
         own = np.repeat(np.arange(len(part)), np.asarray(pc.list_value_length(blocks)))
         flat = blocks.flatten()
-        lo, hi, kind = (np.asarray(flat.field(k)).astype(np.int64) for k in ("lo", "hi", "kind"))
-        data, offsets = tv.text_bytes(part.column("body"))
+        anchor, lo, hi, kind = (np.asarray(flat.field(k)).astype(np.int64) for k in ("anchor", "lo", "hi", "kind"))
+        data, offsets = tv.text_bytes(part.column("text"))
         prefix = tv.prefix_hash(tv.EXACT[data])
-        use = kind != SETTLED
-        own, lo, hi, kind = own[use], lo[use], hi[use], kind[use]
+        use = np.flatnonzero(kind != SETTLED)
+        if not len(use):
+            return None
+        use = use[np.lexsort((lo[use], own[use]))]
+        own, lo, hi, kind, anchor = own[use], lo[use], hi[use], kind[use], anchor[use].astype(np.int32).view(np.uint32)
         size = hi - lo + 1
         block = np.repeat(np.arange(len(lo)), size)
         at = lo[block] + np.arange(len(block)) - np.repeat(np.cumsum(size) - size, size)
         start = at + offsets[own[block]]
-        if not len(start):
-            return None
         key = tv.span_hash(prefix, start, start + length)
-        name = np.asarray(part.column("name")).astype(np.int64).view(np.uint64)[own][block]
         is_open = kind[block] == OPEN
         order = np.lexsort((~is_open, key))
         begin, many = _groups(key[order])
         goes = np.zeros(len(key), bool)
         goes[order[begin]] = True
-        second = begin[many > 1] + 1
-        goes[order[second]] = True  # two stand for all of the slice; the rest is settled with them
-        settled = is_open.copy()
-        settled[order[np.repeat(many == 1, many)]] = False
-        settled &= ~goes
-        rows = np.concatenate([np.flatnonzero(goes), np.flatnonzero(settled)])
-        mine = np.concatenate([np.zeros(int(goes.sum()), bool), np.ones(int(settled.sum()), bool)])
-        place = ((key[rows] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64) + buckets * mine
+        goes[order[begin[many > 1] + 1]] = True
+        settled = is_open & ~goes
+        name = np.asarray(part.column("name")).astype(np.int64).view(np.uint64)[own]
+        out = []
+        for chosen, shift in ((np.flatnonzero(goes), 0), (np.flatnonzero(settled), buckets)):
+            cut = _runs(at[chosen], block[chosen])
+            out.append((chosen[cut], np.diff(np.append(cut, len(chosen))), shift))
+        head = np.concatenate([x[0] for x in out])
+        n = np.concatenate([x[1] for x in out])
+        place = np.concatenate([anchor[block[h]] % np.uint32(buckets) + np.uint32(shift) for h, _, shift in out]).astype(np.int64)
         order = np.argsort(place, kind="stable")
-        rows, place = rows[order], place[order]
-        return _pack(place, {"key": key[rows], "text": name[rows], "at": at[rows].astype(np.int32), "open": is_open[rows].astype(np.uint8)})
+        head, n, place = head[order], n[order], place[order]
+        ends = np.cumsum(n)
+        each = np.repeat(head - (ends - n), n) + np.arange(int(ends[-1]))
+        begin, _ = _groups(place)
+        at_row = np.append(begin, len(place))
+        columns = {"anchor": anchor[block[head]], "text": name[block[head]], "lo": at[head].astype(np.int32), "n": n.astype(np.uint16), "open": is_open[head].astype(np.uint8)}
+        return pa.RecordBatch.from_arrays(
+            [pa.array(place[begin].astype(np.int32)), *(tv.binary(v, at_row) for v in columns.values()), tv.binary(_short(key[each], 5), np.concatenate([[0], ends])[at_row])],
+            names=["bucket", *columns, "key"],
+        )
 
-    return tv.map_texts(found, "body", make, "bucket int, key binary, text binary, at binary, open binary", "name", "blocks", limit=1 << 19)
+    return tv.map_packed(found, make, "bucket int, anchor binary, text binary, lo binary, n binary, open binary, key binary", "name", "blocks", limit=1 << 19)
 
 
 def _decide(buckets: int):
@@ -206,20 +234,23 @@ def _decide(buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         x = _unpack(table, _SUFFIXES)
-        good = x["open"] > 0
+        n = x["n"].astype(np.int64)
+        each = np.repeat(np.arange(len(n)), n)
+        at = x["lo"].astype(np.int64)[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+        text, good = x["text"][each], x["open"][each] > 0
         if table.column("bucket")[0].as_py() < buckets:
-            order = np.lexsort((x["at"], x["text"], x["key"]))
-            key, text, at = x["key"][order], x["text"][order], x["at"][order]
-            begin, size = _groups(key)
-            last = begin + size - 1
-            apart = (text[begin] != text[last]) | (at[begin] != at[last])
+            key = _wide(np.frombuffer(b"".join(table.column("key").to_pylist()), "V5"), 5)
+            key = tv.mix(key + tv.mix(x["anchor"][each].astype(np.uint64)))
+            order = np.lexsort((at, text, key))
+            begin, size = _groups(key[order])
+            a, b = order[begin], order[begin + size - 1]
             twice = np.zeros(len(key), bool)
-            twice[order] = np.repeat(apart, size)
-            good = good & twice
-        text, at = x["text"][good], x["at"][good].astype(np.int64)
+            twice[order] = np.repeat((text[a] != text[b]) | (at[a] != at[b]), size)
+            good &= twice
+        text, at = text[good], at[good]
         order = np.lexsort((at, text))
         text, at = text[order], at[order]
-        cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (at[1:] > at[:-1] + 1)])) if len(at) else np.zeros(0, np.int64)
+        cut = _runs(at, text)
         end = np.append(cut[1:], len(at)) - 1 if len(at) else cut
         return pa.table({"text": tv.signed(text[cut]), "lo": at[cut].astype(np.int32), "hi": at[end].astype(np.int32)})
 
@@ -236,37 +267,32 @@ def merged(lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Two tables: every row's (doc_id, n_bytes, name, copies, whole_sha256), name being the hash of its text; and
-    for names with repeated strings (name, body, lo, hi), lists of the starts of such strings."""
+    for names with repeated strings (name, packed, runs): the packed text, and the first and last starts of runs of
+    such strings."""
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)[doc_id]
 
     def describe(part: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = tv.text_bytes(part.column(text))
+        data, offsets = tv.text_bytes(part.column("text"))
         name = tv.signed(text_hashes(tv.prefix_hash(tv.EXACT[data]), offsets))
         sha = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([part.column(doc_id), pa.array(np.diff(offsets)), pa.array(name), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "name", "whole_sha256"])
-
-    def bodies(part: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = tv.text_bytes(part.column("body"))
-        made = tv.signed(text_hashes(tv.prefix_hash(tv.EXACT[data]), offsets))
-        return pa.RecordBatch.from_arrays([pa.array(made), *(part.column(c) for c in ("name", "body", "blocks"))], names=["made", "name", "body", "blocks"])
-
-    all_docs = kept(tv.map_texts(docs, text, describe, f"doc_id {kind}, n_bytes long, name long, whole_sha256 string", doc_id))
-    copies = all_docs.groupBy("name").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
-    blocks = _block_rows(docs, text, buckets, length, gram).groupBy("bucket").applyInArrow(_classify(buckets), "text long, lo int, hi int, kind byte")
-    lists = blocks.groupBy(F.col("text").alias("name")).agg(F.collect_set(F.struct("lo", "hi", "kind")).alias("blocks"))
-    wanted = lists.join(copies.where("copies = 1"), "name").select("name", "rep", "blocks").union(
-        lists.join(copies.where("copies > 1"), "name").select("name", "rep", F.filter("blocks", lambda b: b["kind"] != SETTLED).alias("blocks")).where("size(blocks) > 0")
-    )
-    named = docs.select(F.col(f"`{doc_id}`").alias("rep"), F.col(f"`{text}`").alias("body")).join(wanted, "rep").select("name", "body", "blocks")
-    kind_of = "array<struct<lo:int,hi:int,kind:tinyint>>"
-    found = tv.map_texts(named, "body", bodies, f"made long, name long, body string, blocks {kind_of}", "name", "blocks")
-    found = kept(found.where("made = name").select("name", "body", "blocks").dropDuplicates(["name"]))
-    more = _suffix_rows(found, buckets, length, gram).groupBy("bucket").applyInArrow(_decide(buckets), "text long, lo int, hi int")
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), pa.array(np.diff(offsets)), pa.array(name), pa.array(sha, pa.string())], names=["doc_id", "hash", "n_bytes", "name", "whole_sha256"])
+
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("hash", F.xxhash64("text"))
+    all_docs = kept(tv.map_texts(slim, "text", describe, f"doc_id {kind}, hash long, n_bytes long, name long, whole_sha256 string", "doc_id", "hash"))
+    copies = all_docs.groupBy("name").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "hash")).alias("rep"))
+    blocks = _block_rows(docs, text, buckets, length, gram).groupBy("bucket").applyInArrow(_classify(buckets), _FOUND)
+    lists = blocks.groupBy(F.col("text").alias("name")).agg(F.collect_set(F.struct("anchor", "lo", "hi", "kind")).alias("blocks"))
+    # a text with copies repeats as a whole; its blocks only help to decide
+    wanted = lists.join(copies, "name").withColumn("blocks", F.when(F.col("copies") > 1, F.filter("blocks", lambda b: b["kind"] != SETTLED)).otherwise(F.col("blocks")))
+    wanted = wanted.where("size(blocks) > 0").select("name", "rep.*", "blocks")
+    found = tv.packed(slim, "text", "doc_id", "hash").join(wanted, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash", "name"])
+    found = kept(found.select("name", "packed", "blocks"))
+    more = _suffix_rows(found, buckets, length).groupBy("bucket").applyInArrow(_decide(buckets), "text long, lo int, hi int")
     more = more.groupBy(F.col("text").alias("name")).agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
     settled = F.transform(F.filter("blocks", lambda b: b["kind"] == SETTLED), lambda b: F.struct(b["lo"].alias("lo"), b["hi"].alias("hi")))
-    spans = found.join(more, "name", "left").select("name", "body", F.concat(settled, F.coalesce("more", F.array().cast("array<struct<lo:int,hi:int>>"))).alias("runs"))
+    spans = found.join(more, "name", "left").select("name", "packed", F.concat(settled, F.coalesce("more", F.array().cast("array<struct<lo:int,hi:int>>"))).alias("runs"))
     return all_docs.join(copies.select("name", "copies"), "name"), spans.where("size(runs) > 0")
 
 
@@ -276,7 +302,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     all_docs, spans = repeated_spans(docs, doc_id, text, length, gram, buckets)
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = tv.text_bytes(part.column("body"))
+        data, offsets = tv.text_bytes(part.column("text"))
         out: list[list] = [[], [], [], []]
         for k, runs in enumerate(part.column("runs").to_pylist()):
             lo, hi = np.array([r["lo"] for r in runs]), np.array([r["hi"] for r in runs])
@@ -291,7 +317,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([part.column("name"), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["name", "n_removed", "n_spans", "sha", "kept_text"])
 
-    done = tv.map_texts(spans, "body", cut, "name long, n_removed long, n_spans long, sha string, kept_text string", "name", "runs")
+    done = tv.map_packed(spans, cut, "name long, n_removed long, n_spans long, sha string, kept_text string", "name", "runs")
     whole = F.expr(f"copies > 1 and n_bytes >= {length}")
     return all_docs.join(done, "name", "left").select(
         "doc_id",

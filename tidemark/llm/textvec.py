@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,3 +169,39 @@ def map_texts(df: DataFrame, text: str, make: Callable[[pa.RecordBatch], pa.Reco
                     yield out
 
     return df.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)
+
+
+def packed(df: DataFrame, text: str, *columns: str) -> DataFrame:
+    """The named columns and ``packed``: the text's UTF-8 bytes, compressed one by one, for shuffles; null stays null."""
+    kinds = dict(df.dtypes)
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for part in slices(batch, text):
+                out = [None if t is None else press.compress(t) for t in part.column(text).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(out, pa.binary())], names=[*columns, "packed"])
+
+    return df.select(*(F.col(f"`{c}`") for c in [*columns, text])).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "packed binary"]))
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    """The texts of a packed column."""
+    open_ = zstandard.ZstdDecompressor()
+    return pa.array([None if x is None else open_.decompress(x) for x in column.to_pylist()], pa.binary()).cast(pa.string())
+
+
+def map_packed(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, *columns: str, limit: int = SLICE_BYTES) -> DataFrame:
+    """As map_texts(), over a packed column; make() gets it as ``text``."""
+    names = [*columns, "packed"]
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "packed", limit // 3):
+                opened = pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), unpacked(part.column("packed"))], names=[*columns, "text"])
+                for piece in slices(opened, "text", limit):
+                    out = make(piece)
+                    if out is not None:
+                        yield out
+
+    return df.select(*(F.col(c) for c in names)).mapInArrow(run, schema)
