@@ -1,3 +1,5 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from . import licenses
+
+ORACLES: dict[str, str] = {"op8_licenses": licenses.oracle()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, quality, rules, substrings
+from . import bpe, decontaminate, jaccard, language, licenses, quality, rules, substrings, urls
 from .store import table
 
 #: Rows of an Arrow batch: long texts would make the default batch too large for a small worker.
@@ -37,6 +37,11 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(documents(spark, sf_dir))
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
@@ -45,6 +50,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir), n=4, percent=85).withColumnRenamed("n_grams", "n_shingles")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("spans")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir))
 
@@ -57,7 +66,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_substrings, op6_language, op7_jaccard, op9_quality_rules, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_substrings, op5_urls, op6_language, op7_jaccard, op8_licenses, op9_quality_rules, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
