@@ -17,9 +17,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 def kept(df: DataFrame) -> DataFrame:
     """The rows, computed once and stored in the shared checkpoint folder; the plan starts anew from there,
-    and a lost executor costs nothing that has been stored."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    and a lost executor costs nothing that has been stored.
+
+    Constraints that the optimizer has found are not carried over: in loops they would grow with each round."""
+    spark, name = df.sparkSession, "spark.sql.constraintPropagation.enabled"
+    checkpoint_folder(spark)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
