@@ -37,7 +37,7 @@ from . import textvec as tv
 from .store import kept
 
 LENGTH = 200
-GRAM = 40
+GRAM = 64
 SETTLED, OPEN, PROBE = 0, 1, 2
 
 
@@ -96,7 +96,7 @@ def _pack(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch
 
 _BLOCKS = {"anchor": np.uint32, "rank": "V6", "text": np.uint64, "lo": np.int32, "n": np.uint16}
 _SUFFIXES = {"anchor": np.uint32, "text": np.uint64, "lo": np.int32, "n": np.uint16, "open": np.uint8}
-_FOUND = "text long, anchor int, lo int, hi int, kind byte"
+_FOUND = "text long, code long"  # lo << 18 | hi - lo << 2 | kind
 
 
 def _unpack(table: pa.Table, kinds: dict) -> dict[str, np.ndarray]:
@@ -167,8 +167,8 @@ def _classify(buckets: int):
             keep, extra = twice | differ, twice & differ & probe
             kind = np.concatenate([np.where(twice, SETTLED, OPEN)[keep], np.full(int(extra.sum()), PROBE)]).astype(np.int8)
             x = {k: np.concatenate([v[keep], v[extra]]) for k, v in x.items()}
-        lo = x["lo"].astype(np.int32)
-        return pa.table({"text": tv.signed(x["text"].astype(np.uint64)), "anchor": x["anchor"].astype(np.uint32).view(np.int32), "lo": lo, "hi": (lo + x["n"]).astype(np.int32), "kind": kind})
+        code = x["lo"].astype(np.int64) << 18 | x["n"].astype(np.int64) << 2 | kind
+        return pa.table({"text": tv.signed(x["text"].astype(np.uint64)), "code": code})
 
     return run
 
@@ -178,22 +178,23 @@ def _runs(at: np.ndarray, block: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (block[1:] != block[:-1])])) if len(at) else np.zeros(0, np.int64)
 
 
-def _suffix_rows(found: DataFrame, buckets: int, length: int) -> DataFrame:
+def _suffix_rows(found: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
     """Fingerprints of the suffixes of open and probe blocks as packed runs, by the anchor's bucket. Suffixes that are
     settled within their slice go to buckets from ``buckets`` on; two of each go on for them."""
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        blocks = part.column("blocks")
-        own = np.repeat(np.arange(len(part)), np.asarray(pc.list_value_length(blocks)))
-        flat = blocks.flatten()
-        anchor, lo, hi, kind = (np.asarray(flat.field(k)).astype(np.int64) for k in ("anchor", "lo", "hi", "kind"))
-        data, offsets = tv.text_bytes(part.column("text"))
-        prefix = tv.prefix_hash(tv.EXACT[data])
-        use = np.flatnonzero(kind != SETTLED)
+        codes = part.column("blocks")
+        own = np.repeat(np.arange(len(part)), np.asarray(pc.list_value_length(codes)))
+        code = np.asarray(codes.flatten()).astype(np.int64)
+        use = np.flatnonzero(code & 3 != SETTLED)
         if not len(use):
             return None
-        use = use[np.lexsort((lo[use], own[use]))]
-        own, lo, hi, kind, anchor = own[use], lo[use], hi[use], kind[use], anchor[use].astype(np.int32).view(np.uint32)
+        use = use[np.argsort(own[use] << 32 | code[use] >> 18, kind="stable")]
+        own, lo, hi, kind = own[use], code[use] >> 18, (code[use] >> 18) + (code[use] >> 2 & 0xFFFF), code[use] & 3
+        data, offsets = tv.text_bytes(part.column("text"))
+        prefix = tv.prefix_hash(tv.EXACT[data])
+        _, begins, _, anchors, _ = anchor_blocks(prefix, offsets, length, gram)
+        anchor = (anchors[np.searchsorted(begins, lo + offsets[own])] >> np.uint64(32)).astype(np.uint32)
         size = hi - lo + 1
         block = np.repeat(np.arange(len(lo)), size)
         at = lo[block] + np.arange(len(block)) - np.repeat(np.cumsum(size) - size, size)
@@ -283,15 +284,15 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     all_docs = kept(tv.map_texts(slim, "text", describe, f"doc_id {kind}, hash long, n_bytes long, name long, whole_sha256 string", "doc_id", "hash"))
     copies = all_docs.groupBy("name").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "hash")).alias("rep"))
     blocks = _block_rows(docs, text, buckets, length, gram).groupBy("bucket").applyInArrow(_classify(buckets), _FOUND)
-    lists = blocks.groupBy(F.col("text").alias("name")).agg(F.collect_set(F.struct("anchor", "lo", "hi", "kind")).alias("blocks"))
+    lists = blocks.groupBy(F.col("text").alias("name")).agg(F.collect_set("code").alias("blocks"))
     # a text with copies repeats as a whole; its blocks only help to decide
-    wanted = lists.join(copies, "name").withColumn("blocks", F.when(F.col("copies") > 1, F.filter("blocks", lambda b: b["kind"] != SETTLED)).otherwise(F.col("blocks")))
+    wanted = lists.join(copies, "name").withColumn("blocks", F.when(F.col("copies") > 1, F.filter("blocks", lambda b: b.bitwiseAND(3) != SETTLED)).otherwise(F.col("blocks")))
     wanted = wanted.where("size(blocks) > 0").select("name", "rep.*", "blocks")
     found = tv.packed(slim, "text", "doc_id", "hash").join(wanted, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash", "name"])
     found = kept(found.select("name", "packed", "blocks"))
-    more = _suffix_rows(found, buckets, length).groupBy("bucket").applyInArrow(_decide(buckets), "text long, lo int, hi int")
+    more = _suffix_rows(found, buckets, length, gram).groupBy("bucket").applyInArrow(_decide(buckets), "text long, lo int, hi int")
     more = more.groupBy(F.col("text").alias("name")).agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
-    settled = F.transform(F.filter("blocks", lambda b: b["kind"] == SETTLED), lambda b: F.struct(b["lo"].alias("lo"), b["hi"].alias("hi")))
+    settled = F.expr(f"transform(filter(blocks, b -> b & 3 = {SETTLED}), b -> struct(int(shiftright(b, 18)) as lo, int(shiftright(b, 18) + (shiftright(b, 2) & 65535)) as hi))")
     spans = found.join(more, "name", "left").select("name", "packed", F.concat(settled, F.coalesce("more", F.array().cast("array<struct<lo:int,hi:int>>"))).alias("runs"))
     return all_docs.join(copies.select("name", "copies"), "name"), spans.where("size(runs) > 0")
 
