@@ -14,8 +14,7 @@ columns are not read.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -174,14 +173,15 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int):
         yield [(r.item, r.text) for r in rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, items (sorted) and spans: maximal hit stretches as word and byte positions."""
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, columns: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_words, items (sorted) and spans: maximal hit stretches as word and byte positions; then the named
+    columns of docs as _0, _1 and so on, so that none clashes."""
     spark = docs.sparkSession
     matchers = [spark.sparkContext.broadcast(Matcher(rows, window)) for rows in _blocks(benchmark, item_id, item_text, block_words)]
     span = pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("start_byte", pa.int64()), ("end_byte", pa.int64())])
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = tv.text_bytes(part.column(text))
+        data, offsets = tv.text_bytes(part.column("_text"))
         starts, ends, first = tv.word_spans(data, offsets, tv.ALNUM)
         hashes = tv.hash_words(data, starts, ends, tv.FOLDED)
         hit, items = np.zeros(len(hashes), bool), {}
@@ -197,12 +197,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             for x, y in edges.reshape(-1, 2).tolist():
                 spans[k].append({"first_word": x, "end_word": y, "start_byte": int(starts[a + x] - offsets[k]), "end_byte": int(ends[a + y - 1] - offsets[k])})
         return pa.RecordBatch.from_arrays(
-            [part.column(doc_id), pa.array(np.diff(first).astype(np.int64)), pa.array([sorted(items.get(k, ())) for k in range(len(part))], pa.list_(pa.int64())), pa.array(spans, pa.list_(span))],
-            names=["doc_id", "n_words", "items", "spans"],
+            [part.column(0), pa.array(np.diff(first).astype(np.int64)), pa.array([sorted(items.get(k, ())) for k in range(len(part))], pa.list_(pa.int64())), pa.array(spans, pa.list_(span)), *part.columns[2:]],
+            names=["doc_id", "n_words", "items", "spans", *(f"_{k}" for k in range(len(columns)))],
         )
 
-    kind = dict(docs.dtypes)[doc_id]
-    return tv.map_texts(docs, text, make, f"doc_id {kind}, n_words long, items array<long>, spans array<struct<first_word:long,end_word:long,start_byte:long,end_byte:long>>", doc_id)
+    kinds = dict(docs.dtypes)
+    slim = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"), *(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(columns)))
+    schema = f"doc_id {kinds[doc_id]}, n_words long, items array<long>, spans array<struct<first_word:long,end_word:long,start_byte:long,end_byte:long>>"
+    return tv.map_texts(slim, "_text", make, ", ".join([schema, *(f"_{k} {kinds[c]}" for k, c in enumerate(columns))]), "_id", "_text", *(f"_{k}" for k in range(len(columns))))
 
 
 def decisions(found: DataFrame, coverage_of: int = 20) -> DataFrame:
@@ -211,6 +213,12 @@ def decisions(found: DataFrame, coverage_of: int = 20) -> DataFrame:
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", F.expr(f"n_hit > 0 and {coverage_of} * n_hit >= n_words"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, coverage_of: int = 20, **options) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated."""
+    found = decisions(contamination(docs, benchmark, columns=docs.columns, **options), coverage_of)
+    return found.where("not contaminated").select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)))
+
+
 def without_spans(text: bytes | None, spans: list) -> str | None:
     """The text less the hit stretches."""
     if text is None:

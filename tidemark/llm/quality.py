@@ -7,7 +7,7 @@
 4. These compile into one Spark column expression, which scores all rows.
 
 Defined results: null and empty texts get statistics of zero and a score like any other text; labels that are null or
-of documents that don't occur teach nothing; with labels of one class or none the score is that class's smoothed
+of documents that don't occur teach nothing; with labels of one class or none, or no rule, the score is that class's smoothed
 share; repeated rows are scored each; an empty table gives an empty result; labels, language, source and id are
 no inputs of the score, and other columns are not read.
 """
@@ -53,8 +53,8 @@ STATISTICS = {
 }
 
 
-def statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and STATISTICS of each text."""
+def statistics(df: DataFrame, text: str = "text", *columns: str) -> DataFrame:
+    """The named columns and a struct ``stats`` with STATISTICS of each text."""
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = tv.text_bytes(part.column(text))
@@ -65,10 +65,12 @@ def statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         distinct = np.bincount(tv.owner(first)[one], minlength=len(part))
         made = [np.diff(first), rules._sums(tv.NOT_SPACE[data] & rules._LEAD[data], offsets), rules._sums(rules._SYMBOL[data], offsets), dup, rules._repeat_words(words, first, 5), lines, rules._sums(rules._CAPITAL[data], offsets), distinct]
         made += [rules._sums(t[data], offsets) for t in _TABLES.values()]
-        return pa.RecordBatch.from_arrays([part.column(doc_id), *(pa.array(x.astype(np.int64)) for x in made)], names=["doc_id", *_COUNTS])
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in made], _COUNTS)], names=[*columns, "stats"])
 
-    counts = tv.map_texts(df, text, make, f"doc_id {dict(df.dtypes)[doc_id]}, " + ", ".join(f"{c} long" for c in _COUNTS), doc_id)
-    return counts.select("doc_id", *(F.expr(e).cast("double").alias(k) for k, e in STATISTICS.items()))
+    kinds = dict(df.dtypes)
+    counts = tv.map_texts(df, text, make, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "stats struct<" + ",".join(f"{c}:long" for c in _COUNTS) + ">"]), *columns)
+    inputs = [F.expr(re.sub(r"\b(n_\w+|word_chars)\b", r"stats.\1", e)).cast("double").alias(k) for k, e in STATISTICS.items()]
+    return counts.select(*(F.col(f"`{c}`") for c in columns), F.struct(*inputs).alias("stats"))
 
 
 def tree_rules(debug: str, names: list[str]) -> list[list[tuple[str, str, float]]]:
@@ -86,7 +88,8 @@ def tree_rules(debug: str, names: list[str]) -> list[list[tuple[str, str, float]
 def condition(rule: list[tuple[str, str, float]]) -> Column:
     out = F.lit(True)
     for name, op, bound in rule:
-        out = out & ((F.col(name) <= bound) if op == "<=" else (F.col(name) > bound))
+        x = F.col(f"stats.{name}")
+        out = out & ((x <= bound) if op == "<=" else (x > bound))
     return out
 
 
@@ -104,19 +107,23 @@ class RuleEnsemble:
 
 
 def fit(train: DataFrame, label: str, trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY) -> RuleEnsemble:
-    """Learn from a bounded table of STATISTICS and a 0/1 label."""
+    """Learn from a bounded table of stats and a 0/1 label."""
     shares = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}
+    total = sum(shares.values())
+    p = (shares.get(1, 0) + 1) / (total + 2)
+    alone = RuleEnsemble(float(np.log(p / (1 - p))), [])
     if not (shares.get(0) and shares.get(1)):
-        p = (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)
-        return RuleEnsemble(float(np.log(p / (1 - p))), [])
+        return alone
     names = [*STATISTICS]
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(train).select("features", F.col(label).cast("double").alias("label"))
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=64, minInstancesPerNode=20, seed=7, featureSubsetStrategy="onethird").fit(vectors)
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(train.select(label, "stats.*")).select("features", F.col(label).cast("double").alias("label"))
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=64, minInstancesPerNode=max(2, min(20, total // 50)), seed=7, featureSubsetStrategy="onethird").fit(vectors)
     found: dict[tuple, list] = {}
     for tree in forest.trees:
         for rule in tree_rules(tree.toDebugString, names):
             found.setdefault(tuple(sorted(rule)), rule)
     conjunctions = [found[k] for k in sorted(found)]
+    if not conjunctions:
+        return alone
     truth = train.select(F.col(label).cast("double").alias("label"), *(condition(r).cast("double").alias(f"r{k}") for k, r in enumerate(conjunctions)))
     truth = VectorAssembler(inputCols=[f"r{k}" for k in range(len(conjunctions))], outputCol="features").transform(truth)
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False).fit(truth.select("features", "label"))
@@ -124,14 +131,28 @@ def fit(train: DataFrame, label: str, trees: int = TREES, depth: int = DEPTH, pe
     return RuleEnsemble(float(lasso.intercept), [(float(w), r) for w, r in zip(weights, conjunctions, strict=True) if abs(w) > 1e-6])
 
 
-def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", held_out: str = "crc32(cast(doc_id as string)) % 5 = 0", threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row; only labels of rows that are not held out are learned.
-    At most about ``train_rows`` of them, by a hash of the id, so that fitting is as quick at any size."""
-    stats = kept(statistics(docs, doc_id, text).withColumn("held_out", F.coalesce(F.expr(held_out), F.lit(False))))
-    marked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).where(f"not ({held_out})").dropDuplicates(["doc_id"])
-    known = marked.join(stats.where("not held_out"), "doc_id")
+HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
+
+
+def learn(stats: DataFrame, labels: DataFrame, label: str = "quality", held_out: str = HELD_OUT, train_rows: int = TRAIN_ROWS) -> RuleEnsemble:
+    """The ensemble for rows (doc_id, stats) with labels (doc_id, label); labels of held-out rows are not learned. At
+    most about ``train_rows`` are, by a hash of the id, so that fitting is as quick at any size."""
+    marked = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).where(f"not ({held_out})").dropDuplicates(["doc_id"])
+    known = stats.join(marked, "doc_id").select("doc_id", "stats", "label")
     total = known.count()
     share = min(1.0, train_rows / total) if total else 1.0
-    train = kept(known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)).coalesce(8))
-    model = fit(train, "label")
-    return stats.select("doc_id", "held_out", model.score().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return fit(kept(known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)).coalesce(8)), "label")
+
+
+def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", held_out: str = HELD_OUT, threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row."""
+    stats = kept(statistics(docs, text, doc_id).withColumnRenamed(doc_id, "doc_id"))
+    model = learn(stats, labels.withColumnRenamed(doc_id, "doc_id"), label, held_out, train_rows)
+    scored = stats.select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), model.score().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", held_out: str = HELD_OUT, threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold; only labelled rows meet in a shuffle."""
+    model = learn(kept(statistics(docs, text, "doc_id")), labels, label, held_out, train_rows)
+    return statistics(docs, text, *docs.columns).where(model.score() >= threshold).select(*docs.columns)

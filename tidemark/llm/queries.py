@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, licenses, quality, rules, substrings, urls
+from . import bpe, decontaminate, jaccard, language, licenses, passages, quality, rules, substrings, urls
 from .store import table
 
 #: Rows of an Arrow batch: long texts would make the default batch too large for a small worker.
@@ -37,6 +37,10 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(documents(spark, sf_dir))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicate_passages(documents(spark, sf_dir))
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return urls.judge(table(spark, sf_dir, "pages"))
@@ -65,8 +69,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_substrings, op5_urls, op6_language, op7_jaccard, op8_licenses, op9_quality_rules, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_substrings, op4_passages, op5_urls, op6_language, op7_jaccard, op8_licenses, op9_quality_rules, op10_decontaminate, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
