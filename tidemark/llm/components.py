@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import kept
+from .store import written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): for each node of the edges (a, b), the smallest node that it can reach.
 
     A round takes the smallest label among neighbours and then the label of that label, so the rounds grow with the
-    logarithm of a component's width in practice. Labels are stored each round; nothing but a count of changes
+    logarithm of a component's width in practice. Labels are written each round; nothing but a count of changes
     reaches the driver. Fails if ``rounds`` don't do."""
-    both = kept(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    label = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     for _ in range(rounds):
         near = both.join(label.withColumnsRenamed({"node": "b", "root": "r"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
         low = label.join(near, "node").select("node", F.least("root", "r").alias("low"), "root")
         jump = label.select(F.col("node").alias("low"), F.col("root").alias("far"))
-        new = kept(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("root"), (F.least("low", F.coalesce("far", "low")) < F.col("root")).alias("moved")))
+        new = written(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("root"), (F.least("low", F.coalesce("far", "low")) < F.col("root")).alias("moved")))
         label = new.select("node", "root")
         if new.where("moved").isEmpty():
             return label

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,17 +18,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 def kept(df: DataFrame) -> DataFrame:
     """The rows, computed once and stored in the shared checkpoint folder; the plan starts anew from there,
-    and a lost executor costs nothing that has been stored.
-
-    Constraints that the optimizer has found are not carried over: in loops they would grow with each round."""
-    spark, name = df.sparkSession, "spark.sql.constraintPropagation.enabled"
-    checkpoint_folder(spark)
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(name, before)
+    and a lost executor costs nothing that has been stored."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written as a table in the shared checkpoint folder and read again. For loops: checkpoint() carries the
+    optimizer's size estimates over, which joins multiply, so that their digits grow with each round."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
