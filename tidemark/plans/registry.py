@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,17 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    """Importing the modules of queries registers them."""
+    for module in ("features", "relations", "rules", "statistics", "micro"):
+        importlib.import_module(f"{__package__}.{module}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
