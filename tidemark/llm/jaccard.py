@@ -206,7 +206,8 @@ def _product(percent: int, n: int):
 
 
 def _linked(value: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
-    """For each set of a row block the first set that links reach."""
+    """For each set of a row block the first set that links reach. Overlaps add up column by column: frequent columns
+    as dense strips, the others as lists of cells."""
     m, size = len(at) - 1, np.diff(at)
     row = np.repeat(np.arange(m), size)
     order = np.argsort(value, kind="stable")
@@ -214,15 +215,23 @@ def _linked(value: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
     begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
     df = np.diff(np.append(begin, len(value)))
     overlap = np.zeros((m, m), np.int32)
+    dense = np.flatnonzero((df > 16) & (df * 8 >= m))
+    for part in np.array_split(dense, -(-len(dense) // 512) or 1):
+        strip = np.zeros((m, len(part)), np.float32)
+        for k, c in enumerate(part.tolist()):
+            strip[row[begin[c] : begin[c] + df[c]], k] = 1
+        overlap += (strip @ strip.T).astype(np.int32)
+    df[dense] = 0
     for k in np.unique(df[df > 1]).tolist():  # all columns with k entries at once
         column = row[begin[df == k][:, None] + np.arange(k)]
-        for part in np.array_split(column, max(1, column.size * k >> 22)):
-            flat = (part[:, :, None] * m + part[:, None, :]).reshape(-1)
-            overlap += np.bincount(flat, minlength=m * m).reshape(m, m).astype(np.int32)
-    linked = (100 + percent) * overlap.astype(np.int64) >= percent * (size[:, None] + size[None, :])
+        for part in np.array_split(column, max(1, column.size * k >> 20)):
+            np.add.at(overlap.reshape(-1), (part[:, :, None] * m + part[:, None, :]).reshape(-1), 1)
+    linked = np.empty((m, m), bool)
+    for a in range(0, m, 256):
+        linked[a : a + 256] = (100 + percent) * overlap[a : a + 256].astype(np.int64) >= percent * (size[a : a + 256, None] + size[None, :])
     root = np.arange(m)
     while True:
-        low = np.where(linked, root[None, :], m).min(axis=1)
+        low = np.concatenate([np.where(linked[a : a + 256], root[None, :], m).min(axis=1) for a in range(0, m, 256)]) if m else root
         low = np.minimum(low, root)
         low = low[low]
         if (low == root).all():
@@ -272,7 +281,7 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
     return components(first.union(_verified(rest, rows, percent)))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, blocks: int | None = None, block_rows: int = 400, block_bytes: int = 4 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, blocks: int | None = None, block_rows: int = 3000, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_grams and component_id (the smallest id that links reach) of each row."""
     spark = docs.sparkSession
     blocks = blocks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
