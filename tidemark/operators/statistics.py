@@ -40,8 +40,8 @@ def permutation_null(df: DataFrame, group: str, value: str, key: str, repetition
     drawn = reps.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy(uniform(seed, F.col("rep"), F.col(key)), key)))
     dealt = drawn.join(numbered.select("i", group), "i")
     total = df.agg(F.avg(value).alias("m"))
-    means = dealt.groupBy("rep", group).agg(F.avg(value).alias("g")).crossJoin(F.broadcast(total))  # one row
-    return means.groupBy("rep").agg(F.max(F.abs(F.col("g") - F.col("m"))).alias("largest"))
+    means = dealt.groupBy("rep", group).agg(F.avg(value).alias("_mean")).crossJoin(F.broadcast(total))  # one row
+    return means.groupBy("rep").agg(F.max(F.abs(F.col("_mean") - F.col("m"))).alias("largest"))
 
 
 def empirical_p(null: DataFrame, statistic: str, observed: float) -> DataFrame:
