@@ -1,5 +1,50 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from . import licenses
+from . import licenses, rules
+from .decontaminate import WINDOW
 
-ORACLES: dict[str, str] = {"op8_licenses": licenses.oracle()}
+
+def quality_rules() -> str:
+    """rules.judge() with its defaults: the same counts, sketches and fences."""
+    stats = rules.STATISTICS
+    value = {k: e.replace(" div ", " // ") for k, (e, _, _) in stats.items()}
+    pairs = " union all ".join(f"select lang, source, '{k}' as stat, {e} as v, {w} as least from s where n_words > 0 and word_chars > 0 and n_lines > 0" for (k, e), (_, w, _) in zip(value.items(), stats.values(), strict=True))
+    inside = " and ".join(f"{e} <= max(q3 + {rules.REACH} * width) filter (where stat = '{k}')" + (f" and {e} >= max(q1 - {rules.REACH} * width) filter (where stat = '{k}')" if two else "") for (k, e), (_, _, two) in zip(value.items(), stats.values(), strict=True))
+    return f"""
+    with d as (select row_number() over () as row, doc_id, lang, source, coalesce(text, '') as text from documents),
+    w as (select *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from d),
+    word as (select row, unnest(words) as x, generate_subscripts(words, 1) as i from w),
+    gram as (select row, i, x || ' ' || lead(x) over o || ' ' || lead(x, 2) over o || ' ' || lead(x, 3) over o || ' ' || lead(x, 4) over o as g from word window o as (partition by row order by i)),
+    twice as (select row, i from gram where g is not null qualify count(*) over (partition by row, g) > 1),
+    rep as (select row, count(distinct i + k) as n from twice, (select unnest(range(5)) as k) group by row),
+    s as (select w.row, doc_id, lang, source, len(words)::bigint as n_words, coalesce(length(array_to_string(words, '')), 0)::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+          (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, len(lines)::bigint as n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g'))::bigint as n_capitals from w left join rep on rep.row = w.row),
+    p as ({pairs}),
+    b as (select lang, source, stat, least, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) as bucket, count(*) as n from p group by all),
+    c as (select *, sum(n) over (partition by lang, source, stat order by bucket) as seen, sum(n) over (partition by lang, source, stat) as total from b),
+    q as (select lang, source, stat, min(bucket) filter (where seen * 4 >= total) as q1, min(bucket) filter (where seen * 4 >= total * 3) as q3, any_value(least) as least from c group by 1, 2, 3),
+    f as (select *, greatest(q3 - q1, least) as width from q),
+    j as (select s.row, coalesce(case when any_value(n_words) > 0 and any_value(word_chars) > 0 and any_value(n_lines) > 0 then {inside} end, false) as good
+          from s left join f on s.lang is not distinct from f.lang and s.source is not distinct from f.source group by s.row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
+           (not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and good) as kept from s join j using (row)"""
+
+
+def contamination() -> str:
+    """decontaminate.contamination() and decisions() with their defaults."""
+    words = lambda t: f"regexp_extract_all(translate(coalesce({t}, ''), '{licenses._UPPER}', '{licenses._LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+    with i as (select item_id, {words('text')} as w from benchmark),
+    win as (select distinct item_id, least(len(w), {WINDOW}) as n, array_to_string(list_slice(w, k, k + least(len(w), {WINDOW}) - 1), ' ') as g
+            from (select item_id, w, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) as k from i where len(w) > 0)),
+    d as (select row_number() over () as row, doc_id, {words('text')} as w from documents),
+    spot as (select row, w, k from d, unnest(range(1, len(w) + 1)) u(k)),
+    gram as materialized (select row, k, z.n, array_to_string(list_slice(w, k, k + z.n - 1), ' ') as g from spot, (select distinct n from win) z where k + z.n - 1 <= len(w)),
+    hit as (select row, k, n, item_id from gram join win using (n, g)),
+    h as (select row, count(distinct x) as n_hit from (select row, unnest(range(k, k + n)) as x from hit) group by row),
+    t as (select row, list_sort(list(distinct item_id::varchar)) as items from hit group by row)
+    select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256,
+           coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join h using (row) left join t using (row)"""
+
+
+ORACLES: dict[str, str] = {"op8_licenses": licenses.oracle(), "op9_quality_rules": quality_rules(), "op10_decontaminate": contamination()}
