@@ -12,8 +12,8 @@ each suffix has one anchor rather than one for each difference, and a sixth of t
 1. Texts that occur more than once are counted by hash; all their strings repeat. One of each goes on.
 2. A run of suffixes with one anchor is a block. Blocks go to buckets by anchor with a rank (a fingerprint) of all the
    bytes that their suffixes reach. Blocks of equal rank settle the whole tie: all their suffixes repeat.
-3. Where blocks share an anchor but not the rank, those alone in their rank, and one of each other rank, get
-   fingerprints of each suffix; these decide.
+3. Where blocks share an anchor and the bytes to the left or right of it, but not the rank, those alone in their rank, and
+   one of each other rank, get fingerprints of each suffix; these decide.
 4. Suffixes that repeat become spans, spans are joined to the texts, and the bytes are cut.
 
 Hot anchors and hot strings are settled within each slice first, and one row a slice goes on.
@@ -59,12 +59,13 @@ def window_argmin(values: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchor_blocks(prefix: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """Blocks of suffixes with one anchor: text, first and last start, anchor hash, rank of all that they reach.
-    Places are within the slice."""
+    """Blocks of suffixes with one anchor: text, first and last start, anchor hash, rank of all that they reach, and hashes
+    of the anchor with half of what a string has besides it, to the left and to the right: equal strings share one of
+    these (past the end of a text they are the block's own). Places are within the slice."""
     n = int(offsets[-1])
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, *[none.astype(np.uint64)] * 4
     at = np.arange(n - gram + 1)
     grams = tv.span_hash(prefix, at, at + gram)
     anchor = window_argmin(grams, length - gram + 1)
@@ -73,11 +74,16 @@ def anchor_blocks(prefix: np.ndarray, offsets: np.ndarray, length: int, gram: in
     ok = np.flatnonzero(start + length <= offsets[text + 1])
     start, anchor, text = start[ok], anchor[ok], text[ok]
     if not len(start):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, *[none.astype(np.uint64)] * 4
     cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
     lo, hi, anchor, text = start[cut], start[np.append(cut[1:], len(start)) - 1], anchor[cut], text[cut]
     rank = tv.mix(tv.span_hash(prefix, lo, hi + length) ^ tv.mix((anchor - lo).astype(np.uint64) << np.uint64(32) | (hi - lo).astype(np.uint64)))
-    return text, lo, hi, grams[anchor], rank
+    half = (length - gram) // 2
+    left, right = np.maximum(anchor - half, offsets[text]), np.minimum(anchor + gram + length - gram - half, offsets[text + 1])
+    sides = []
+    for a, b, whole in ((left, anchor + gram, anchor - left == half), (anchor, right, right - anchor == length - half)):
+        sides.append(np.where(whole, tv.span_hash(prefix, a, b), tv.mix(rank ^ np.uint64(len(sides) + 1))))
+    return text, lo, hi, grams[anchor], rank, *sides
 
 
 def _groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +100,7 @@ def _pack(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), *(tv.binary(v, at) for v in columns.values())], names=["bucket", *columns])
 
 
-_BLOCKS = {"anchor": np.uint32, "rank": "V6", "text": np.uint64, "lo": np.int32, "n": np.uint16}
+_BLOCKS = {"anchor": np.uint32, "rank": "V6", "text": np.uint64, "lo": np.int32, "n": np.uint16, "left": "V3", "right": "V3"}
 _SUFFIXES = {"anchor": np.uint32, "text": np.uint64, "lo": np.int32, "n": np.uint16, "open": np.uint8}
 _FOUND = "text long, code long"  # lo << 18 | hi - lo << 2 | kind
 
@@ -121,13 +127,14 @@ def _block_rows(docs: DataFrame, text: str, buckets: int, length: int, gram: int
         data, offsets = tv.text_bytes(part.column(text))
         prefix = tv.prefix_hash(tv.EXACT[data])
         name = text_hashes(prefix, offsets)
-        owner, lo, hi, anchor, rank = anchor_blocks(prefix, offsets, length, gram)
+        owner, lo, hi, anchor, rank, left, right = anchor_blocks(prefix, offsets, length, gram)
         if not len(lo):
             return None
         first = np.zeros(len(name), bool)
         first[np.unique(name, return_index=True)[1]] = True
         ok = first[owner]
         owner, n, anchor, rank = owner[ok], (hi - lo)[ok], (anchor[ok] >> np.uint64(32)).astype(np.uint32), rank[ok]
+        left, right = left[ok], right[ok]
         lo = lo[ok] - offsets[owner]
         order = np.argsort(rank, kind="stable")
         begin, size = _groups(rank[order])
@@ -137,9 +144,9 @@ def _block_rows(docs: DataFrame, text: str, buckets: int, length: int, gram: int
         rows = np.concatenate([goes, settled])
         order = np.argsort(place, kind="stable")
         rows = rows[order]
-        return _pack(place[order], {"anchor": anchor[rows], "rank": _short(rank[rows], 6), "text": name[owner[rows]], "lo": lo[rows].astype(np.int32), "n": n[rows].astype(np.uint16)})
+        return _pack(place[order], {"anchor": anchor[rows], "rank": _short(rank[rows], 6), "text": name[owner[rows]], "lo": lo[rows].astype(np.int32), "n": n[rows].astype(np.uint16), "left": _short(left[rows], 3), "right": _short(right[rows], 3)})
 
-    return tv.map_texts(docs, text, make, "bucket int, anchor binary, rank binary, text binary, lo binary, n binary", limit=2 << 20)
+    return tv.map_texts(docs, text, make, "bucket int, anchor binary, rank binary, text binary, lo binary, n binary, left binary, right binary", limit=2 << 20)
 
 
 def _classify(buckets: int):
@@ -161,6 +168,7 @@ def _classify(buckets: int):
             size = np.diff(np.append(ranks, len(x["rank"])))
             anchors, many = _groups(x["anchor"])
             differ = np.repeat(np.diff(np.append(np.searchsorted(ranks, anchors), len(ranks))) > 1, many)
+            differ &= _shared(x["anchor"], _wide(x["left"], 3)) | _shared(x["anchor"], _wide(x["right"], 3))
             twice = np.repeat(size > 1, size)
             probe = np.zeros(len(twice), bool)
             probe[ranks] = True
@@ -173,6 +181,12 @@ def _classify(buckets: int):
     return run
 
 
+def _shared(anchor: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which blocks have an anchor and side that another one has."""
+    both = tv.mix(anchor.astype(np.uint64) << np.uint64(24) | side)
+    return np.isin(both, both[np.setdiff1d(np.arange(len(both)), np.unique(both, return_index=True)[1])])
+
+
 def _runs(at: np.ndarray, block: np.ndarray) -> np.ndarray:
     """Where runs of consecutive places in one block begin."""
     return np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (block[1:] != block[:-1])])) if len(at) else np.zeros(0, np.int64)
@@ -193,7 +207,7 @@ def _suffix_rows(found: DataFrame, buckets: int, length: int, gram: int) -> Data
         own, lo, hi, kind = own[use], code[use] >> 18, (code[use] >> 18) + (code[use] >> 2 & 0xFFFF), code[use] & 3
         data, offsets = tv.text_bytes(part.column("text"))
         prefix = tv.prefix_hash(tv.EXACT[data])
-        _, begins, _, anchors, _ = anchor_blocks(prefix, offsets, length, gram)
+        _, begins, _, anchors, *_ = anchor_blocks(prefix, offsets, length, gram)
         anchor = (anchors[np.searchsorted(begins, lo + offsets[own])] >> np.uint64(32)).astype(np.uint32)
         size = hi - lo + 1
         block = np.repeat(np.arange(len(lo)), size)
