@@ -34,3 +34,11 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).first().n >= 0
+
+
+def test_session_queries_cover_all_events(spark):
+    q, events = entry.queries(), spark.read.parquet(f"{SF}/events.parquet")
+    for name in ("m1_continuity_whole", "m9_session_quality_whole"):
+        assert q[name](spark, SF).selectExpr("sum(frames) as n").first().n == events.count()
+    last = events.selectExpr("max(unix_seconds(cast(ts as timestamp))) as t").first().t
+    assert q["m12_decision_grid_whole"](spark, SF).selectExpr("max(q) as t").first().t > last

@@ -26,6 +26,12 @@ def m1(spark, d):
     return sessions.continuity(frames(spark, d).where("event_id % 50 <> 0"), ["session"])
 
 
+@query("m1_continuity_whole", f"with {_F} select session, count(*) as frames, coalesce(bool_and(frame_no = p + 1), true) as contiguous, count(*) filter (where clock < c) as clock_steps_back from (select *, lag(frame_no) over w as p, lag(clock) over w as c from f window w as (partition by session order by frame_no)) group by 1")
+def m1_whole(spark, d):
+    """m1 over all frames; m1 leaves some out to make gaps."""
+    return sessions.continuity(frames(spark, d), ["session"])
+
+
 @query("m2_payload_items", "select event_id, unnest(range(least((props->>'k')::bigint, 3))) as idx, (props->>'k')::bigint as k from events")
 def m2(spark, d):
     k = F.from_json("props", "k long")["k"]
@@ -62,6 +68,13 @@ def m9(spark, d):
     return q.select("session", "frames", "n_click", "n_purchase", F.array_join("missing", ",").alias("missing"), "ok")
 
 
+@query("m9_session_quality_whole", f"with {_F} select session, count(*) as frames, count(*) filter (where event_type = 'click') as n_click, count(*) filter (where event_type = 'purchase') as n_purchase, array_to_string(list_sort(list_filter(['click', 'purchase'], lambda x: not list_contains(list(event_type), x))), ',') as missing, (count(*) >= 10 and bool_or(event_type = 'click') and bool_or(event_type = 'purchase')) as ok from f group by 1")
+def m9_whole(spark, d):
+    """m9 over all frames; m9 takes a third of them."""
+    q = sessions.quality_report(frames(spark, d), ["session"], "event_type", ["click", "purchase"])
+    return q.select("session", "frames", "n_click", "n_purchase", F.array_join("missing", ",").alias("missing"), "ok")
+
+
 @query("m12_decision_grid", f"with {_F}, g as (select session, unnest(generate_series(1704067200, 1704672000, 21600)) as q from (select distinct session from f)), s as (select session, clock, max(value) as v from f group by 1, 2) select g.session, g.q, case when g.q - s.clock <= 86400 then s.v end as v from g asof left join s on g.session = s.session and g.q > s.clock")
 def m12(spark, d):
     f = frames(spark, d)
@@ -70,6 +83,17 @@ def m12(spark, d):
     return joins.as_of(grid, state, ["session"], 86400, ["v"], strict=True).select("session", F.col("t").alias("q"), "v")
 
 
+@query("m12_decision_grid_whole", f"with {_F}, g as (select session, unnest(generate_series(min(clock) // 21600 * 21600, (max(clock) // 21600 + 1) * 21600, 21600)) as q from f group by 1), s as (select session, clock, max(value) as v from f group by 1, 2) select g.session, g.q, case when g.q - s.clock <= 86400 then s.v end as v from g asof left join s on g.session = s.session and g.q > s.clock")
+def m12_whole(spark, d):
+    """m12 with a grid from each session's first to its last event; m12's grid ends after seven days."""
+    f = frames(spark, d)
+    step = F.lit(21600).cast("long")
+    first, last = (F.floor(x("clock") / step).cast("long") for x in (F.min, F.max))
+    grid = f.groupBy("session").agg(F.sequence(first * step, (last + 1) * step, step).alias("t")).select("session", F.explode("t").alias("t"))
+    state = f.groupBy("session", F.col("clock").alias("t")).agg(F.max("value").alias("v"))
+    return joins.as_of(grid, state, ["session"], 86400, ["v"], strict=True).select("session", F.col("t").alias("q"), "v")
+
+
 @query("m16_strata_thresholds", "select (epoch_us(ts) // 3600000000 % 24)::int as hour, (epoch_us(ts) // 86400000000 + 3) % 7 >= 5 as weekend, quantile_disc(value, 0.95) as threshold from events group by 1, 2")
 def m16(spark, d):
     s = seconds(F.col("ts"))
