@@ -51,3 +51,10 @@ def test_restart_and_empty(spark, odd, monkeypatch):
         assert coder.encode([t, None])[0].tolist() == library([t])[0]
     assert bpe.encode(odd.limit(0), PATH).count() == 0
     assert bpe.encode(odd, PATH, ids=False).count() == odd.count()
+
+
+def test_frequent_chunks_counts_all(spark):
+    texts = [" ".join(f"w{k}" for k in range(10) for _ in range(10 - k))] * 3 + ["rare w9 w9"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    for summary in (0, 3, 1000):
+        assert bpe.frequent_chunks(df, "text", 20, summary) == [*(f"w{k}" for k in range(8)), "w8", "w9", "rare"]

@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding over a minimal acyclic transducer of frequent words.
 
-1. Every document is counted: each task keeps the counts of its chunks between blanks, passes on the ``summary``
-   most frequent (a mergeable frequent-items summary), and Spark adds these up; the ``lexicon_words`` most frequent
+1. Every document is counted: each task passes on the counts of all its chunks between blanks, in parts when there
+   are more than 20 * ``summary``, and Spark adds these up; the ``lexicon_words`` most frequent
    are the lexicon. Its size is a parameter, so what is compiled on the driver and shipped is bounded. It only
    saves time: results do not depend on it.
 2. The lexicon is compiled into a minimal acyclic automaton with shared suffixes. Each edge carries how many words
@@ -253,16 +253,19 @@ class Lexicon:
 def frequent_chunks(df: DataFrame, text: str, n: int, summary: int = SUMMARY) -> list[str]:
     """The n most frequent chunks between blanks, over all texts."""
 
+    def rows(seen):
+        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["chunk", "n"])
+
     def count(batches):
         seen: Counter[str] = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
                     seen.update(t.split(" "))
-            if len(seen) > 20 * summary:
-                seen = Counter(dict(seen.most_common(10 * summary)))
-        top = seen.most_common(summary)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64())], names=["chunk", "n"])
+            if len(seen) > 20 * summary:  # pass on what is counted so far; Spark adds it up
+                yield rows(seen)
+                seen = Counter()
+        yield rows(seen)
 
     counts = df.select(F.col(f"`{text}`")).mapInArrow(count, "chunk string, n long")
     top = counts.where("length(chunk) between 1 and 64").groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(n)
