@@ -87,3 +87,15 @@ def test_real_odd_and_empty(spark, odd, small):
     check(spark, rows, 4, 85)
     assert jaccard.near_duplicates(odd).count() == odd.count()
     assert jaccard.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_thue_morse_words_and_null_ids(spark):
+    w = "a"
+    while len(w) < 1024:
+        w += w.translate(str.maketrans("ab", "ba"))
+    other = w.translate(str.maketrans("ab", "ba"))
+    check(spark, [(1, f"{w} x y z w"), (2, f"{other} x y z w"), (3, f"{w} x y z w")], 4, 85)
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, base), (5, base), (4, base + " end"), (None, "alone in the whole wide world"), (7, "alone in the whole wide world")]
+    got = sorted(((r.doc_id, r.n_grams, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=4, percent=85).collect()), key=str)
+    assert got == sorted([(None, 57, 4), (5, 57, 4), (4, 58, 4), (None, 3, 7), (7, 3, 7)], key=str)

@@ -6,6 +6,7 @@ import pytest
 
 from tests.llm.test_decontaminate import brute as hits
 from tests.llm.test_jaccard import brute as components
+from tests.llm.test_substrings import kept_by_hand
 from tidemark.llm import bpe
 
 SF = "/root/testdata/sf0.001"
@@ -34,9 +35,9 @@ def test_columns_and_decisions(stages):
     a, b, c, d = (rows(stages[k]) for k in ("quality_filter", "near_duplicates", "repeated_substrings", "benchmark_filter"))
     found = components([(k, r.text) for k, r in a.items()], 5, 80)
     assert set(b) == {k for k, (_, root) in found.items() if root == k}
-    cut = {k: r.text for k, r in c.items() if r.text != b[k].text}
-    assert all(len(t) < len(b[k].text) for k, t in cut.items())
-    assert all(c[k].n_chars == len(t) for k, t in cut.items())
+    left = kept_by_hand([(k, r.text) for k, r in b.items()], 200)
+    assert {k: r.text for k, r in c.items()} == {k: t for k, t in left.items() if t != "" or b[k].text == ""}
+    assert all(r.n_chars == len(r.text) for k, r in c.items() if r.text != b[k].text)
 
 
 def test_clean_documents_stay_and_contaminated_go(spark, stages):
@@ -59,9 +60,28 @@ def test_ids_decode_to_the_texts(stages):
 def test_odd_documents_pass_each_stage(spark, odd):
     import corpus_pipeline as cp
 
-    odd = odd.selectExpr("*", "cast(length(text) as long) n_chars")
-
+    odd = odd.selectExpr("*", "cast(length(text) as long) n_chars", "1 stats", "2 _text", "3 kept_text", "4 row", "5 hash", "6 _0")
     for name, stage in cp.STAGES:
         out = stage(spark, odd, SF)
-        assert out.limit(3).count() <= odd.count() and "doc_id" in out.columns, name
+        assert 0 < out.count() <= odd.count() and "doc_id" in out.columns, name
+        if name != cp.STAGES[-1][0]:
+            assert out.columns == odd.columns
         assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_each_row_is_judged_by_its_own_text(spark):
+    import corpus_pipeline as cp
+
+    prose = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    shared = prose("s", 80)
+    rows = [(1, f"head one {shared}"), (1, f"{shared} other id"), (None, f"void {shared}"), (2, prose("t", 30)), (2, prose("u", 30)), (None, prose("u", 30)), (None, prose("v", 30)), (3, None), (3, ""), (4, prose("w", 30)), (4, prose("w", 30)), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, SF).collect()), key=str)
+    # the three texts around the shared passage are near copies of each other: one row stays, and so does one of each other text
+    heads = [x for x in got if "s40" in (x[1] or "")]
+    assert len(heads) == 1 and heads[0] in rows[:2]
+    assert [x for x in got if x not in heads] == sorted([(2, prose("t", 30)), (2, prose("u", 30)), (None, prose("v", 30)), (3, None), (3, ""), (4, prose("w", 30)), (None, None)], key=str)
+    apart = docs.where("text is null or text not like 'w%'")
+    left = sorted(((r.doc_id, r.text) for r in cp.repeated_substrings(spark, apart, SF).collect()), key=str)
+    assert (1, "head one ") in left and (1, " other id") in left and (None, "void ") in left
+    assert (2, prose("t", 30)) in left and (3, None) in left and (3, "") in left and len(left) == len(set(left))

@@ -5,15 +5,27 @@ from collections import Counter
 from tidemark.llm import substrings
 
 
-def brute(rows, length):
+def marked(rows, length):
+    """(id, bytes, whether each byte goes) of each text."""
     texts = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(t[p : p + length] for _, t in texts for p in range(len(t) - length + 1))
-    out = []
     for i, t in texts:
         hit = bytearray(len(t) + 1)
         for p in range(len(t) - length + 1):
             if seen[t[p : p + length]] > 1:
                 hit[p : p + length] = b"\1" * length
+        yield i, t, hit
+
+
+def kept_by_hand(rows, length):
+    """The text that is left of each row; a character that is cut in two goes."""
+    whole = dict(rows)
+    return {i: bytes(c for c, h in zip(t, hit) if not h).decode("utf-8", "ignore") if any(hit) else whole[i] for i, t, hit in marked(rows, length)}
+
+
+def brute(rows, length):
+    out = []
+    for i, t, hit in marked(rows, length):
         rest = bytes(c for c, h in zip(t, hit) if not h)
         spans = sum(hit[k] and not (k and hit[k - 1]) for k in range(len(t)))
         out.append((i, len(t), sum(hit), spans, hashlib.sha256(rest).hexdigest()))
@@ -70,3 +82,23 @@ def test_kept_text(spark):
     rows = [(1, f"left {p} right"), (2, f"é{p}"), (3, "alone"), (4, None)]
     got = {r.doc_id: r.kept_text for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
     assert got == {1: "left  right", 2: "é", 3: None, 4: None}
+
+
+def test_thue_morse_words_are_no_repetitions(spark):
+    w = "a"
+    while len(w) < 1024:
+        w += w.translate(str.maketrans("ab", "ba"))
+    other = w.translate(str.maketrans("ab", "ba"))
+    check(spark, [(1, "left " + w), (2, other + " right"), (3, w[:400]), (4, None)])
+
+
+def test_null_and_clashing_ids(spark):
+    p = "p" + "".join(f"q{k}" for k in range(90))
+    rows = [(None, f"left {p} right"), (None, f"é{p}"), (1, p), (1, "alone"), (1, f"x{p}"), (None, "alone too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {t: brute([(k, x) for k, (_, x) in enumerate(rows)], 200)[k] for k, (_, t) in enumerate(rows)}
+    got = {r.hash: r for r in substrings.without_repeats(df, with_text=True).collect()}
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) h").collect()}
+    for t, (_, size, gone, spans, sha) in want.items():
+        g = got[hashes[t]]
+        assert (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) == (size, gone, spans, sha)

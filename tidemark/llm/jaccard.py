@@ -17,10 +17,11 @@ Links are pairs with a Jaccard similarity of at least ``percent`` / 100 between
    fewest own n-grams; then only pairs of components that still share a column are counted. Pairs inside a
    component add nothing, so hot groups don't grow with the square of their size.
 
-Collisions of 64-bit hashes are taken as equality (a chance of about 2**-64 a pair).
+n-grams and sets are 64-bit numbers (see ``textvec``), taken as equal if these are: a chance of about 2**-64 a pair.
 Defined results: null, empty and blank texts have no n-grams and are alone in their class; a text with fewer words
 than n has one n-gram, the whole sequence; equal texts and repeated rows share a class; an empty table gives an empty
-result; only id and text are read.
+result; only id and text are read, and survivors() hands the other columns on, whatever their names. Of several rows of
+one id each is judged by its own text; a null id is nobody's smallest.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import components
-from .store import kept
+from .store import dealt, kept, with_hot_keys
 
 _NEVER = 1 << 30
 _SALT = [np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -281,10 +282,10 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
     return components(first.union(_verified(rest, rows, percent)))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, blocks: int | None = None, block_rows: int = 3000, block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, n_grams and component_id (the smallest id that links reach) of each row."""
+def classes_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, blocks: int | None = None, block_rows: int = 3000, block_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, hash (of the text), n_grams, component_id and root of each row; root names the class and is null without
+    n-grams, whatever the ids are."""
     spark = docs.sparkSession
-    blocks = blocks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)[doc_id]
 
     def describe(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -298,18 +299,47 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("hash", F.xxhash64("text"))
     sized = slim.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     all_docs = kept(tv.map_texts(sized, "text", describe, f"doc_id {kind}, hash long, size long, n_grams long, node long", "doc_id", "hash", "size"))
-    rep = all_docs.where("n_grams > 0").groupBy("node").agg(F.min(F.struct("doc_id", "hash", "size")).alias("rep")).select("node", "rep.*")
+    total = all_docs.agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).first()
+    blocks = blocks or dealt(spark, total.bytes)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "size")  # null ids last
+    rep = all_docs.where("n_grams > 0").groupBy("node").agg(F.min(first).alias("rep"), F.count("*").alias("copies")).select("node", "rep.doc_id", "rep.hash", "rep.size", "copies")
+    rep = kept(rep)
     shared = kept(_key_blocks(docs, text, n, percent, blocks).groupBy("block").applyInArrow(_shared, "lead long, node long, need0 int, need1 int, k0 long, k1 long, k2 long"))
     cluster = components(_candidates(shared)).withColumnRenamed("root", "cluster").join(rep, "node")
     small = cluster.groupBy("cluster").agg(F.expr(f"count(*) <= {block_rows} and sum(size) <= {block_bytes}").alias("small"))
     wanted = kept(cluster.join(small, "cluster"))
-    texts = tv.packed(slim, "text", "doc_id", "hash").join(wanted.select("doc_id", "hash", "node", "cluster", "small"), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash", "node"])
+    packed = tv.packed(slim, "text", "doc_id", "hash")
+    mine = wanted.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "node", "cluster", "small")
+    texts = packed.join(mine, packed.doc_id.eqNullSafe(F.col("_id")) & (packed.hash == F.col("_hash"))).dropDuplicates(["node"])
     texts = kept(texts.select("node", "cluster", "small", "packed"))
     inside = texts.where("small").groupBy(F.pmod(F.hash("cluster"), F.lit(blocks)).alias("block")).applyInArrow(_product(percent, n), "node long, root long")
     rows = kept(tv.map_packed(texts.where("not small"), sets, "node long, grams array<long>", "node"))
     root = inside if rows.isEmpty() else inside.union(links(rows, percent))
     root = kept(root.join(wanted.select("node", "doc_id"), "node"))
     least = root.groupBy("root").agg(F.min("doc_id").alias("least"))
-    linked = root.join(least, "root").select("node", "least")
-    named = rep.join(linked, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component"))
-    return all_docs.join(named, (all_docs.node == named.node) & (F.col("n_grams") > 0), "left").select(all_docs.doc_id, "n_grams", F.coalesce("component", all_docs.doc_id).alias("component_id"))
+    linked = root.join(least, "root").select("node", "root", "least")
+    named = kept(rep.join(linked, "node", "left").select("node", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("least", "doc_id").alias("component")))
+    some, none = all_docs.where("n_grams > 0"), all_docs.where("n_grams = 0")
+    some = with_hot_keys(some, named, "node", "copies", total.rows).select("doc_id", "hash", "n_grams", F.col("component").alias("component_id"), "root")
+    return some.unionByName(none.select("doc_id", "hash", "n_grams", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+    """doc_id, n_grams and component_id (the smallest id that links reach) of each row; options as of classes_of()."""
+    return classes_of(docs, doc_id, **options).select("doc_id", "n_grams", "component_id")
+
+
+def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns, less near duplicates: of each class the row of the smallest id stays (null ids come
+    last; of clashing ids, the one of the smallest text hash; of repeated rows, one). Rows without n-grams stay."""
+    made = kept(classes_of(docs, doc_id, text, **options))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    stay = made.where("root is not null").groupBy("root").agg(F.min(key).alias("k")).select("k.doc_id", "k.hash")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    same = lambda other: rows._id.eqNullSafe(other.doc_id) & (rows._hash == other.hash)
+    often = made.where("root is not null").groupBy("doc_id", "hash").agg(F.count("*").alias("n"))
+    stay = kept(stay.join(often, stay.doc_id.eqNullSafe(often.doc_id) & (stay.hash == often.hash)).select(stay.doc_id, stay.hash, "n"))
+    few, many = stay.where("n = 1"), stay.where("n > 1")  # rows of one id and text are repetitions: one stays
+    bare = kept(made.where("root is null").select("doc_id", "hash").distinct())
+    out = rows.join(few, same(few), "left_semi").union(rows.join(bare, same(bare), "left_semi"))
+    return out.union(rows.join(many, same(many), "left_semi").dropDuplicates(["_id", "_hash"])).select("row.*")

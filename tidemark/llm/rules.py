@@ -72,7 +72,7 @@ def _dup_lines(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tup
     worded = np.searchsorted(starts, ends) > np.searchsorted(starts, begins)
     begins, ends = begins[worded], ends[worded]
     text = np.searchsorted(offsets, begins, "right") - 1
-    key = tv.span_hash(tv.prefix_hash(tv.EXACT[data]), begins, ends) if len(begins) else np.zeros(0, np.uint64)
+    key = tv.hash_spans(data, begins, ends, tv.EXACT)
     lines = np.bincount(text, minlength=n)
     unique = np.unique(tv.mix(key + tv.mix(text.astype(np.uint64))), return_index=True)[1]
     return lines, lines - np.bincount(text[unique], minlength=n)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -33,3 +34,17 @@ def written(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_hot_keys(left: DataFrame, right: DataFrame, key: str, copies: str, total: int, share: int = 1000) -> DataFrame:
+    """Left join of a stored table with one row a key, which counts the left's rows of its key in ``copies``. Keys with more
+    than 1/``share`` of all ``total`` rows can't be more than ``share``: these are broadcast, and the rest are shuffled."""
+    hot = F.col(copies) * share > total
+    many = F.broadcast(right.where(hot))
+    rest = left.join(many.select(key), key, "left_anti").join(right.where(~hot), key, "left")
+    return left.join(many, key).unionByName(rest)
+
+
+def dealt(spark: SparkSession, n_bytes: int | None, each: int = 4 << 20) -> int:
+    """Into how many groups to deal what is made of so many bytes of text, so that a group stays small at any size."""
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), (n_bytes or 0) // each + 1)

@@ -17,8 +17,8 @@ each suffix has one anchor rather than one for each difference, and a sixth of t
 4. Suffixes that repeat become spans, spans are joined to the texts, and the bytes are cut.
 
 Hot anchors and hot strings are settled within each slice first, and one row a slice goes on.
-64-bit hashes stand for strings (a chance of about 2**-64 a pair; ranks and fingerprints of a bucket are
-shortened to what, with the anchor, still makes 72 bits or more).
+Names of blocks and fingerprints of suffixes stand for strings; they are shortened to what, with the anchor, still makes
+72 bits or more, so two strings that share an anchor are mistaken with a chance of 2**-40 a pair.
 Defined results: null and empty texts have no bytes and nothing removed; repeated rows and ids are repetitions of
 each other; an empty table gives an empty result; other columns are not read.
 """
@@ -34,17 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .store import kept
+from .store import dealt, kept, with_hot_keys
 
 LENGTH = 200
 GRAM = 64
 SETTLED, OPEN, PROBE = 0, 1, 2
 
 
-def text_hashes(prefix: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return tv.mix(tv.span_hash(prefix, offsets[:-1], offsets[1:]) + np.diff(offsets).astype(np.uint64))
-
-
 def window_argmin(values: np.ndarray, w: int) -> np.ndarray:
     """For each window of w values, the place of its smallest (the first of equals), by running minima of blocks."""
     bits = max(24, int(len(values)).bit_length())
@@ -58,10 +54,11 @@ def window_argmin(values: np.ndarray, w: int) -> np.ndarray:
     return (best & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def anchor_blocks(prefix: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+def anchor_blocks(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, ranked: bool = True):
     """Blocks of suffixes with one anchor: text, first and last start, anchor hash, rank of all that they reach, and hashes
     of the anchor with half of what a string has besides it, to the left and to the right: equal strings share one of
     these (past the end of a text they are the block's own). Places are within the slice."""
+    prefix = tv.prefix_hash(tv.EXACT[data])
     n = int(offsets[-1])
     none = np.zeros(0, np.int64)
     if n < length:
@@ -77,7 +74,9 @@ def anchor_blocks(prefix: np.ndarray, offsets: np.ndarray, length: int, gram: in
         return none, none, none, *[none.astype(np.uint64)] * 4
     cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
     lo, hi, anchor, text = start[cut], start[np.append(cut[1:], len(start)) - 1], anchor[cut], text[cut]
-    rank = tv.mix(tv.span_hash(prefix, lo, hi + length) ^ tv.mix((anchor - lo).astype(np.uint64) << np.uint64(32) | (hi - lo).astype(np.uint64)))
+    if not ranked:
+        return text, lo, hi, grams[anchor], none, none, none
+    rank = tv.span_names(data, lo, hi + length)
     half = (length - gram) // 2
     left, right = np.maximum(anchor - half, offsets[text]), np.minimum(anchor + gram + length - gram - half, offsets[text + 1])
     sides = []
@@ -125,9 +124,8 @@ def _block_rows(docs: DataFrame, text: str, buckets: int, length: int, gram: int
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch | None:
         data, offsets = tv.text_bytes(part.column(text))
-        prefix = tv.prefix_hash(tv.EXACT[data])
-        name = text_hashes(prefix, offsets)
-        owner, lo, hi, anchor, rank, left, right = anchor_blocks(prefix, offsets, length, gram)
+        name = tv.text_names(data, offsets)
+        owner, lo, hi, anchor, rank, left, right = anchor_blocks(data, offsets, length, gram)
         if not len(lo):
             return None
         first = np.zeros(len(name), bool)
@@ -206,14 +204,13 @@ def _suffix_rows(found: DataFrame, buckets: int, length: int, gram: int) -> Data
         use = use[np.argsort(own[use] << 32 | code[use] >> 18, kind="stable")]
         own, lo, hi, kind = own[use], code[use] >> 18, (code[use] >> 18) + (code[use] >> 2 & 0xFFFF), code[use] & 3
         data, offsets = tv.text_bytes(part.column("text"))
-        prefix = tv.prefix_hash(tv.EXACT[data])
-        _, begins, _, anchors, *_ = anchor_blocks(prefix, offsets, length, gram)
+        _, begins, _, anchors, *_ = anchor_blocks(data, offsets, length, gram, ranked=False)
         anchor = (anchors[np.searchsorted(begins, lo + offsets[own])] >> np.uint64(32)).astype(np.uint32)
         size = hi - lo + 1
         block = np.repeat(np.arange(len(lo)), size)
         at = lo[block] + np.arange(len(block)) - np.repeat(np.cumsum(size) - size, size)
         start = at + offsets[own[block]]
-        key = tv.span_hash(prefix, start, start + length)
+        key = tv.window_hashes(data, length)[start]
         is_open = kind[block] == OPEN
         order = np.lexsort((~is_open, key))
         begin, many = _groups(key[order])
@@ -285,35 +282,39 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     for names with repeated strings (name, packed, runs): the packed text, and the first and last starts of runs of
     such strings."""
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)[doc_id]
 
     def describe(part: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = tv.text_bytes(part.column("text"))
-        name = tv.signed(text_hashes(tv.prefix_hash(tv.EXACT[data]), offsets))
+        name = tv.signed(tv.text_names(data, offsets))
         sha = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), pa.array(np.diff(offsets)), pa.array(name), pa.array(sha, pa.string())], names=["doc_id", "hash", "n_bytes", "name", "whole_sha256"])
 
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("hash", F.xxhash64("text"))
     all_docs = kept(tv.map_texts(slim, "text", describe, f"doc_id {kind}, hash long, n_bytes long, name long, whole_sha256 string", "doc_id", "hash"))
-    copies = all_docs.groupBy("name").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "hash")).alias("rep"))
+    total = all_docs.agg(F.count("*").alias("rows"), F.sum("n_bytes").alias("bytes")).first()
+    buckets = buckets or dealt(spark, total.bytes)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")  # null ids last
+    copies = kept(all_docs.groupBy("name").agg(F.count("*").alias("copies"), F.min(first).alias("rep")))
     blocks = _block_rows(docs, text, buckets, length, gram).groupBy("bucket").applyInArrow(_classify(buckets), _FOUND)
     lists = blocks.groupBy(F.col("text").alias("name")).agg(F.collect_set("code").alias("blocks"))
     # a text with copies repeats as a whole; its blocks only help to decide
     wanted = lists.join(copies, "name").withColumn("blocks", F.when(F.col("copies") > 1, F.filter("blocks", lambda b: b.bitwiseAND(3) != SETTLED)).otherwise(F.col("blocks")))
-    wanted = wanted.where("size(blocks) > 0").select("name", "rep.*", "blocks")
-    found = tv.packed(slim, "text", "doc_id", "hash").join(wanted, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash", "name"])
+    wanted = wanted.where("size(blocks) > 0").select("name", F.col("rep.doc_id").alias("_id"), F.col("rep.hash").alias("_hash"), "blocks")
+    packed = tv.packed(slim, "text", "doc_id", "hash")
+    found = packed.join(wanted, packed.doc_id.eqNullSafe(F.col("_id")) & (packed.hash == F.col("_hash"))).dropDuplicates(["name"])
     found = kept(found.select("name", "packed", "blocks"))
     more = _suffix_rows(found, buckets, length, gram).groupBy("bucket").applyInArrow(_decide(buckets), "text long, lo int, hi int")
     more = more.groupBy(F.col("text").alias("name")).agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
     settled = F.expr(f"transform(filter(blocks, b -> b & 3 = {SETTLED}), b -> struct(int(shiftright(b, 18)) as lo, int(shiftright(b, 18) + (shiftright(b, 2) & 65535)) as hi))")
     spans = found.join(more, "name", "left").select("name", "packed", F.concat(settled, F.coalesce("more", F.array().cast("array<struct<lo:int,hi:int>>"))).alias("runs"))
-    return all_docs.join(copies.select("name", "copies"), "name"), spans.where("size(runs) > 0")
+    return with_hot_keys(all_docs, copies.select("name", "copies"), "name", "copies", total.rows), spans.where("size(runs) > 0")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, buckets: int | None = None, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of each row; ``with_text`` adds
-    kept_text, the remaining bytes as a string: null where nothing was removed; a character cut in two goes."""
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of each row; ``with_text`` adds hash
+    (xxhash64 of the text) and kept_text, the remaining bytes as a string: null where nothing was removed; a character
+    cut in two goes."""
     all_docs, spans = repeated_spans(docs, doc_id, text, length, gram, buckets)
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -340,5 +341,18 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "whole_sha256")).alias("kept_sha256"),
-        *[F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] * with_text,
+        *["hash", F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] * with_text,
     )
+
+
+def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: str = "n_chars", **options) -> DataFrame:
+    """The rows of docs, all columns, with what repeats cut from their texts and, if there is such a column, ``size`` set
+    to the characters left. Texts of which nothing is left go; rows without repetitions, null and empty texts stay as
+    they are. Of several rows of one id each keeps its own text."""
+    done = without_repeats(docs, doc_id, text, with_text=True, **options).where("n_removed > 0").select("doc_id", "hash", "kept_text")
+    done = kept(done.dropDuplicates(["doc_id", "hash"]))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    out = rows.join(done, rows._id.eqNullSafe(done.doc_id) & (rows._hash == done.hash), "left").where("kept_text is null or kept_text <> ''")
+    new = {text: F.col("kept_text"), size: F.length("kept_text").cast(dict(docs.dtypes).get(size, "long"))}
+    was = lambda c: F.col("row").getField(c)
+    return out.select(*(F.when(F.col("kept_text").isNotNull(), new[c]).otherwise(was(c)).alias(c) if c in new else was(c).alias(c) for c in docs.columns))

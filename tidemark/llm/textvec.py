@@ -1,13 +1,18 @@
 """NumPy helpers that work on whole Arrow string columns inside a Spark task.
 
 Texts are handled as UTF-8 bytes. A batch is cut into slices of about ``SLICE_BYTES`` (a longer text is a
-slice of its own), so the arrays of a slice stay small whatever the number of rows in a batch.
-Hashes are 64-bit polynomial hashes over random byte values, finished with an avalanche step; equal strings
-always agree, and different ones collide with a chance of about 2**-64 a pair.
+slice of its own), so the arrays of a slice stay small whatever the number of rows in a batch. A text takes up to
+about 40 bytes of a worker's memory for each of its own (100 in substring removal), so the longest text sets the bound.
+
+Words, lines and texts are named by 64-bit numbers. A word or line is the sum of one random number for each place and
+byte, so two different ones agree with a chance of 2**-64, whatever their bytes; texts are named by BLAKE2. n-grams chain
+the numbers of their words through an avalanche step. ``prefix_hash`` alone is a polynomial modulo 2**64, which has
+collisions by construction (Thue-Morse words); it only chooses and orders candidates, and never decides.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -64,7 +69,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Running sums of values[i] * base**i; span_hash() reads the hash of any span from them."""
+    """Running sums of values[i] * base**i; span_hash() reads a hash of any span from them. For choosing candidates only."""
     out = np.empty(len(values) + 1, np.uint64)
     out[0] = 0
     np.cumsum(values * powers(_BASE, len(values)), out=out[1:])
@@ -75,6 +80,77 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * powers(_INVERSE, len(prefix))[start])
 
 
+def _placed(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A random number for each pair of a byte's value and its place."""
+    return mix(values + mix(place.astype(np.uint64) + np.uint64(0x51ED270B)))
+
+
+#: Random numbers of the first places, by place * 256 + byte.
+_PLACES = 64
+_TABLES = {id(v): _placed(v[None, :], np.arange(_PLACES)[:, None]).reshape(-1) for v in (EXACT, FOLDED)}
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes; spans are in order and don't overlap. Works on about SLICE_BYTES at a time."""
+    size = ends - starts
+    reach = np.cumsum(size)
+    out = np.zeros(len(size), np.uint64)
+    table, k = _TABLES[id(values)], 0
+    while k < len(size):
+        stop = int(np.searchsorted(reach, reach[k] - size[k] + SLICE_BYTES, "right"))
+        if stop <= k:  # one long span
+            for a in range(0, int(size[k]), SLICE_BYTES):
+                place = np.arange(a, min(a + SLICE_BYTES, int(size[k])))
+                out[k : k + 1] += _placed(values[data[starts[k] + place]], place).sum(dtype=np.uint64)
+            k += 1
+            continue
+        some = np.flatnonzero(size[k:stop]) + k
+        n = size[some].astype(np.int32)
+        begin = np.cumsum(n, dtype=np.int32) - n
+        place = np.arange(int(n.sum()), dtype=np.int32)
+        first = int(starts[k])
+        byte = data[first : int(ends[stop - 1])][np.repeat((starts[some] - first).astype(np.int32) - begin, n) + place]
+        place -= np.repeat(begin, n)
+        if len(n) and int(n.max()) > _PLACES:
+            far = np.flatnonzero(place >= _PLACES)
+            rest = _placed(values[byte[far]], place[far])
+            place[far] = 0
+            number = table[place << 8 | byte]
+            number[far] = rest
+        else:
+            number = table[place << 8 | byte]
+        if len(n):
+            out[some] = np.add.reduceat(number, begin)
+        k = stop
+    return mix(out + size.astype(np.uint64))
+
+
+def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each span of bytes; spans may overlap."""
+    whole = memoryview(np.ascontiguousarray(data))
+    return np.frombuffer(b"".join(hashlib.blake2b(whole[a:b], digest_size=8).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64)
+
+
+def text_names(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each whole text."""
+    return span_names(data, offsets[:-1], offsets[1:])
+
+
+def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each window of ``length`` bytes (8 or more): halves are joined by an avalanche step, twice as long each time."""
+    if len(data) < length:
+        return np.zeros(0, np.uint64)
+    h, m = _VALUES[data], 1
+    while m < length:
+        step = min(m, length - m)  # the last two halves may overlap
+        h = h[:-step] * np.uint64(0xD6E8FEB86659FD93) + h[step:]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(29)
+        m += step
+    return h
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and the offsets where each begins (one more than texts); null is empty."""
     column = column.fill_null("").cast(pa.large_string())
@@ -121,7 +197,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tu
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(values[data]), starts, ends)
+    return hash_spans(data, starts, ends, values)
 
 
 def owner(first: np.ndarray) -> np.ndarray:
@@ -136,7 +212,7 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = words[:n].copy()
     for j in range(1, k):
-        out = out * _BASE + words[j : j + n]
+        out = mix(out) + words[j : j + n]
     return mix(out)
 
 
