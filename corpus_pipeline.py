@@ -4,9 +4,10 @@ Stages take (spark, docs, sf_dir) and return a DataFrame; run() writes each resu
 checkpoint folder and reads it again as the next stage's docs. All but the last return the columns of documents; the
 last returns (doc_id, n_tokens, ids).
 
-Defined results: documents without text are kept by all stages but those that judge quality; repeated rows go through
-each, and near duplicates leave the row of the smallest id (of equal ids, all); empty tables give empty results; the
-benchmark and labels are read from sf_dir.
+Defined results: documents without any word are judged for quality and contamination like others and stay in the
+stages that look for duplicates; ids may be null or clash, each row is judged by its own text; of repeated rows (one id,
+one text) one stays; empty tables give empty results; the benchmark and labels are read from sf_dir; further columns of
+any name pass through each stage but the last.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, jaccard, quality, substrings
 from tidemark.llm.queries import BATCH_ROWS, vocabulary
@@ -24,31 +24,29 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents that the quality classifier rejects."""
+    """Leaves out documents that the quality classifier rejects (a score below 0.3); null and empty texts are scored too."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (five words, a similarity of 0.8 or more)."""
-    stay = jaccard.near_duplicates(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one document of each group of near duplicates (five words, a similarity of 0.8 or more): the one of the
+    smallest id, null ids last. Texts without words are in no group and stay."""
+    return jaccard.survivors(docs)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts strings of 200 bytes or more that repeat, and drops documents of which nothing is left."""
-    cut = substrings.without_repeats(docs, with_text=True).where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
-    text = F.when(F.col("kept_text").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
-    out = docs.join(cut, "doc_id", "left").where("kept_text is null or kept_text <> ''").withColumn("text", text)
-    return out.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Cuts each byte of a 200-byte string that occurs twice or more, every occurrence, as the operator defines it;
+    documents of which nothing is left go, other texts stay as they are."""
+    return substrings.cut_texts(docs)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
+    """Drops documents with hit words that make up at least one in twenty of their words; without words none is hit."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
+    """doc_id, n_tokens and ids of each row; null and empty texts have none."""
     return bpe.encode(docs, vocabulary())
 
 
