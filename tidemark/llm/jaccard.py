@@ -142,7 +142,7 @@ def _key_blocks(docs: DataFrame, text: str, n: int, percent: int, blocks: int) -
             names=["block", "node", "need", "size", "key"],
         )
 
-    return tv.map_texts(docs, text, make, "block int, node binary, need binary, size binary, key binary", limit=2 << 20)
+    return tv.map_texts(docs, text, make, "block int, node binary, need binary, size binary, key binary", limit=1 << 20)
 
 
 def _first_of_each(value: np.ndarray, at: np.ndarray, node: np.ndarray):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .store import dealt, kept, with_hot_keys
+from .store import dealt, kept, with_hot_keys, written
 
 LENGTH = 200
 GRAM = 64
@@ -144,7 +144,7 @@ def _block_rows(docs: DataFrame, text: str, buckets: int, length: int, gram: int
         rows = rows[order]
         return _pack(place[order], {"anchor": anchor[rows], "rank": _short(rank[rows], 6), "text": name[owner[rows]], "lo": lo[rows].astype(np.int32), "n": n[rows].astype(np.uint16), "left": _short(left[rows], 3), "right": _short(right[rows], 3)})
 
-    return tv.map_texts(docs, text, make, "bucket int, anchor binary, rank binary, text binary, lo binary, n binary, left binary, right binary", limit=2 << 20)
+    return tv.map_texts(docs, text, make, "bucket int, anchor binary, rank binary, text binary, lo binary, n binary, left binary, right binary", limit=1 << 20)
 
 
 def _classify(buckets: int):
@@ -350,7 +350,7 @@ def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     to the characters left. Texts of which nothing is left go; rows without repetitions, null and empty texts stay as
     they are. Of several rows of one id each keeps its own text."""
     done = without_repeats(docs, doc_id, text, with_text=True, **options).where("n_removed > 0").select("doc_id", "hash", "kept_text")
-    done = kept(done.dropDuplicates(["doc_id", "hash"]))
+    done = written(done.dropDuplicates(["doc_id", "hash"]))
     rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     out = rows.join(done, rows._id.eqNullSafe(done.doc_id) & (rows._hash == done.hash), "left").where("kept_text is null or kept_text <> ''")
     new = {text: F.col("kept_text"), size: F.length("kept_text").cast(dict(docs.dtypes).get(size, "long"))}

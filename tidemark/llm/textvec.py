@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -59,11 +59,11 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; kept, and made longer on demand."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + (1 << 17))
+        size = max(n, 2 * SLICE_BYTES + (1 << 17))
         have = np.full(size, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 2 * SLICE_BYTES:
+        if size <= 4 * SLICE_BYTES:
             _powers[int(base)] = have
     return have[:n]
 
