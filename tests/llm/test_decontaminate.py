@@ -21,12 +21,12 @@ def brute(text, items):
             for i in range(len(w) - n + 1):
                 if tuple(w[i : i + n]) == wd:
                     hit |= set(range(i, i + n))
-                    found.add(item)
+                    found.add(str(item))
     return len(w), len(hit), found, bool(hit) and 20 * len(hit) >= len(w)
 
 
-def check(spark, docs, items, **kw):
-    found = dc.decisions(dc.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), **kw))
+def check(spark, docs, items, kind="long", **kw):
+    found = dc.decisions(dc.contamination(docs, spark.createDataFrame(items, f"item_id {kind}, text string"), **kw))
     rows = found.withColumn("digest", dc.items_digest(found["items"])).collect()
     assert len(rows) == docs.count()
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -51,6 +51,19 @@ def test_matches_brute_force(spark):
     assert any(r.n_hit for r in check(spark, docs, items, block_words=50))  # many blocks
     check(spark, docs, [x for x in items if len(words(x[1])) >= 13])
     check(spark, docs, [])
+    named = [(f"item-{k}", t) for k, t in items]
+    check(spark, docs, named, kind="string")
+    one = [("long", " ".join(t or "" for _, t in items)), ("z", "x1 zz")]
+    check(spark, docs, one, kind="string", block_words=40)  # an item that is cut into pieces
+
+
+def test_thue_morse_words_are_no_hits(spark):
+    w = "a"
+    while len(w) < 1024:
+        w += w.translate(str.maketrans("ab", "ba"))
+    other = w.translate(str.maketrans("ab", "ba"))
+    rows = check(spark, spark.createDataFrame([(1, f"x {other} y"), (2, w)], "doc_id long, text string"), [(1, w)])
+    assert [r.n_hit for r in sorted(rows)] == [0, 1]
 
 
 def test_odd_and_real(spark, odd, small):

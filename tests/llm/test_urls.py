@@ -3,6 +3,8 @@ import re
 from collections import Counter
 from itertools import product
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import urls
 
 
@@ -26,6 +28,8 @@ ODD = ["http://A.example.COM/en/7?x", "ftp://example.com/en/8", "x.com/en/", Non
 def made(spark):
     rows = [(k, u, f"<p>cheap pills {k}</p>" if k % 2 else None, "clash") for k, u in enumerate(ODD)] + [(0, ODD[0], "x", "clash")]
     rows += [(100 + k, f"http://{h}.test/{p}", "<b>red</b> blue pills cheap", "clash") for k, (h, p) in enumerate(product(["cheappills", "bluered", "www.red-pills"], ["a/1", "red"]))]
+    rows += [(150 + k, f"http://{h}/{p}/{k}", "<b>red</b> cheap", "clash") for k, (h, p) in enumerate(product(["cheap.pills.com", "redpills.com"], ["en/cheap", "en/buy"]))]
+    rows += [(170 + k, f"http://{h}/de/{p}/{k}", "blue", "clash") for k, (h, p) in enumerate(product(["blue.net", "calm.blue.net"], ["sky", "red"]))]
     rows += [(200 + k, f"http://bluered.test/a/{k}", None, "clash") for k in range(12)]
     return spark.createDataFrame(rows, "page_id long, url string, html string, host string")
 
@@ -41,7 +45,15 @@ def test_parsing_and_rules(spark):
         assert (g.host, g.path, g.rule) == (host, path, rule), r.url
         assert g.verdict == verdict if rule else g.verdict in ("allow", "block")
     assert by[2].verdict == by[3].verdict == "allow"
-    assert by[100].verdict == "block" and by[102].verdict == "allow"
+    # cheap and pills are in hosts that rules block, blue in those that they allow
+    assert by[100].score > by[102].score
+
+
+def test_of_equal_rules_the_first_wins(spark):
+    df = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string").withColumn("html", F.lit(None).cast("string"))
+    for one, two in (("allow", "block"), ("block", "allow")):
+        assert urls.judge(df, rules=[(one, "a.com/x"), (two, "a.com/x")]).first().verdict == one
+    assert urls.judge(df, rules=[]).first().verdict == "allow"
 
 
 def test_viterbi_is_optimal():
@@ -59,8 +71,6 @@ def test_bayes_matches_brute_force(spark):
     counts = Counter()
     for r in df.collect():
         counts.update(w for w in re.findall(r"[a-z]+", re.sub(r"<[^>]*>", " ", (r.html or "").lower())) if len(w) <= urls.LONGEST_WORD)
-    for t in urls.BLOCKED_TERMS:
-        counts[t] += 1
     total = sum(counts.values())
 
     def tokens(host, path):
@@ -73,12 +83,15 @@ def test_bayes_matches_brute_force(spark):
     pages = [(r.page_id, tokens(*parse(r.url)), parse(r.url)) for r in df.collect()]
     seen = {True: Counter(), False: Counter()}
     n = Counter()
-    for _, t, _ in pages:
-        bad = bool(set(t) & set(urls.BLOCKED_TERMS))
+    for _, t, where in pages:
+        if rule_of(*where)[0] is None:
+            continue
+        bad = rule_of(*where)[0] == "block"
         seen[bad].update(t)
         n[bad] += 1
     size = len(set(seen[True]) | set(seen[False])) + 1
-    odds = lambda x: math.log((seen[True][x] + 1) / (sum(seen[True].values()) + size)) - math.log((seen[False][x] + 1) / (sum(seen[False].values()) + size))
+    learned = set(seen[True]) | set(seen[False])
+    odds = lambda x: x in learned and math.log((seen[True][x] + 1) / (sum(seen[True].values()) + size)) - math.log((seen[False][x] + 1) / (sum(seen[False].values()) + size))
     got = {r.page_id: r.score for r in urls.judge(df).collect()}
     for k, t, where in pages:
         z = math.log((n[True] + 1) / (n[False] + 1)) + sum(map(odds, t))

@@ -7,9 +7,11 @@ from .decontaminate import WINDOW
 def quality_rules() -> str:
     """rules.judge() with its defaults: the same counts, sketches and fences."""
     stats = rules.STATISTICS
-    value = {k: e.replace(" div ", " // ") for k, (e, _, _) in stats.items()}
-    pairs = " union all ".join(f"select lang, source, '{k}' as stat, {e} as v, {w} as least from s where n_words > 0 and word_chars > 0 and n_lines > 0" for (k, e), (_, w, _) in zip(value.items(), stats.values(), strict=True))
-    inside = " and ".join(f"{e} <= max(q3 + {rules.REACH} * width) filter (where stat = '{k}')" + (f" and {e} >= max(q1 - {rules.REACH} * width) filter (where stat = '{k}')" if two else "") for (k, e), (_, _, two) in zip(value.items(), stats.values(), strict=True))
+    value = {k: e.replace(" div ", " // ") for k, (e, _) in stats.items()}
+    pairs = " union all ".join(f"select lang, source, '{k}' as stat, {e} as v from s where n_words > 0 and word_chars > 0 and n_lines > 0" for k, e in value.items())
+    high = lambda k: f"max(q3 + {rules.REACH} * width) filter (where stat = '{k}')"
+    low = lambda k: f"max(q1 - {rules.REACH} * width) filter (where stat = '{k}')"
+    inside = " and ".join(f"({e} = 0 or ({e} <= {high(k)}" + (f" and {e} >= {low(k)}" if stats[k][1] else "") + "))" for k, e in value.items())
     return f"""
     with d as (select row_number() over () as row, doc_id, lang, source, coalesce(text, '') as text from documents),
     w as (select *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from d),
@@ -20,10 +22,10 @@ def quality_rules() -> str:
     s as (select w.row, doc_id, lang, source, len(words)::bigint as n_words, coalesce(length(array_to_string(words, '')), 0)::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
           (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, len(lines)::bigint as n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g'))::bigint as n_capitals from w left join rep on rep.row = w.row),
     p as ({pairs}),
-    b as (select lang, source, stat, least, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) as bucket, count(*) as n from p group by all),
+    b as (select lang, source, stat, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) as bucket, count(*) as n from p where v > 0 group by all),
     c as (select *, sum(n) over (partition by lang, source, stat order by bucket) as seen, sum(n) over (partition by lang, source, stat) as total from b),
-    q as (select lang, source, stat, min(bucket) filter (where seen * 4 >= total) as q1, min(bucket) filter (where seen * 4 >= total * 3) as q3, any_value(least) as least from c group by 1, 2, 3),
-    f as (select *, greatest(q3 - q1, least) as width from q),
+    q as (select lang, source, stat, min(bucket) filter (where seen * 4 >= total) as q1, min(bucket) filter (where seen * 4 >= total * 3) as q3 from c group by 1, 2, 3),
+    f as (select *, greatest(q3 - q1, q3 // 16 + 1) as width from q),
     j as (select s.row, coalesce(case when any_value(n_words) > 0 and any_value(word_chars) > 0 and any_value(n_lines) > 0 then {inside} end, false) as good
           from s left join f on s.lang is not distinct from f.lang and s.source is not distinct from f.source group by s.row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,

@@ -3,8 +3,9 @@
 Counts per text are made by one pass over the data. Each statistic of each (language, source) is summed up in a
 mergeable quantile sketch: a histogram over buckets that keep the five leading bits of the value (relative error
 below 1/16), so partial sketches add up in any order and grow with the logarithm of the range, not with the rows.
-Fences at ``reach`` times the middle half's width beyond the quartiles replace fixed cutoffs; they are joined back
-to the rows by (language, source).
+Most texts have no symbols, repetitions or capitals at all, so a sketch is of the values above zero, and zero always
+passes. Fences at ``reach`` times the middle half's width beyond the quartiles (a width of at least a sixteenth of the upper
+one, the sketch's own error) replace fixed cutoffs; they are joined back to the rows by (language, source).
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; null languages or sources
 form groups of their own; repeated rows are judged each; an empty table gives an empty result; other columns are
@@ -22,14 +23,13 @@ from pyspark.sql import Window as W
 from . import textvec as tv
 from .store import kept
 
-#: Statistics that get fences: expression over the counts, the least width taken for the middle half, and
-#: whether values below the lower fence fail too.
+#: Statistics that get fences: expression over the counts, and whether values below the lower fence fail too.
 STATISTICS = {
-    "mean_length": ("word_chars * 100 div n_words", 40, True),
-    "symbols": ("n_symbols * 1000 div n_words", 100, False),
-    "dup_lines": ("n_dup_lines * 1000 div n_lines", 150, False),
-    "repeats": ("n_repeat_words * 1000 div n_words", 100, False),
-    "capitals": ("n_capitals * 1000 div word_chars", 100, False),
+    "mean_length": ("word_chars * 100 div n_words", True),
+    "symbols": ("n_symbols * 1000 div n_words", False),
+    "dup_lines": ("n_dup_lines * 1000 div n_lines", False),
+    "repeats": ("n_repeat_words * 1000 div n_words", False),
+    "capitals": ("n_capitals * 1000 div word_chars", False),
 }
 REACH = 3
 
@@ -110,10 +110,11 @@ def _bucket(value: F.Column) -> F.Column:
 
 def sketches(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, stat, bucket, n): histograms that merge by adding n."""
-    pairs = F.array(*(F.struct(F.lit(k).alias("stat"), F.expr(e).alias("value")) for k, (e, _, _) in STATISTICS.items()))
+    pairs = F.array(*(F.struct(F.lit(k).alias("stat"), F.expr(e).alias("value")) for k, (e, _) in STATISTICS.items()))
     return (
         stats.where("n_words > 0 and word_chars > 0 and n_lines > 0")
         .select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(pairs).alias("p"))
+        .where("p.value > 0")
         .groupBy("lang", "source", F.col("p.stat").alias("stat"), _bucket(F.col("p.value")).alias("bucket"))
         .agg(F.count("*").alias("n"))
     )
@@ -124,12 +125,11 @@ def fences(sketch: DataFrame, reach: int = REACH) -> DataFrame:
     by = ["lang", "source", "stat"]
     seen = F.sum("n").over(W.partitionBy(*by).orderBy("bucket"))
     total = F.sum("n").over(W.partitionBy(*by))
-    least = F.create_map(*(F.lit(x) for k, (_, w, _) in STATISTICS.items() for x in (k, w)))
     quart = (
         sketch.select(*by, "bucket", seen.alias("seen"), total.alias("total"))
         .groupBy(*by)
         .agg(*(F.min(F.when(F.expr(f"seen * 4 >= total * {q}"), F.col("bucket"))).alias(f"q{q}") for q in (1, 3)))
-        .withColumn("width", F.greatest(F.expr("q3 - q1"), least[F.col("stat")]))
+        .withColumn("width", F.expr("greatest(q3 - q1, q3 div 16 + 1)"))
     )
     wide = [F.max(F.when(F.col("stat") == k, F.expr(e))).alias(f"{k}_{end}") for k in STATISTICS for end, e in (("low", f"q1 - {reach} * width"), ("high", f"q3 + {reach} * width"))]
     return quart.groupBy("lang", "source").agg(*wide)
@@ -140,9 +140,9 @@ def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     stats = kept(counts(df, text, doc_id, lang, source))
     limit = fences(sketches(stats, lang, source), reach).withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
     inside = F.lit(True)
-    for k, (e, _, two) in STATISTICS.items():
+    for k, (e, two) in STATISTICS.items():
         value = F.expr(e)
-        inside = inside & (value <= F.col(f"{k}_high")) & ((value >= F.col(f"{k}_low")) if two else F.lit(True))
+        inside = inside & ((value == 0) | ((value <= F.col(f"{k}_high")) & ((value >= F.col(f"{k}_low")) if two else F.lit(True))))
     failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
     return stats.join(limit, stats[lang].eqNullSafe(limit.f_lang) & stats[source].eqNullSafe(limit.f_source), "left").select(
         F.col(doc_id).alias("doc_id"),
