@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .store import kept
 
 LEXICON_WORDS = 50_000
 SUMMARY = 20_000
@@ -251,7 +252,8 @@ class Lexicon:
 
 
 def frequent_chunks(df: DataFrame, text: str, n: int, summary: int = SUMMARY) -> list[str]:
-    """The n most frequent chunks between blanks, over all texts."""
+    """The most frequent chunks between blanks, over all texts: at most n, all that occur about as often as any of them. Nothing
+    but these and a short table of counts reaches the driver."""
 
     def rows(seen):
         return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["chunk", "n"])
@@ -268,8 +270,17 @@ def frequent_chunks(df: DataFrame, text: str, n: int, summary: int = SUMMARY) ->
         yield rows(seen)
 
     counts = df.select(F.col(f"`{text}`")).mapInArrow(count, "chunk string, n long")
-    top = counts.where("length(chunk) between 1 and 64").groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(n)
-    return [r.chunk for r in top.collect()]
+    counts = kept(counts.where("length(chunk) between 1 and 64").groupBy("chunk").agg(F.sum("n").alias("n")))
+    # how many chunks have a count of about so much: a short table, which gives the least count that n chunks at most reach
+    shift = F.greatest(F.length(F.bin("n")) - 7, F.lit(0))
+    about = counts.groupBy(F.call_function("shiftleft", F.call_function("shiftright", "n", shift), shift).alias("least")).agg(F.count("*").alias("k")).collect()
+    least, total = 1 << 62, 0
+    for r in sorted(about, key=lambda r: -r.least):
+        total += r.k
+        if total > n:
+            break
+        least = r.least
+    return sorted(r.chunk for r in counts.where(F.col("n") >= least).select("chunk").collect())
 
 
 def ship_lexicon(df: DataFrame, text: str, vocab: Vocabulary, lexicon_words: int) -> str:
