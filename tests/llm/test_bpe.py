@@ -57,4 +57,6 @@ def test_frequent_chunks_counts_all(spark):
     texts = [" ".join(f"w{k}" for k in range(10) for _ in range(10 - k))] * 3 + ["rare w9 w9"]
     df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
     for summary in (0, 3, 1000):
-        assert bpe.frequent_chunks(df, "text", 20, summary) == [*(f"w{k}" for k in range(8)), "w8", "w9", "rare"]
+        assert bpe.frequent_chunks(df, "text", 20, summary) == sorted([*(f"w{k}" for k in range(10)), "rare"])
+        assert bpe.frequent_chunks(df, "text", 4, summary) == ["w0", "w1", "w2", "w3"]
+        assert bpe.frequent_chunks(df, "text", 0, summary) == []
