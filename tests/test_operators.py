@@ -26,7 +26,7 @@ def test_chunk_width_changes_nothing(spark):
     spec = {"a": (F.sum("volume"), -20 * H, -1), "b": (F.max("close"), H, 3 * H)}
     one, two = (sorted(map(tuple, bars.rolling(df, ["symbol"], spec, chunk=c).collect())) for c in (30 * H, 10_000 * H))
     assert one == two and len(one) == 300
-    for f in (lambda c: bars.prefix(df, ["symbol"], {"s": ("sum", "volume"), "m": ("max", "close"), "n": ("count", "close")}, chunk=c), lambda c: bars.ordered(df, ["symbol"], {"p": F.lag("t"), "q": F.lead("close")}, chunk=c)):
+    for f in (lambda c: bars.prefix(df, ["symbol"], {"s": ("sum", "volume"), "m": ("max", "close"), "n": ("count", "close")}, chunk=c), lambda c: bars.ordered(df, ["symbol"], {"p": ("lag", "t"), "q": ("lead", "close")}, chunk=c)):
         a, b = (sorted(map(tuple, f(c).select(sorted(f(c).columns)).collect())) for c in (7 * H, 10_000 * H))
         assert a == b
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.plans import registry
 
 SF = "/root/testdata/sf0.01"
 
@@ -25,10 +26,10 @@ def rows(columns, data):
     return [columns[k] for k in order], sorted(out, key=str)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_matches_sql(spark, duck, name):
-    df = entry.queries()[name](spark, SF)
-    rel = duck.sql(entry.oracle_sql()[name])
+    df = registry.queries()[name](spark, SF)
+    rel = duck.sql(registry.oracle_sql()[name])
     assert rows(df.columns, df.collect()) == rows(rel.columns, rel.fetchall())
 
 
@@ -42,3 +43,7 @@ def test_session_queries_cover_all_events(spark):
         assert q[name](spark, SF).selectExpr("sum(frames) as n").first().n == events.count()
     last = events.selectExpr("max(unix_seconds(cast(ts as timestamp))) as t").first().t
     assert q["m12_decision_grid_whole"](spark, SF).selectExpr("max(q) as t").first().t > last
+
+
+def test_all_plans_are_registered():
+    assert registry.queries().keys() <= entry.queries().keys() and registry.oracle_sql().keys() <= entry.oracle_sql().keys()

@@ -1,22 +1,41 @@
 """Rules as data: JSON-like trees of whitelisted operations that compile to columns.
 
-A numeric node needs windows, a boolean node compares or combines. compile_rules() first collects the windows of all
-rules, so that many rules share one pass over the bars, and then returns one target column per rule: -1, 0 or 1."""
+A numeric node needs windows, a boolean node compares or combines. Windows over bars make one pass, shared by all rules;
+windows over other nodes (rolling_mean, rolling_std, zscore, holds_for) make one more for each level of nesting.
+compile_rules() returns one target column per rule: -1, 0 or 1."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.bars import BAR, rolling
 
-NUMERIC = {"return", "trend", "volatility", "range", "volume_z", "ma_slope", "column"}
-BOOLEAN = {"greater", "less", "and", "or", "not", "clock_is"}
+FEATURES = {"return", "trend", "volatility", "range", "volume_z", "ma_slope"}
+TRANSFORMS = {"rolling_mean", "rolling_std", "zscore"}
+NUMERIC = FEATURES | TRANSFORMS | {"column"}
+BOOLEAN = {"greater", "less", "and", "or", "not", "clock_is", "holds_for"}
 COMMUTATIVE = {"and", "or"}
-DEPTH, WINDOW = 5, 500
+CONDITIONS = ("long_if", "short_if", "flat_if", "abstain_unless")
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What a strategy may hold. The defaults."""
+
+    depth: int = 5
+    features: int = 4
+    parameters: int = 6
+    window: int = 288
+    holding: int = 48
+    threshold: float = 1e6
+    periods: tuple[int, ...] = (15, 60)
+    phase_step: int = 5
 
 
 def canonical(node: dict) -> dict:
@@ -25,28 +44,77 @@ def canonical(node: dict) -> dict:
     if "args" in node:
         args = [canonical(x) for x in node["args"]]
         out["args"] = sorted(args, key=rule_hash) if node["op"] in COMMUTATIVE else args
+    if "arg" in node:
+        out["arg"] = canonical(node["arg"])
     return out
 
 
 def rule_hash(node: dict) -> str:
-    return hashlib.sha256(json.dumps(canonical(node) if "args" in node else node, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    return hashlib.sha256(json.dumps(canonical(node), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def _children(node: dict) -> list[dict]:
+    return [*node.get("args", []), *([node["arg"]] if "arg" in node else [])]
+
 
+def _nodes(node: dict) -> Iterator[dict]:
+    yield node
+    for x in _children(node):
+        yield from _nodes(x)
 
-def problem(node: dict, boolean: bool = True, depth: int = 1) -> str | None:
+
+def _whole(x, lo: float, hi: float) -> bool:
+    return isinstance(x, int) and not isinstance(x, bool) and lo <= x <= hi
+
+
+def problem(node: dict, boolean: bool = True, depth: int = 1, limits: Limits = Limits()) -> str | None:
     """Why a node is not allowed, or None."""
-    op = node.get("op")
+    op = node.get("op") if isinstance(node, dict) else None
     if op not in (BOOLEAN if boolean else NUMERIC):
         return f"operation {op!r} not allowed here"
-    if depth > DEPTH:
-        return f"deeper than {DEPTH}"
-    if op in NUMERIC - {"column"} and not 1 <= node.get("window", 0) <= WINDOW:
+    if depth > limits.depth:
+        return f"deeper than {limits.depth}"
+    inside = {"column": {"name"}, "greater": {"arg", "than"}, "less": {"arg", "than"}, "and": {"args"}, "or": {"args"}, "not": {"args"}, "clock_is": {"period", "phase"}, "holds_for": {"arg", "bars"}}
+    keys = {"op"} | inside.get(op, {"window", "arg"} if op in TRANSFORMS else {"window"})
+    if set(node) != keys:
+        return f"{op} takes {sorted(keys)}"
+    if "window" in keys and not _whole(node["window"], 1 if op == "return" else 2, limits.window):
         return f"window of {op} out of range"
-    if op in ("greater", "less"):
-        return problem(node["arg"], False, depth + 1) if isinstance(node.get("than"), (int, float)) else "no threshold"
-    return next((p for x in node.get("args", []) if (p := problem(x, True, depth + 1))), None)
+    if op == "holds_for" and not _whole(node["bars"], 2, limits.holding):
+        return "bars of holds_for out of range"
+    if op == "clock_is" and not (node["period"] in limits.periods and _whole(node["phase"], 0, node["period"] - 1) and node["phase"] % limits.phase_step == 0):
+        return "no such clock phase"
+    if "than" in keys and (isinstance(node["than"], bool) or not isinstance(node["than"], (int, float)) or not abs(node["than"]) <= limits.threshold):
+        return "no threshold"
+    if "args" in keys and (len(node["args"]) != 1 if op == "not" else len(node["args"]) < 2):
+        return f"{op} of {len(node['args'])}"
+    return next((p for x in _children(node) if (p := problem(x, op in ("and", "or", "not", "holds_for"), depth + 1, limits))), None)
+
+
+def strategy_problem(strategy: dict, limits: Limits = Limits()) -> str | None:
+    """Why a strategy is not allowed, or None: its conditions, and how much they hold in all."""
+    if set(strategy) - {*CONDITIONS, "max_holding_bars"}:
+        return "unknown keys"
+    conditions = [strategy[k] for k in CONDITIONS if strategy.get(k) is not None]
+    if strategy.get("long_if") is None and strategy.get("short_if") is None:
+        return "neither long_if nor short_if"
+    if (why := next((p for c in conditions if (p := problem(c, limits=limits))), None)) is not None:
+        return why
+    holding = strategy.get("max_holding_bars")
+    if holding is not None and not _whole(holding, 1, limits.holding):
+        return "max_holding_bars out of range"
+    nodes = [x for c in conditions for x in _nodes(c)]
+    features = {json.dumps(x, sort_keys=True) for x in nodes if x["op"] in FEATURES}
+    parameters = sum(("window" in x) + ("than" in x) + ("bars" in x) + ("phase" in x) for x in nodes) + (holding is not None)
+    if not features:
+        return "no feature"
+    if len(features) > limits.features:
+        return f"{len(features)} features"
+    return f"{parameters} parameters" if parameters > limits.parameters else None
 
 
 def _windows(node: dict, out: dict[str, tuple[Column, int, int]]) -> None:
+    """Windows over bars of a node and all below it."""
     n, op = node.get("window", 0), node["op"]
     whole = (-(n - 1) * BAR, 0)
     prior = (-n * BAR, -1)
@@ -62,10 +130,47 @@ def _windows(node: dict, out: dict[str, tuple[Column, int, int]]) -> None:
         out[f"vm_{n}"], out[f"vs_{n}"], out[f"np_{n}"] = (F.avg("volume"), *prior), (F.stddev_samp("volume"), *prior), (F.count("*"), *prior)
     if op == "volatility":
         out[f"rs_{n}"], out[f"rn_{n}"] = (F.stddev_samp("ret_1"), *whole), (F.count("ret_1"), *whole)
-    for x in [*node.get("args", []), *([node["arg"]] if "arg" in node else [])]:
+    for x in _children(node):
         _windows(x, out)
 
 
+def _level(node: dict) -> int:
+    """How many windows over other nodes lie on each other in a node."""
+    below = max(map(_level, _children(node)), default=0)
+    return below + (node["op"] in TRANSFORMS or node["op"] == "holds_for")
+
+
+def _name(node: dict, part: str) -> str:
+    return f"_{part}_{rule_hash(node)[:16]}"
+
+
+def with_windows(bars: DataFrame, nodes: list[dict], keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """The bars with all columns that numeric() and boolean() need for the nodes, and the names of these."""
+    first = rolling(bars, keys, {"_c1": (F.max("close"), -BAR, -BAR)}).withColumn("ret_1", F.when(F.col("_c1") != 0, F.col("close") / F.col("_c1") - 1)).drop("_c1")
+    windows: dict[str, tuple[Column, int, int]] = {}
+    for node in nodes:
+        _windows(node, windows)
+    out, added = rolling(first, keys, windows) if windows else first, ["ret_1", *windows]
+    outer = {rule_hash(x): x for node in nodes for x in _nodes(node) if x["op"] in TRANSFORMS or x["op"] == "holds_for"}
+    for level in range(1, max(map(_level, outer.values()), default=0) + 1):
+        mine = [x for x in outer.values() if _level(x) == level]
+        inner = {_name(x, "x"): boolean(x["arg"]).cast("int") if x["op"] == "holds_for" else numeric(x["arg"]) for x in mine}
+        windows = {}
+        for x in mine:
+            reach = (-(x.get("window", x.get("bars")) - 1) * BAR, 0)
+            value = _name(x, "x")
+            windows[_name(x, "n")] = (F.count(value), *reach)
+            if x["op"] == "holds_for":
+                windows[_name(x, "s")] = (F.sum(value), *reach)
+            if x["op"] in ("rolling_mean", "zscore"):
+                windows[_name(x, "m")] = (F.avg(value), *reach)
+            if x["op"] in ("rolling_std", "zscore"):
+                windows[_name(x, "d")] = (F.stddev_samp(value), *reach)
+        out = rolling(out.withColumns(inner), keys, windows)
+        added += [*inner, *windows]
+    return out, added
+
+
 def numeric(node: dict) -> Column:
     """The node's value; null unless its window is whole."""
     n, op = node.get("window", 0), node["op"]
@@ -82,7 +187,14 @@ def numeric(node: dict) -> Column:
         return F.when((c("n") == n) & (F.col("close") != 0), (c("hi") - c("lo")) / F.col("close"))
     if op == "volume_z":
         return F.when((c("np") == n) & (c("vs") > 0), (F.col("volume") - c("vm")) / c("vs"))
-    return F.when(c("rn") == n, c("rs"))
+    if op == "volatility":
+        return F.when(c("rn") == n, c("rs"))
+    whole = F.col(_name(node, "n")) == n
+    if op == "rolling_mean":
+        return F.when(whole, F.col(_name(node, "m")))
+    if op == "rolling_std":
+        return F.when(whole, F.col(_name(node, "d")))
+    return F.when(whole & (F.col(_name(node, "d")) > 0), (F.col(_name(node, "x")) - F.col(_name(node, "m"))) / F.col(_name(node, "d")))
 
 
 def boolean(node: dict) -> Column:
@@ -94,6 +206,8 @@ def boolean(node: dict) -> Column:
         return numeric(node["arg"]) < node["than"]
     if op == "clock_is":
         return F.floor(F.col("t") / 60) % node["period"] == node["phase"]
+    if op == "holds_for":
+        return F.when(F.col(_name(node, "n")) == node["bars"], F.col(_name(node, "s")) == node["bars"])
     parts = [boolean(x) for x in node["args"]]
     if op == "not":
         return ~parts[0]
@@ -111,22 +225,104 @@ def target(strategy: dict) -> Column:
     return F.when(on("flat_if", False) | ~on("abstain_unless", True), 0).otherwise(side)
 
 
-def compile_rules(bars: DataFrame, strategies: dict[str, dict], keys: list[str]) -> DataFrame:
-    """The bars with one target column for each strategy."""
-    first = rolling(bars, keys, {"_c1": (F.max("close"), -BAR, -BAR)}).withColumn("ret_1", F.when(F.col("_c1") != 0, F.col("close") / F.col("_c1") - 1)).drop("_c1")
-    windows: dict[str, tuple[Column, int, int]] = {}
-    for s in strategies.values():
-        for node in s.values():
-            if isinstance(node, dict):
-                if (why := problem(node)) is not None:
-                    raise ValueError(why)
-                _windows(node, windows)
-    out = rolling(first, keys, windows) if windows else first
-    return out.withColumns({name: target(s) for name, s in strategies.items()}).drop(*windows, "ret_1")
-
-
-def baselines() -> dict[str, dict]:
-    """Always flat, always long, and both sides of momentum over twelve bars."""
-    up = {"op": "greater", "arg": {"op": "return", "window": 12}, "than": 0}
-    down = {"op": "less", "arg": {"op": "return", "window": 12}, "than": 0}
-    return {"flat": {}, "hold": {"long_if": {"op": "or", "args": [up, {"op": "not", "args": [up]}, {"op": "clock_is", "period": 1, "phase": 0}]}}, "momentum": {"long_if": up, "short_if": down}}
+def compile_rules(bars: DataFrame, strategies: dict[str, dict], keys: list[str], limits: Limits = Limits()) -> DataFrame:
+    """The bars with one target column for each strategy; raises ValueError for one that is not allowed."""
+    for name, s in strategies.items():
+        if (why := strategy_problem(s, limits)) is not None:
+            raise ValueError(f"{name}: {why}")
+    out, added = with_windows(bars, [s[k] for s in strategies.values() for k in CONDITIONS if s.get(k)], keys)
+    return out.withColumns({name: target(s) for name, s in strategies.items()}).drop(*added)
+
+
+def momentum(window: int = 12) -> dict:
+    """Both sides of the return over ``window`` bars."""
+    now = {"op": "return", "window": window}
+    return {"long_if": {"op": "greater", "arg": now, "than": 0}, "short_if": {"op": "less", "arg": now, "than": 0}}
+
+
+def drawn_side(seed: int, *parts: Column) -> Column:
+    """-1, 0 or 1 by the first byte of an MD5, so that each engine draws the same."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *parts)), 1, 2), 16, 10).cast("int") % 3 - 1).cast("int")
+
+
+def baseline_targets(bars: DataFrame, keys: list[str], seed: int = 7) -> DataFrame:
+    """The bars with targets that any rule has to beat: flat, hold, momentum and random."""
+    out = compile_rules(bars, {"momentum": momentum()}, keys)
+    return out.withColumns({"flat": F.lit(0), "hold": F.lit(1), "random": drawn_side(seed, *(F.col(k) for k in keys), F.col("t"))})
+
+
+#: Menus that thresholds are moved to, whether they keep their sign, and steps of windows and holding.
+THRESHOLDS = {
+    "return": ((0.0005, 0.001, 0.002, 0.005), True),
+    "trend": ((0.0005, 0.001, 0.002, 0.005), True),
+    "ma_slope": ((0.0001, 0.0002, 0.0005, 0.001), True),
+    "volatility": ((0.0005, 0.001, 0.002, 0.005), False),
+    "range": ((0.002, 0.005, 0.01, 0.02), False),
+    "volume_z": ((0.5, 1.0, 2.0, 3.0), True),
+}
+
+
+def to_menu(feature: str, value: float, menus: dict = THRESHOLDS) -> float:
+    """The nearest threshold of the feature's menu (of equals the first); features without sign take the size alone."""
+    menu, signed = menus[feature]
+    size = min(menu, key=lambda m: abs(m - abs(value)))
+    return -size if signed and value < 0 else size
+
+
+def strategy_of(plan: dict, menus: dict = THRESHOLDS) -> dict:
+    """A strategy from a plan: side, entry, and maybe filters, clock, persistence_bars and holding_bars. The short side is
+    the entry turned around; filters and clock hold for both."""
+
+    def compared(c: dict) -> dict:
+        return {"op": c["op"], "arg": {"op": c["feature"], "window": c["window"]}, "than": to_menu(c["feature"], c["threshold"], menus)}
+
+    def lasting(node: dict) -> dict:
+        return {"op": "holds_for", "arg": node, "bars": plan["persistence_bars"]} if plan.get("persistence_bars") else node
+
+    entry = compared(plan["entry"])
+    mirror = {"op": "less" if entry["op"] == "greater" else "greater", "arg": entry["arg"], "than": -entry["than"]}
+    context = [compared(f) for f in plan.get("filters") or []] + ([{"op": "clock_is", **plan["clock"]}] if plan.get("clock") else [])
+    both = lambda node: {"op": "and", "args": [*context, lasting(node)]} if context else lasting(node)
+    out = {"long_if": both(entry)} if plan["side"] in ("long", "both") else {}
+    if plan["side"] in ("short", "both"):
+        out["short_if"] = both(mirror)
+    return out | ({"max_holding_bars": plan["holding_bars"]} if plan.get("holding_bars") else {})
+
+
+def reference_rules() -> dict[str, dict]:
+    """Ten rules to compare others with. Names, windows and thresholds."""
+    back = lambda w: {"op": "return", "window": w}
+    above = lambda arg, x: {"op": "greater", "arg": arg, "than": x}
+    below = lambda arg, x: {"op": "less", "arg": arg, "than": x}
+    lasting = lambda node: {"op": "holds_for", "arg": node, "bars": 3}
+    return {
+        "always_long": {"long_if": above(back(1), -1.0)},
+        "always_short": {"short_if": below(back(1), 1.0)},
+        "momentum_1h": momentum(12),
+        "momentum_4h": momentum(48),
+        "momentum_1d": momentum(288),
+        "reversal_1h": {"long_if": below(back(12), 0.0), "short_if": above(back(12), 0.0)},
+        "momentum_1h_persist3": {"long_if": lasting(above(back(12), 0.0)), "short_if": lasting(below(back(12), 0.0))},
+        "momentum_1h_hold12": momentum(12) | {"max_holding_bars": 12},
+        "lowvol_momentum_long": {"long_if": {"op": "and", "args": [above(back(12), 0.0), below({"op": "volatility", "window": 48}, 0.002)]}},
+        "volume_shock_fade": {"short_if": above({"op": "volume_z", "window": 24}, 3.0), "max_holding_bars": 12},
+    }
+
+
+#: The vocabulary of hypothesis records.
+VOCABULARY = {
+    "event": ("momentum", "reversal", "volatility_shock", "volume_shock", "breakout", "clock_boundary"),
+    "context": ("high_volatility", "low_volatility", "trend", "range", "high_volume", "low_volume"),
+    "quality": ("persistence", "acceleration", "exhaustion", "divergence", "confirmation"),
+    "direction": ("continuation", "reversal"),
+    "action": ("long", "short", "flat", "abstain", "exit"),
+}
+
+
+def record_problems(single: tuple[str, ...] = ("event", "direction", "action"), several: tuple[str, ...] = ("context", "quality"), texts: tuple[str, ...] = ("hypothesis_id", "hypothesis", "expected_failure_mode")) -> Column:
+    """What is wrong with a hypothesis record, as an array of <field>:<reason>; empty if nothing is."""
+    words = lambda k: F.array(*map(F.lit, VOCABULARY[k]))
+    found = [F.when(F.col(k).isNull(), f"{k}:missing").when(~F.col(k).isin(*VOCABULARY[k]), f"{k}:unknown") for k in single]
+    found += [F.when(F.col(k).isNull() | (F.size(k) == 0), f"{k}:missing").when(F.size(F.array_except(k, words(k))) > 0, f"{k}:unknown") for k in several]
+    found += [F.when(F.col(k).isNull() | (F.trim(F.col(k)) == ""), f"{k}:missing") for k in texts]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())

@@ -118,3 +118,36 @@ def era(t: Column, bounds: Sequence[tuple[str, int]]) -> Column:
     for name, start in bounds:
         out = F.when(t >= start, F.lit(name)).otherwise(out)
     return out
+
+
+def logged(c: Column) -> Column:
+    """ln of a positive value, else null."""
+    return F.when((c > 0) & ~F.isnan(c), F.ln(c))
+
+
+def side_of(mode: Column, driver: Column) -> Column:
+    """1 or -1 of a side given in words: long, short, continuation (the driver's sign) or fade (against it); else null."""
+    return F.when(mode == "long", 1).when(mode == "short", -1).when(mode == "continuation", F.signum(driver)).when(mode == "fade", -F.signum(driver)).cast("int")
+
+
+def decimal_gap(a: Column, b: Column, scale: int = 12) -> dict[str, Column]:
+    """Exact comparison of two numbers in text: equal, difference and basis points of the first."""
+    x, y = (c.try_cast(f"decimal(26,{scale})") for c in (a, b))
+    gap = (y - x).cast("double")
+    return {"equal": x == y, "difference": gap, "bps": F.when(x != 0, gap / x.cast("double") * 10_000)}
+
+
+def iso_week(ts: Column) -> Column:
+    """The week's key, such as 2024-W01."""
+    return F.concat(F.extract(F.lit("YEAROFWEEK"), ts).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(ts).cast("string"), 2, "0"))
+
+
+def arrival_partition(ns: Column) -> dict[str, Column]:
+    """Date and hour (UTC) of nanoseconds since the epoch."""
+    s = F.floor(ns / F.lit(10**9).cast("long"))
+    return {"arrival_date": F.date_add(F.lit("1970-01-01").cast("date"), F.floor(s / 86400).cast("int")), "arrival_hour": (F.floor(s / 3600) % 24).cast("int")}
+
+
+def months_between(first: Column, last: Column) -> Column:
+    """First days of all months from one date's to another's."""
+    return F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month"))

@@ -22,13 +22,13 @@ def bars(events: DataFrame, bar: int = BAR) -> DataFrame:
     even = F.col("user_id") % 2 == 0
     t = seconds(F.col("ts"))
     return (
-        events.select("event_type", "ts", "value", "user_id", (t - t % bar).alias("t"))
+        events.select("event_type", "ts", "event_id", "value", "user_id", (t - t % bar).alias("t"))
         .groupBy(F.col("event_type").alias("symbol"), "t")
         .agg(
-            F.min_by("value", "ts").alias("open"),
+            F.min_by("value", F.struct("ts", "event_id")).alias("open"),
             F.max("value").alias("high"),
             F.min("value").alias("low"),
-            F.max_by("value", "ts").alias("close"),
+            F.max_by("value", F.struct("ts", "event_id")).alias("close"),
             F.count("*").alias("volume"),
             F.sum(money).cast("double").alias("volume_quote"),
             F.count_if(even).alias("taker_volume"),
@@ -73,25 +73,26 @@ def grid(df: DataFrame, keys: list[str], step: int, t: str = "t") -> DataFrame:
     return slots.join(df.withColumn("present", F.lit(True)), [*keys, t], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
-def ordered(df: DataFrame, keys: list[str], columns: dict[str, Column], t: str = "t", chunk: int = 30 * 86400) -> DataFrame:
-    """Adds row-order columns (lag and lead by one row). Each chunk of time also gets the nearest rows from the chunks
-    before and after, whatever the gap between them."""
-    home = F.floor(F.col(t) / chunk)
-    own = df.withColumn("_chunk", home)
-    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    ends = own.groupBy(*keys, "_chunk").agg(F.min_by(whole, t).alias("_first"), F.max_by(whole, t).alias("_last"))
+def ordered(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, str]], t: str = "t", chunk: int = 30 * 86400) -> DataFrame:
+    """Adds values of the row before or after in each series, whatever the gap; columns: name -> ("lag" or "lead", column).
+    Rows are dealt into chunks of time once; a small table of the chunks' ends serves the rows at their edges."""
+    own = df.withColumn("_chunk", F.floor(F.col(t) / chunk)).repartition(*keys, "_chunk")
+    whole = F.struct(*dict.fromkeys(c for _, c in columns.values()))
     near = Window.partitionBy(*keys).orderBy("_chunk")
-    edges = ends.select(*keys, "_chunk", F.array(F.lag("_last").over(near), F.lead("_first").over(near)).alias("_e"))
-    edges = edges.select("_chunk", F.explode("_e").alias("_r")).where("_r is not null").select("_r.*", "_chunk", F.lit(False).alias("_core"))
-    both = own.withColumn("_core", F.lit(True)).unionByName(edges)
+    ends = own.groupBy(*keys, "_chunk").agg(F.min_by(whole, t).alias("_first"), F.max_by(whole, t).alias("_last"))
+    ends = ends.select(*keys, "_chunk", F.lag("_last").over(near).alias("_before"), F.lead("_first").over(near).alias("_after"))
     by = Window.partitionBy(*keys, "_chunk").orderBy(t)
-    return both.withColumns({k: c.over(by) for k, c in columns.items()}).where("_core").drop("_chunk", "_core")
+    inner = {k: (F.lag if kind == "lag" else F.lead)(c).over(by) for k, (kind, c) in columns.items()}
+    x = own.withColumns({"_head": F.lag(F.lit(1)).over(by).isNull(), "_tail": F.lead(F.lit(1)).over(by).isNull()} | inner).join(ends, [*keys, "_chunk"])
+    edge = {k: F.when(F.col("_head"), F.col(f"_before.{c}")).otherwise(F.col(k)) if kind == "lag" else F.when(F.col("_tail"), F.col(f"_after.{c}")).otherwise(F.col(k)) for k, (kind, c) in columns.items()}
+    return x.withColumns(edge).drop("_chunk", "_head", "_tail", "_before", "_after")
 
 
 def prefix(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, str]], t: str = "t", chunk: int = 30 * 86400) -> DataFrame:
     """Adds running aggregates from the start of each series in two phases; columns: name -> (kind, column), kinds sum,
-    max, count and last (last value that is not null). Chunks run by themselves; their totals are carried over."""
-    own = df.withColumn("_chunk", F.floor(F.col(t) / chunk))
+    max, count and last (last value that is not null). Rows are dealt into chunks of time once; chunks run by themselves, and
+    a small table of their totals is carried over."""
+    own = df.withColumn("_chunk", F.floor(F.col(t) / chunk)).repartition(*keys, "_chunk")
     local = Window.partitionBy(*keys, "_chunk").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
     past = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     run = {"sum": F.sum, "max": F.max, "count": F.count}
@@ -104,13 +105,13 @@ def prefix(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, str]],
             totals.append(run[kind](c).alias(f"_{name}"))
             carried.append((F.sum if kind == "count" else run[kind])(f"_{name}").over(past).alias(f"_{name}"))
     carry = own.groupBy(*keys, "_chunk").agg(*totals).select(*keys, "_chunk", *carried)
-    own = own.withColumns({name: (F.last(c, ignorenulls=True) if kind == "last" else run[kind](c)).over(local) for name, (kind, c) in columns.items()})
-    own = own.join(carry, [*keys, "_chunk"])
+    x = own.withColumns({name: (F.last(c, ignorenulls=True) if kind == "last" else run[kind](c)).over(local) for name, (kind, c) in columns.items()})
+    x = x.join(carry, [*keys, "_chunk"])
     merge = {"sum": lambda a, b: F.coalesce(a + b, a, b), "count": lambda a, b: a + F.coalesce(b, F.lit(0)), "max": lambda a, b: F.greatest(a, b), "last": lambda a, b: F.coalesce(a, b)}
-    return own.withColumns({name: merge[kind](F.col(name), F.col(f"_{name}")) for name, (kind, _) in columns.items()}).drop("_chunk", *(f"_{n}" for n in columns))
+    return x.withColumns({name: merge[kind](F.col(name), F.col(f"_{name}")) for name, (kind, _) in columns.items()}).drop("_chunk", *(f"_{n}" for n in columns))
 
 
 def gaps(df: DataFrame, keys: list[str], step: int, t: str = "t") -> DataFrame:
     """One row per gap: last bar before it, first after it, and bars missing."""
-    nxt = ordered(df.select(*keys, t), keys, {"resume": F.lead(t)}, t)
+    nxt = ordered(df.select(*keys, t), keys, {"resume": ("lead", t)}, t)
     return nxt.where(F.col("resume") > F.col(t) + step).select(*keys, F.col(t).alias("last_before"), "resume", ((F.col("resume") - F.col(t)).cast("long") / step - 1).cast("long").alias("missing"))

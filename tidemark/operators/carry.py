@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import interval_join
@@ -31,21 +30,14 @@ def trade_pnl(df: DataFrame, per_side: float) -> DataFrame:
 def margin_path(bars: DataFrame, trade: str, order: str, margin: float, maintenance: float) -> DataFrame:
     """Margin of each trade's short leg bar by bar: rows (trade, order, quantity, entry, mark_high, mark_close, cash). Cash of a
     bar is booked first; the trade is liquidated at the first bar whose high leaves less than the maintenance share of
-    the position. A fold in time order, one trade a group."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        booked, gone, out = margin, False, []
-        for r in pdf.itertuples():
-            booked = booked if gone else booked + r.cash
-            worst = booked + r.quantity * (r.entry - r.mark_high)
-            hit = not gone and worst < maintenance * r.quantity * r.mark_high
-            gone = gone or hit
-            out.append((getattr(r, trade), getattr(r, order), None if gone and not hit else worst, "liquidated" if hit else "closed" if gone else "open"))
-        return pd.DataFrame(out, columns=[trade, order, "worst_margin", "state"])
-
-    kinds = dict(bars.dtypes)
-    return bars.groupBy(trade).applyInPandas(fold, f"{trade} {kinds[trade]}, {order} {kinds[order]}, worst_margin double, state string")
+    the position. Until then the margin is a running sum, so the first such bar decides by itself."""
+    w = Window.partitionBy(trade).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    worst = margin + F.sum("cash").over(w) + F.col("quantity") * (F.col("entry") - F.col("mark_high"))
+    x = bars.withColumn("_worst", worst)
+    hit = F.min(F.when(F.col("_worst") < maintenance * F.col("quantity") * F.col("mark_high"), F.col(order))).over(Window.partitionBy(trade))
+    x = x.withColumn("_hit", hit)
+    state = F.when(F.col(order) == F.col("_hit"), "liquidated").when(F.col(order) > F.col("_hit"), "closed").otherwise("open")
+    return x.withColumn("state", state).select(trade, order, F.when(F.col("state") != "closed", F.col("_worst")).alias("worst_margin"), "state")
 
 
 def resolved_mark(rest: Column, bar_open: Column, status: Column) -> dict[str, Column]:
@@ -75,3 +67,30 @@ def daily_rates(rows: DataFrame, assets: list[str]) -> DataFrame:
     x = rated.where(F.col("asset").isin(assets)).groupBy("date").agg(F.collect_set("asset").alias("_seen"), F.count("*").alias("_n"), F.count("rate").alias("_ok"), F.avg("rate").alias("_mean"))
     reason = F.when(F.size("_seen") < len(assets), "missing_asset").when(F.col("_n") > len(assets), "repeated_asset").when(F.col("_ok") < F.col("_n"), "bad_word")
     return x.select("date", F.when(reason.isNull(), F.col("_mean")).alias("mean_apr"), reason.alias("reason"))
+
+
+def mark_timeline(slots: DataFrame, probes: DataFrame, keys: list[str], stale: Column, t: str = "t") -> DataFrame:
+    """Every slot of a grid (with ``present``) and its status: observed, stale_unverified, or for a gap what the registry of
+    probes (keys, times, verdict) says of its time, else route_unverified. No slot is left out."""
+    known = probes.select(*keys, F.explode("times").alias(t), "verdict").groupBy(*keys, t).agg(F.min("verdict").alias("_verdict"))
+    status = F.when(F.col("present"), F.when(stale, "stale_unverified").otherwise("observed")).otherwise(F.coalesce("_verdict", F.lit("route_unverified")))
+    return slots.join(known, [*keys, t], "left").withColumn("status", status).drop("_verdict")
+
+
+def disposition(path_ok: Column, liquidations: Column, fee_known: Column) -> Column:
+    """The first gate that holds a layer back, in their fixed order, or null."""
+    return F.when(~path_ok, "liquidation_state_unknown").when((liquidations > 0) & ~fee_known, "liquidation_model_blocked")
+
+
+def layer_fidelity(resolved: DataFrame, layers: list[str]) -> DataFrame:
+    """Events and exact ones of each layer with its class; layers without events are listed too."""
+    every = resolved.sparkSession.createDataFrame([(x,) for x in layers], "layer string")
+    found = resolved.groupBy("layer").agg(F.count("*").alias("events"), F.count_if(F.col("source") == "published").alias("exact"))
+    kind = F.when(F.col("events") == 0, "unknown_until_observed").when(F.col("exact") == F.col("events"), "exact").otherwise("partial_proxy")
+    out = every.join(found, "layer", "left").withColumns({"events": F.coalesce("events", F.lit(0)), "exact": F.coalesce("exact", F.lit(0))})
+    return out.withColumn("class", kind)
+
+
+def series_class(row_ok: Column, integrity_error: Column, generation: Column, block: Column, transport_error: Column) -> Column:
+    """Why a day of a landed series holds what it does, in fixed order."""
+    return F.when(row_ok, "complete").when(integrity_error, "integrity_error").when(generation.isNull(), "missing_by_protocol").when(block.isNull() | transport_error, "transport_failure").otherwise("missing_by_protocol")

@@ -5,6 +5,8 @@ joins on buckets with an equi-join, so that Spark can split skewed buckets."""
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +32,29 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int, ta
     return near.select("_l.*", *(F.when(ok, F.col(f"_m.{c}")).alias(c) for c in ["match_t", *take]))
 
 
+def next_any(left: DataFrame, right: DataFrame, keys: list[str], take: list[str], t: str = "t", chunk: int = 30 * 86400) -> DataFrame:
+    """Each left row with the ``take`` columns of the first right row strictly after its time, however far, and ``match_t``.
+    Each chunk of time is a window of its own; a small table of chunks carries the first right row of later ones."""
+    home = F.floor(F.col(t) / chunk)
+    got = F.struct(F.col(t).alias("match_t"), *take)
+    r = right.select(*keys, t, got.alias("_r"), home.alias("_chunk"))
+    l = left.withColumn("_l", F.struct(*(F.col(f"`{c}`") for c in left.columns))).select(*keys, t, "_l", home.alias("_chunk"))  # noqa: E741
+    both = l.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).unionByName(r.withColumn("_l", F.lit(None).cast(l.schema["_l"].dataType)))
+    later = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+    carry = both.groupBy(*keys, "_chunk").agg(F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col(t))).alias("_first")).withColumn("_carry", F.first("_first", ignorenulls=True).over(later)).drop("_first")
+    by = Window.partitionBy(*keys, "_chunk").orderBy(-F.col(t), F.col("_r").isNotNull().cast("int")).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("_m", F.last("_r", ignorenulls=True).over(by)).where("_l is not null").join(carry, [*keys, "_chunk"])
+    return near.withColumn("_m", F.coalesce("_m", "_carry")).select("_l.*", *(F.col(f"_m.{c}").alias(c) for c in ["match_t", *take]))
+
+
+def published_as_of(left: DataFrame, right: DataFrame, keys: list[str], delay: int, stale: int, take: list[str], t: str = "t") -> DataFrame:
+    """As-of join on when right rows became known (their time plus ``delay``); a match older than ``stale`` seconds counts as
+    none. match_t is the right row's own time."""
+    known = right.withColumns({"_own": F.col(t), t: F.col(t) + delay})
+    out = as_of(left, known, keys, stale, ["_own", *take], t)
+    return out.drop("match_t").withColumnRenamed("_own", "match_t")
+
+
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int, left_t: str, right_t: str, how: str = "inner") -> DataFrame:
     """Pairs with |left_t - right_t| <= tolerance: right rows go to the buckets around theirs, then an equi-join."""
     width = max(int(tolerance), 1)
@@ -59,9 +84,9 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int
     l = left.select(*keys, F.col("id").alias("left_id"), F.col("t").alias("left_t"), F.col(value).alias("left_value"))  # noqa: E741
     r = right.select(*keys, F.col("id").alias("right_id"), F.col("t").alias("right_t"), F.col(value).alias("right_value"))
     pairs = band_join(l, r, keys, tolerance, "left_t", "right_t")
-    n_left = pairs.groupBy("left_id").agg(F.count("*").alias("of_left"), F.min(F.struct("right_id", "right_t", "right_value")).alias("c"))
-    n_right = pairs.groupBy("right_id").agg(F.count("*").alias("of_right"))
-    one = n_left.select("left_id", "of_left", "c.*").join(n_right, "right_id")
+    n_left = pairs.groupBy(*keys, "left_id").agg(F.count("*").alias("of_left"), F.min(F.struct("right_id", "right_t", "right_value")).alias("c"))
+    n_right = pairs.groupBy(*keys, "right_id").agg(F.count("*").alias("of_right"))
+    one = n_left.select(*keys, "left_id", "of_left", "c.*").join(n_right, [*keys, "right_id"])
     status = (
         F.when(F.col("of_left").isNull(), "unmatched")
         .when(F.col("of_left") > 1, "ambiguous")
@@ -70,9 +95,9 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int
         .otherwise("matched")
     )
     sure = F.col("status").isin("matched", "value_mismatch")
-    main = l.join(one, "left_id", "left").withColumn("status", status)
+    main = l.join(one, [*keys, "left_id"], "left").withColumn("status", status)
     main = main.select("left_id", "left_t", F.when(sure, F.col("right_id")).alias("right_id"), F.when(sure, F.col("right_t") - F.col("left_t")).alias("offset"), "status")
-    rest = r.join(n_right, "right_id", "left_anti").select(F.lit(None).cast("long").alias("left_id"), F.lit(None).cast("long").alias("left_t"), "right_id", F.lit(None).cast("long").alias("offset"), F.lit("unmatched_right").alias("status"))
+    rest = r.join(n_right, [*keys, "right_id"], "left_anti").select(F.lit(None).cast("long").alias("left_id"), F.lit(None).cast("long").alias("left_t"), "right_id", F.lit(None).cast("long").alias("offset"), F.lit("unmatched_right").alias("status"))
     return main.unionByName(rest)
 
 
@@ -83,21 +108,40 @@ def first_after(left: DataFrame, right: DataFrame, keys: list[str], within: int,
 
 def matched_controls(events: DataFrame, pool: DataFrame, strata: list[str], reach: int, cooldown: int, t: str = "t") -> DataFrame:
     """For each event the nearest control of its stratum (ties: the earlier), no control within ``cooldown`` of one that
-    is taken. Candidates come from a band join, the choice runs through each stratum in time order."""
+    is taken. Candidates come from a band join. Events further apart than both reaches and the cooldown cannot take
+    each other's controls, so strata fall into islands there, and the choice runs through each island in time order."""
+    from .bars import ordered, prefix
+
     e = events.select(*strata, F.col("id").alias("event_id"), F.col(t).alias("event_t"))
+    e = ordered(e, strata, {"_p": ("lag", "event_t")}, "event_t").withColumn("_new", F.coalesce((F.col("event_t") - F.col("_p") > 2 * reach + cooldown).cast("int"), F.lit(1)))
+    e = prefix(e, strata, {"_island": ("sum", "_new")}, "event_t").drop("_p", "_new")
     p = pool.select(*strata, F.col("id").alias("control_id"), F.col(t).alias("control_t"))
     pairs = band_join(e, p, strata, reach, "event_t", "control_t").where("event_t <> control_t")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[int] = []
-        out = []
-        for (event, at), rows in pdf.sort_values(["event_t", "event_id"]).groupby(["event_id", "event_t"], sort=False):
-            rows = rows.assign(d=(rows.control_t - at).abs()).sort_values(["d", "control_t"])
-            for r in rows.itertuples():
-                if all(abs(r.control_t - x) >= cooldown for x in taken):
-                    taken.append(r.control_t)
-                    out.append((event, at, r.control_id, r.control_t))
-                    break
+        pdf = pdf.assign(d=(pdf.control_t - pdf.event_t).abs()).sort_values(["event_t", "event_id", "d", "control_t", "control_id"])
+        taken: list[int] = []  # sorted
+        out, done = [], None
+        for r in pdf.itertuples():
+            if (r.event_t, r.event_id) == done:
+                continue
+            k = bisect.bisect_left(taken, r.control_t)
+            if all(abs(r.control_t - x) >= cooldown for x in taken[max(k - 1, 0) : k + 1]):
+                taken.insert(k, r.control_t)
+                out.append((r.event_id, r.event_t, r.control_id, r.control_t))
+                done = (r.event_t, r.event_id)
         return pd.DataFrame(out, columns=["event_id", "event_t", "control_id", "control_t"])
 
-    return pairs.groupBy(*strata).applyInPandas(choose, "event_id long, event_t long, control_id long, control_t long")
+    return pairs.groupBy(*strata, "_island").applyInPandas(choose, "event_id long, event_t long, control_id long, control_t long")
+
+
+def candidate_rules(events: DataFrame, bars: DataFrame, keys: list[str], bar: int, rules: list[tuple[str, int, str]], t: str = "t") -> DataFrame:
+    """For each rule (name, offset in bars, column): how many events (keys, at, value) equal that column of the bar that
+    holds them, moved by the offset; how many had such a bar; and all. Offsets are exploded, so one join serves all rules."""
+    offsets = sorted({o for _, o, _ in rules})
+    numbered = events.withColumn("_id", F.monotonically_increasing_id())
+    moved = numbered.withColumn("_o", F.explode(F.array(*map(F.lit, offsets)))).withColumn(t, F.floor(F.col("at") / bar) * bar + F.col("_o") * bar)
+    found = moved.join(bars.select(*keys, t, *(F.col(c).alias(f"_{c}") for c in dict.fromkeys(c for _, _, c in rules)), F.lit(True).alias("_has")), [*keys, t], "left")
+    tests = F.filter(F.array(*(F.when(F.col("_o") == o, F.struct(F.lit(k).alias("rule"), F.coalesce(F.col("value") == F.col(f"_{c}"), F.lit(False)).alias("exact"))) for k, o, c in rules)), lambda x: x.isNotNull())
+    each = found.select(F.explode(tests).alias("x"), F.coalesce("_has", F.lit(False)).alias("has")).select("x.*", "has")
+    return each.groupBy("rule").agg(F.count_if("exact").alias("exact"), F.count_if("has").alias("compared"), F.count("*").alias("events"))

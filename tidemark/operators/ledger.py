@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ DELAY = 1800
 def positions(df: DataFrame, keys: list[str], bar: int, delay: int = DELAY, t: str = "t") -> DataFrame:
     """Adds position: the target of the previous existing bar if this bar follows within the delay, else as before (0 at
     first), and cancelled, whether a fill was too late."""
-    lagged = ordered(df, keys, {"_target": F.lag("target"), "_before": F.lag(t)}, t)
+    lagged = ordered(df, keys, {"_target": ("lag", "target"), "_before": ("lag", t)}, t)
     late = F.col(t) - F.col("_before") - bar > delay
     lagged = lagged.withColumns({"_set": F.when(~late, F.col("_target")), "cancelled": F.coalesce(late & F.col("_target").isNotNull(), F.lit(False))})
     return prefix(lagged, keys, {"position": ("last", "_set")}, t).withColumn("position", F.coalesce("position", F.lit(0)).cast("int")).drop("_target", "_before", "_set")
@@ -23,20 +24,20 @@ def positions(df: DataFrame, keys: list[str], bar: int, delay: int = DELAY, t: s
 
 def fills(df: DataFrame, keys: list[str], t: str = "t", price: str = "open") -> DataFrame:
     """Rows where the position changes: signal_t, fill_t, price, from_position, to_position."""
-    out = ordered(df, keys, {"signal_t": F.lag(t), "from_position": F.lag("position")}, t).withColumn("from_position", F.coalesce("from_position", F.lit(0)))
+    out = ordered(df, keys, {"signal_t": ("lag", t), "from_position": ("lag", "position")}, t).withColumn("from_position", F.coalesce("from_position", F.lit(0)))
     return out.where("position <> from_position").select(*keys, "signal_t", F.col(t).alias("fill_t"), F.col(price).alias("price"), "from_position", F.col("position").alias("to_position"))
 
 
 def trades(fill: DataFrame, keys: list[str]) -> DataFrame:
     """Round trips of each non-zero position; the last may be open (closed = false)."""
-    nxt = ordered(fill, keys, {"exit_t": F.lead("fill_t"), "exit_price": F.lead("price")}, "fill_t")
+    nxt = ordered(fill, keys, {"exit_t": ("lead", "fill_t"), "exit_price": ("lead", "price")}, "fill_t")
     gross = F.when(F.col("price") != 0, F.col("to_position") * (F.col("exit_price") / F.col("price") - 1))
     return nxt.where("to_position <> 0").select(*keys, F.col("fill_t").alias("entry_t"), "exit_t", F.col("to_position").alias("side"), F.col("price").alias("entry_price"), "exit_price", gross.alias("gross"), F.col("exit_t").isNotNull().alias("closed"))
 
 
 def bar_returns(df: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
     """Adds gross (position times open to next open, 0 on the last bar) and turnover of each bar."""
-    out = ordered(df, keys, {"_next": F.lead("open"), "_was": F.lag("position")}, t)
+    out = ordered(df, keys, {"_next": ("lead", "open"), "_was": ("lag", "position")}, t)
     gross = F.when(F.col("_next").isNotNull() & (F.col("open") != 0), F.col("position") * (F.col("_next") / F.col("open") - 1)).otherwise(0.0)
     return out.withColumns({"gross": gross, "turnover": F.abs(F.col("position") - F.coalesce("_was", F.lit(0)))}).drop("_next", "_was")
 
@@ -64,40 +65,45 @@ def metrics(by: list[str], r: str = "net") -> list[Column]:
 
 
 def held_for_at_most(df: DataFrame, keys: list[str], bars: int, t: str = "t") -> DataFrame:
-    """Positions with forced exits after so many bars in a row; a new entry may follow on the next bar. Each series is
-    folded in time order, which no window can express; series run in parallel."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t)
-        out, now, held = [], 0, 0
-        for target in [0, *pdf.target.tolist()[:-1]]:
-            if now and held >= bars:
-                now, held = 0, 0
-            elif target != now:
-                now, held = target, 1 if target else 0
-            elif now:
-                held += 1
-            out.append(now)
-        return pdf.assign(position=out)
-
-    kinds = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
-    return df.groupBy(*keys).applyInPandas(fold, f"{kinds}, position long")
+    """Adds position: the target of the row before, with a forced exit after so many bars in a row; a new entry may follow on
+    the bar after it. The exit wins over a new target on its bar and so delays it by one.
+
+    Within a run of one target, places cycle through ``bars`` held ones and an exit. Whether a run starts one bar late depends
+    on the run before alone: its length either makes the next one late, or leaves things as they are, or turns them
+    around. So it is the parity of the turns since the last run that settled it, a running sum over runs."""
+    cycle = bars + 1
+    x = ordered(df, keys, {"_v": ("lag", "target")}, t).withColumn("_v", F.coalesce("_v", F.lit(0)))
+    x = ordered(x, keys, {"_w": ("lag", "_v")}, t).withColumn("_new", F.coalesce((F.col("_v") != F.col("_w")).cast("int"), F.lit(1)))
+    x = prefix(x.withColumn("_one", F.lit(1)), keys, {"_run": ("sum", "_new"), "_at": ("count", "_one")}, t)
+    runs = x.groupBy(*keys, "_run").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), F.first("_v").alias("_v"))
+    held = F.col("_v") != 0
+    turns, keeps = held & (F.col("_n") % cycle == bars), held & (F.col("_n") % cycle == 0)
+    runs = prefix(runs.withColumn("_turn", turns.cast("int")), keys, {"_turns": ("sum", "_turn")}, "_first", 1_000_000)
+    runs = prefix(runs.withColumn("_settled", F.when(~(turns | keeps), F.col("_turns"))), keys, {"_base": ("last", "_settled")}, "_first", 1_000_000)
+    runs = runs.withColumn("_late", (F.col("_turns") - F.coalesce("_base", F.lit(0))) % 2)
+    runs = ordered(runs, keys, {"_e": ("lag", "_late")}, "_first", 1_000_000).select(*keys, "_run", "_first", F.coalesce("_e", F.lit(0)).alias("_e"))
+    place = F.col("_at") - F.col("_first") - F.col("_e")
+    position = F.when((place >= 0) & (F.pmod(place, F.lit(cycle)) < bars), F.col("_v")).otherwise(0).cast("long")
+    return x.join(runs, [*keys, "_run"]).withColumn("position", position).select(*df.columns, "position")
 
 
 def cooled(df: DataFrame, keys: list[str], wait: int, t: str = "t") -> DataFrame:
-    """Events at least ``wait`` seconds after the last accepted one, greedily in time order. Each choice rests on the one
-    before: series are folded one by one, in parallel."""
+    """Events at least ``wait`` seconds after the last accepted one, greedily in time order. An event that comes ``wait`` or more
+    after the one before it is accepted whatever was, so series fall into islands there; each island is gone through by
+    itself, in parallel. What a task holds is bounded by the longest stretch without such a pause."""
+    x = ordered(df, keys, {"_p": ("lag", t)}, t).withColumn("_new", F.coalesce((F.col(t) - F.col("_p") >= wait).cast("int"), F.lit(1)))
+    x = prefix(x, keys, {"_island": ("sum", "_new")}, t)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t)
-        last, keep = None, []
-        for x in pdf[t]:
-            ok = last is None or x - last >= wait
-            keep.append(ok)
-            last = x if ok else last
-        return pdf[keep]
-
-    return df.groupBy(*keys).applyInPandas(pick, df.schema)
+        at = np.sort(pdf[t].to_numpy())
+        keep, k = [], 0
+        while k < len(at):
+            keep.append(k)
+            k = int(np.searchsorted(at, at[k] + wait))
+        return pdf.sort_values(t).iloc[keep]
+
+    whole = x.select(*df.columns, "_island")
+    return whole.groupBy(*keys, "_island").applyInPandas(pick, whole.schema).drop("_island")
 
 
 def first_touch(events: DataFrame, path: DataFrame, keys: list[str], bars: int, bar: int, take: float, stop: float, t: str = "t") -> DataFrame:

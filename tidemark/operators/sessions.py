@@ -25,7 +25,7 @@ def after_ready(frames: DataFrame, session: list[str], ready: Column, order: str
 def book_sequence(messages: DataFrame, keys: list[str], t: str = "frame_no", chunk: int = 100_000) -> DataFrame:
     """Adds status and valid. A snapshot (prev = -1) starts a valid stretch; an update must follow the last seq; a
     heartbeat repeats it; a gap ends the stretch until the next snapshot."""
-    x = ordered(messages, keys, {"_last": F.lag("seq")}, t, chunk)
+    x = ordered(messages, keys, {"_last": ("lag", "seq")}, t, chunk)
     status = (
         F.when(F.col("prev") == -1, "snapshot")
         .when(F.col("_last").isNull() | (F.col("prev") != F.col("_last")), "gap")
@@ -60,3 +60,58 @@ def book_walk(levels: DataFrame, book: list[str], notional: float) -> DataFrame:
 def natural_key_dedupe(rows: DataFrame, key: list[str], payload: list[str]) -> DataFrame:
     """One row a key with n copies and conflict, whether copies differ in their payload; keeps the smallest payload."""
     return rows.groupBy(*key).agg(F.count("*").alias("n"), (F.count_distinct(F.struct(*payload)) > 1).alias("conflict"), F.min(F.struct(*payload)).alias("_p")).select(*key, "n", "conflict", "_p.*")
+
+
+def order_flow(quotes: DataFrame, keys: list[str], seconds: int, t: str = "t") -> DataFrame:
+    """Adds ofi: order-flow imbalance of best quotes (bid, bid_size, ask, ask_size) over the last ``seconds``, and how many changes it
+    rests on. What a quote adds is told by the one before it; the first of a series adds nothing."""
+    from .bars import rolling
+
+    x = ordered(quotes, keys, {f"_{c}": ("lag", c) for c in ("bid", "bid_size", "ask", "ask_size")}, t)
+    zero = F.lit(0)
+    bid = F.when(F.col("bid") >= F.col("_bid"), F.col("bid_size")).otherwise(zero) - F.when(F.col("bid") <= F.col("_bid"), F.col("_bid_size")).otherwise(zero)
+    ask = F.when(F.col("ask") <= F.col("_ask"), F.col("ask_size")).otherwise(zero) - F.when(F.col("ask") >= F.col("_ask"), F.col("_ask_size")).otherwise(zero)
+    x = x.withColumn("_e", F.when(F.col("_bid").isNotNull(), bid - ask))
+    return rolling(x, keys, {"ofi": (F.sum("_e"), -seconds + 1, 0), "changes": (F.count("_e"), -seconds + 1, 0)}, t).drop("_e", *(f"_{c}" for c in ("bid", "bid_size", "ask", "ask_size")))
+
+
+def near_depth(levels: DataFrame, book: list[str], bps: float) -> DataFrame:
+    """Size within so many basis points of the middle by book: levels (book..., side, price, size); null if a side is empty."""
+    best = levels.groupBy(*book).agg(F.max(F.when(F.col("side") == "bid", F.col("price"))).alias("_bid"), F.min(F.when(F.col("side") == "ask", F.col("price"))).alias("_ask"))
+    mid = (F.col("_bid") + F.col("_ask")) / 2
+    inside = F.abs(F.col("price") - mid) <= mid * (bps / 10_000)
+    return levels.join(best, book).groupBy(*book).agg(F.first(mid).alias("mid"), F.when(F.first(mid).isNotNull(), F.sum(F.when(inside, F.col("size")).otherwise(0))).alias("depth"))
+
+
+def depletion(depths: DataFrame, keys: list[str], seconds: int, least: int, t: str = "t") -> DataFrame:
+    """Adds usual (the median depth of the ``seconds`` before) and depleted (the depth's shortfall from it), null with fewer than
+    ``least`` points."""
+    from .bars import rolling
+
+    x = rolling(depths, keys, {"_m": (F.percentile("depth", F.lit(0.5)), -seconds, -1), "_n": (F.count("depth"), -seconds, -1)}, t)
+    usual = F.when(F.col("_n") >= least, F.col("_m"))
+    return x.withColumns({"usual": usual, "depleted": F.when(usual > 0, 1 - F.col("depth") / usual)}).drop("_m", "_n")
+
+
+def absorption(flow: DataFrame, keys: list[str], seconds: int, least_flow: float, most_move: float, t: str = "t") -> DataFrame:
+    """Adds flow (signed quantity of the last ``seconds``), move (of the middle over them) and absorbed: a flow at least so large
+    with a move at most so large."""
+    from .bars import rolling
+
+    x = rolling(flow, keys, {"flow": (F.sum("signed"), -seconds + 1, 0), "_from": (F.max("mid"), -seconds, -seconds)}, t)
+    x = x.withColumn("move", F.when(F.col("_from") > 0, F.col("mid") / F.col("_from") - 1))
+    return x.withColumn("absorbed", F.coalesce((F.abs("flow") >= least_flow) & (F.abs("move") <= most_move), F.lit(False))).drop("_from")
+
+
+def clock_gate(samples: DataFrame, by: list[str], cadence: int, share: float = 0.01, p99_ms: float = 20.0, most_ms: float = 100.0) -> DataFrame:
+    """Whether a host's clock may be trusted: samples (t in seconds, synced, offset_ms) all synced, gaps beyond the cadence rare,
+    offsets small. The quantile is exact, by nearest rank."""
+    x = ordered(samples, by, {"_p": ("lag", "t")}, "t")
+    late, size = F.col("t") - F.col("_p") > cadence, F.abs("offset_ms")
+    out = x.withColumn("_size", size).groupBy(*by).agg(F.count("*").alias("samples"), F.bool_and("synced").alias("all_synced"), F.avg(F.coalesce(late, F.lit(False)).cast("int")).alias("late_share"), F.expr("percentile_disc(0.99) within group (order by _size)").alias("p99_ms"), F.max("_size").alias("max_ms"))
+    return out.withColumn("passed", F.col("all_synced") & (F.col("late_share") < share) & (F.col("p99_ms") <= p99_ms) & (F.col("max_ms") <= most_ms))
+
+
+def rolled_up(report: DataFrame, channels: list[str]) -> DataFrame:
+    """One row over all sessions of a quality report: sessions, those that are ok, frames, and frames by channel."""
+    return report.agg(F.count("*").alias("sessions"), F.count_if("ok").alias("ok"), F.sum("frames").alias("frames"), *(F.sum(f"n_{c}").alias(f"n_{c}") for c in channels), F.count_if(F.size("missing") > 0).alias("incomplete"))

@@ -11,8 +11,19 @@ from pyspark.sql import functions as F
 
 
 def uniform(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) drawn by the keys."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) / float(1 << 52)
+    """A number in [0, 1) drawn by the keys: 32 bits of an MD5, which other engines draw alike."""
+    text = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *(k.cast("string") for k in keys)))
+    return F.conv(F.substring(text, 1, 8), 16, 10).cast("long") / float(1 << 32)
+
+
+def ranked(df: DataFrame, by: list[str], draw: Column, key: str, name: str, buckets: int = 64) -> DataFrame:
+    """Adds the rank (from 1) of each row by its draw in [0, 1) and key: rows are ranked within buckets of the draw, and the counts
+    of buckets before it are added, so no task sorts all rows."""
+    x = df.withColumn("_u", draw).withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
+    sizes = x.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inner = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_u", key))
+    return x.withColumn("_r", inner).join(before, [*by, "_b"]).withColumn(name, F.col("_r") + F.col("_before")).drop("_u", "_b", "_r", "_before")
 
 
 def group_effects(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -35,9 +46,9 @@ def group_effects(df: DataFrame, group: str, value: str) -> DataFrame:
 def permutation_null(df: DataFrame, group: str, value: str, key: str, repetitions: int, seed: int) -> DataFrame:
     """(rep, largest): the largest absolute group mean less the total mean, groups dealt anew in each repetition: rows
     in order of their draw take the group of the row of that rank."""
-    numbered = df.select(group, value, key, F.row_number().over(Window.partitionBy().orderBy(key)).alias("i"))
-    reps = numbered.select(F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep"), value, key)
-    drawn = reps.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy(uniform(seed, F.col("rep"), F.col(key)), key)))
+    numbered = ranked(df.select(group, value, key), [], uniform(seed, F.lit(0), F.col(key)), key, "i")
+    reps = df.select(F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep"), value, key)
+    drawn = ranked(reps, ["rep"], uniform(seed, F.col("rep"), F.col(key)), key, "i")
     dealt = drawn.join(numbered.select("i", group), "i")
     total = df.agg(F.avg(value).alias("m"))
     means = dealt.groupBy("rep", group).agg(F.avg(value).alias("_mean")).crossJoin(F.broadcast(total))  # one row
@@ -121,3 +132,88 @@ def ridge(sums: DataFrame, by: str, features: list[str], penalty: float) -> Data
 
     kind = dict(sums.dtypes)[by]
     return sums.crossJoin(F.broadcast(total)).mapInPandas(solve, f"{by} {kind}, n long, weights array<double>, sse double, sst double")  # one row
+
+
+def in_folds(df: DataFrame, folds: DataFrame, embargo: int = 0, t: str = "t") -> DataFrame:
+    """Rows of each fold's training window [train_start, train_end - embargo); folds: a short list given by the caller."""
+    inside = (F.col(t) >= F.col("train_start")) & (F.col(t) < F.col("train_end") - embargo)
+    return df.join(F.broadcast(folds), inside)
+
+
+def conditions_outcome(df: DataFrame, conditions: dict[str, tuple[Column, Column]], outcome: str, keys: list[str], overlap: int, apart: int, t: str = "t") -> DataFrame:
+    """Each condition (name -> (mask, side)) evaluated over one pass: n, episodes (new after ``apart`` seconds without a hit),
+    effect (mean of side times the outcome less its mean over all rows), t by the effective number of hits, and in how many thirds of
+    the time the effect is positive. Rows without an outcome are left out; a null mask is false."""
+    valid = df.where(F.col(outcome).isNotNull())
+    span = valid.agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.avg(outcome).alias("mean"))
+    third = F.least(F.lit(2), F.floor((F.col(t) - F.col("lo")) * 3 / (F.col("hi") - F.col("lo") + 1))).cast("int")
+    x = valid.crossJoin(F.broadcast(span)).withColumn("third", third)  # one row
+    means = x.groupBy("third").agg(F.avg(outcome).alias("third_mean"))
+    x = x.join(F.broadcast(means), "third")  # three rows
+    hits = F.filter(F.array(*(F.when(mask, F.struct(F.lit(k).alias("name"), side.cast("double").alias("side"))) for k, (mask, side) in conditions.items())), lambda h: h.isNotNull())
+    x = x.select(*keys, t, "third", F.explode(hits).alias("h"), (F.col(outcome) - F.col("mean")).alias("y"), (F.col(outcome) - F.col("third_mean")).alias("y3"))
+    x = x.select(*keys, t, "third", F.col("h.name").alias("name"), (F.col("h.side") * F.col("y")).alias("o"), (F.col("h.side") * F.col("y3")).alias("o3"))
+    gap = F.col(t) - F.lag(t).over(Window.partitionBy("name", *keys).orderBy(t))
+    x = x.withColumn("fresh", F.coalesce(gap >= apart, F.lit(True)).cast("int"))
+    parts = x.groupBy("name", "third").agg(F.count("*").alias("n"), F.sum("o").alias("s"), F.sum(F.col("o") * F.col("o")).alias("q"), F.avg("o3").alias("m"), F.sum("fresh").alias("episodes"))
+    out = parts.groupBy("name").agg(F.sum("n").alias("n"), F.sum("episodes").alias("episodes"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.count_if(F.col("m") > 0).alias("positive_thirds"))
+    mean, variance = F.col("s") / F.col("n"), (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
+    enough = F.least(F.col("n") / overlap, F.col("episodes"))
+    return out.select("name", "n", "episodes", mean.alias("effect"), F.when((F.col("n") > 1) & (variance > 1e-18), mean / F.sqrt(variance) * F.sqrt(enough)).alias("t"), "positive_thirds")
+
+
+def block_bootstrap(clusters: DataFrame, order: str, num: str, den: str, repetitions: int, block: int, seed: int) -> DataFrame:
+    """(rep, ratio): sum(num) / sum(den) over circular blocks of ``block`` clusters in order, as many as cover them all; with a
+    block of one it is the plain cluster bootstrap. Clusters are few (weeks, days) and numbered in one window."""
+    x = clusters.select((F.row_number().over(Window.partitionBy().orderBy(order)) - 1).alias("i"), num, den, F.count("*").over(Window.partitionBy()).alias("size"))
+    size = x.agg(F.max("size").alias("size"))
+    reps = size.select("size", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep")).withColumn("j", F.explode(F.sequence(F.lit(1), F.ceil(F.col("size") / block).cast("int"))))
+    start = F.floor(uniform(seed, F.col("rep"), F.col("j")) * F.col("size"))
+    drawn = reps.withColumn("i", F.explode(F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda k: F.pmod(start + k, F.col("size")).cast("int")))).drop("size")
+    return drawn.join(F.broadcast(x.drop("size")), "i").groupBy("rep").agg((F.sum(num) / F.sum(den)).alias("ratio"))  # clusters are few
+
+
+def residual(df: DataFrame, by: list[str], x: str, y: str, train: Column) -> DataFrame:
+    """Adds residual: y less its projection on x and a constant, fitted by group on the training rows alone."""
+    a, b = (F.when(train & F.col(x).isNotNull() & F.col(y).isNotNull(), F.col(c)) for c in (x, y))
+    fit = df.groupBy(*by).agg(F.regr_slope(b, a).alias("_slope"), F.regr_intercept(b, a).alias("_base"))
+    return df.join(fit, by).withColumn("residual", F.col(y) - F.col("_slope") * F.col(x) - F.col("_base")).drop("_slope", "_base")
+
+
+def day_shift_placebo(df: DataFrame, by: list[str], x: str, y: str, days: int, shifts: list[int], t: str = "t") -> DataFrame:
+    """(by, shift, corr): correlation of y with x taken whole days earlier, around the circle of ``days`` days; shift 0 is the
+    real one. Shifts are exploded on one side, so one join serves them all."""
+    day, second = F.floor(F.col(t) / 86400), F.pmod(F.col(t), F.lit(86400))
+    left = df.select(*by, F.pmod(day, F.lit(days)).alias("_day"), second.alias("_s"), F.col(y).alias("_y"))
+    right = df.select(*by, F.pmod(day, F.lit(days)).alias("_d"), second.alias("_s"), F.col(x).alias("_x")).withColumn("shift", F.explode(F.array(*map(F.lit, shifts)))).withColumn("_day", F.pmod(F.col("_d") + F.col("shift"), F.lit(days)))
+    return left.join(right, [*by, "_day", "_s"]).groupBy(*by, "shift").agg(F.corr("_y", "_x").alias("corr"), F.count("*").alias("n"))
+
+
+def standardised_on(df: DataFrame, by: list[str], columns: list[str], train: Column, bound: float = 10.0) -> DataFrame:
+    """The columns less the training rows' mean over their population deviation, clipped; raises ValueError where a deviation is
+    zero or missing."""
+    stats = df.where(train).groupBy(*by).agg(*(f(c).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))))
+    bad = stats.where(" or ".join(f"coalesce(_s_{c}, 0) <= 0" for c in columns))
+    if not bad.isEmpty():
+        raise ValueError("a training column does not vary")
+    z = {c: F.greatest(F.lit(-bound), F.least(F.lit(bound), (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}"))) for c in columns}
+    return df.join(stats, by).withColumns(z).select(*df.columns)
+
+
+def stability(effects: DataFrame, by: list[str], effect: str, part: str) -> DataFrame:
+    """Whether a test's effect keeps its sign over parts of the data: n parts, share with the whole's sign, and a flag."""
+    whole = effects.groupBy(*by).agg(F.sum(effect).alias("_all"), F.count(part).alias("parts"), F.count_if(F.col(effect) > 0).alias("_up"), F.count_if(F.col(effect) < 0).alias("_down"))
+    same = F.when(F.col("_all") >= 0, F.col("_up")).otherwise(F.col("_down")) / F.col("parts")
+    return whole.select(*by, "parts", same.alias("share"), (same >= 0.75).alias("stable"))
+
+
+def batch_status(df: DataFrame, rules: list[str], outcome: str, least: int) -> DataFrame:
+    """Each rule's mean of side times outcome in research and validation rows (column split), its research hits, and a status in
+    fixed order: too_few, rejected, not_confirmed or survivor. Every rule has a row."""
+    sides = F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("side")) for k in rules))
+    x = df.select("split", outcome, F.explode(sides).alias("s")).select("split", outcome, "s.*")
+    e = F.when(F.col("side") != 0, F.col("side") * F.col(outcome))
+    part = lambda k: F.when(F.col("split") == k, e)
+    out = x.groupBy("rule").agg(F.count(part("research")).alias("n"), F.avg(part("research")).alias("research"), F.avg(part("validation")).alias("validation"))
+    status = F.when(F.col("n") < least, "too_few").when(F.coalesce(F.col("research") <= 0, F.lit(True)), "rejected").when(F.coalesce(F.col("validation") <= 0, F.lit(True)), "not_confirmed").otherwise("survivor")
+    return out.withColumn("status", status)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..operators.bars import BAR, bars
 
 #: The same bars for DuckDB.
-BARS_SQL = f"""b as (select event_type as symbol, (epoch_us(ts) // 1000000 - epoch_us(ts) // 1000000 % {BAR}) as t, arg_min(value, ts) as open,
- max(value) as high, min(value) as low, arg_max(value, ts) as close, count(*) as volume, sum(value::decimal(18,6))::double as volume_quote,
+BARS_SQL = f"""b as (select event_type as symbol, (epoch_us(ts) // 1000000 - epoch_us(ts) // 1000000 % {BAR}) as t, arg_min(value, (ts, event_id)) as open,
+ max(value) as high, min(value) as low, arg_max(value, (ts, event_id)) as close, count(*) as volume, sum(value::decimal(18,6))::double as volume_quote,
  count(*) filter (where user_id % 2 = 0) as taker_volume, coalesce(sum(value::decimal(18,6)) filter (where user_id % 2 = 0), 0)::double as taker_quote
- from (select event_type, value, user_id, ts from events) group by 1, 2)"""
+ from (select event_type, value, user_id, ts, event_id from events) group by 1, 2)"""
 
 
 def with_bars(sql: str, *more: str) -> str:

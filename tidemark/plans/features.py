@@ -123,7 +123,7 @@ def w7(spark, d):
 
 @query("w8_row_lag", with_bars("select symbol, t, lag(close) over w as prev_close, lead(open) over w as next_open, t - lag(t) over w as step from b window w as (partition by symbol order by t)"))
 def w8(spark, d):
-    return ordered(market(spark, d), KEYS, {"prev_close": F.lag("close"), "next_open": F.lead("open"), "before": F.lag("t")}).select("symbol", "t", "prev_close", "next_open", (F.col("t") - F.col("before")).alias("step"))
+    return ordered(market(spark, d), KEYS, {"prev_close": ("lag", "close"), "next_open": ("lead", "open"), "before": ("lag", "t")}).select("symbol", "t", "prev_close", "next_open", (F.col("t") - F.col("before")).alias("step"))
 
 
 @query("w10_causal_rank", with_bars(f"select a.symbol, a.t, case when count(*) >= 20 then round(sum((p.close < a.close)::int) / count(*), 6) end as rank from b a join b p on p.symbol = a.symbol and p.t >= a.t - {DAY} and p.t < a.t group by a.symbol, a.t"))
@@ -159,14 +159,14 @@ _EPISODE = 2 * BAR
 
 @query("w15_episodes", with_bars(f"select symbol, count(*) as events, sum((p is null or t - p >= {_EPISODE})::int)::bigint as episodes from (select symbol, t, lag(t) over (partition by symbol order by t) as p from b where close > 60) group by 1"))
 def w15(spark, d):
-    df = ordered(market(spark, d).where("close > 60"), KEYS, {"p": F.lag("t")})
+    df = ordered(market(spark, d).where("close > 60"), KEYS, {"p": ("lag", "t")})
     return df.groupBy("symbol").agg(F.count("*").alias("events"), F.sum((F.col("p").isNull() | (F.col("t") - F.col("p") >= _EPISODE)).cast("int")).alias("episodes"))
 
 
 @query("w16_signal_runs", with_bars("select symbol, run::bigint as run, min(t) as first_t, max(t) as last_t, count(*) as bars, any_value(side) as side from (select *, sum(f) over (partition by symbol order by t) as run from (select symbol, t, side, coalesce((side <> lag(side) over (partition by symbol order by t))::int, 1) as f from (select symbol, t, sign(close - open)::int as side from b))) group by 1, 2"))
 def w16(spark, d):
     side = market(spark, d).select("symbol", "t", F.signum(F.col("close") - F.col("open")).cast("int").alias("side"))
-    flag = ordered(side, KEYS, {"before": F.lag("side")}).withColumn("f", F.coalesce((F.col("side") != F.col("before")).cast("int"), F.lit(1)))
+    flag = ordered(side, KEYS, {"before": ("lag", "side")}).withColumn("f", F.coalesce((F.col("side") != F.col("before")).cast("int"), F.lit(1)))
     run = prefix(flag, KEYS, {"run": ("sum", "f")})
     return run.groupBy("symbol", "run").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count("*").alias("bars"), F.first("side").alias("side"))
 

@@ -39,3 +39,12 @@ def below_seal(df: DataFrame, cutoff: int, t: str = "t") -> tuple[DataFrame, Dat
     """Rows before the cutoff, and a one-row account of kept and dropped rows."""
     before = F.col(t) < cutoff
     return df.where(before), df.agg(F.count_if(before).alias("kept"), F.count_if(~before).alias("dropped"))
+
+
+def sealed_input(df: DataFrame, seal: int, t: str = "t") -> DataFrame:
+    """The frame itself; fails if it looks ahead or if a row lies at or behind the seal (one aggregate tells)."""
+    observable(df)
+    last = df.agg(F.max(t)).first()[0]
+    if last is not None and last >= seal:
+        raise ValueError(f"rows up to {last} lie behind the seal at {seal}")
+    return df

@@ -56,7 +56,7 @@ def j9(spark, d):
     return e.join(market(spark, d).where("symbol = 'click'").select("t"), "t", "left_semi").agg(F.count("*").alias("n"))
 
 
-_COPY = "c as (select 100000 + id as id, t + id % 7 - 3 as t, case when id % 17 = 0 then value + 1 else value end as value from e where id % 11 <> 0 union all select 200000 + id, t + id % 7 - 3, value from e where id % 13 = 0 and id % 11 <> 0)"
+_COPY = "c as (select 2 * id as id, t + id % 7 - 3 as t, case when id % 17 = 0 then value + 1 else value end as value from e where id % 11 <> 0 union all select 2 * id + 1, t + id % 7 - 3, value from e where id % 13 = 0 and id % 11 <> 0)"
 
 
 @query("j10_one_to_one", f"""with {_E}, {_COPY}, p as (select e.id as lid, c.id as rid, e.t as lt, c.t as rt, e.value as lv, c.value as rv from e join c on c.t between e.t - 2 and e.t + 2),
@@ -68,8 +68,8 @@ def j10(spark, d):
     e = timed(spark, d).select("id", "t", "value")
     moved = (F.col("t") + F.col("id") % 7 - 3).alias("t")
     base = e.where("id % 11 <> 0")
-    copy = base.select((F.col("id") + 100_000).alias("id"), moved, F.when(F.col("id") % 17 == 0, F.col("value") + 1).otherwise(F.col("value")).alias("value"))
-    copy = copy.union(base.where("id % 13 = 0").select((F.col("id") + 200_000).alias("id"), moved, "value"))
+    copy = base.select((2 * F.col("id")).alias("id"), moved, F.when(F.col("id") % 17 == 0, F.col("value") + 1).otherwise(F.col("value")).alias("value"))
+    copy = copy.union(base.where("id % 13 = 0").select((2 * F.col("id") + 1).alias("id"), moved, "value"))
     return joins.reconcile(e, copy, [], 2, "value")
 
 
@@ -178,13 +178,13 @@ def a15(spark, d):
 
 @query("a16_order_report", with_bars("select symbol, count(*) filter (where s <= 0) as not_ascending, min(s) as min_gap, max(s) as max_gap from (select symbol, t - lag(t) over (partition by symbol order by t) as s from b) group by 1"))
 def a16(spark, d):
-    s = ordered(market(spark, d).select("symbol", "t"), ["symbol"], {"p": F.lag("t")}).withColumn("s", F.col("t") - F.col("p"))
+    s = ordered(market(spark, d).select("symbol", "t"), ["symbol"], {"p": ("lag", "t")}).withColumn("s", F.col("t") - F.col("p"))
     return s.groupBy("symbol").agg(F.count_if(F.col("s") <= 0).alias("not_ascending"), F.min("s").alias("min_gap"), F.max("s").alias("max_gap"))
 
 
 @query("a17_interval_distribution", with_bars("select symbol, round((t - p) / 3600.0, 2) as hours, count(*) as n from (select symbol, t, lag(t) over (partition by symbol order by t) as p from b) where p is not null group by 1, 2"))
 def a17(spark, d):
-    s = ordered(market(spark, d).select("symbol", "t"), ["symbol"], {"p": F.lag("t")}).where("p is not null")
+    s = ordered(market(spark, d).select("symbol", "t"), ["symbol"], {"p": ("lag", "t")}).where("p is not null")
     return s.groupBy("symbol", F.round((F.col("t") - F.col("p")) / 3600.0, 2).alias("hours")).agg(F.count("*").alias("n"))
 
 
@@ -273,9 +273,10 @@ def u3(spark, d):
     return o.where("o_orderstatus = 'F'").select("o_custkey").subtract(o.where("o_orderstatus = 'O'").select("o_custkey"))
 
 
-@query("u5_frame_equality", "select 0::bigint as only_left, 0::bigint as only_right")
+@query("u5_frame_equality", "with a as (select l_orderkey, l_linenumber, l_suppkey, l_quantity from lineitem), b as (select l_orderkey, l_linenumber, l_suppkey, l_quantity + (l_orderkey % 97 = 0)::int as l_quantity from lineitem union all select l_orderkey, l_linenumber, l_suppkey, l_quantity from lineitem where l_orderkey % 89 = 0) select (select count(*) from (select * from a except all select * from b)) as only_left, (select count(*) from (select * from b except all select * from a)) as only_right")
 def u5(spark, d):
-    """A table against itself dealt anew: rows only on one side, with multiplicity."""
-    a = spark.read.parquet(f"{d}/lineitem.parquet")
-    b = a.repartition(3, "l_suppkey")
-    return a.exceptAll(b).agg(F.count("*").alias("only_left")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("only_right")))
+    """Rows that only one of two tables has, with multiplicity: one signed count a row, no row twice in a shuffle."""
+    a = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    b = a.withColumn("l_quantity", F.col("l_quantity") + (F.col("l_orderkey") % 97 == 0).cast("int")).union(a.where("l_orderkey % 89 = 0"))
+    n = a.withColumn("n", F.lit(1)).union(b.withColumn("n", F.lit(-1))).groupBy(*a.columns).agg(F.sum("n").alias("n"))
+    return n.agg(F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).alias("only_left"), F.coalesce(F.sum(F.greatest(-F.col("n"), F.lit(0))), F.lit(0)).alias("only_right"))

@@ -4,35 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rules import baselines, boolean, compile_rules, numeric, rolling, _windows
+from ..functions.rules import Limits, baseline_targets, boolean, compile_rules, numeric, record_problems, reference_rules, with_windows
 from ..operators import ledger
-from ..operators.bars import BAR, ordered
-from .common import market, r6, with_bars
+from ..operators.bars import BAR, ordered, rolling
+from .common import events, market, r6, with_bars
 from .registry import query
 
 KEYS = ["symbol"]
 NODES = {
     "e1_return": {"op": "return", "window": 3},
     "e2_trend": {"op": "trend", "window": 6},
+    "e3_volatility": {"op": "volatility", "window": 5},
     "e4_range": {"op": "range", "window": 4},
     "e5_volume_z": {"op": "volume_z", "window": 8},
     "e6_ma_slope": {"op": "ma_slope", "window": 6},
+    "e7_rolling_mean": {"op": "rolling_mean", "arg": {"op": "return", "window": 2}, "window": 4},
+    "e7_rolling_std": {"op": "rolling_std", "arg": {"op": "range", "window": 3}, "window": 5},
+    "e7_zscore": {"op": "zscore", "arg": {"op": "rolling_mean", "arg": {"op": "column", "name": "close"}, "window": 3}, "window": 6},
 }
 _W = lambda lo, hi: f"(partition by symbol order by t range between {lo * BAR} preceding and {hi})"
 _SQL = {
     "e1_return": f"select b.symbol, b.t, round(b.close / nullif(p.close, 0) - 1, 6) as x from b left join b p on p.symbol = b.symbol and p.t = b.t - {3 * BAR}",
     "e2_trend": f"select symbol, t, case when count(*) over w = 6 then round(close / nullif(avg(close) over w, 0) - 1, 6) end as x from b window w as {_W(5, 'current row')}",
+    "e3_volatility": f"select symbol, t, case when count(r) over w = 5 then round(stddev_samp(r) over w, 6) end as x from (select b.symbol, b.t, b.close / nullif(p.close, 0) - 1 as r from b left join b p on p.symbol = b.symbol and p.t = b.t - {BAR}) window w as {_W(4, 'current row')}",
     "e4_range": f"select symbol, t, case when count(*) over w = 4 then round((max(high) over w - min(low) over w) / nullif(close, 0), 6) end as x from b window w as {_W(3, 'current row')}",
     "e5_volume_z": f"select symbol, t, case when count(*) over w = 8 and stddev_samp(volume) over w > 0 then round((volume - avg(volume) over w) / stddev_samp(volume) over w, 6) end as x from b window w as {_W(8, '1 preceding')}",
     "e6_ma_slope": f"select symbol, t, case when count(*) over w = 6 and count(*) over v = 6 then round(avg(close) over w / nullif(avg(close) over v, 0) - 1, 6) end as x from b window w as {_W(5, 'current row')}, v as {_W(6, f'{BAR} preceding')}",
+    "e7_rolling_mean": f"select symbol, t, case when count(r) over w = 4 then round(avg(r) over w, 6) end as x from (select b.symbol, b.t, b.close / nullif(p.close, 0) - 1 as r from b left join b p on p.symbol = b.symbol and p.t = b.t - {2 * BAR}) window w as {_W(3, 'current row')}",
+    "e7_rolling_std": f"select symbol, t, case when count(r) over w = 5 then round(stddev_samp(r) over w, 6) end as x from (select symbol, t, case when count(*) over v = 3 then (max(high) over v - min(low) over v) / nullif(close, 0) end as r from b window v as {_W(2, 'current row')}) window w as {_W(4, 'current row')}",
+    "e7_zscore": f"select symbol, t, case when count(r) over w = 6 and stddev_samp(r) over w > 0 then round((r - avg(r) over w) / stddev_samp(r) over w, 5) end as x from (select symbol, t, case when count(*) over v = 3 then avg(close) over v end as r from b window v as {_W(2, 'current row')}) window w as {_W(5, 'current row')}",
 }
 
 
 def _node(name: str):
     def run(spark, d):
-        windows: dict = {}
-        _windows(NODES[name], windows)
-        return rolling(market(spark, d), KEYS, windows).select("symbol", "t", r6(numeric(NODES[name])).alias("x"))
+        df, _ = with_windows(market(spark, d), [NODES[name]], KEYS)
+        return df.select("symbol", "t", F.round(numeric(NODES[name]), 5 if name == "e7_zscore" else 6).alias("x"))
 
     return run
 
@@ -54,8 +61,12 @@ _FILLS = "f as (select symbol, lag(t) over o as signal_t, t as fill_t, open as p
 _RETURNS = "n as (select symbol, t, position, case when lead(open) over o is not null and open <> 0 then position * (lead(open) over o / open - 1) else 0 end as gross, abs(position - coalesce(lag(position) over o, 0)) as turnover from p window o as (partition by symbol order by t))"
 
 
+#: Bars of an hour: clock phases count in hours too.
+HOURLY = Limits(periods=(15, 60, 180))
+
+
 def targets(spark, d):
-    return compile_rules(market(spark, d), {"target": RULE}, KEYS).select("symbol", "t", "open", "high", "low", "close", "target")
+    return compile_rules(market(spark, d), {"target": RULE}, KEYS, HOURLY).select("symbol", "t", "open", "high", "low", "close", "target")
 
 
 def held(spark, d):
@@ -67,16 +78,73 @@ def e12(spark, d):
     return targets(spark, d).select("symbol", "t", "target")
 
 
-@query("e17_baselines", with_bars(f"select b.symbol, b.t, 0 as flat, 1 as hold, coalesce(case when b.close / nullif(p.close, 0) - 1 > 0 then 1 when b.close / nullif(p.close, 0) - 1 < 0 then -1 end, 0) as momentum from b left join b p on p.symbol = b.symbol and p.t = b.t - {12 * BAR}"))
+@query("e17_baselines", with_bars(f"""select b.symbol, b.t, 0 as flat, 1 as hold, coalesce(case when b.close / nullif(p.close, 0) - 1 > 0 then 1 when b.close / nullif(p.close, 0) - 1 < 0 then -1 end, 0) as momentum,
+ (('0x' || md5('7|' || b.symbol || '|' || b.t)[1:2])::int % 3 - 1) as random from b left join b p on p.symbol = b.symbol and p.t = b.t - {12 * BAR}"""))
 def e17(spark, d):
-    return compile_rules(market(spark, d), baselines(), KEYS).select("symbol", "t", "flat", "hold", "momentum")
+    return baseline_targets(market(spark, d), KEYS).select("symbol", "t", "flat", "hold", "momentum", "random")
 
 
-@query("e11_boolean_node", with_bars("select symbol, t, (close > 50 and volume < 6) or not (low > 10) as hit from b"))
-def e11(spark, d):
+_TREE = "(close > 50 and volume < 6) or not (low > 10)"
+
+
+def _tree() -> dict:
     col = lambda op, name, x: {"op": op, "arg": {"op": "column", "name": name}, "than": x}
-    tree = {"op": "or", "args": [{"op": "and", "args": [col("greater", "close", 50), col("less", "volume", 6)]}, {"op": "not", "args": [col("greater", "low", 10)]}]}
-    return market(spark, d).select("symbol", "t", boolean(tree).alias("hit"))
+    return {"op": "or", "args": [{"op": "and", "args": [col("greater", "close", 50), col("less", "volume", 6)]}, {"op": "not", "args": [col("greater", "low", 10)]}]}
+
+
+@query("e9_boolean_node", with_bars(f"select symbol, t, {_TREE} as hit from b"))
+def e9(spark, d):
+    return market(spark, d).select("symbol", "t", boolean(_tree()).alias("hit"))
+
+
+@query("e11_holds_for", with_bars(f"select symbol, t, case when count(x) over w = 2 then sum(x) over w = 2 end as hit from (select *, ({_TREE})::int as x from b) window w as {_W(1, 'current row')}"))
+def e11(spark, d):
+    node = {"op": "holds_for", "arg": _tree(), "bars": 2}
+    df, _ = with_windows(market(spark, d), [node], KEYS)
+    return df.select("symbol", "t", boolean(node).alias("hit"))
+
+
+_BACK = lambda w: f"r{w} as (select b.symbol, b.t, b.close / nullif(p.close, 0) - 1 as r from b left join b p on p.symbol = b.symbol and p.t = b.t - {w * BAR})"
+_SIDE = lambda name, up, down, source: f"select symbol, t, '{name}' as rule, case when coalesce({up}, false) and not coalesce({down}, false) then 1 when coalesce({down}, false) and not coalesce({up}, false) then -1 else 0 end as target from {source}"
+_LASTING = f"(select symbol, t, case when count(r) over w = 3 then sum((r > 0)::int) over w = 3 end as up, case when count(r) over w = 3 then sum((r < 0)::int) over w = 3 end as down from r12 window w as {_W(2, 'current row')})"
+_CALM = f"(select r12.symbol, r12.t, r12.r, v from r12 join (select symbol, t, case when count(r) over w = 48 then stddev_samp(r) over w end as v from r1 window w as {_W(47, 'current row')}) using (symbol, t))"
+_SHOCK = f"(select symbol, t, case when count(*) over w = 24 and stddev_samp(volume) over w > 0 then (volume - avg(volume) over w) / stddev_samp(volume) over w end as z from b window w as {_W(24, '1 preceding')})"
+
+
+@query("e16_reference_rules", with_bars(" union all ".join([
+    _SIDE("always_long", "r > -1", "false", "r1"), _SIDE("always_short", "false", "r < 1", "r1"), _SIDE("momentum_1h", "r > 0", "r < 0", "r12"), _SIDE("momentum_4h", "r > 0", "r < 0", "r48"),
+    _SIDE("momentum_1d", "r > 0", "r < 0", "r288"), _SIDE("reversal_1h", "r < 0", "r > 0", "r12"), _SIDE("momentum_1h_persist3", "up", "down", _LASTING), _SIDE("momentum_1h_hold12", "r > 0", "r < 0", "r12"),
+    _SIDE("lowvol_momentum_long", "r > 0 and v < 0.002", "false", _CALM), _SIDE("volume_shock_fade", "false", "z > 3", _SHOCK),
+]), *map(_BACK, (1, 12, 48, 288))))
+def e16(spark, d):
+    """Targets of the ten rules, from one pass over the bars and one more for the rule that has to last."""
+    rules = reference_rules()
+    df = compile_rules(market(spark, d), rules, KEYS)
+    return df.select("symbol", "t", F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("target")) for k in rules))).alias("x")).select("symbol", "t", "x.*")
+
+
+@query("e14_record_problems", """select event_id, array_to_string(list_filter([
+ case when event_type is null then 'event:missing' when event_type not in ('momentum', 'reversal', 'volatility_shock', 'volume_shock', 'breakout', 'clock_boundary') then 'event:unknown' end,
+ case when direction is null then 'direction:missing' when direction not in ('continuation', 'reversal') then 'direction:unknown' end, case when action is null then 'action:missing' when action not in ('long', 'short', 'flat', 'abstain', 'exit') then 'action:unknown' end,
+ case when len(context) = 0 then 'context:missing' when len(list_filter(context, lambda x: x not in ('high_volatility', 'low_volatility', 'trend', 'range', 'high_volume', 'low_volume'))) > 0 then 'context:unknown' end,
+ case when len(list_filter(quality, lambda x: x not in ('persistence', 'acceleration', 'exhaustion', 'divergence', 'confirmation'))) > 0 then 'quality:unknown' end,
+ case when trim(hypothesis) = '' then 'hypothesis:missing' end], lambda x: x is not null), ',') as problems from (select event_id, case when event_id % 3 = 0 then 'momentum' else event_type end as event_type,
+ case when event_id % 5 = 0 then null when event_id % 2 = 0 then 'reversal' else 'sideways' end as direction, case when event_id % 7 = 0 then 'buy' else 'long' end as action,
+ case when event_id % 4 = 0 then []::varchar[] else ['trend', event_type] end as context, ['persistence'] as quality, case when event_id % 11 = 0 then ' ' else 'x' end as hypothesis from events)""")
+def e14(spark, d):
+    """Records made of events, many of them wrong on purpose."""
+    i = F.col("event_id")
+    rec = events(spark, d).select(
+        "event_id",
+        F.when(i % 3 == 0, "momentum").otherwise(F.col("event_type")).alias("event"),
+        F.when(i % 5 == 0, None).when(i % 2 == 0, "reversal").otherwise("sideways").alias("direction"),
+        F.when(i % 7 == 0, "buy").otherwise("long").alias("action"),
+        F.when(i % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("trend"), F.col("event_type"))).alias("context"),
+        F.array(F.lit("persistence")).alias("quality"),
+        F.when(i % 11 == 0, " ").otherwise("x").alias("hypothesis"),
+        F.lit("h").alias("hypothesis_id"), F.lit("f").alias("expected_failure_mode"),
+    )
+    return rec.select("event_id", F.array_join(record_problems(), ",").alias("problems"))
 
 
 @query("b1_positions", with_bars("select symbol, t, position, cancelled from p", _TARGET, _POSITION))
@@ -111,16 +179,6 @@ def b7(spark, d):
     return m.withColumns({k: F.round(k, n) for k, n in digits.items()})
 
 
-@query("b2_longest_holding")
-def b2(spark, d):
-    return ledger.held_for_at_most(targets(spark, d).select("symbol", "t", "target"), KEYS, 3)
-
-
-@query("b11_cooldown")
-def b11(spark, d):
-    return ledger.cooled(market(spark, d).where("close > open and volume > 4").select("symbol", "t", "close"), KEYS, 4 * BAR)
-
-
 _TOUCH = 6
 
 
@@ -150,5 +208,5 @@ def b13(spark, d):
 
 @query("w9_event_intervals", with_bars("select symbol, t, (t - lag(t) over (partition by symbol order by t)) / 3600.0 as hours, coalesce((t - lag(t) over (partition by symbol order by t)) <> 28800, false) as differs from b where t % 28800 = 0"))
 def w9(spark, d):
-    x = ordered(market(spark, d).where("t % 28800 = 0").select("symbol", "t"), KEYS, {"p": F.lag("t")})
+    x = ordered(market(spark, d).where("t % 28800 = 0").select("symbol", "t"), KEYS, {"p": ("lag", "t")})
     return x.select("symbol", "t", ((F.col("t") - F.col("p")) / 3600.0).alias("hours"), F.coalesce(F.col("t") - F.col("p") != 28800, F.lit(False)).alias("differs"))

@@ -25,11 +25,6 @@ def r1(spark, d):
     return st.group_effects(hourly(spark, d), "phase", "x").withColumns({c: F.round(c, 5) for c in ("effect", "welch_t")})
 
 
-@query("r2_permutation_null")
-def r2(spark, d):
-    return st.permutation_null(hourly(spark, d).groupBy("day", "phase").agg(F.avg("x").alias("x")).withColumn("k", F.col("day") * 6 + F.col("phase")), "phase", "x", "k", 200, 7)
-
-
 @query("r3_largest_phase", "with g as (select (epoch_us(ts) // 3600000000 % 6)::int as phase, round(avg(value), 6) as m from events group by 1) select phase, m from g order by m desc, phase limit 1")
 def r3(spark, d):
     g = hourly(spark, d).groupBy("phase").agg(r6(F.avg("x")).alias("m"))
@@ -77,20 +72,6 @@ def r12(spark, d):
     return r10(spark, d).agg((1 - F.sum("sse") / F.sum("sst")).alias("r2"), F.min(1 - F.col("sse") / F.col("sst")).alias("worst_fold"), F.sum("n").alias("n"))
 
 
-@query("r16_day_bootstrap")
-def r16(spark, d):
-    """Interval of a daily ratio from 1,000 draws of days."""
-    days = hourly(spark, d).groupBy("day").agg(F.sum("x").alias("num"), F.count("*").alias("den"))
-    reps = st.cluster_bootstrap(days, "day", 1000, 3)
-    return reps.agg(*(F.expr(f"percentile_cont({p}) within group (order by ratio)").alias(k) for k, p in {"low": 0.025, "middle": 0.5, "high": 0.975}.items()))
-
-
-@query("r17_sign_flips")
-def r17(spark, d):
-    days = hourly(spark, d).groupBy("day").agg((F.avg("x") - 50).alias("x"))
-    return st.sign_flip_p(days, "day", "x", 1000, 5)
-
-
 @query("r20_correlations", with_bars("select symbol, round(corr(close, volume), 5) as pearson, round(corr(rc, rv), 5) as spearman from (select *, row_number() over (partition by symbol order by close, t) as rc, row_number() over (partition by symbol order by volume, t) as rv from b) group by 1"))
 def r20(spark, d):
     w = Window.partitionBy("symbol")

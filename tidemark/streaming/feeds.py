@@ -17,7 +17,8 @@ def stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", files:
 
 
 def counts(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events and value of each feed and tumbling window; rows later than the watermark are left out."""
+    """Events and value of each feed and tumbling window. In update and append mode, windows that end before the watermark are let
+    go, and rows for them are left out; complete mode keeps all."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     w = timed.groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).alias("q"))
     return w.select("event_type", F.unix_seconds("window.start").alias("t"), "n", F.col("q").cast("double").alias("total"))
@@ -46,12 +47,20 @@ def checked_books(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session").applyInPandasWithState(step, "session long, frame_no long, status string, valid boolean", "last long, valid boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(result: DataFrame, table: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what has arrived into a Parquet table and stop. Complete results replace the table each time."""
+def run_available(result: DataFrame, table: str, checkpoint: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Process what has arrived into Parquet and stop; gives the rows that hold. In update mode each batch is written to a folder of
+    its own, ``table``/batch=<n> (the same again if a batch is repeated after a crash), and of each key the last batch's
+    row holds; state behind the watermark is let go."""
+    spark = result.sparkSession
 
-    def replace(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(table)
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={epoch}")
 
     writer = result.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query = writer.foreachBatch(replace).start() if mode == "complete" else writer.format("parquet").option("path", table).start()
+    query = writer.foreachBatch(put).start() if mode == "update" else writer.format("parquet").option("path", table).start()
     query.awaitTermination()
+    rows = spark.read.parquet(table)
+    if mode != "update":
+        return rows
+    values = [c for c in result.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
