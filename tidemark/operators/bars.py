@@ -76,16 +76,16 @@ def grid(df: DataFrame, keys: list[str], step: int, t: str = "t") -> DataFrame:
 def ordered(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, str]], t: str = "t", chunk: int = 30 * 86400) -> DataFrame:
     """Adds values of the row before or after in each series, whatever the gap; columns: name -> ("lag" or "lead", column).
     Rows are dealt into chunks of time once; a small table of the chunks' ends serves the rows at their edges."""
-    own = df.withColumn("_chunk", F.floor(F.col(t) / chunk)).repartition(*keys, "_chunk")
+    own = df.withColumn("__chunk", F.floor(F.col(t) / chunk)).repartition(*keys, "__chunk")
     whole = F.struct(*dict.fromkeys(c for _, c in columns.values()))
-    near = Window.partitionBy(*keys).orderBy("_chunk")
-    ends = own.groupBy(*keys, "_chunk").agg(F.min_by(whole, t).alias("_first"), F.max_by(whole, t).alias("_last"))
-    ends = ends.select(*keys, "_chunk", F.lag("_last").over(near).alias("_before"), F.lead("_first").over(near).alias("_after"))
-    by = Window.partitionBy(*keys, "_chunk").orderBy(t)
+    near = Window.partitionBy(*keys).orderBy("__chunk")
+    ends = own.groupBy(*keys, "__chunk").agg(F.min_by(whole, t).alias("__first"), F.max_by(whole, t).alias("__last"))
+    ends = ends.select(*keys, "__chunk", F.lag("__last").over(near).alias("__before"), F.lead("__first").over(near).alias("__after"))
+    by = Window.partitionBy(*keys, "__chunk").orderBy(t)
     inner = {k: (F.lag if kind == "lag" else F.lead)(c).over(by) for k, (kind, c) in columns.items()}
-    x = own.withColumns({"_head": F.lag(F.lit(1)).over(by).isNull(), "_tail": F.lead(F.lit(1)).over(by).isNull()} | inner).join(ends, [*keys, "_chunk"])
-    edge = {k: F.when(F.col("_head"), F.col(f"_before.{c}")).otherwise(F.col(k)) if kind == "lag" else F.when(F.col("_tail"), F.col(f"_after.{c}")).otherwise(F.col(k)) for k, (kind, c) in columns.items()}
-    return x.withColumns(edge).drop("_chunk", "_head", "_tail", "_before", "_after")
+    x = own.withColumns({"__head": F.lag(F.lit(1)).over(by).isNull(), "__tail": F.lead(F.lit(1)).over(by).isNull()} | inner).join(ends, [*keys, "__chunk"])
+    edge = {k: F.when(F.col("__head"), F.col(f"__before.{c}")).otherwise(F.col(k)) if kind == "lag" else F.when(F.col("__tail"), F.col(f"__after.{c}")).otherwise(F.col(k)) for k, (kind, c) in columns.items()}
+    return x.withColumns(edge).drop("__chunk", "__head", "__tail", "__before", "__after")
 
 
 def prefix(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, str]], t: str = "t", chunk: int = 30 * 86400) -> DataFrame:

@@ -73,7 +73,7 @@ def s11(spark, d):
     return _counted(*landed.premium_index(raw_bars(spark, d), "x", MS), "premium_high")
 
 
-@query("s12_funding_events", with_bars(f"select symbol, t * 1000 as ts, round(close::decimal(18,6)::double, 6) as funding_rate, 8.0 as declared_hours from b where t % 28800 = 0 and {_ODD} % 19 <> 0 and {_ODD} % 7 <> 0"))
+@query("s12_funding_events", with_bars(f"select symbol, t * 1000 as ts, round(close::decimal(18,6)::double, 6) as funding_rate, 8.0::double as declared_hours from b where t % 28800 = 0 and {_ODD} % 19 <> 0 and {_ODD} % 7 <> 0"))
 def s12(spark, d):
     t = F.col("t")
     rows = market(spark, d).where("t % 28800 = 0").select(F.col("symbol").alias("of"), (t * 1000).cast("string").alias("calc_time"), F.when(F.floor(t / BAR) % 7 == 0, "0").otherwise("8").alias("funding_interval_hours"), F.when(F.floor(t / BAR) % 19 == 0, "").otherwise(F.col("close").cast(MONEY).cast("string")).alias("last_funding_rate"))

@@ -79,7 +79,7 @@ def a23(spark, d):
 
 @query("a24_strategy_metrics", with_bars(f"""select n.symbol, count(*) as bars, round(avg(net) * {24 * 365}, 4) as annualised, round(avg(net) / stddev_samp(net) * sqrt({24 * 365}), 4) as sharpe, round(max(top - equity), 5) as max_drawdown, round(sum(gross), 5) as gross_total, round(sum(turnover * 0.0005), 5) as cost_total, any_value(k.trades) as trades, any_value(k.hit_rate) as hit_rate
  from (select *, max(equity) over (partition by symbol order by t) as top from (select *, sum(net) over (partition by symbol order by t) as equity from (select *, gross - turnover * 0.0005 as net from n))) n
- join (select symbol, count(*) as trades, round(avg((to_position * (exit_price / nullif(price, 0) - 1) - 0.001 > 0)::int), 5) as hit_rate from (select *, lead(price) over (partition by symbol order by fill_t) as exit_price from f) where to_position <> 0 and exit_price is not null group by 1) k on k.symbol = n.symbol group by 1""", _TARGET, _POSITION, _RETURNS, "f as (select symbol, t as fill_t, open as price, position as to_position from p window o as (partition by symbol order by t) qualify position <> coalesce(lag(position) over o, 0))"))
+ join (select symbol, count(*) as trades, round(avg((to_position * (exit_price / nullif(price, 0) - 1) - 0.001 > 0)::int), 5)::double as hit_rate from (select *, lead(price) over (partition by symbol order by fill_t) as exit_price from f) where to_position <> 0 and exit_price is not null group by 1) k on k.symbol = n.symbol group by 1""", _TARGET, _POSITION, _RETURNS, "f as (select symbol, t as fill_t, open as price, position as to_position from p window o as (partition by symbol order by t) qualify position <> coalesce(lag(position) over o, 0))"))
 def a24(spark, d):
     """Metrics of a strategy's bars with those of its closed trades: annualised, drawdown, hit rate and costs."""
     position = held(spark, d)
@@ -107,10 +107,10 @@ def a27(spark, d):
     return x.rollup("lang").agg(F.count("*").alias("runs"), F.round(F.avg("n_chars"), 4).alias("mean_chars"), F.count_if(F.col("doc_id") % 2 == 0).alias("even"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources")).select(F.coalesce("lang", F.lit("total")).alias("arm"), "runs", "mean_chars", "even", "sources")
 
 
-@query("a30_lag_distribution", "select event_type, count(*) as n, count(*) filter (where x < 0) as negative, min(x) as min, max(x) as max from (select event_type, (value * 10)::bigint - 200 as x from events) group by 1")
+@query("a30_lag_distribution", "select event_type, count(*) as n, count(*) filter (where x < 0) as negative, min(x) as min, max(x) as max from (select event_type, floor(value * 10)::bigint - 200 as x from events) group by 1")
 def a30(spark, d):
     """Delays by feed; the approximate quantiles are tested on their own."""
-    return reports.lags(events(spark, d), ["event_type"], F.round(F.col("value") * 10).cast("long") - 200).drop("q")
+    return reports.lags(events(spark, d), ["event_type"], F.floor(F.col("value") * 10) - 200).drop("q")
 
 
 @query("a32_repeated_sessions", "select user_id as session, count(*) as frames, count(distinct event_type) as paths from events group by 1 having count(distinct event_type) > 1")

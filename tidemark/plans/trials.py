@@ -230,10 +230,19 @@ def r30(spark, d):
 _BATCH = {"trend_4": ("trend", 4), "trend_8": ("trend", 8), "return_2": ("return", 2), "return_6": ("return", 6)}
 
 
-@query("b8_batch_evaluation", with_bars("with s as (" + " union all ".join(
-    f"select '{k}' as rule, symbol, t, case when v > 0 then 1 when v < 0 then -1 else 0 end as side, y from (select b.symbol, b.t, " + (f"case when count(*) over (partition by b.symbol order by b.t range between {(w - 1) * BAR} preceding and current row) = {w} then b.close / nullif(avg(b.close) over (partition by b.symbol order by b.t range between {(w - 1) * BAR} preceding and current row), 0) - 1 end" if op == "trend" else "b.close / nullif(p.close, 0) - 1") + f" as v, greatest(-2, least(2, n.close / nullif(b.close, 0) - 1)) as y from b left join b n on n.symbol = b.symbol and n.t = b.t + {BAR}" + ("" if op == "trend" else f" left join b p on p.symbol = b.symbol and p.t = b.t - {w * BAR}") + ")"
-    for k, (op, w) in _BATCH.items()) + """), g as (select rule, case when t < 1705276800 then 'research' else 'validation' end as split, avg(side * y) as e, count(*) as n from s where side <> 0 and y is not null group by 1, 2), x as (select rule, max(e) filter (where split = 'research') as research, max(e) filter (where split = 'validation') as validation, max(n) filter (where split = 'research') as n from g group by 1)
- select rule, n, round(research, 6) as research, round(validation, 6) as validation, case when n < 100 then 'too_few' when research <= 0 then 'rejected' when validation <= 0 then 'not_confirmed' else 'survivor' end as status from x"""))
+def _signal_sql(name: str, op: str, w: int) -> str:
+    over = f"over (partition by b.symbol order by b.t range between {(w - 1) * BAR} preceding and current row)"
+    value = f"case when count(*) {over} = {w} then b.close / nullif(avg(b.close) {over}, 0) - 1 end" if op == "trend" else "b.close / nullif(p.close, 0) - 1"
+    before = "" if op == "trend" else f" left join b p on p.symbol = b.symbol and p.t = b.t - {w * BAR}"
+    return f"select '{name}' as rule, symbol, t, case when v > 0 then 1 when v < 0 then -1 else 0 end as side, y from (select b.symbol, b.t, {value} as v, greatest(-2, least(2, n.close / nullif(b.close, 0) - 1)) as y from b left join b n on n.symbol = b.symbol and n.t = b.t + {BAR}{before})"
+
+
+@query("b8_batch_evaluation", with_bars(
+    "select rule, n, round(research, 6) as research, round(validation, 6) as validation, case when n < 100 then 'too_few' when research <= 0 then 'rejected' when validation <= 0 then 'not_confirmed' else 'survivor' end as status from x",
+    "s as (" + " union all ".join(_signal_sql(k, op, w) for k, (op, w) in _BATCH.items()) + ")",
+    "g as (select rule, case when t < 1705276800 then 'research' else 'validation' end as split, avg(side * y) as e, count(*) as n from s where side <> 0 and y is not null group by 1, 2)",
+    "x as (select rule, max(e) filter (where split = 'research') as research, max(e) filter (where split = 'validation') as validation, max(n) filter (where split = 'research') as n from g group by 1)",
+))
 def b8(spark, d):
     """Many rules at once: targets from one pass, effects by rule and split, and a status for every one."""
     from ..functions.rules import compile_rules
@@ -270,8 +279,8 @@ def b15(spark, d):
     return carry.margin_path(x, "trade", "k", 60.0, 0.05).withColumn("worst_margin", F.round("worst_margin", 5))
 
 
-@query("b18_resolved_mark", with_bars("""select symbol, t, case when r is not null and r not in ('', 'x') and r::double > 0 then round(r::double, 6) when volume > 1 and open > 0 then round(open, 6) end as mark, case when r is not null and r not in ('', 'x') and r::double > 0 then 'published' when volume > 1 and open > 0 then 'bar_open' else 'unavailable' end as mark_source,
- case when r is null or r = '' then 'absent' when r = 'x' then 'unparseable' when r::double <= 0 then 'non_positive' else 'valid' end as mark_reason from (select *, case when t // 3600 % 7 = 0 then null when t // 3600 % 5 = 0 then '' when t // 3600 % 3 = 0 then 'x' when t // 3600 % 11 = 0 then '-1' else close::decimal(18,6)::varchar end as r from b where t % 28800 = 0)"""))
+@query("b18_resolved_mark", with_bars("""select symbol, t, case when r is not null and r not in ('', 'x') and try_cast(r as double) > 0 then round(try_cast(r as double), 6) when volume > 1 and open > 0 then round(open, 6) end as mark, case when r is not null and r not in ('', 'x') and try_cast(r as double) > 0 then 'published' when volume > 1 and open > 0 then 'bar_open' else 'unavailable' end as mark_source,
+ case when r is null or r = '' then 'absent' when r = 'x' then 'unparseable' when try_cast(r as double) <= 0 then 'non_positive' else 'valid' end as mark_reason from (select *, case when t // 3600 % 7 = 0 then null when t // 3600 % 5 = 0 then '' when t // 3600 % 3 = 0 then 'x' when t // 3600 % 11 = 0 then '-1' else close::decimal(18,6)::varchar end as r from b where t % 28800 = 0)"""))
 def b18(spark, d):
     h = F.floor(F.col("t") / 3600)
     rest = F.when(h % 7 == 0, None).when(h % 5 == 0, "").when(h % 3 == 0, "x").when(h % 11 == 0, "-1").otherwise(F.col("close").cast("decimal(18,6)").cast("string"))
