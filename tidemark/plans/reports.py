@@ -77,7 +77,7 @@ def a23(spark, d):
     return carry.layer_fidelity(x, ["click", "view", "purchase", "refund"])
 
 
-@query("a24_strategy_metrics", with_bars(f"""select n.symbol, count(*) as bars, round(avg(net) * {24 * 365}, 4) as annualised, round(avg(net) / stddev_samp(net) * sqrt({24 * 365}), 4) as sharpe, round(max(top - equity), 5) as max_drawdown, round(sum(gross), 5) as gross_total, round(sum(turnover * 0.0005), 5) as cost_total, any_value(k.trades) as trades, any_value(k.hit_rate) as hit_rate
+@query("a24_strategy_metrics", with_bars(f"""select n.symbol, count(*) as bars, round(avg(net) * {24 * 365}, 4) as annualised, round(avg(net) / stddev_samp(net) * sqrt({24 * 365}), 4) as sharpe, round(max(top - equity), 5) as max_drawdown, round(sum(gross), 5) as gross_total, round(sum(turnover * 0.0005), 5)::double as cost_total, any_value(k.trades) as trades, any_value(k.hit_rate) as hit_rate
  from (select *, max(equity) over (partition by symbol order by t) as top from (select *, sum(net) over (partition by symbol order by t) as equity from (select *, gross - turnover * 0.0005 as net from n))) n
  join (select symbol, count(*) as trades, round(avg((to_position * (exit_price / nullif(price, 0) - 1) - 0.001 > 0)::int), 5)::double as hit_rate from (select *, lead(price) over (partition by symbol order by fill_t) as exit_price from f) where to_position <> 0 and exit_price is not null group by 1) k on k.symbol = n.symbol group by 1""", _TARGET, _POSITION, _RETURNS, "f as (select symbol, t as fill_t, open as price, position as to_position from p window o as (partition by symbol order by t) qualify position <> coalesce(lag(position) over o, 0))"))
 def a24(spark, d):

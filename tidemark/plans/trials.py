@@ -234,7 +234,7 @@ def _signal_sql(name: str, op: str, w: int) -> str:
     over = f"over (partition by b.symbol order by b.t range between {(w - 1) * BAR} preceding and current row)"
     value = f"case when count(*) {over} = {w} then b.close / nullif(avg(b.close) {over}, 0) - 1 end" if op == "trend" else "b.close / nullif(p.close, 0) - 1"
     before = "" if op == "trend" else f" left join b p on p.symbol = b.symbol and p.t = b.t - {w * BAR}"
-    return f"select '{name}' as rule, symbol, t, case when v > 0 then 1 when v < 0 then -1 else 0 end as side, y from (select b.symbol, b.t, {value} as v, greatest(-2, least(2, n.close / nullif(b.close, 0) - 1)) as y from b left join b n on n.symbol = b.symbol and n.t = b.t + {BAR}{before})"
+    return f"select '{name}' as rule, symbol, t, case when v > 0 then 1 when v < 0 then -1 else 0 end as side, y from (select b.symbol, b.t, {value} as v, case when n.close is not null and b.close <> 0 then greatest(-2, least(2, n.close / b.close - 1)) end as y from b left join b n on n.symbol = b.symbol and n.t = b.t + {BAR}{before})"
 
 
 @query("b8_batch_evaluation", with_bars(
