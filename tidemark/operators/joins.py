@@ -64,7 +64,7 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int
     near = F.abs(F.col(left_t) - F.col(right_t)) <= tolerance
     on = [l[k] == r[k] for k in [*keys, "_bucket"]] + [near]
     out = l.join(r.drop() if how in ("left_anti", "left_semi") else r, on, how)
-    return out.drop(*(r[k] for k in [*keys, "_bucket"])).drop("_bucket") if how == "inner" else out.drop(l["_bucket"])
+    return out.drop(*(r[k] for k in [*keys, "_bucket"])).drop("_bucket") if how in ("inner", "left") else out.drop(l["_bucket"])
 
 
 def interval_join(left: DataFrame, points: DataFrame, keys: list[str], start: str, end: str, t: str, bucket: int, closed: str = "left") -> DataFrame:
@@ -83,22 +83,22 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int
     and unmatched_right."""
     l = left.select(*keys, F.col("id").alias("left_id"), F.col("t").alias("left_t"), F.col(value).alias("left_value"))  # noqa: E741
     r = right.select(*keys, F.col("id").alias("right_id"), F.col("t").alias("right_t"), F.col(value).alias("right_value"))
-    pairs = band_join(l, r, keys, tolerance, "left_t", "right_t")
-    n_left = pairs.groupBy(*keys, "left_id").agg(F.count("*").alias("of_left"), F.min(F.struct("right_id", "right_t", "right_value")).alias("c"))
-    n_right = pairs.groupBy(*keys, "right_id").agg(F.count("*").alias("of_right"))
-    one = n_left.select(*keys, "left_id", "of_left", "c.*").join(n_right, [*keys, "right_id"])
+    # each right row with all left rows near it, or none; then one row a left row, and one a right row without any
+    pairs = band_join(r, l, keys, tolerance, "right_t", "left_t", "left").withColumn("of_right", F.count("left_id").over(Window.partitionBy(*keys, "right_id")))
+    lone = F.when(F.col("left_id").isNull(), F.col("right_id"))
+    best = F.min(F.struct("right_id", "right_t", "right_value", "of_right"))
+    one = pairs.groupBy(*keys, "left_id", lone.alias("lone")).agg(F.count("left_id").alias("of_left"), best.alias("c")).select(*keys, "left_id", "lone", "of_left", "c.*")
     status = (
-        F.when(F.col("of_left").isNull(), "unmatched")
+        F.when(F.col("lone").isNotNull(), "unmatched_right")
+        .when(F.col("of_left").isNull(), "unmatched")
         .when(F.col("of_left") > 1, "ambiguous")
         .when(F.col("of_right") > 1, "shared")
         .when(F.abs(F.col("left_value") - F.col("right_value")) > agree, "value_mismatch")
         .otherwise("matched")
     )
     sure = F.col("status").isin("matched", "value_mismatch")
-    main = l.join(one, [*keys, "left_id"], "left").withColumn("status", status)
-    main = main.select("left_id", "left_t", F.when(sure, F.col("right_id")).alias("right_id"), F.when(sure, F.col("right_t") - F.col("left_t")).alias("offset"), "status")
-    rest = r.join(n_right, [*keys, "right_id"], "left_anti").select(F.lit(None).cast("long").alias("left_id"), F.lit(None).cast("long").alias("left_t"), "right_id", F.lit(None).cast("long").alias("offset"), F.lit("unmatched_right").alias("status"))
-    return main.unionByName(rest)
+    main = l.join(one, [*keys, "left_id"], "full").withColumn("status", status)
+    return main.select("left_id", "left_t", F.when(sure, F.col("right_id")).otherwise(F.col("lone")).alias("right_id"), F.when(sure, F.col("right_t") - F.col("left_t")).alias("offset"), "status")
 
 
 def first_after(left: DataFrame, right: DataFrame, keys: list[str], within: int, take: list[str], t: str = "t") -> DataFrame:

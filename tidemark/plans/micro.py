@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins, sessions
 from ..operators.bars import MONEY, seconds
 from ..streaming import feeds
-from .common import events, r6
+from .common import checkpoint_folder, events, r6, stored
 from .registry import query
 
 _F = "f as (select user_id as session, event_id, event_type, value, props, epoch_us(ts) // 1000000 as clock, row_number() over (partition by user_id order by ts, event_id) as frame_no from events)"
@@ -61,7 +59,7 @@ _BOOK_SQL = f"with {_BOOK}, s as (select *, case when prev = -1 then 'snapshot'
 
 @query("m8_book_sequence", _BOOK_SQL)
 def m8(spark, d):
-    return sessions.book_sequence(book(spark, d), ["session"]).select("session", "frame_no", "status", "valid")
+    return sessions.book_sequence(stored(book(spark, d)), ["session"]).select("session", "frame_no", "status", "valid")
 
 
 @query("m9_session_quality", f"with {_F} select session, count(*) as frames, count(*) filter (where event_type = 'click') as n_click, count(*) filter (where event_type = 'purchase') as n_purchase, array_to_string(list_sort(list_filter(['click', 'purchase'], lambda x: not list_contains(list(event_type), x))), ',') as missing, (count(*) >= 10 and bool_or(event_type = 'click') and bool_or(event_type = 'purchase')) as ok from f group by 1")
@@ -114,18 +112,10 @@ def m18(spark, d):
     return sessions.natural_key_dedupe(li.union(twice), ["l_orderkey", "l_linenumber"], ["l_suppkey"])
 
 
-def _place(spark) -> str:
-    """The session's shared checkpoint folder; one of our own only where none is set, as in tests on one machine."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
 def _streamed(spark, result, mode: str, keys: tuple[str, ...] = ()):
     import uuid
 
-    at = f"{_place(spark)}/stream-{uuid.uuid4().hex}"
+    at = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     return feeds.run_available(result, f"{at}/table", f"{at}/checkpoint", mode, keys)
 
 
@@ -140,6 +130,6 @@ def m8_streamed(spark, d):
     """The book check with keyed state: messages are written as files and read as a stream, in one batch or many."""
     import uuid
 
-    at = f"{_place(spark)}/messages-{uuid.uuid4().hex}"
+    at = f"{checkpoint_folder(spark)}/messages-{uuid.uuid4().hex}"
     book(spark, d).write.parquet(at)
     return _streamed(spark, feeds.checked_books(feeds.stream(spark, at)), "append")

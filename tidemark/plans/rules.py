@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import Limits, baseline_targets, boolean, compile_rules, numeric, record_problems, reference_rules, with_windows
 from ..operators import ledger
 from ..operators.bars import BAR, ordered, rolling
-from .common import events, market, r6, with_bars
+from .common import events, market, r6, stored, with_bars
 from .registry import query
 
 KEYS = ["symbol"]
@@ -70,7 +70,7 @@ def targets(spark, d):
 
 
 def held(spark, d):
-    return ledger.positions(targets(spark, d), KEYS, BAR)
+    return stored(ledger.positions(stored(targets(spark, d)), KEYS, BAR))
 
 
 @query("e12_strategy_target", with_bars("select symbol, t, target from g", _TARGET))
