@@ -102,3 +102,29 @@ def test_null_and_clashing_ids(spark):
     for t, (_, size, gone, spans, sha) in want.items():
         g = got[hashes[t]]
         assert (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) == (size, gone, spans, sha)
+
+
+def test_suffixes_are_sorted_by_ranks_of_samples():
+    import numpy as np
+
+    rng = random.Random(8)
+    for length in (40, 200):
+        parts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 90))) for _ in range(6)]
+        text = "".join(rng.choice(parts) for _ in range(60)).encode()
+        data = np.frombuffer(text + b"c" * (-len(text) % substrings.PERIOD), np.uint8)
+        rank = substrings.sample_ranks(data, length)
+        tails = [bytes(data[k * 32 :]) for k in range(len(rank))]
+        for i in range(len(rank)):
+            for j in range(len(rank)):
+                if tails[i][:length] != tails[j][:length]:
+                    assert (rank[i] < rank[j]) == (tails[i] < tails[j])
+        start = np.arange(0, len(text) - length, 1)
+        start = start[start % substrings.PERIOD == 5]
+        order, same = substrings.equal_suffixes(data, start, length)
+        got = [bytes(data[start[k] : start[k] + length]) for k in order]
+        assert got == sorted(got) and all(same[k] == (k > 0 and got[k] == got[k - 1]) for k in range(len(got)))
+
+
+def test_buckets_are_sorted_some_anchors_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SORT_BYTES", 500)
+    check(spark, made(7, 60), 60, gram=20, buckets=2)

@@ -1,26 +1,25 @@
-"""Exact removal of repeated substrings by blockwise suffix bucketing.
+"""Exact removal of repeated substrings by blockwise suffix sorting with ranks of a sample.
 
 Bytes covered by a ``length``-byte string that also starts anywhere else (same text included) are removed.
-Suffixes are compared to a depth of ``length`` bytes only, and in buckets, one at a time, so that memory is bounded
-by a bucket.
-
-A plain difference cover fixes sample positions modulo v, so that any two suffixes reach a common sample within v
-bytes. Here the sample is chosen by content instead: the anchor of a suffix is the smallest ``gram``-byte hash in
-its first ``length`` bytes. Equal strings have equal anchors at equal offsets, so the guarantee is the same, but
-each suffix has one anchor rather than one for each difference, and a sixth of the samples do (see the README).
-
-1. Texts that occur more than once are counted by hash; all their strings repeat. One of each goes on.
-2. A run of suffixes with one anchor is a block. Blocks go to buckets by anchor with a rank (a fingerprint) of all the
-   bytes that their suffixes reach. Blocks of equal rank settle the whole tie: all their suffixes repeat.
-3. Where blocks share an anchor and the bytes to the left or right of it, but not the rank, those alone in their rank, and
-   one of each other rank, get fingerprints of each suffix; these decide.
+Suffixes are compared to a depth of ``length`` bytes, one bucket at a time, so that memory is bounded by a bucket.
+
+1. Texts that occur more than once are counted by name; all their strings repeat. One of each goes on.
+2. The anchor of a suffix is the smallest ``gram``-byte hash in its first ``length`` bytes; equal strings have equal anchors at
+   equal offsets. A run of suffixes with one anchor is a block; blocks go to suffix buckets by anchor, with a name of
+   all the bytes that their suffixes reach. Blocks of one name repeat as a whole, and one of them goes on for all.
+3. Where blocks share an anchor and the bytes to the left or right of it, but not the name, their bytes are brought together
+   and their suffixes are sorted, some anchors at a time. The bytes are laid out so that anchors fall on one residue modulo
+   ``PERIOD``; a cover of sample positions, every ``PERIOD`` bytes, is ranked first, by doubling. A suffix is sorted by its first
+   ``PERIOD`` bytes, and ties by the rank of the first sample after its start, which is at the same distance in any suffix
+   that could be equal. Neighbours in this order are compared byte by byte; equal ones repeat.
 4. Suffixes that repeat become spans, spans are joined to the texts, and the bytes are cut.
 
-Hot anchors and hot strings are settled within each slice first, and one row a slice goes on.
-Names of blocks and fingerprints of suffixes stand for strings; they are shortened to what, with the anchor, still makes
-72 bits or more, so two strings that share an anchor are mistaken with a chance of 2**-40 a pair.
+A plain difference cover has to bring any two suffixes to a common sample, whatever their residues, so it samples several
+positions of a period and carries them for all bytes; aligned anchors leave one difference, zero, and one sample a period.
+Names (BLAKE2) stand for whole texts and blocks, shortened to what, with the anchor, makes 80 bits; what is sorted is bytes.
 Defined results: null and empty texts have no bytes and nothing removed; repeated rows and ids are repetitions of
-each other; an empty table gives an empty result; other columns are not read.
+each other; very long texts count whole; null and clashing ids are kept apart by their texts; an empty table gives an
+empty result; other columns are not read, and cut_texts() hands them on.
 """
 
 from __future__ import annotations
@@ -38,6 +37,9 @@ from .store import dealt, kept, with_hot_keys, written
 
 LENGTH = 200
 GRAM = 64
+PERIOD = 32
+#: About so many bytes of blocks are sorted at a time.
+SORT_BYTES = 2 << 20
 SETTLED, OPEN, PROBE = 0, 1, 2
 
 
@@ -57,7 +59,8 @@ def window_argmin(values: np.ndarray, w: int) -> np.ndarray:
 def anchor_blocks(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, ranked: bool = True):
     """Blocks of suffixes with one anchor: text, first and last start, anchor hash, rank of all that they reach, and hashes
     of the anchor with half of what a string has besides it, to the left and to the right: equal strings share one of
-    these (past the end of a text they are the block's own). Places are within the slice."""
+    these (past the end of a text they are the block's own). Places are within the slice. Without ``ranked``, the
+    anchor's place is in the rank's stead."""
     prefix = tv.prefix_hash(tv.EXACT[data])
     n = int(offsets[-1])
     none = np.zeros(0, np.int64)
@@ -75,7 +78,7 @@ def anchor_blocks(data: np.ndarray, offsets: np.ndarray, length: int, gram: int,
     cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
     lo, hi, anchor, text = start[cut], start[np.append(cut[1:], len(start)) - 1], anchor[cut], text[cut]
     if not ranked:
-        return text, lo, hi, grams[anchor], none, none, none
+        return text, lo, hi, grams[anchor], anchor, none, none
     rank = tv.span_names(data, lo, hi + length)
     half = (length - gram) // 2
     left, right = np.maximum(anchor - half, offsets[text]), np.minimum(anchor + gram + length - gram - half, offsets[text + 1])
@@ -100,7 +103,7 @@ def _pack(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch
 
 
 _BLOCKS = {"anchor": np.uint32, "rank": "V6", "text": np.uint64, "lo": np.int32, "n": np.uint16, "left": "V3", "right": "V3"}
-_SUFFIXES = {"anchor": np.uint32, "text": np.uint64, "lo": np.int32, "n": np.uint16, "open": np.uint8}
+_OPEN = {"anchor": np.uint32, "text": np.uint64, "lo": np.int32, "n": np.uint16, "at": np.uint16, "open": np.uint8}
 _FOUND = "text long, code long"  # lo << 18 | hi - lo << 2 | kind
 
 
@@ -148,8 +151,8 @@ def _block_rows(docs: DataFrame, text: str, buckets: int, length: int, gram: int
 
 
 def _classify(buckets: int):
-    """One bucket: blocks whose rank occurs twice are settled; of mixed anchors, the rest is open, and one block of
-    each settled rank helps to decide."""
+    """One bucket: blocks whose name occurs twice are settled; of mixed anchors, the rest is open, and one block of
+    each settled name helps to decide."""
 
     def run(table: pa.Table) -> pa.Table:
         x = _unpack(table, _BLOCKS)
@@ -190,9 +193,8 @@ def _runs(at: np.ndarray, block: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (block[1:] != block[:-1])])) if len(at) else np.zeros(0, np.int64)
 
 
-def _suffix_rows(found: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """Fingerprints of the suffixes of open and probe blocks as packed runs, by the anchor's bucket. Suffixes that are
-    settled within their slice go to buckets from ``buckets`` on; two of each go on for them."""
+def _open_rows(found: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+    """Open and probe blocks with the bytes that their suffixes reach, by the anchor's bucket."""
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch | None:
         codes = part.column("blocks")
@@ -201,70 +203,122 @@ def _suffix_rows(found: DataFrame, buckets: int, length: int, gram: int) -> Data
         use = np.flatnonzero(code & 3 != SETTLED)
         if not len(use):
             return None
-        use = use[np.argsort(own[use] << 32 | code[use] >> 18, kind="stable")]
-        own, lo, hi, kind = own[use], code[use] >> 18, (code[use] >> 18) + (code[use] >> 2 & 0xFFFF), code[use] & 3
+        own, lo, n, kind = own[use], code[use] >> 18, code[use] >> 2 & 0xFFFF, code[use] & 3
         data, offsets = tv.text_bytes(part.column("text"))
-        _, begins, _, anchors, *_ = anchor_blocks(data, offsets, length, gram, ranked=False)
-        anchor = (anchors[np.searchsorted(begins, lo + offsets[own])] >> np.uint64(32)).astype(np.uint32)
-        size = hi - lo + 1
-        block = np.repeat(np.arange(len(lo)), size)
-        at = lo[block] + np.arange(len(block)) - np.repeat(np.cumsum(size) - size, size)
-        start = at + offsets[own[block]]
-        key = tv.window_hashes(data, length)[start]
-        is_open = kind[block] == OPEN
-        order = np.lexsort((~is_open, key))
-        begin, many = _groups(key[order])
-        goes = np.zeros(len(key), bool)
-        goes[order[begin]] = True
-        goes[order[begin[many > 1] + 1]] = True
-        settled = is_open & ~goes
+        _, begins, _, anchors, places, *_ = anchor_blocks(data, offsets, length, gram, ranked=False)
+        which = np.searchsorted(begins, lo + offsets[own])
+        anchor = (anchors[which] >> np.uint64(32)).astype(np.uint32)
+        bucket = (anchor % np.uint32(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        own, lo, n, kind, which, anchor, bucket = (x[order] for x in (own, lo, n, kind, which, anchor, bucket))
+        size = n + length
+        ends = np.cumsum(size)
+        each = np.repeat(lo + offsets[own] - (ends - size), size) + np.arange(int(ends[-1]))
         name = np.asarray(part.column("name")).astype(np.int64).view(np.uint64)[own]
-        out = []
-        for chosen, shift in ((np.flatnonzero(goes), 0), (np.flatnonzero(settled), buckets)):
-            cut = _runs(at[chosen], block[chosen])
-            out.append((chosen[cut], np.diff(np.append(cut, len(chosen))), shift))
-        head = np.concatenate([x[0] for x in out])
-        n = np.concatenate([x[1] for x in out])
-        place = np.concatenate([anchor[block[h]] % np.uint32(buckets) + np.uint32(shift) for h, _, shift in out]).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        head, n, place = head[order], n[order], place[order]
-        ends = np.cumsum(n)
-        each = np.repeat(head - (ends - n), n) + np.arange(int(ends[-1]))
-        begin, _ = _groups(place)
-        at_row = np.append(begin, len(place))
-        columns = {"anchor": anchor[block[head]], "text": name[block[head]], "lo": at[head].astype(np.int32), "n": n.astype(np.uint16), "open": is_open[head].astype(np.uint8)}
+        begin, _ = _groups(bucket)
+        at_row = np.append(begin, len(bucket))
+        columns = {"anchor": anchor, "text": name, "lo": lo.astype(np.int32), "n": n.astype(np.uint16), "at": (places[which] - begins[which]).astype(np.uint16), "open": (kind == OPEN).astype(np.uint8)}
         return pa.RecordBatch.from_arrays(
-            [pa.array(place[begin].astype(np.int32)), *(tv.binary(v, at_row) for v in columns.values()), tv.binary(_short(key[each], 5), np.concatenate([[0], ends])[at_row])],
-            names=["bucket", *columns, "key"],
+            [pa.array(bucket[begin].astype(np.int32)), *(tv.binary(v, at_row) for v in columns.values()), tv.binary(data[each], np.concatenate([[0], ends])[at_row])],
+            names=["bucket", *columns, "data"],
         )
 
-    return tv.map_packed(found, make, "bucket int, anchor binary, text binary, lo binary, n binary, open binary, key binary", "name", "blocks", limit=1 << 19)
-
-
-def _decide(buckets: int):
-    """One bucket of suffixes: those of open blocks whose fingerprint occurs at another place too, as runs."""
+    return tv.map_packed(found, make, "bucket int, " + ", ".join(f"{c} binary" for c in _OPEN) + ", data binary", "name", "blocks", limit=1 << 19)
+
+
+def _dense_ranks(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Ranks of rows from their order by the keys; equal rows have equal ranks."""
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def sample_ranks(data: np.ndarray, depth: int) -> np.ndarray:
+    """The lexicographic rank of what begins at each multiple of PERIOD, to ``depth`` bytes at least: ranks of PERIOD bytes are
+    doubled by the ranks of what follows. The length of data is a multiple of PERIOD."""
+    words = data.reshape(-1, PERIOD).view(">u8").astype(np.uint64).T
+    rank = _dense_ranks(np.lexsort(words[::-1]), *words)
+    step = 1
+    while step * PERIOD < depth:
+        then = np.full(len(rank), -1)
+        then[: max(len(rank) - step, 0)] = rank[step:]
+        rank = _dense_ranks(np.lexsort((then, rank)), rank, then)
+        step *= 2
+    return rank
+
+
+def equal_suffixes(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in sorted order, and whether each has the first ``length`` bytes of the one before it. Ones that can be
+    equal start at the same residue modulo PERIOD."""
+    room = -(-(len(data) + length + 2 * PERIOD) // PERIOD) * PERIOD
+    padded = np.zeros(room, np.uint8)
+    padded[: len(data)] = data
+    rank = sample_ranks(padded, length)
+    byte = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    word = lambda at: byte[at].view(">u8").reshape(-1).astype(np.uint64)
+    keys = [word(start + k) for k in range(0, PERIOD, 8)]
+    order = np.lexsort((rank[-(-start // PERIOD)], start % PERIOD, *keys[::-1]))
+    same = np.zeros(len(order), bool)
+    same[1:] = True
+    for k in keys:
+        same[1:] &= k[order[1:]] == k[order[:-1]]
+    same[1:] &= (start[order[1:]] - start[order[:-1]]) % PERIOD == 0
+    for k in [*range(PERIOD, length - 8, 8), length - 8]:  # the rest, where all before is equal
+        pair = np.flatnonzero(same)
+        same[pair] = word(start[order[pair]] + k) == word(start[order[pair - 1]] + k)
+    return order, same
+
+
+def _sort(length: int, at_once: int):
+    """One bucket of blocks: the open suffixes that occur at another place too, as runs. Some anchors at a time."""
 
     def run(table: pa.Table) -> pa.Table:
-        x = _unpack(table, _SUFFIXES)
-        n = x["n"].astype(np.int64)
-        each = np.repeat(np.arange(len(n)), n)
-        at = x["lo"].astype(np.int64)[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-        text, good = x["text"][each], x["open"][each] > 0
-        if table.column("bucket")[0].as_py() < buckets:
-            key = _wide(np.frombuffer(b"".join(table.column("key").to_pylist()), "V5"), 5)
-            key = tv.mix(key + tv.mix(x["anchor"][each].astype(np.uint64)))
-            order = np.lexsort((at, text, key))
-            begin, size = _groups(key[order])
-            a, b = order[begin], order[begin + size - 1]
-            twice = np.zeros(len(key), bool)
-            twice[order] = np.repeat((text[a] != text[b]) | (at[a] != at[b]), size)
-            good &= twice
-        text, at = text[good], at[good]
-        order = np.lexsort((at, text))
-        text, at = text[order], at[order]
-        cut = _runs(at, text)
-        end = np.append(cut[1:], len(at)) - 1 if len(at) else cut
-        return pa.table({"text": tv.signed(text[cut]), "lo": at[cut].astype(np.int32), "hi": at[end].astype(np.int32)})
+        x = _unpack(table, _OPEN)
+        data = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint8)
+        size = x["n"].astype(np.int64) + length
+        from_ = np.cumsum(size) - size
+        order = np.argsort(x["anchor"], kind="stable")
+        begin, many = _groups(x["anchor"][order])
+        reach = np.cumsum(np.add.reduceat(size[order], begin)) if len(begin) else begin
+        out: list[list] = [[], [], []]
+        k = 0
+        while k < len(begin):
+            stop = max(k + 1, int(np.searchsorted(reach, (reach[k - 1] if k else 0) + at_once, "right")))
+            mine = order[begin[k] : begin[stop - 1] + many[stop - 1]]
+            k = stop
+            if len(mine) < 2:
+                continue
+            # each block begins so that its anchor is at a multiple of the period
+            lead = -x["at"][mine].astype(np.int64) % PERIOD
+            room = -(-(lead + size[mine]) // PERIOD) * PERIOD
+            base = np.cumsum(room) - room + lead
+            laid = np.zeros(int(room.sum()), np.uint8)
+            inner = np.arange(int(size[mine].sum())) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
+            laid[np.repeat(base, size[mine]) + inner] = data[np.repeat(from_[mine], size[mine]) + inner]
+            n = x["n"][mine].astype(np.int64) + 1
+            block = np.repeat(np.arange(len(mine)), n)
+            place = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
+            ranked, same = equal_suffixes(laid, base[block] + place, length)
+            group = np.empty(len(block), np.int64)
+            group[ranked] = np.cumsum(~same)
+            text, at = x["text"][mine][block], x["lo"][mine].astype(np.int64)[block] + place
+            by = np.lexsort((at, text, group))
+            head, count = _groups(group[by])
+            a, b = by[head], by[head + count - 1]
+            twice = np.zeros(len(block), bool)
+            twice[by] = np.repeat((text[a] != text[b]) | (at[a] != at[b]), count)
+            good = twice & (x["open"][mine][block] > 0)
+            text, at = text[good], at[good]
+            by = np.lexsort((at, text))
+            text, at = text[by], at[by]
+            cut = _runs(at, text)
+            for o, v in zip(out, (tv.signed(text[cut]), at[cut].astype(np.int32), at[np.append(cut[1:], len(at)) - 1 if len(at) else cut].astype(np.int32)), strict=True):
+                o.append(v)
+        kinds = (np.int64, np.int32, np.int32)
+        return pa.table({c: np.concatenate([np.zeros(0, t), *v]) for c, v, t in zip(("text", "lo", "hi"), out, kinds, strict=True)})
 
     return run
 
@@ -304,7 +358,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     packed = tv.packed(slim, "text", "doc_id", "hash")
     found = packed.join(wanted, packed.doc_id.eqNullSafe(F.col("_id")) & (packed.hash == F.col("_hash"))).dropDuplicates(["name"])
     found = kept(found.select("name", "packed", "blocks"))
-    more = _suffix_rows(found, buckets, length, gram).groupBy("bucket").applyInArrow(_decide(buckets), "text long, lo int, hi int")
+    more = _open_rows(found, buckets, length, gram).groupBy("bucket").applyInArrow(_sort(length, SORT_BYTES), "text long, lo int, hi int")
     more = more.groupBy(F.col("text").alias("name")).agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
     settled = F.expr(f"transform(filter(blocks, b -> b & 3 = {SETTLED}), b -> struct(int(shiftright(b, 18)) as lo, int(shiftright(b, 18) + (shiftright(b, 2) & 65535)) as hi))")
     spans = found.join(more, "name", "left").select("name", "packed", F.concat(settled, F.coalesce("more", F.array().cast("array<struct<lo:int,hi:int>>"))).alias("runs"))
