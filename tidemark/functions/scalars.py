@@ -151,3 +151,25 @@ def arrival_partition(ns: Column) -> dict[str, Column]:
 def months_between(first: Column, last: Column) -> Column:
     """First days of all months from one date's to another's."""
     return F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month"))
+
+
+def known_costs(scenarios: dict[str, float | None]) -> dict[str, float]:
+    """The scenarios themselves; refuses one whose rate is a placeholder (None)."""
+    unknown = sorted(k for k, v in scenarios.items() if v is None)
+    if unknown:
+        raise ValueError(f"cost scenarios without a rate: {unknown}")
+    return dict(scenarios)
+
+
+def identity(*columns: str) -> Column:
+    """sha256 over the row's columns as JSON, in the order given."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def sorted_json(text: Column, keys: Sequence[str]) -> Column:
+    """A flat JSON object of whole numbers written again with its keys in order; null if it can't be read or lacks one."""
+    parsed = F.from_json(text, ", ".join(f"`{k}` long" for k in sorted(keys)))
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & parsed[k].isNotNull()
+    return F.when(whole, F.to_json(parsed))

@@ -94,3 +94,26 @@ def layer_fidelity(resolved: DataFrame, layers: list[str]) -> DataFrame:
 def series_class(row_ok: Column, integrity_error: Column, generation: Column, block: Column, transport_error: Column) -> Column:
     """Why a day of a landed series holds what it does, in fixed order."""
     return F.when(row_ok, "complete").when(integrity_error, "integrity_error").when(generation.isNull(), "missing_by_protocol").when(block.isNull() | transport_error, "transport_failure").otherwise("missing_by_protocol")
+
+
+def hex_words(data: Column) -> Column:
+    """Words of 32 bytes of a hex answer, without 0x; a last part of a word is left out."""
+    body = F.regexp_replace(data, "^0x", "")
+    n = F.floor(F.length(body) / 64).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substr(body, k * 64 + 1, F.lit(64)))).otherwise(F.array().cast("array<string>"))
+
+
+def word_number(word: Column) -> Column:
+    """A word as a whole number, null above 2**60."""
+    return F.when(F.substring(word, 1, 49) == "0" * 49, F.conv(F.substring(word, 50, 15), 16, 10).cast("long"))
+
+
+def address_of(word: Column) -> Column:
+    """The address in a word: its last 20 bytes, null if the others aren't zero."""
+    return F.when(F.substring(word, 1, 24) == "0" * 24, F.concat(F.lit("0x"), F.lower(F.substring(word, 25, 40))))
+
+
+def ray_word(rate: Column) -> Column:
+    """The word that holds a yearly rate below 9e6 in units of 1e-27, exact to about 1e-15: what ray_rate() reads."""
+    high = F.floor(rate * (float(RAY) / 16.0**14))
+    return F.concat(F.lit("0" * 36), F.lpad(F.lower(F.hex(high.cast("long"))), 14, "0"), F.lit("0" * 14))

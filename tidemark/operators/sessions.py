@@ -115,3 +115,10 @@ def clock_gate(samples: DataFrame, by: list[str], cadence: int, share: float = 0
 def rolled_up(report: DataFrame, channels: list[str]) -> DataFrame:
     """One row over all sessions of a quality report: sessions, those that are ok, frames, and frames by channel."""
     return report.agg(F.count("*").alias("sessions"), F.count_if("ok").alias("ok"), F.sum("frames").alias("frames"), *(F.sum(f"n_{c}").alias(f"n_{c}") for c in channels), F.count_if(F.size("missing") > 0).alias("incomplete"))
+
+
+def envelopes(frames: DataFrame, session: list[str], version: int, order: str = "frame_no") -> DataFrame:
+    """Per session: frames, those of another version, whether all belong to one stream and whether their numbers run without a gap."""
+    w = Window.partitionBy(*session).orderBy(order)
+    x = frames.withColumn("_p", F.lag(order).over(w))
+    return x.groupBy(*session).agg(F.count("*").alias("frames"), F.count_if(F.col("version") != version).alias("bad_version"), (F.count_distinct("stream") == 1).alias("one_stream"), F.coalesce(F.bool_and(F.col(order) == F.col("_p") + 1), F.lit(True)).alias("contiguous"))

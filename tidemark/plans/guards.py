@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LABEL_PREFIX = "fwd_"
@@ -48,3 +48,26 @@ def sealed_input(df: DataFrame, seal: int, t: str = "t") -> DataFrame:
     if last is not None and last >= seal:
         raise ValueError(f"rows up to {last} lie behind the seal at {seal}")
     return df
+
+
+def complete_cases(df: DataFrame, columns: Collection[str]) -> DataFrame:
+    """Rows whose named columns are all there and finite numbers."""
+    kinds, ok = dict(df.dtypes), F.lit(True)
+    for c in columns:
+        ok = ok & F.col(c).isNotNull()
+        if kinds[c] in ("double", "float"):
+            ok = ok & ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf")))
+    return df.where(ok)
+
+
+def coverage_gate(df: DataFrame, keys: list[str], period: Column, valid: Column, least: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of periods whose share of valid rows is at least ``least``, and the excluded periods of each series."""
+    x = df.withColumn("_period", period)
+    share = x.groupBy(*keys, "_period").agg((F.count_if(valid) / F.count("*") >= least).alias("_ok"))
+    kept = x.join(share.where("_ok"), [*keys, "_period"], "left_semi").drop("_period")
+    return kept, share.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(~F.col("_ok"), F.col("_period")))).alias("excluded"))
+
+
+def reasons(rules: dict[str, Column]) -> Column:
+    """The names of all rules (conditions that must not hold) that a row breaks."""
+    return F.filter(F.array(*(F.when(broken, name) for name, broken in rules.items())), lambda x: x.isNotNull())
