@@ -74,3 +74,11 @@ def test_quoted_commas_stay_in_their_cell(spark, tmp_path):
         z.writestr("a.csv", 'id,name\n1,"x, y"\n2,""\n3,a,b\n')
     rows = sorted((r.row_no, r.id, r.name, r.problem) for r in landed.zipped_csv(spark, str(tmp_path), ["id", "name"]).collect())
     assert rows == [(1, "1", "x, y", None), (2, "2", None, None), (3, None, None, "3 cells")]
+
+
+def test_availability_is_declared_and_kept(spark):
+    df = spark.createDataFrame([(1, 2.0)], "t long, close double")
+    known = {"t": "bar start", "close": "bar end"}
+    assert guards.availability(guards.available(df, known).where("close > 1")) == known
+    with pytest.raises(ValueError, match="undeclared"):
+        guards.available(df.withColumn("x", F.lit(1)), known)

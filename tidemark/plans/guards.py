@@ -71,3 +71,15 @@ def coverage_gate(df: DataFrame, keys: list[str], period: Column, valid: Column,
 def reasons(rules: dict[str, Column]) -> Column:
     """The names of all rules (conditions that must not hold) that a row breaks."""
     return F.filter(F.array(*(F.when(broken, name) for name, broken in rules.items())), lambda x: x.isNotNull())
+
+
+def available(df: DataFrame, registry: dict[str, str]) -> DataFrame:
+    """The frame with each column's availability from a registry (name -> when its value is known) as metadata; fails at columns
+    that it lacks or that look ahead."""
+    declared(df, registry)
+    return df.select(*(F.col(f"`{c}`").alias(c, metadata={"available": registry[c]}) for c in df.columns))
+
+
+def availability(df: DataFrame) -> dict[str, str | None]:
+    """What available() wrote, by column."""
+    return {f.name: f.metadata.get("available") for f in df.schema.fields}

@@ -93,3 +93,39 @@ def w18(spark, d):
     days = events(spark, d).groupBy(F.floor(seconds(F.col("ts")) / 86400).alias("day")).agg(F.count("*").alias("n"))
     w = Window.partitionBy().orderBy("day").rowsBetween(-10, -1)  # one row a day
     return days.select("day", F.when(F.count("*").over(w) >= 5, F.expr("percentile(n, 0.5)").over(w)).alias("med"))
+
+
+_LABELLED = f"""l as (select (b.t // 604800 % 5)::int as fold, greatest(-3, least(3, ln(b.close / p.close))) as x, greatest(-3, least(3, ln(greatest(n.close, 0.01) / b.close))) as y from (select *, avg(close) over w as m, avg(volume) over w as v from b window w as (partition by symbol order by t range between {6 * BAR} preceding and 1 preceding)) b
+ join b p on p.symbol = b.symbol and p.t = b.t - {BAR} join b n on n.symbol = b.symbol and n.t = b.t + {BAR} where p.close > 0 and b.close > 0 and b.m > 0 and b.v > 0)"""
+_ONE_FEATURE = [
+    _LABELLED,
+    "s as (select fold, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy, sum(y * y) as syy from l group by 1)",
+    "a as (select s.*, o.n - s.n as tn, o.sx - s.sx as tx, o.sy - s.sy as ty, o.sxx - s.sxx as txx, o.sxy - s.sxy as txy from s, (select sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(sxy) as sxy from s) o)",
+    "w as (select *, (txy - tx * ty / tn) / (txx - tx * tx / tn + 1.0) as slope from a)",
+    "f as (select *, (ty - slope * tx) / tn as base, ty / tn as mean from w)",
+    "e as (select fold, n, slope, base, syy - 2 * (base * sy + slope * sxy) + base * base * n + 2 * base * slope * sx + slope * slope * sxx as sse, syy - 2 * mean * sy + mean * mean * n as sst from f)",
+]
+
+
+def _one_feature(spark, d):
+    return st.ridge(st.gram(labelled(spark, d), ["fold"], ["f1"], "y"), "fold", ["f1"], 1.0)
+
+
+@query("r10_ridge_one_feature", with_bars("select fold, n, round(base, 5) as base, round(slope, 5) as slope, round(sse, 4) as sse, round(sst, 4) as sst from e", *_ONE_FEATURE))
+def r10_one(spark, d):
+    """The ridge folds with a single feature, whose solution SQL can write down."""
+    return _one_feature(spark, d).select("fold", "n", F.round(F.get("weights", 0), 5).alias("base"), F.round(F.get("weights", 1), 5).alias("slope"), F.round("sse", 4).alias("sse"), F.round("sst", 4).alias("sst"))
+
+
+@query("r12_r2_one_feature", with_bars("select round(1 - sum(sse) / sum(sst), 6) as r2, round(min(1 - sse / sst), 6) as worst_fold, sum(n)::bigint as n from e", *_ONE_FEATURE))
+def r12_one(spark, d):
+    return _one_feature(spark, d).agg(r6(1 - F.sum("sse") / F.sum("sst")).alias("r2"), r6(F.min(1 - F.col("sse") / F.col("sst"))).alias("worst_fold"), F.sum("n").alias("n"))
+
+
+@query("r12_leave_one_fold_out", with_bars("select fold, round(1 - ((select sum(sse) from e) - sse) / ((select sum(sst) from e) - sst), 6) as r2_without, round((1 - sse / sst) - (1 - (select sum(sse) from e) / (select sum(sst) from e)), 6) as delta from e", *_ONE_FEATURE))
+def r12_without(spark, d):
+    """R2 with each fold left out, and each fold's own R2 less the whole's."""
+    x = _one_feature(spark, d)
+    total = x.agg(F.sum("sse").alias("a"), F.sum("sst").alias("b"))
+    x = x.crossJoin(F.broadcast(total))  # one row
+    return x.select("fold", r6(1 - (F.col("a") - F.col("sse")) / (F.col("b") - F.col("sst"))).alias("r2_without"), r6(F.col("a") / F.col("b") - F.col("sse") / F.col("sst")).alias("delta"))
