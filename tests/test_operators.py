@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,38 @@ def test_matched_controls_are_not_reused(spark):
     assert got == [(1, 10), (2, 12)]
 
 
+def test_matched_controls_match_brute_force(spark):
+    rng = random.Random(14)
+    events = [(k, rng.randrange(3), rng.choice([0, 5000, 20_000]) + rng.randrange(900)) for k in range(60)]
+    pool = [(1000 + k, rng.randrange(3), rng.choice([0, 5000, 20_000]) + rng.randrange(900)) for k in range(120)]
+    want = []
+    for h in range(3):
+        taken: list[int] = []
+        for e, g, t in sorted(events, key=lambda x: (x[2], x[0])):
+            if g != h:
+                continue
+            near = sorted((abs(c - t), c, k) for k, q, c in pool if q == h and 0 < abs(c - t) <= 200)
+            best = next(((c, k) for _, c, k in near if all(abs(c - x) >= 50 for x in taken)), None)
+            if best:
+                taken.append(best[0])
+                want.append((e, best[1]))
+    one, two = (spark.createDataFrame(x, "id long, h int, t long") for x in (events, pool))
+    got = sorted(map(tuple, joins.matched_controls(one, two, ["h"], 200, 50).select("event_id", "control_id").collect()))
+    assert got == sorted(want)
+
+
+def test_ridge_matches_numpy(spark):
+    rng = np.random.default_rng(3)
+    x, fold = rng.normal(size=(300, 3)), rng.integers(0, 4, 300)
+    y = x @ [1.0, -2.0, 0.5] + rng.normal(size=300)
+    df = spark.createDataFrame([(int(f), *map(float, r), float(v)) for f, r, v in zip(fold, x, y, strict=True)], "fold int, a double, b double, c double, y double")
+    for r in statistics.ridge(statistics.gram(df, ["fold"], ["a", "b", "c"], "y"), "fold", ["a", "b", "c"], 2.0).collect():
+        train, test = fold != r.fold, fold == r.fold
+        one = np.column_stack([np.ones(300), x])
+        w = np.linalg.solve(one[train].T @ one[train] + np.diag([0, 2.0, 2.0, 2.0]), one[train].T @ y[train])
+        assert np.allclose(w, r.weights) and np.isclose(((y[test] - one[test] @ w) ** 2).sum(), r.sse) and np.isclose(((y[test] - y[train].mean()) ** 2).sum(), r.sst)
+
+
 def test_guards(spark):
     df = spark.createDataFrame([(1, 2.0)], "t long, fwd_x double")
     with pytest.raises(ValueError):
