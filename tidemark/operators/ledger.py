@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bars import ordered, prefix
 from .joins import interval_join
+from .store import stored
 
 DELAY = 1800
 
@@ -74,11 +75,12 @@ def held_for_at_most(df: DataFrame, keys: list[str], bars: int, t: str = "t") ->
     cycle = bars + 1
     x = ordered(df, keys, {"_v": ("lag", "target")}, t).withColumn("_v", F.coalesce("_v", F.lit(0)))
     x = ordered(x, keys, {"_w": ("lag", "_v")}, t).withColumn("_new", F.coalesce((F.col("_v") != F.col("_w")).cast("int"), F.lit(1)))
-    x = prefix(x.withColumn("_one", F.lit(1)), keys, {"_run": ("sum", "_new"), "_at": ("count", "_one")}, t)
+    x = stored(prefix(x.withColumn("_one", F.lit(1)), keys, {"_run": ("sum", "_new"), "_at": ("count", "_one")}, t))
     runs = x.groupBy(*keys, "_run").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), F.first("_v").alias("_v"))
     held = F.col("_v") != 0
     turns, keeps = held & (F.col("_n") % cycle == bars), held & (F.col("_n") % cycle == 0)
     runs = prefix(runs.withColumn("_turn", turns.cast("int")), keys, {"_turns": ("sum", "_turn")}, "_first", 1_000_000)
+    runs = stored(runs)
     runs = prefix(runs.withColumn("_settled", F.when(~(turns | keeps), F.col("_turns"))), keys, {"_base": ("last", "_settled")}, "_first", 1_000_000)
     runs = runs.withColumn("_late", (F.col("_turns") - F.coalesce("_base", F.lit(0))) % 2)
     runs = ordered(runs, keys, {"_e": ("lag", "_late")}, "_first", 1_000_000).select(*keys, "_run", "_first", F.coalesce("_e", F.lit(0)).alias("_e"))

@@ -16,16 +16,23 @@ def uniform(seed: int, *keys: Column) -> Column:
     return F.conv(F.substring(text, 1, 8), 16, 10).cast("long") / float(1 << 32)
 
 
-def ranked(df: DataFrame, by: list[str], draw: Column, key: str, name: str, buckets: int = 64) -> DataFrame:
-    """Adds the rank (from 1) of each row by its draw in [0, 1) and key: rows are ranked within buckets of the draw, and the counts
-    of buckets before it are added, so no task sorts all rows."""
+def ranked(df: DataFrame, by: list[str], draw: Column, key: str, name: str, buckets: int = 64, value: str = "_u") -> DataFrame:
+    """Adds the rank (from 1) of each row by its draw in [0, 1] and key: rows are ranked within buckets of the draw, and the counts
+    of buckets before it are added, so no task sorts all rows. ``value``: what the draw stands for, to rank by within them."""
     x = df.withColumn("_u", draw).withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
     sizes = x.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inner = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_u", key))
+    inner = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(value, key))
     return x.withColumn("_r", inner).join(before, [*by, "_b"]).withColumn(name, F.col("_r") + F.col("_before")).drop("_u", "_b", "_r", "_before")
 
 
+def value_ranks(df: DataFrame, by: list[str], value: str, key: str, name: str, buckets: int = 64) -> DataFrame:
+    """Adds the rank (from 1) of each row by a number and key within its group, over buckets between the group's extremes."""
+    span = df.groupBy(*by).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    draw = F.when(F.col("_hi") > F.col("_lo"), (F.col(value).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    return ranked(df.join(span, by), by, draw, key, name, buckets, value).drop("_lo", "_hi")
+
+
 def group_effects(df: DataFrame, group: str, value: str) -> DataFrame:
     """Each group's mean against the rest, with Welch's t; one aggregate, the rest by subtraction."""
     x = F.col(value)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.bars import BAR, bars
+from ..operators.store import checkpoint_folder, stored  # noqa: F401
 
 #: The same bars for DuckDB.
 BARS_SQL = f"""b as (select event_type as symbol, (epoch_us(ts) // 1000000 - epoch_us(ts) // 1000000 % {BAR}) as t, arg_min(value, (ts, event_id)) as open,
@@ -30,17 +29,3 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; one of our own only where none is set, as in tests on one machine."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, computed once and stored in the shared checkpoint folder, for plans that use them several times."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)

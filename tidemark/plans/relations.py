@@ -255,8 +255,10 @@ def t2(spark, d):
 
 @query("t4_decile_selection", "select event_type, avg(case when r <= c // 10 then value end)::decimal(18,4)::double as low, avg(case when r > c - c // 10 then value end)::decimal(18,4)::double as high from (select event_type, value::decimal(18,6) as value, row_number() over (partition by event_type order by value, event_id) as r, count(*) over (partition by event_type) as c from events) group by 1")
 def t4(spark, d):
-    w = Window.partitionBy("event_type")
-    x = events(spark, d).select("event_type", F.col("value").cast(MONEY).alias("v"), F.row_number().over(w.orderBy("value", "event_id")).alias("r"), F.floor(F.count("*").over(w) / 10).alias("k"), F.count("*").over(w).alias("c"))
+    from ..operators.statistics import value_ranks
+
+    x = value_ranks(events(spark, d).select("event_type", "event_id", "value", F.col("value").cast(MONEY).alias("v")), ["event_type"], "value", "event_id", "r")
+    x = x.join(x.groupBy("event_type").agg(F.count("*").alias("c")), "event_type").withColumn("k", F.floor(F.col("c") / 10))
     cell = lambda cond: (F.sum(F.when(F.expr(cond), F.col("v"))) / F.count_if(F.expr(cond))).cast("double").cast("decimal(18,4)").cast("double")
     return x.groupBy("event_type").agg(cell("r <= k").alias("low"), cell("r > c - k").alias("high"))
 

@@ -74,8 +74,8 @@ def r12(spark, d):
 
 @query("r20_correlations", with_bars("select symbol, round(corr(close, volume), 5) as pearson, round(corr(rc, rv), 5) as spearman from (select *, row_number() over (partition by symbol order by close, t) as rc, row_number() over (partition by symbol order by volume, t) as rv from b) group by 1"))
 def r20(spark, d):
-    w = Window.partitionBy("symbol")
-    x = market(spark, d).select("symbol", "close", "volume", F.row_number().over(w.orderBy("close", "t")).alias("rc"), F.row_number().over(w.orderBy("volume", "t")).alias("rv"))
+    x = st.value_ranks(market(spark, d).select("symbol", "t", "close", "volume"), KEYS, "close", "t", "rc")
+    x = st.value_ranks(x, KEYS, "volume", "t", "rv")
     return x.groupBy("symbol").agg(F.round(F.corr("close", "volume"), 5).alias("pearson"), F.round(F.corr("rc", "rv"), 5).alias("spearman"))
 
 

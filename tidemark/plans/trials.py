@@ -121,7 +121,7 @@ def r11(spark, d):
 @query("r21_decile_spread", with_bars("select symbol, round((avg(y) filter (where r > c - c // 10) - avg(y) filter (where r <= c // 10)) * 10000, 3) as spread_bps, coalesce((avg(y) filter (where r > c - c // 10) - avg(y) filter (where r <= c // 10)) * 10000 > 10, false) as beats_cost from (select *, row_number() over (partition by symbol order by x, t) as r, count(*) over (partition by symbol) as c from j) group by 1", _PAIR))
 def r21(spark, d):
     """Outcome of the top tenth by a prediction less that of the bottom tenth, against the cost of a round trip."""
-    x = st.ranked(paired(spark, d), KEYS, F.least(F.lit(0.999999), F.col("x") / 20), "t", "r")
+    x = st.value_ranks(paired(spark, d), KEYS, "x", "t", "r")
     x = x.join(x.groupBy("symbol").agg(F.count("*").alias("c")), "symbol")
     tenth = F.floor(F.col("c") / 10)
     spread = (F.avg(F.when(F.col("r") > F.col("c") - tenth, F.col("y"))) - F.avg(F.when(F.col("r") <= tenth, F.col("y")))) * 10_000
