@@ -181,3 +181,30 @@ def k8(spark, d):
 
     days = events(spark, d).groupBy(F.floor(seconds(F.col("ts")) / 86400).alias("day")).agg(F.count("*").alias("n"))
     return merged_series([days.where("day <= 19740"), days.where("day >= 19730")], "day")
+
+
+_TWICE = "x as (select symbol, t * 1000 as ts, close, 'X-2024-01.zip' as path from b union all select symbol, t * 1000, close + 1, 'X-2024-02.zip' from b where t % 7200 = 0 union all select symbol, t * 1000, close, 'X-2024-02.zip' from b where t % 10800 = 0)"
+
+
+def _landed_twice(spark, d):
+    b = market(spark, d).select("symbol", (F.col("t") * 1000).alias("ts"), "close")
+    own, other = F.lit("X-2024-01.zip"), F.lit("X-2024-02.zip")
+    more = b.where("ts % 7200000 = 0").select("symbol", "ts", (F.col("close") + 1).alias("close")).union(b.where("ts % 10800000 = 0"))
+    return b.withColumn("path", own).union(more.withColumn("path", other))
+
+
+@query("x25_owner_first", with_bars("select symbol, ts, close, path from x where path = 'X-2024-01.zip'", _TWICE))
+def x25(spark, d):
+    """Of rows that several files hold, the one of the file whose month it is."""
+    return landed.owned_first(_landed_twice(spark, d), ["symbol", "ts"])[0]
+
+
+@query("a8_landed_account", with_bars("select count(*) as keys, sum(n)::bigint as rows, sum(d)::bigint as distinct_rows, count(*) filter (where d > 1) as conflicts from (select symbol, ts, count(*) as n, count(distinct close) as d from x group by 1, 2)", _TWICE))
+def a8_landed(spark, d):
+    return landed.owned_first(_landed_twice(spark, d), ["symbol", "ts"])[1]
+
+
+@query("s21_text_rows", with_bars(f"select symbol, t * 1000 as ts, high::decimal(18,6)::varchar as high_text from b where t < 1706486400 and {_ODD} % 17 <> 0"))
+def s21(spark, d):
+    """Prices kept as the source's text, by epoch; rows behind the seal or off the grid are not read on."""
+    return landed.text_rows(raw_bars(spark, d).withColumnRenamed("of", "symbol"), "open_time", ["symbol"], {"high_text": "high"}, 1706486400_000, MS)

@@ -290,3 +290,10 @@ def controls(frame: DataFrame) -> DataFrame:
         .when(~channel.isin(*CHANNELS), "unknown_channel")
     )
     return frame.select("session_id", "frame_no", kind.alias("kind"), event.alias("event"), channel.alias("channel")).where("kind is not null")
+
+
+def text_rows(rows: DataFrame, time: str, keys: list[str], columns: dict[str, str], cutoff_ms: int, bar_ms: int) -> DataFrame:
+    """Rows by epoch with their cells as the source wrote them (name -> cell), for exact comparison later; rows at or behind the
+    cutoff, off the grid or without a time are left out."""
+    ts = epoch_ms(F.col(time))
+    return rows.withColumn("ts", ts).where((F.col("ts") < cutoff_ms) & (F.col("ts") % bar_ms == 0)).select(*keys, "ts", *(F.col(c).alias(k) for k, c in columns.items()))
