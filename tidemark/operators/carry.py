@@ -117,3 +117,26 @@ def ray_word(rate: Column) -> Column:
     """The word that holds a yearly rate below 9e6 in units of 1e-27, exact to about 1e-15: what ray_rate() reads."""
     high = F.floor(rate * (float(RAY) / 16.0**14))
     return F.concat(F.lit("0" * 36), F.lpad(F.lower(F.hex(high.cast("long"))), 14, "0"), F.lit("0" * 14))
+
+
+def topped_margin(bars: DataFrame, trade: str, order: str, margin: float, reserve: float, trigger: float, target: float, maintenance: float) -> DataFrame:
+    """As margin_path(), with a reserve: when the margin's share of the position falls below ``trigger`` at a bar's high, it is filled
+    up to ``target`` as far as the reserve goes; if it still is at or below ``maintenance``, the trade is liquidated. Each filling
+    rests on those before it, so a trade's bars are folded in order, by an aggregate over its sorted bars (a trade is short)."""
+    w = Window.partitionBy(trade).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    equity = margin + F.sum("cash").over(w) + F.col("quantity") * (F.col("entry") - F.col("mark_high"))
+    x = bars.select(trade, F.struct(F.col(order).alias("at"), equity.alias("equity"), (F.col("quantity") * F.col("mark_high")).alias("notional")).alias("_b"))
+    kind = dict(bars.dtypes)[order]
+    empty = F.array().cast(f"array<struct<at:{kind},topped:double,ratio:double,state:string>>")
+    start = F.struct(F.lit(0.0).alias("paid"), F.lit(False).alias("gone"), empty.alias("rows"))
+
+    def step(acc, b):
+        short = ~acc["gone"] & (b["equity"] + acc["paid"] < trigger * b["notional"])
+        more = F.when(short, F.least(F.greatest(target * b["notional"] - b["equity"] - acc["paid"], F.lit(0.0)), reserve - acc["paid"])).otherwise(0.0)
+        ratio = (b["equity"] + acc["paid"] + more) / b["notional"]
+        hit = ~acc["gone"] & (ratio <= maintenance)
+        row = F.struct(b["at"].alias("at"), more.alias("topped"), F.when(~acc["gone"], ratio).alias("ratio"), F.when(acc["gone"], "closed").when(hit, "liquidated").otherwise("open").alias("state"))
+        return F.struct((acc["paid"] + more).alias("paid"), (acc["gone"] | hit).alias("gone"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+
+    folded = x.groupBy(trade).agg(F.array_sort(F.collect_list("_b")).alias("_b")).select(trade, F.explode(F.aggregate("_b", start, step)["rows"]).alias("r"))
+    return folded.select(trade, F.col("r.at").alias(order), "r.topped", "r.ratio", "r.state")

@@ -269,14 +269,34 @@ def b14(spark, d):
     return y.select("id", F.round(F.col("pnl") - F.col("funding") + F.col("cost"), 5).alias("legs"), "settlements", F.round("funding", 5).alias("funding"), F.round("cost", 5).alias("cost"))
 
 
-@query("b15_margin_path", with_bars("""select trade, k, case when hit is null or k <= hit then round(worst, 5) end as worst_margin, case when k = hit then 'liquidated' when k > hit then 'closed' else 'open' end as state from (select *, min(case when worst < 0.05 * q * high then k end) over (partition by trade) as hit from (
- select *, 60 + sum(cash) over (partition by trade order by k) + q * (entry - high) as worst from (select t // 86400 as trade, t as k, 1.0::double as q, first_value(open) over (partition by t // 86400 order by t) as entry, high, (case when t % 28800 = 0 then 1 else 0 end)::double as cash from b where symbol = 'click')))"""))
-def b15(spark, d):
-    """A day's short leg from its first open, bar by bar until it is liquidated."""
+def _legs(spark, d):
+    """A day's short leg of one series from its first open."""
     x = market(spark, d).where("symbol = 'click'").withColumn("trade", F.floor(F.col("t") / 86400))
     first = x.groupBy("trade").agg(F.min_by("open", "t").alias("entry"))
-    x = x.join(first, "trade").select("trade", F.col("t").alias("k"), F.lit(1.0).alias("quantity"), "entry", F.col("high").alias("mark_high"), F.col("close").alias("mark_close"), F.when(F.col("t") % 28800 == 0, 1.0).otherwise(0.0).alias("cash"))
-    return carry.margin_path(x, "trade", "k", 60.0, 0.05).withColumn("worst_margin", F.round("worst_margin", 5))
+    cash = F.when(F.col("t") % 28800 == 0, 1.0).otherwise(0.0)
+    return x.join(first, "trade").select("trade", F.col("t").alias("k"), F.lit(1.0).alias("quantity"), "entry", F.col("high").alias("mark_high"), F.col("close").alias("mark_close"), cash.alias("cash"))
+
+
+_LEGS = """legs as (select *, 60 + sum(cash) over (partition by trade order by k) + q * (entry - high) as worst, q * high as notional, row_number() over (partition by trade order by k) as i
+ from (select t // 86400 as trade, t as k, 1.0::double as q, first_value(open) over (partition by t // 86400 order by t) as entry, high, (case when t % 28800 = 0 then 1 else 0 end)::double as cash from b where symbol = 'click'))"""
+
+
+@query("b15_margin_path", with_bars("select trade, k, case when hit is null or k <= hit then round(worst, 5) end as worst_margin, case when k = hit then 'liquidated' when k > hit then 'closed' else 'open' end as state from (select *, min(case when worst < 0.05 * notional then k end) over (partition by trade) as hit from legs)", _LEGS))
+def b15(spark, d):
+    """Bar by bar until the leg is liquidated."""
+    return carry.margin_path(_legs(spark, d), "trade", "k", 60.0, 0.05).withColumn("worst_margin", F.round("worst_margin", 5))
+
+
+_MORE = "case when not gone and l.worst + paid < 0.4 * l.notional then least(greatest(0.8 * l.notional - l.worst - paid, 0), 50 - paid) else 0 end"
+
+
+@query("b15_topped_margin", with_bars(f"""select trade, k, round(topped, 5) as topped, round(ratio, 5) as ratio, state from (with recursive f as (select trade, 0::bigint as i, null::bigint as k, 0::double as paid, false as gone, 0::double as topped, null::double as ratio, '' as state from (select distinct trade from legs) union all
+ select trade, i, k, paid + more, gone or (worst + paid + more) / notional <= 0.05, more, case when not gone then (worst + paid + more) / notional end, case when gone then 'closed' when (worst + paid + more) / notional <= 0.05 then 'liquidated' else 'open' end
+ from (select f.trade, l.i, l.k, f.paid, f.gone, l.worst, l.notional, ({_MORE})::double as more from f join legs l on l.trade = f.trade and l.i = f.i + 1)) select * from f) where k is not null""", _LEGS))
+def b15_topped(spark, d):
+    """The same with a reserve that fills the margin up while it lasts."""
+    x = carry.topped_margin(_legs(spark, d), "trade", "k", 60.0, 50.0, 0.4, 0.8, 0.05)
+    return x.withColumns({c: F.round(c, 5) for c in ("topped", "ratio")})
 
 
 @query("b18_resolved_mark", with_bars("""select symbol, t, case when r is not null and r not in ('', 'x') and try_cast(r as double) > 0 then round(try_cast(r as double), 6) when volume > 1 and open > 0 then round(open, 6) end as mark, case when r is not null and r not in ('', 'x') and try_cast(r as double) > 0 then 'published' when volume > 1 and open > 0 then 'bar_open' else 'unavailable' end as mark_source,
