@@ -1,6 +1,8 @@
 """Each registered query with SQL gives the same rows in DuckDB."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -47,3 +49,8 @@ def test_session_queries_cover_all_events(spark):
 
 def test_all_plans_are_registered():
     assert registry.queries().keys() <= entry.queries().keys() and registry.oracle_sql().keys() <= entry.oracle_sql().keys()
+
+
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 200 and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

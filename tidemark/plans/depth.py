@@ -12,17 +12,20 @@ from .micro import frames
 from .registry import query
 
 KEYS = ["symbol"]
-_I = F.col("event_id")
+
+
+def _id():
+    return F.col("event_id")
 
 
 def raw_frames(spark, d, payload):
     """A frame for each event, with the given payload as JSON."""
-    return events(spark, d).select(F.col("user_id").cast("string").alias("session_id"), _I.alias("frame_no"), (seconds(F.col("ts")) * 10**9).alias("received_at_ns"), payload.alias("payload"))
+    return events(spark, d).select(F.col("user_id").cast("string").alias("session_id"), _id().alias("frame_no"), (seconds(F.col("ts")) * 10**9).alias("received_at_ns"), payload.alias("payload"))
 
 
 @query("m3_best_quotes", "select event_id as frame_no, case when event_id % 6 in (1, 2) then 'ok' when event_id % 6 = 3 then 'both_sides_empty' when event_id % 6 = 4 then 'bad_number' else 'ok' end as status, case when event_id % 6 in (0, 1, 5) then value::decimal(18,6)::double end as bid, case when event_id % 6 in (0, 2, 5) then (value::decimal(18,6) + 1)::double end as ask from events")
 def m3(spark, d):
-    k, v = _I % 6, F.col("value").cast("decimal(18,6)")
+    k, v = _id() % 6, F.col("value").cast("decimal(18,6)")
     level = lambda x: F.array(F.array(x.cast("string"), F.lit("2"), F.lit("0"), F.lit("1")))
     none = F.array().cast("array<array<string>>")
     bids, asks = F.when(k.isin(0, 1, 5), level(v)).when(k == 4, level(F.lit("x"))).otherwise(none), F.when(k.isin(0, 2, 5), level(v + 1)).otherwise(none)
@@ -31,29 +34,26 @@ def m3(spark, d):
     return good.select("frame_no", F.lit("ok").alias("status"), "bid", "ask").union(bad.select("frame_no", "reason", F.lit(None).cast("double"), F.lit(None).cast("double")))
 
 
-_META = "'{\"instId\":\"I\"}'"
-
-
 @query("m5_instruments", "select event_id as frame_no, epoch_us(ts) // 1000000 * 1000000000 as effective_ns, case when event_id % 3 = 0 then 0.1 when event_id % 3 = 1 then 0.01 end::double as tick_size, 'live' as state from events where event_id % 2 = 0")
 def m5(spark, d):
-    tick = F.when(_I % 3 == 0, "0.1").when(_I % 3 == 1, "0.01").otherwise("")
+    tick = F.when(_id() % 3 == 0, "0.1").when(_id() % 3 == 1, "0.01").otherwise("")
     data = F.array(F.struct(F.lit("I").alias("instId"), tick.alias("tickSz"), F.lit("1").alias("lotSz"), F.lit("0.01").alias("ctVal"), F.lit("live").alias("state")))
-    payload = F.to_json(F.struct(F.struct(F.when(_I % 2 == 0, "instruments").otherwise("trades").alias("channel")).alias("arg"), data.alias("data")))
+    payload = F.to_json(F.struct(F.struct(F.when(_id() % 2 == 0, "instruments").otherwise("trades").alias("channel")).alias("arg"), data.alias("data")))
     return landed.instruments(raw_frames(spark, d, payload)).select("frame_no", "effective_ns", "tick_size", "state")
 
 
 @query("s17_rest_instruments", "select event_id, case when event_id % 4 = 0 then 0 when event_id % 4 = 1 then 2 else 1 end as rows, case when event_id % 4 > 1 then value::decimal(18,6)::double end as tick_size from events")
 def s17(spark, d):
     item = F.struct(F.lit("I").alias("instId"), F.col("value").cast("decimal(18,6)").cast("string").alias("tickSz"))
-    data = F.when(_I % 4 == 0, F.array().cast("array<struct<instId:string,tickSz:string>>")).when(_I % 4 == 1, F.array(item, item)).otherwise(F.array(item))
-    value = F.to_json(F.struct(F.lit("/x").alias("endpoint"), _I.alias("received_at_ns"), F.struct(data.alias("data")).alias("body")))
-    good, bad = landed.rest_instruments(events(spark, d).select(_I.cast("string").alias("path"), value.alias("value")))
+    data = F.when(_id() % 4 == 0, F.array().cast("array<struct<instId:string,tickSz:string>>")).when(_id() % 4 == 1, F.array(item, item)).otherwise(F.array(item))
+    value = F.to_json(F.struct(F.lit("/x").alias("endpoint"), _id().alias("received_at_ns"), F.struct(data.alias("data")).alias("body")))
+    good, bad = landed.rest_instruments(events(spark, d).select(_id().cast("string").alias("path"), value.alias("value")))
     return good.select(F.col("effective_ns").alias("event_id"), F.lit(1).alias("rows"), "tick_size").union(bad.select(F.col("path").cast("long"), "rows", F.lit(None).cast("double")))
 
 
 @query("m6_controls", "select event_id as frame_no, case event_id % 5 when 0 then 'control' when 1 then 'unknown_event' when 2 then 'unknown_channel' when 3 then 'malformed' end as kind from events where event_id % 5 <> 4")
 def m6(spark, d):
-    k = _I % 5
+    k = _id() % 5
     payload = F.when(k == 0, '{"event":"subscribe"}').when(k == 1, '{"event":"party"}').when(k == 2, '{"arg":{"channel":"candles"}}').when(k == 3, "{}").otherwise('{"arg":{"channel":"trades"}}')
     return landed.controls(raw_frames(spark, d, payload)).select("frame_no", "kind")
 
@@ -67,7 +67,7 @@ def m10(spark, d):
 
 @query("m11_clock_gate", "with x as (select event_type, epoch_us(ts) // 1000000 as t, event_id % 997 <> 0 as synced, round(value / 10 - 5, 6) as o, event_id from events), y as (select event_type, t, bool_and(synced) as synced, max(o) as o from x group by 1, 2), z as (select *, coalesce(t - lag(t) over (partition by event_type order by t) > 7200, false) as late from y) select event_type, count(*) as samples, bool_and(synced) as all_synced, round(avg(late::int), 6) as late_share, round(quantile_disc(abs(o), 0.99), 6) as p99_ms, round(max(abs(o)), 6) as max_ms, bool_and(synced) and avg(late::int) < 0.2 and quantile_disc(abs(o), 0.99) <= 20 and max(abs(o)) <= 100 as passed from z group by 1")
 def m11(spark, d):
-    x = events(spark, d).groupBy("event_type", seconds(F.col("ts")).alias("t")).agg(F.bool_and(_I % 997 != 0).alias("synced"), F.max(F.round(F.col("value") / 10 - 5, 6)).alias("offset_ms"))
+    x = events(spark, d).groupBy("event_type", seconds(F.col("ts")).alias("t")).agg(F.bool_and(_id() % 997 != 0).alias("synced"), F.max(F.round(F.col("value") / 10 - 5, 6)).alias("offset_ms"))
     return sessions.clock_gate(x, ["event_type"], 7200, share=0.2).withColumns({c: r6(F.col(c)) for c in ("late_share", "p99_ms", "max_ms")})
 
 
@@ -106,6 +106,6 @@ def m4(spark, d):
     """Books landed as arrays of text, one row a side and level."""
     v = F.col("value").cast("decimal(18,6)")
     level = lambda sign, n: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.array((v + F.lit(sign) * k.cast("decimal(18,6)") + F.lit(1 if sign > 0 else 0)).cast("decimal(18,6)").cast("string"), F.lit("1")))
-    asks, bids = F.slice(level(1, 4), F.lit(1), (_I % 4).cast("int")), F.slice(level(-1, 2), 1, 2)
-    payload = F.to_json(F.struct(F.struct(F.lit("books5").alias("channel"), F.lit("I").alias("instId")).alias("arg"), F.lit("snapshot").alias("action"), F.array(F.struct(asks.alias("asks"), bids.alias("bids"), _I.alias("seqId"), F.lit(-1).alias("prevSeqId"))).alias("data")))
+    asks, bids = F.slice(level(1, 4), F.lit(1), (_id() % 4).cast("int")), F.slice(level(-1, 2), 1, 2)
+    payload = F.to_json(F.struct(F.struct(F.lit("books5").alias("channel"), F.lit("I").alias("instId")).alias("arg"), F.lit("snapshot").alias("action"), F.array(F.struct(asks.alias("asks"), bids.alias("bids"), _id().alias("seqId"), F.lit(-1).alias("prevSeqId"))).alias("data")))
     return landed.book_levels(raw_frames(spark, d, payload)).select("frame_no", "side", F.col("level").cast("long").alias("level"), "price")
