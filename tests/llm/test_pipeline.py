@@ -85,3 +85,18 @@ def test_each_row_is_judged_by_its_own_text(spark):
     left = sorted(((r.doc_id, r.text) for r in cp.repeated_substrings(spark, apart, SF).collect()), key=str)
     assert (1, "head one") in left and (1, " other id") in left and (None, "void") in left
     assert (2, prose("t", 30)) in left and (3, None) in left and (3, "") in left and len(left) == len(set(left))
+
+
+def test_quality_filter_follows_the_classifier(spark, stages):
+    from tidemark.llm import quality
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    judged = {r.doc_id: r.predicted for r in quality.classify(stages["documents"], labels).collect()}
+    assert set(rows(stages["quality_filter"])) == {k for k, p in judged.items() if p == 1}
+
+
+def test_run_gives_the_last_stage(spark, stages):
+    import corpus_pipeline as cp
+
+    got = {(r.doc_id, r.n_tokens, tuple(r.ids)) for r in cp.run(spark, SF).collect()}
+    assert got == {(r.doc_id, r.n_tokens, tuple(r.ids)) for r in stages["encoded"].collect()}
