@@ -354,9 +354,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lists = blocks.groupBy(F.col("text").alias("name")).agg(F.collect_set("code").alias("blocks"))
     # a text with copies repeats as a whole; its blocks only help to decide
     wanted = lists.join(copies, "name").withColumn("blocks", F.when(F.col("copies") > 1, F.filter("blocks", lambda b: b.bitwiseAND(3) != SETTLED)).otherwise(F.col("blocks")))
-    wanted = wanted.where("size(blocks) > 0").select("name", F.col("rep.doc_id").alias("_id"), F.col("rep.hash").alias("_hash"), "blocks")
-    packed = tv.packed(slim, "text", "doc_id", "hash")
-    found = packed.join(wanted, packed.doc_id.eqNullSafe(F.col("_id")) & (packed.hash == F.col("_hash"))).dropDuplicates(["name"])
+    # the rows that stand for their texts, by id, whether it is null, and hash: repeated rows meet where they are joined
+    key = lambda c: {"_k": F.coalesce(c.cast("string"), F.lit("")), "_n": c.isNull()}
+    wanted = wanted.where("size(blocks) > 0").select("name", F.col("rep.hash").alias("hash"), *(c.alias(k) for k, c in key(F.col("rep.doc_id")).items()), "blocks")
+    packed = tv.packed(slim, "text", "doc_id", "hash").withColumns(key(F.col("doc_id"))).select("_k", "_n", "hash", "packed")
+    found = packed.join(wanted, ["_k", "_n", "hash"]).dropDuplicates(["_k", "_n", "hash", "name"])
     found = kept(found.select("name", "packed", "blocks"))
     more = _open_rows(found, buckets, length, gram).groupBy("bucket").applyInArrow(_sort(length, SORT_BYTES), "text long, lo int, hi int")
     more = more.groupBy(F.col("text").alias("name")).agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
