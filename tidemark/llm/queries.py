@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, licenses, passages, quality, rules, substrings, urls
+from . import bpe, conversations, decontaminate, jaccard, language, licenses, mixing, passages, quality, rules, spelling, substrings, urls
 from .store import table
 
 #: Rows of an Arrow batch: long texts would make the default batch too large for a small worker.
@@ -69,6 +69,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return conversations.damaged_report(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_substrings, op4_passages, op5_urls, op6_language, op7_jaccard, op8_licenses, op9_quality_rules, op10_decontaminate, pipeline)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_substrings, op4_passages, op5_urls, op6_language, op7_jaccard, op8_licenses, op9_quality_rules, op10_decontaminate, op11_conversations, op12_spelling, op13_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
