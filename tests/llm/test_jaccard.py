@@ -99,3 +99,12 @@ def test_thue_morse_words_and_null_ids(spark):
     rows = [(None, base), (5, base), (4, base + " end"), (None, "alone in the whole wide world"), (7, "alone in the whole wide world")]
     got = sorted(((r.doc_id, r.n_grams, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=4, percent=85).collect()), key=str)
     assert got == sorted([(None, 57, 4), (5, 57, 4), (4, 58, 4), (None, 3, 7), (7, 3, 7)], key=str)
+
+
+def test_texts_of_more_words_than_16_bits_count(spark):
+    """Two texts of 700,000 distinct words, few column blocks: counts of fingerprints beyond 65,535 in one block."""
+    base = [f"w{k}" for k in range(700_000)]
+    near = " ".join([*base[:600_000], *(f"v{k}" for k in range(20_000)), *base[620_000:]])
+    df = spark.createDataFrame([(1, " ".join(base)), (2, near), (3, "other words that stand alone here")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_grams, r.component_id) for r in jaccard.near_duplicates(df, blocks=1).collect()}
+    assert got == {1: (699_996, 1), 2: (699_996, 1), 3: (2, 3)}

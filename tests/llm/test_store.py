@@ -21,3 +21,14 @@ def test_groups_grow_with_the_bytes(spark):
 def test_written_tables_are_read_again(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a long, b string")
     assert sorted(map(tuple, store.written(df).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_samples_of_tiny_shares_still_draw(spark):
+    keys = spark.range(200_000).select(F.xxhash64("id").alias("h"), "id")
+    assert keys.where(store.drawn(F.col("h"), 1.0)).count() == 200_000
+    assert abs(keys.where(store.drawn(F.col("h"), 0.01)).count() - 2000) < 300
+    least = keys.agg(F.min(F.shiftrightunsigned("h", 2)).alias("m")).first().m
+    share = (least + 4096) / (1 << 62)  # below one in a hundred thousand
+    assert share < 1e-5 and keys.where(store.drawn(F.col("h"), share)).count() == 1
+    bound = spark.range(1).select((F.lit(1000 / 1e11) * float(1 << 62)).cast("long").alias("b")).first().b
+    assert bound > 1 << 35

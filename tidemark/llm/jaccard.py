@@ -127,7 +127,7 @@ def _key_blocks(docs: DataFrame, text: str, n: int, percent: int, blocks: int) -
         key, owner, kind, block = key[order], owner[order], kind[order], block[order]
         pair = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])]))
         which = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(key))))
-        count = np.bincount(which * 3 + kind, minlength=3 * len(pair)).reshape(-1, 3).astype(np.uint16)
+        count = np.bincount(which * 3 + kind, minlength=3 * len(pair)).reshape(-1, 3).astype(np.uint32)
         b = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         low = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         pairs_at = np.append(np.searchsorted(pair, b), len(pair))
@@ -157,7 +157,7 @@ def _shared(table: pa.Table) -> pa.Table:
     """One column block: (lead, node, need0, need1, k0, k1, k2), for each node how many keys of each kind it shares with
     others, by the smallest node of all that have the key."""
     unpack = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    count = unpack("size", np.uint16).reshape(-1, 3).astype(np.int64)
+    count = unpack("size", np.uint32).reshape(-1, 3).astype(np.int64)
     need = unpack("need", np.int32).reshape(-1, 2)
     entry = np.repeat(np.arange(len(count)), count.sum(axis=1))
     kind = np.repeat(np.tile(np.arange(3), len(count)), count.reshape(-1))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import textvec as tv
-from .store import kept
+from .store import drawn, kept
 
 FEATURES = 2048
 #: At most about so many rows of each language are learned from.
@@ -179,8 +179,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     known = slim.where(f"lang is not null and text is not null and not ({held_out})")
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    shares = F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, int(1_000_000 * min(1.0, per_language / n))))) if sizes else F.create_map().cast("map<string,int>")
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < shares[F.col("lang")]).withColumn("key", F.xxhash64("doc_id", "text"))
+    shares = F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, per_language / n)))) if sizes else F.create_map().cast("map<string,double>")
+    chosen = known.where(drawn(F.xxhash64("doc_id", F.lit(5)), shares[F.col("lang")])).withColumn("key", F.xxhash64("doc_id", "text"))
 
     def vectors(part: pa.RecordBatch) -> pa.RecordBatch:
         x = features(part.column("text"))

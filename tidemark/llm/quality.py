@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import rules
 from . import textvec as tv
+from .store import drawn
 
 #: At most about so many labelled rows are learned from.
 TRAIN_ROWS = 20_000
@@ -204,7 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out:
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).where(f"not ({held_out})").groupBy("doc_id").agg(F.min("label").alias("label"))
     total = known.count()
     share = min(1.0, train_rows / total) if total else 1.0
-    chosen = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = known.where(drawn(F.xxhash64(F.col("doc_id"), F.lit(11)), share))
     return fit(statistics(docs.join(F.broadcast(chosen), "doc_id"), "_text", "label"))
 
 

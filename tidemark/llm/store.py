@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,8 @@ def with_hot_keys(left: DataFrame, right: DataFrame, key: str, copies: str, tota
 def dealt(spark: SparkSession, n_bytes: int | None, each: int = 4 << 20) -> int:
     """Into how many groups to deal what is made of so many bytes of text, so that a group stays small at any size."""
     return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), (n_bytes or 0) // each + 1)
+
+
+def drawn(key: Column, share: Column | float) -> Column:
+    """Whether a row is in a sample of this share, by 62 bits of the hash of its key: shares as small as 1e-18 still draw."""
+    return F.shiftrightunsigned(key, 2) < (F.lit(share) * float(1 << 62)).cast("long")
