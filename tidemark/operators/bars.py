@@ -73,9 +73,10 @@ def grid(df: DataFrame, keys: list[str], step: int, t: str = "t") -> DataFrame:
     return slots.join(df.withColumn("present", F.lit(True)), [*keys, t], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
-def ordered(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, str]], t: str = "t", chunk: int = 30 * 86400) -> DataFrame:
+def ordered(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, str]], t: str = "t", chunk: int = 30 * 86400, dealt: bool = False) -> DataFrame:
     """Adds values of the row before or after in each series, whatever the gap; columns: name -> ("lag" or "lead", column).
-    Rows are dealt into chunks of time once; a small table of the chunks' ends serves the rows at their edges."""
+    Rows are dealt into chunks of time once; a small table of the chunks' ends serves the rows at their edges. With
+    ``dealt`` the chunk stays, as __chunk, for a prefix() that deals no rows anew."""
     own = df.withColumn("__chunk", F.floor(F.col(t) / chunk)).repartition(*keys, "__chunk")
     whole = F.struct(*dict.fromkeys(c for _, c in columns.values()))
     near = Window.partitionBy(*keys).orderBy("__chunk")
@@ -85,16 +86,17 @@ def ordered(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, str]],
     inner = {k: (F.lag if kind == "lag" else F.lead)(c).over(by) for k, (kind, c) in columns.items()}
     x = own.withColumns({"__head": F.lag(F.lit(1)).over(by).isNull(), "__tail": F.lead(F.lit(1)).over(by).isNull()} | inner).join(ends, [*keys, "__chunk"])
     edge = {k: F.when(F.col("__head"), F.col(f"__before.{c}")).otherwise(F.col(k)) if kind == "lag" else F.when(F.col("__tail"), F.col(f"__after.{c}")).otherwise(F.col(k)) for k, (kind, c) in columns.items()}
-    return x.withColumns(edge).drop("__chunk", "__head", "__tail", "__before", "__after")
+    return x.withColumns(edge).drop("__head", "__tail", "__before", "__after", *([] if dealt else ["__chunk"]))
 
 
 def prefix(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, str]], t: str = "t", chunk: int = 30 * 86400) -> DataFrame:
     """Adds running aggregates from the start of each series in two phases; columns: name -> (kind, column), kinds sum,
-    max, count and last (last value that is not null). Rows are dealt into chunks of time once; chunks run by themselves, and
-    a small table of their totals is carried over."""
-    own = df.withColumn("_chunk", F.floor(F.col(t) / chunk)).repartition(*keys, "_chunk")
-    local = Window.partitionBy(*keys, "_chunk").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-    past = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    max, count and last (last value that is not null). Rows are dealt into chunks of time once, or are by ordered(); chunks
+    run by themselves, and a small table of their totals is carried over."""
+    given = "__chunk" in df.columns
+    own = df if given else df.withColumn("__chunk", F.floor(F.col(t) / chunk)).repartition(*keys, "__chunk")
+    local = Window.partitionBy(*keys, "__chunk").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    past = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     run = {"sum": F.sum, "max": F.max, "count": F.count}
     totals, carried = [], []
     for name, (kind, c) in columns.items():
@@ -104,11 +106,11 @@ def prefix(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, str]],
         else:
             totals.append(run[kind](c).alias(f"_{name}"))
             carried.append((F.sum if kind == "count" else run[kind])(f"_{name}").over(past).alias(f"_{name}"))
-    carry = own.groupBy(*keys, "_chunk").agg(*totals).select(*keys, "_chunk", *carried)
+    carry = own.groupBy(*keys, "__chunk").agg(*totals).select(*keys, "__chunk", *carried)
     x = own.withColumns({name: (F.last(c, ignorenulls=True) if kind == "last" else run[kind](c)).over(local) for name, (kind, c) in columns.items()})
-    x = x.join(carry, [*keys, "_chunk"])
+    x = x.join(carry, [*keys, "__chunk"])
     merge = {"sum": lambda a, b: F.coalesce(a + b, a, b), "count": lambda a, b: a + F.coalesce(b, F.lit(0)), "max": lambda a, b: F.greatest(a, b), "last": lambda a, b: F.coalesce(a, b)}
-    return x.withColumns({name: merge[kind](F.col(name), F.col(f"_{name}")) for name, (kind, _) in columns.items()}).drop("_chunk", *(f"_{n}" for n in columns))
+    return x.withColumns({name: merge[kind](F.col(name), F.col(f"_{name}")) for name, (kind, _) in columns.items()}).drop("__chunk", *(f"_{n}" for n in columns))
 
 
 def gaps(df: DataFrame, keys: list[str], step: int, t: str = "t") -> DataFrame:

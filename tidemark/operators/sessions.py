@@ -22,19 +22,25 @@ def after_ready(frames: DataFrame, session: list[str], ready: Column, order: str
     return frames.withColumn("post_ready", F.coalesce(F.max(ready.cast("int")).over(w) > 0, F.lit(False)))
 
 
+def ready_once(frames: DataFrame, session: list[str], ready: Column, order: str = "frame_no") -> DataFrame:
+    """Per session: how many ready frames it has, the first one's number, and whether it has at most one; a second is invalid."""
+    x = frames.groupBy(*session).agg(F.count_if(ready).alias("readies"), F.min(F.when(ready, F.col(order))).alias("first_ready"))
+    return x.withColumn("ready_valid", F.col("readies") <= 1)
+
+
 def book_sequence(messages: DataFrame, keys: list[str], t: str = "frame_no", chunk: int = 100_000) -> DataFrame:
     """Adds status and valid. A snapshot (prev = -1) starts a valid stretch; an update must follow the last seq; a
-    heartbeat repeats it; a gap ends the stretch until the next snapshot."""
-    x = ordered(messages, keys, {"_last": ("lag", "seq")}, t, chunk)
-    status = (
-        F.when(F.col("prev") == -1, "snapshot")
-        .when(F.col("_last").isNull() | (F.col("prev") != F.col("_last")), "gap")
-        .when(F.col("seq") == F.col("_last"), "heartbeat")
-        .when(F.col("seq") < F.col("_last"), "reset")
-        .otherwise("update")
-    )
-    x = x.withColumn("status", status).withColumn("_mark", F.when(F.col("status") == "snapshot", 1).when(F.col("status") == "gap", 0))
-    return prefix(x, keys, {"valid": ("last", "_mark")}, t, chunk).withColumn("valid", F.coalesce(F.col("valid") == 1, F.lit(False))).drop("_last", "_mark")
+    heartbeat repeats it and, where messages count their ``levels``, carries none; a smaller seq is a reset. Whatever breaks
+    this is a gap, and so is all that follows until the next snapshot. Rows are dealt into chunks once."""
+    x = ordered(messages, keys, {"_last": ("lag", "seq")}, t, chunk, dealt=True)
+    start = F.col("prev") == -1
+    loud = (F.col("seq") == F.col("prev")) & (F.coalesce(F.col("levels"), F.lit(0)) > 0) if "levels" in messages.columns else F.lit(False)
+    broken = ~start & (F.col("_last").isNull() | (F.col("prev") != F.col("_last")) | loud)
+    x = x.withColumns({"_start": F.when(start, F.col(t)), "_broken": F.when(broken, F.col(t))})
+    x = prefix(x, keys, {"_from": ("max", "_start"), "_until": ("max", "_broken")}, t, chunk)
+    valid = F.col("_from").isNotNull() & (F.col("_until").isNull() | (F.col("_until") < F.col("_from")))
+    status = F.when(start, "snapshot").when(~valid, "gap").when(F.col("seq") == F.col("prev"), "heartbeat").when(F.col("seq") < F.col("prev"), "reset").otherwise("update")
+    return x.withColumns({"status": status, "valid": valid}).drop("_last", "_start", "_broken", "_from", "_until")
 
 
 def quality_report(frames: DataFrame, session: list[str], channel: str, required: list[str]) -> DataFrame:

@@ -54,7 +54,9 @@ def book(spark, d):
     return frames(spark, d).select("session", "frame_no", F.col("event_id").alias("seq"), prev.cast("long").alias("prev"))
 
 
-_BOOK_SQL = f"with {_BOOK}, s as (select *, case when prev = -1 then 'snapshot' when lag(seq) over w is null or prev <> lag(seq) over w then 'gap' when seq = lag(seq) over w then 'heartbeat' when seq < lag(seq) over w then 'reset' else 'update' end as status from m window w as (partition by session order by frame_no)) select session, frame_no, status, coalesce(last_value(case status when 'snapshot' then 1 when 'gap' then 0 end ignore nulls) over (partition by session order by frame_no rows between unbounded preceding and current row) = 1, false) as valid from s"
+_BOOK_SQL = f"""with {_BOOK}, s as (select *, max(case when prev = -1 then frame_no end) over w as began, max(case when prev <> -1 and (l is null or prev <> l) then frame_no end) over w as broke
+ from (select *, lag(seq) over (partition by session order by frame_no) as l from m) window w as (partition by session order by frame_no rows between unbounded preceding and current row))
+ select session, frame_no, case when prev = -1 then 'snapshot' when not coalesce(began > coalesce(broke, -1), false) then 'gap' when seq = prev then 'heartbeat' when seq < prev then 'reset' else 'update' end as status, coalesce(began > coalesce(broke, -1), false) as valid from s"""
 
 
 @query("m8_book_sequence", _BOOK_SQL)
@@ -131,5 +133,5 @@ def m8_streamed(spark, d):
     import uuid
 
     at = f"{checkpoint_folder(spark)}/messages-{uuid.uuid4().hex}"
-    book(spark, d).write.parquet(at)
+    book(spark, d).select("session", "frame_no", F.lit("book").alias("kind"), "prev", "seq", F.lit(0).alias("levels")).write.parquet(at)
     return _streamed(spark, feeds.checked_books(feeds.stream(spark, at)), "append")

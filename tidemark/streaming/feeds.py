@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,27 +25,70 @@ def counts(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -
     return w.select("event_type", F.unix_seconds("window.start").alias("t"), "n", F.col("q").cast("double").alias("total"))
 
 
-def checked_books(messages: DataFrame) -> DataFrame:
-    """(session, frame_no, status, valid) of messages (session, frame_no, prev, seq) as they arrive; the state of a session
-    is its last sequence number and whether it is valid, kept over batches."""
+#: What checked_books() takes: kind is book, ready or end; prev, seq and levels belong to book frames.
+MESSAGE = "session long, frame_no long, kind string, prev long, seq long, levels int"
+CHECKED = "session long, frame_no long, status string, valid boolean"
+_STATE = "next long, last long, valid boolean, readies int, waiting string"
+
+
+def judged(state: list, n: int, kind: str, prev: int | None, seq: int | None, levels: int | None) -> list[tuple[int, str, bool]]:
+    """What one frame gives; state is [next number, last seq, whether the book is valid, ready frames so far]."""
+    state[0] = n + 1
+    if kind == "ready":
+        state[3] += 1
+        return [(n, "second_ready", False)] if state[3] > 1 else []
+    if kind != "book":
+        return []
+    if prev == -1:
+        status, state[2] = "snapshot", True
+    elif not state[2] or prev != state[1] or (seq == prev and (levels or 0) > 0):
+        status, state[2] = "gap", False
+    else:
+        status = "heartbeat" if seq == prev else "reset" if seq < prev else "update"
+    state[1] = seq
+    return [(n, status, state[2] and state[3] <= 1)]
+
+
+def checked_books(messages: DataFrame, first: int = 1, patience_ms: int = 3_600_000) -> DataFrame:
+    """(session, frame_no, status, valid) of the book frames of MESSAGE rows, as book_sequence() has them, in whatever batches and
+    order they come: frames are numbered from ``first`` without a gap, and those ahead of a missing one wait in the session's
+    state. After a second ready frame, which has a row of its own, nothing of a session is valid. If nothing comes for
+    ``patience_ms``, missing numbers are passed over as a gap. An end frame lets the session's state go, and so does
+    a second such silence. A number that comes again is left out."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, valid = state.get if state.exists else (None, False)
-        rows = pd.concat(list(batches)).sort_values("frame_no")
-        out = []
-        for r in rows.itertuples():
-            if r.prev == -1:
-                status, valid = "snapshot", True
-            elif last is None or r.prev != last:
-                status, valid = "gap", False
-            else:
-                status = "heartbeat" if r.seq == last else "reset" if r.seq < last else "update"
-            last = int(r.seq)
-            out.append((key[0], int(r.frame_no), status, valid))
-        state.update((last, valid))
-        yield pd.DataFrame(out, columns=["session", "frame_no", "status", "valid"])
-
-    return messages.groupBy("session").applyInPandasWithState(step, "session long, frame_no long, status string, valid boolean", "last long, valid boolean", "append", GroupStateTimeout.NoTimeout)
+        at, held = [first, None, False, 0], {}
+        if state.exists:
+            *at, waiting = state.get
+            held = {int(n): v for n, v in json.loads(waiting).items()}
+        silent = state.hasTimedOut
+        if silent and not held:
+            state.remove()
+            return
+        none = lambda x: None if pd.isna(x) else int(x)
+        for pdf in () if silent else batches:
+            for r in pdf.itertuples():
+                if r.frame_no >= at[0]:
+                    held.setdefault(int(r.frame_no), (r.kind, none(r.prev), none(r.seq), none(r.levels)))
+        out, ended = [], False
+        for n in sorted(held):
+            if n != at[0]:
+                if not silent:
+                    break
+                at[2] = False
+            kind, *rest = held.pop(n)
+            out += judged(at, n, kind, *rest)
+            if kind == "end":
+                ended = True
+                break
+        if ended:
+            state.remove()
+        else:
+            state.update((*at, json.dumps(held)))
+            state.setTimeoutDuration(patience_ms)
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=["session", "frame_no", "status", "valid"])
+
+    return messages.groupBy("session").applyInPandasWithState(step, CHECKED, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_available(result: DataFrame, table: str, checkpoint: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -57,7 +101,13 @@ def run_available(result: DataFrame, table: str, checkpoint: str, mode: str = "a
         batch.write.mode("overwrite").parquet(f"{table}/batch={epoch}")
 
     writer = result.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query = writer.foreachBatch(put).start() if mode == "update" else writer.format("parquet").option("path", table).start()
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")  # timers ask for one batch after the other, and would never let it stop
+    try:
+        query = writer.foreachBatch(put).start() if mode == "update" else writer.format("parquet").option("path", table).start()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     query.awaitTermination()
     rows = spark.read.parquet(table)
     if mode != "update":
