@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators.bars import BAR, at_offset, complete, gaps, grid, ordered, prefix, rolling
-from .common import events, market, r6, with_bars
+from ..operators.quantiles import quantiles
+from .common import events, market, r6, stored, with_bars
 from .registry import query
 
 KEYS = ["symbol"]
@@ -52,8 +53,10 @@ def a1(spark, d):
     df = rolling(market(spark, d), KEYS, {"before": at_offset("close", -BAR), "after": at_offset("close", BAR), "vol": (F.sum("volume"), -20 * BAR, -1), "n": (F.count("*"), -20 * BAR, -1)})
     ret, y = fn.simple_return(F.col("close"), F.col("before")), fn.simple_return(F.col("after"), F.col("close"))
     ratio = fn.ratio(F.col("volume"), complete(F.col("vol"), F.col("n"), 15) / F.col("n"))
-    hits = df.where((ret > 0) & (ratio > 1)).select(y.alias("y")).where("y is not null")
-    return hits.agg(F.count("*").alias("n"), r6(F.avg("y")).alias("mean"), r6(F.median("y")).alias("median"), r6(F.avg((F.col("y") > 0).cast("int"))).alias("win_rate"), r6(F.expr("percentile_cont(0.1) within group (order by y)")).alias("p10"), r6(F.expr("percentile_cont(0.9) within group (order by y)")).alias("p90"))
+    hits = stored(df.where((ret > 0) & (ratio > 1)).select(y.alias("y")).where("y is not null"))
+    ranks = quantiles(hits, [], "y", {"median": ("cont", 0.5), "p10": ("cont", 0.1), "p90": ("cont", 0.9)}).drop("n")
+    sums = hits.agg(F.count("*").alias("n"), r6(F.avg("y")).alias("mean"), r6(F.avg((F.col("y") > 0).cast("int"))).alias("win_rate"))
+    return sums.join(F.broadcast(ranks), F.lit(True), "left").select("n", "mean", r6(F.col("median")).alias("median"), "win_rate", r6(F.col("p10")).alias("p10"), r6(F.col("p90")).alias("p90"))  # one row each
 
 
 @query("j1_offset_join", with_bars(f"select b.symbol, b.t, p.close as close_1, q.close as close_3, f.open as open_next from b left join b p on p.symbol=b.symbol and p.t=b.t-{BAR} left join b q on q.symbol=b.symbol and q.t=b.t-{3 * BAR} left join b f on f.symbol=b.symbol and f.t=b.t+{BAR}"))

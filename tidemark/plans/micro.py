@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, sessions
 from ..operators.bars import MONEY, seconds
+from ..operators.quantiles import quantiles
 from ..streaming import feeds
 from .common import checkpoint_folder, events, r6, stored
 from .registry import query
@@ -96,7 +97,8 @@ def m12_whole(spark, d):
 @query("m16_strata_thresholds", "select (epoch_us(ts) // 3600000000 % 24)::int as hour, (epoch_us(ts) // 86400000000 + 3) % 7 >= 5 as weekend, quantile_disc(value, 0.95) as threshold from events group by 1, 2")
 def m16(spark, d):
     s = seconds(F.col("ts"))
-    return events(spark, d).groupBy((F.floor(s / 3600) % 24).cast("int").alias("hour"), ((F.floor(s / 86400) + 3) % 7 >= 5).alias("weekend")).agg(F.expr("percentile_disc(0.95) within group (order by value)").alias("threshold"))
+    x = events(spark, d).select((F.floor(s / 3600) % 24).cast("int").alias("hour"), ((F.floor(s / 86400) + 3) % 7 >= 5).alias("weekend"), "value")
+    return quantiles(x, ["hour", "weekend"], "value", {"threshold": ("disc", 0.95)}).drop("n")
 
 
 @query("m17_book_walk", "with l as (select l_orderkey, l_linenumber as level, min(floor(l_extendedprice / l_quantity)) as price, sum(l_quantity) as size from lineitem group by 1, 2), x as (select *, coalesce(sum(price * size) over (partition by l_orderkey order by level rows between unbounded preceding and 1 preceding), 0) as b from l) select l_orderkey, case when sum(price * size) >= 60000 then round(60000 / sum(greatest(0, least(price * size, 60000 - b)) / price), 4) end as mean_price, count(*) filter (where greatest(0, least(price * size, 60000 - b)) > 0) as levels from x group by 1")

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 
 from ..operators import joins
 from ..operators.bars import BAR, MONEY, gaps, ordered, rolling, seconds
+from ..operators.quantiles import quantiles
 from .common import events, market, r6, with_bars
 from .registry import query
 
@@ -190,8 +191,8 @@ def a17(spark, d):
 
 @query("a19_nearest_rank", "select event_type, count(*) as n, min(value) as min, max(value) as max, quantile_disc(value, 0.05) as p05, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, sum(value::decimal(18,6))::double as total from events group by 1")
 def a19(spark, d):
-    q = {k: F.expr(f"percentile_disc({p}) within group (order by value)").alias(k) for k, p in {"p05": 0.05, "p50": 0.5, "p95": 0.95}.items()}
-    return events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), *q.values(), F.sum(F.col("value").cast(MONEY)).cast("double").alias("total"))
+    q = quantiles(events(spark, d), ["event_type"], "value", {"p05": ("disc", 0.05), "p50": ("disc", 0.5), "p95": ("disc", 0.95)}).drop("n")
+    return events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.sum(F.col("value").cast(MONEY)).cast("double").alias("total")).join(q, "event_type")
 
 
 @query("a20_strata", "select coalesce(event_type, 'all') as event_type, coalesce(q, -1)::int as quartile, count(*) as n from (select event_type, (value >= 25)::int + (value >= 50)::int + (value >= 75)::int as q from events) group by grouping sets ((event_type), (q), ())")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import carry, ledger, reports
 from ..operators.bars import BAR, MONEY, at_offset, ordered, rolling, seconds
-from .common import events, market, r6, with_bars
+from ..operators.quantiles import quantiles
+from .common import events, market, r6, stored, with_bars
 from .registry import query
 from .rules import _POSITION, _RETURNS, _TARGET, held
 
@@ -33,8 +34,9 @@ def a6(spark, d):
 
 @query("a10_ratio_counts", with_bars("select symbol, count(*) filter (where taker_volume = 0) as none, count(*) filter (where 2 * taker_volume > volume) as above_half, count(*) filter (where close < open) as falling, round(median(taker_volume / volume::double), 6) as median_share, quantile_disc(volume, 0.9) as p90_volume from b group by 1"))
 def a10(spark, d):
-    share = F.col("taker_volume") / F.col("volume")
-    return market(spark, d).groupBy("symbol").agg(F.count_if(F.col("taker_volume") == 0).alias("none"), F.count_if(2 * F.col("taker_volume") > F.col("volume")).alias("above_half"), F.count_if(F.col("close") < F.col("open")).alias("falling"), r6(F.median(share)).alias("median_share"), F.expr("percentile_disc(0.9) within group (order by volume)").cast("long").alias("p90_volume"))
+    b = stored(market(spark, d).withColumn("share", F.col("taker_volume") / F.col("volume")))
+    median, high = quantiles(b, ["symbol"], "share", {"m": ("cont", 0.5)}).select("symbol", r6(F.col("m")).alias("median_share")), quantiles(b, ["symbol"], "volume", {"p": ("disc", 0.9)}).select("symbol", F.col("p").cast("long").alias("p90_volume"))
+    return b.groupBy("symbol").agg(F.count_if(F.col("taker_volume") == 0).alias("none"), F.count_if(2 * F.col("taker_volume") > F.col("volume")).alias("above_half"), F.count_if(F.col("close") < F.col("open")).alias("falling")).join(median, "symbol").join(high, "symbol")
 
 
 @query("a13_cross_source_whole", with_bars("""select count(*) as n, round(median(d), 6) as median_bps, round(quantile_cont(d, 0.99), 6) as p99_bps, round(max(d), 6) as max_bps, round(corr(rx, ry), 6) as return_corr, round(median(vx / vy::double), 6) as volume_ratio from (
@@ -47,7 +49,11 @@ def a13_whole(spark, d):
     x = take("click", "x").join(take("view", "y"), "t").withColumn("k", F.lit(1))
     x = ordered(x, ["k"], {"pt": ("lag", "t"), "px": ("lag", "x"), "py": ("lag", "y")}).withColumn("d", F.abs(F.col("x") / F.col("y") - 1) * 10_000)
     near = F.col("t") - F.col("pt") == BAR
-    return x.agg(F.count("*").alias("n"), r6(F.median("d")).alias("median_bps"), r6(F.expr("percentile_cont(0.99) within group (order by d)")).alias("p99_bps"), r6(F.max("d")).alias("max_bps"), r6(F.corr(F.when(near, F.ln(F.col("x") / F.col("px"))), F.when(near, F.ln(F.col("y") / F.col("py"))))).alias("return_corr"), r6(F.median(F.col("vx") / F.col("vy"))).alias("volume_ratio"))
+    x = stored(x.withColumn("v", F.col("vx") / F.col("vy")))
+    d_ranks, v_ranks = quantiles(x, [], "d", {"median_bps": ("cont", 0.5), "p99_bps": ("cont", 0.99)}).drop("n"), quantiles(x, [], "v", {"volume_ratio": ("cont", 0.5)}).drop("n")
+    sums = x.agg(F.count("*").alias("n"), r6(F.max("d")).alias("max_bps"), r6(F.corr(F.when(near, F.ln(F.col("x") / F.col("px"))), F.when(near, F.ln(F.col("y") / F.col("py"))))).alias("return_corr"))
+    both = sums.join(F.broadcast(d_ranks), F.lit(True), "left").join(F.broadcast(v_ranks), F.lit(True), "left")  # one row each
+    return both.withColumns({c: r6(F.col(c)) for c in ("median_bps", "p99_bps", "volume_ratio")})
 
 
 @query("a18_offsets", with_bars("select t % 86400 // 3600 - 12 as offset_h, count(*) as n from b where volume > 5 group by 1"))

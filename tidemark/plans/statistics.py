@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import statistics as st
 from ..operators.bars import BAR, MONEY, at_offset, rolling, seconds
+from ..operators.quantiles import quantiles
 from .common import events, market, r6, with_bars
 from .registry import query
 
@@ -34,7 +35,7 @@ def r3(spark, d):
 @query("r4_regime_cells", "with x as (select (epoch_us(ts) // 3600000000 % 6)::int as phase, user_id, value from events), m as (select median(user_id) as m from x) select phase, user_id > m as high, count(*) as n, round(avg(value), 6) as mean from x, m group by 1, 2")
 def r4(spark, d):
     x = events(spark, d).select((F.floor(seconds(F.col("ts")) / 3600) % 6).cast("int").alias("phase"), "user_id", "value")
-    m = x.agg(F.median("user_id").alias("m"))
+    m = quantiles(x, [], "user_id", {"m": ("cont", 0.5)}).select("m")
     return x.crossJoin(F.broadcast(m)).groupBy("phase", (F.col("user_id") > F.col("m")).alias("high")).agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))  # one row
 
 
