@@ -52,15 +52,22 @@ def test_reference_rules_are_allowed_and_hashes_ignore_order():
     assert rules.rule_hash({"op": "holds_for", "arg": {"op": "and", "args": [a, b]}, "bars": 2}) == rules.rule_hash({"op": "holds_for", "arg": {"op": "and", "args": [b, a]}, "bars": 2})
 
 
-def test_plans_become_strategies():
-    plan = {"side": "both", "entry": {"feature": "return", "window": 12, "op": "greater", "threshold": 0.0018}, "persistence_bars": 3, "clock": {"period": 60, "phase": 0}, "holding_bars": 12}
-    s = rules.strategy_of(plan)
+def test_plans_become_strategies(spark):
+    """As before plans were rows: the short side is the entry turned around, thresholds go to their menus."""
+    plans = spark.createDataFrame(
+        [
+            ("both", "both", ("return", 12, "greater", 0.0018), None, (60, 0), 3, 12),
+            ("only", "short", ("volatility", 24, "less", -0.004), None, None, None, None),
+            ("with", "long", ("volume_z", 24, "greater", -0.8), [("range", 48, "less", -0.004), ("volume_z", 12, "less", -0.74)], None, None, None),
+        ],
+        rules.PLANS,
+    )
+    got = rules.strategies_of(rules.plan_conditions(plans))
     clock = {"op": "clock_is", "period": 60, "phase": 0}
     lasting = lambda node: {"op": "holds_for", "arg": node, "bars": 3}
-    assert s == {"long_if": {"op": "and", "args": [clock, lasting(above(back(12), 0.002))]}, "short_if": {"op": "and", "args": [clock, lasting({"op": "less", "arg": back(12), "than": -0.002})]}, "max_holding_bars": 12}
-    only = rules.strategy_of({"side": "short", "entry": {"feature": "volatility", "window": 24, "op": "less", "threshold": -0.004}})
-    assert only == {"short_if": {"op": "greater", "arg": {"op": "volatility", "window": 24}, "than": -0.005}}
-    assert rules.to_menu("volume_z", -0.8) == -1.0 and rules.to_menu("volume_z", -0.74) == -0.5 and rules.to_menu("range", -0.004) == 0.005
+    assert got["both"] == {"long_if": {"op": "and", "args": [clock, lasting(above(back(12), 0.002))]}, "short_if": {"op": "and", "args": [clock, lasting({"op": "less", "arg": back(12), "than": -0.002})]}, "max_holding_bars": 12}
+    assert got["only"] == {"short_if": {"op": "greater", "arg": {"op": "volatility", "window": 24}, "than": -0.005}}
+    assert [c["than"] for c in got["with"]["long_if"]["args"]] == [0.005, -0.5, -1.0]
 
 
 def test_compiling_rejects_what_is_not_allowed(spark):

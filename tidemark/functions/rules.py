@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.bars import BAR, rolling
+from .scalars import nearest_choice
 
 FEATURES = {"return", "trend", "volatility", "range", "volume_z", "ma_slope"}
 TRANSFORMS = {"rolling_mean", "rolling_std", "zscore"}
@@ -262,31 +263,45 @@ THRESHOLDS = {
 }
 
 
-def to_menu(feature: str, value: float, menus: dict = THRESHOLDS) -> float:
-    """The nearest threshold of the feature's menu (of equals the first); features without sign take the size alone."""
-    menu, signed = menus[feature]
-    size = min(menu, key=lambda m: abs(m - abs(value)))
-    return -size if signed and value < 0 else size
-
-
-def strategy_of(plan: dict, menus: dict = THRESHOLDS) -> dict:
-    """A strategy from a plan: side, entry, and maybe filters, clock, persistence_bars and holding_bars. The short side is
-    the entry turned around; filters and clock hold for both."""
-
-    def compared(c: dict) -> dict:
-        return {"op": c["op"], "arg": {"op": c["feature"], "window": c["window"]}, "than": to_menu(c["feature"], c["threshold"], menus)}
-
-    def lasting(node: dict) -> dict:
-        return {"op": "holds_for", "arg": node, "bars": plan["persistence_bars"]} if plan.get("persistence_bars") else node
-
-    entry = compared(plan["entry"])
-    mirror = {"op": "less" if entry["op"] == "greater" else "greater", "arg": entry["arg"], "than": -entry["than"]}
-    context = [compared(f) for f in plan.get("filters") or []] + ([{"op": "clock_is", **plan["clock"]}] if plan.get("clock") else [])
-    both = lambda node: {"op": "and", "args": [*context, lasting(node)]} if context else lasting(node)
-    out = {"long_if": both(entry)} if plan["side"] in ("long", "both") else {}
-    if plan["side"] in ("short", "both"):
-        out["short_if"] = both(mirror)
-    return out | ({"max_holding_bars": plan["holding_bars"]} if plan.get("holding_bars") else {})
+#: A table of plans, a row each; clock and whatever else is null is not asked for.
+PLANS = """plan string, side string, entry struct<feature:string,window:int,op:string,threshold:double>, filters array<struct<feature:string,window:int,op:string,threshold:double>>,
+    clock struct<period:int,phase:int>, persistence_bars int, holding_bars int"""
+
+
+def on_menu(feature: Column, value: Column, menus: dict = THRESHOLDS) -> Column:
+    """The nearest threshold of the feature's menu (of equals the smaller), with the value's sign where the menu keeps it;
+    null for a feature without a menu."""
+    tries = [F.when(feature == name, nearest_choice(F.abs(value), menu) * (F.when(value < 0, -1.0).otherwise(1.0) if signed else F.lit(1.0))) for name, (menu, signed) in menus.items()]
+    return F.coalesce(*tries)
+
+
+def plan_conditions(plans: DataFrame, menus: dict = THRESHOLDS) -> DataFrame:
+    """(plan, stance, place, op, feature, window, than, bars, holding_bars): each condition of each stance of PLANS rows as a row,
+    thresholds on their menus. A stance is long_if or short_if. Filters come first, then the clock (period as window, phase
+    as than), then the entry, which the short stance turns around and which may have to last for ``bars``."""
+    stances = F.filter(F.array(F.struct(F.lit("long_if").alias("stance"), F.lit(1.0).alias("way")), F.struct(F.lit("short_if").alias("stance"), F.lit(-1.0).alias("way"))), lambda s: (F.col("side") == "both") | F.startswith(s["stance"], F.col("side")))
+    x = plans.select("*", F.explode(stances).alias("s"))
+    row = lambda op, feature, window, than, bars, turned: F.struct(op.alias("op"), feature.alias("feature"), window.alias("window"), than.cast("double").alias("than"), bars.alias("bars"), turned.alias("turned"))
+    none, text = F.lit(None).cast("int"), F.lit(None).cast("string")
+    filters = F.transform(F.coalesce("filters", F.filter(F.array("entry"), lambda _: F.lit(False))), lambda c: row(c["op"], c["feature"], c["window"], c["threshold"], none, F.lit(False)))
+    clock = F.filter(F.array(F.when(F.col("clock").isNotNull(), row(F.lit("clock_is"), text, F.col("clock.period"), F.coalesce("clock.phase", F.lit(0)), none, F.lit(False)))), lambda c: c.isNotNull())
+    entry = F.array(row(F.col("entry.op"), F.col("entry.feature"), F.col("entry.window"), F.col("entry.threshold"), F.col("persistence_bars"), F.col("s.way") < 0))
+    x = x.select("plan", F.col("s.stance").alias("stance"), "holding_bars", F.posexplode(F.concat(filters, clock, entry)).alias("place", "c")).select("plan", "stance", "holding_bars", "place", "c.*")
+    than = F.when(F.col("op") == "clock_is", F.col("than")).otherwise(on_menu(F.col("feature"), F.col("than"), menus))
+    op = F.when(F.col("turned"), F.when(F.col("op") == "less", "greater").otherwise("less")).otherwise(F.col("op"))
+    return x.select("plan", "stance", "place", op.alias("op"), "feature", "window", (than * F.when(F.col("turned"), -1.0).otherwise(1.0)).alias("than"), "bars", "holding_bars")
+
+
+def strategies_of(conditions: DataFrame) -> dict[str, dict]:
+    """Strategies for compile_rules() from plan_conditions() of a batch of plans, which the caller bounds as it bounds its rules."""
+    trees: dict[str, dict] = {}
+    for r in conditions.orderBy("plan", "stance", "place").collect():
+        leaf = {"op": r.op, "period": r.window, "phase": int(r.than)} if r.op == "clock_is" else {"op": r.op, "arg": {"op": r.feature, "window": r.window}, "than": r.than}
+        leaf = leaf if r.bars is None else {"op": "holds_for", "arg": leaf, "bars": r.bars}
+        own = trees.setdefault(r.plan, {} if r.holding_bars is None else {"max_holding_bars": r.holding_bars})
+        own.setdefault(r.stance, {"op": "and", "args": []})["args"].append(leaf)
+    alone = lambda node: node["args"][0] if isinstance(node, dict) and len(node["args"]) == 1 else node
+    return {plan: {k: alone(v) for k, v in own.items()} for plan, own in trees.items()}
 
 
 def reference_rules() -> dict[str, dict]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,10 @@ def s1(spark, d):
 @query("s2_warm_scan", with_bars(f"select symbol, t, round(avg(close) over (partition by symbol order by t range between {20 * BAR - BAR} preceding and current row), 6) as sma from b qualify t >= 1705276800"))
 def s2(spark, d):
     """Reads 20 bars more than asked for, then trims, so that the first windows are whole."""
-    from ..operators.bars import bars, seconds
+    from ..operators.bars import bars
 
     start = 1705276800
-    warm = events(spark, d).where(seconds(F.col("ts")) >= start - 20 * BAR)
+    warm = events(spark, d).where(F.col("ts") >= F.lit(datetime.fromtimestamp(start - 20 * BAR, UTC).replace(tzinfo=None)).cast("timestamp_ntz"))
     return rolling(bars(warm), KEYS, {"sma": (F.avg("close"), -19 * BAR, 0)}).where(F.col("t") >= start).select("symbol", "t", r6(F.col("sma")).alias("sma"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules as fn
 from ..functions.rules import Limits, baseline_targets, boolean, compile_rules, numeric, record_problems, reference_rules, with_windows
 from ..operators import ledger
 from ..operators.bars import BAR, ordered, rolling
@@ -210,3 +211,27 @@ def b13(spark, d):
 def w9(spark, d):
     x = ordered(market(spark, d).where("t % 28800 = 0").select("symbol", "t"), KEYS, {"p": ("lag", "t")})
     return x.select("symbol", "t", ((F.col("t") - F.col("p")) / 3600.0).alias("hours"), F.coalesce(F.col("t") - F.col("p") != 28800, F.lit(False)).alias("differs"))
+
+
+_MENU = "case feature " + " ".join(f"when '{k}' then [{', '.join(map(str, m))}]" for k, (m, _) in fn.THRESHOLDS.items()) + " end"
+_SIGNED = ", ".join(f"'{k}'" for k, (_, signed) in fn.THRESHOLDS.items() if signed)
+
+
+@query("e15_plan_conditions", f"""with p as (select event_id, ['return', 'volatility', 'volume_z', 'range'][event_id % 4 + 1] as f, (value - 50) / 1000 as v, case event_id % 3 when 0 then 'long' when 1 then 'short' else 'both' end as side, event_id % 5 = 0 as filtered, event_id % 7 = 0 as timed, case when event_id % 2 = 0 then 3 end as bars from events),
+ s as (select p.*, stance from p, (select unnest(['long_if', 'short_if']) as stance) where side = 'both' or starts_with(stance, side)),
+ c as (select event_id, stance, 0 as part, 'less' as op, 'trend' as feature, 48 as w, -v as v, null::int as bars, false as turned from s where filtered
+  union all select event_id, stance, 1, 'clock_is', null, 60, 15, null, false from s where timed
+  union all select event_id, stance, 2, 'greater', f, 12, v, bars, stance = 'short_if' from s),
+ m as (select *, case when op = 'clock_is' then v else list_min(list_transform({_MENU}, lambda x: {{'d': abs(abs(v) - x), 'm': x}})).m * case when v < 0 and feature in ({_SIGNED}) then -1 else 1 end end as than from c)
+ select event_id::varchar as plan, stance, row_number() over (partition by event_id, stance order by part) - 1 as place, case when turned then 'less' else op end as op, feature, w as "window", round(case when turned then -than else than end, 6)::double as than, bars from m""")
+def e15(spark, d):
+    """A plan for each event, as conditions on menus; the short side mirrors its entry."""
+    i, v = F.col("event_id"), (F.col("value") - 50) / 1000
+    cond = lambda feature, window, op, x: F.struct(feature.alias("feature"), F.lit(window).alias("window"), F.lit(op).alias("op"), x.alias("threshold"))
+    names = F.array(*map(F.lit, ("return", "volatility", "volume_z", "range")))
+    entry = cond(F.get(names, (i % 4).cast("int")), 12, "greater", v)
+    plans = events(spark, d).select(
+        i.cast("string").alias("plan"), F.when(i % 3 == 0, "long").when(i % 3 == 1, "short").otherwise("both").alias("side"), entry.alias("entry"), F.when(i % 5 == 0, F.array(cond(F.lit("trend"), 48, "less", -v))).alias("filters"),
+        F.when(i % 7 == 0, F.struct(F.lit(60).alias("period"), F.lit(15).alias("phase"))).alias("clock"), F.when(i % 2 == 0, 3).alias("persistence_bars"), F.lit(None).cast("int").alias("holding_bars"),
+    )
+    return fn.plan_conditions(plans).select("plan", "stance", "place", "op", "feature", "window", F.round("than", 6).alias("than"), "bars")
