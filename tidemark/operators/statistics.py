@@ -26,11 +26,14 @@ def ranked(df: DataFrame, by: list[str], draw: Column, key: str, name: str, buck
     return x.withColumn("_r", inner).join(before, [*by, "_b"]).withColumn(name, F.col("_r") + F.col("_before")).drop("_u", "_b", "_r", "_before")
 
 
-def value_ranks(df: DataFrame, by: list[str], value: str, key: str, name: str, buckets: int = 64) -> DataFrame:
-    """Adds the rank (from 1) of each row by a number and key within its group, over buckets between the group's extremes."""
-    span = df.groupBy(*by).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-    draw = F.when(F.col("_hi") > F.col("_lo"), (F.col(value).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    return ranked(df.join(span, by), by, draw, key, name, buckets, value).drop("_lo", "_hi")
+def value_ranks(df: DataFrame, by: list[str], value: str, key: str, name: str, buckets: int = 256) -> DataFrame:
+    """Adds the rank (from 1) of each row by a number and key within its group, over buckets that a mergeable sketch of the group's
+    quantiles bounds, so that they hold about as many rows each whatever the distribution; equal values share one. Rows
+    without the number are left out."""
+    v = F.col(value).cast("double")
+    bounds = df.groupBy(*by).agg(F.percentile_approx(v, [k / buckets for k in range(1, buckets)], 10_000).alias("_bounds"))
+    draw = F.size(F.filter("_bounds", lambda b: b < v)) / buckets
+    return ranked(df.where(v.isNotNull()).join(bounds, by), by, draw, key, name, buckets, value).drop("_bounds")
 
 
 def group_effects(df: DataFrame, group: str, value: str) -> DataFrame:
