@@ -23,3 +23,9 @@ def test_ranks_match_sorting_and_skew_fills_no_bucket(spark):
             k = sum(b < v for b in bounds)
             sizes[k] = sizes.get(k, 0) + 1
     assert max(sizes.values()) < 3000 / 64
+
+
+def test_the_most_influential_cluster_goes(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, -5.0), (3, 5.0), (4, None)], "k long, v double")
+    assert {r.k for r in st.without_most_influential(df, "k", "v").collect()} == {1, 3, 4}
+    assert st.without_most_influential(df.where("k > 9"), "k", "v").collect() == []

@@ -92,6 +92,12 @@ def sign_flip_p(clusters: DataFrame, key: str, value: str, repetitions: int, see
     return sums.crossJoin(F.broadcast(seen)).agg(((1 + F.count_if(F.col("s") >= F.col("o"))) / (1 + F.count("*"))).alias("p"))  # one row
 
 
+def without_most_influential(clusters: DataFrame, key: str, value: str) -> DataFrame:
+    """The clusters (a row each) but the one whose value is the largest in size; of equal ones the first goes."""
+    top = clusters.where(F.col(value).isNotNull()).orderBy(F.desc(F.abs(value)), key).limit(1)
+    return clusters.join(F.broadcast(top.select(key)), key, "left_anti")  # one row
+
+
 def adjusted(tests: DataFrame, p: str = "p", name: str = "test") -> DataFrame:
     """Holm's and Benjamini-Hochberg's adjusted p of a family of tests (a short table); a missing p counts as 1."""
     x = tests.withColumn("_p", F.coalesce(F.col(p), F.lit(1.0)))

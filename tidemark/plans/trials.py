@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import carry, ledger
 from ..operators import statistics as st
 from ..operators.bars import BAR, at_offset, rolling, seconds
-from .common import events, market, r6, with_bars
+from .common import events, market, r6, stored, with_bars
 from .registry import query
 from .rules import KEYS
 
@@ -74,6 +74,13 @@ def r17(spark, d):
     return st.sign_flip_p(x, "day", "x", 500, 5).withColumn("p", r6(F.col("p")))
 
 
+@query("r17_without_largest_day", f"with a as (select epoch_us(ts) // 86400000000 as day, avg(value) - 50 as x from events group by 1), x as (select * from a where day <> (select day from a order by abs(x) desc, day limit 1)), r as (select rep, abs(sum(case when {_U(5, 'rep', 'day')} < 0.5 then -x else x end)) as s from x, (select unnest(range(1, 501)) as rep) group by 1) select round((1 + count(*) filter (where s >= (select abs(sum(x)) from x))) / (1.0 + count(*)), 6) as p, (select count(*) from x) as days from r")
+def r17_without(spark, d):
+    """The same test without the day that moves the sum most."""
+    x = stored(st.without_most_influential(days(spark, d).select("day", (F.col("num") / F.col("den") - 50).alias("x")), "day", "x"))
+    return st.sign_flip_p(x, "day", "x", 500, 5).select(r6(F.col("p")).alias("p")).crossJoin(F.broadcast(x.agg(F.count("*").alias("days"))))  # one row each
+
+
 @query("r18_block_bootstrap", f"""with {_DAYS}, x as (select row_number() over (order by day) - 1 as i, num, den, count(*) over () as size from d), g as (select rep, j, floor({_U(11, "rep", "j")} * size)::bigint as start, size from (select unnest(range(1, 301)) as rep), (select distinct size from x), (select unnest(range(1, 1000)) as j) where j <= ceil(size / 4.0)),
  r as (select rep, sum(num) / sum(den) as ratio from (select rep, (start + k) % size as i from g, (select unnest(range(4)) as k)) join x using (i) group by 1) select round(quantile_cont(ratio, 0.025), 5) as low, round(quantile_cont(ratio, 0.975), 5) as high, count(*) as reps from r""")
 def r18(spark, d):
