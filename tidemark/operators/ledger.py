@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bars import ordered, prefix
-from .joins import interval_join
+from .joins import interval_join, next_any
 from .store import stored
 
 DELAY = 1800
@@ -89,23 +89,60 @@ def held_for_at_most(df: DataFrame, keys: list[str], bars: int, t: str = "t") ->
     return x.join(runs, [*keys, "_run"]).withColumn("position", position).select(*df.columns, "position")
 
 
-def cooled(df: DataFrame, keys: list[str], wait: int, t: str = "t") -> DataFrame:
-    """Events at least ``wait`` seconds after the last accepted one, greedily in time order. An event that comes ``wait`` or more
-    after the one before it is accepted whatever was, so series fall into islands there; each island is gone through by
-    itself, in parallel. What a task holds is bounded by the longest stretch without such a pause."""
-    x = ordered(df, keys, {"_p": ("lag", t)}, t).withColumn("_new", F.coalesce((F.col(t) - F.col("_p") >= wait).cast("int"), F.lit(1)))
-    x = prefix(x, keys, {"_island": ("sum", "_new")}, t)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(pdf[t].to_numpy())
-        keep, k = [], 0
+def cooled(df: DataFrame, keys: list[str], wait: int, t: str = "t", chunk: int | None = None) -> DataFrame:
+    """Events at least ``wait`` (above 0) seconds after the last accepted one, greedily in time order; of events of one time the one
+    with the smallest other columns. Rows without a time are left out.
+
+    A series is dealt into chunks of at least ``wait`` seconds. The event that a chunk first accepts can only be one of its
+    first ``wait`` seconds, or the first after them; from each of these *doors* the chunk leads to one door of a later chunk.
+    These pointers are doubled (2, 4, 8 ... chunks ahead) in a logarithmic number of joins, then followed from each series'
+    first event, longest first, which gives the door that each chunk is entered by. A task holds the times of one chunk."""
+    width = max(chunk or 64 * wait, wait)
+    if wait <= 0:
+        raise ValueError("wait has to be above 0")
+    key = F.struct(F.lit(0).alias("_0"), *keys)  # compares nulls in keys as equal
+    rest = F.struct(F.lit(0).alias("_0"), *(c for c in df.columns if c not in (*keys, t)))
+    one = df.where(F.col(t).isNotNull()).groupBy(key.alias("_key"), F.col(t).cast("long").alias("_t")).agg(F.min(F.struct(rest.alias("_rest"), F.col(t).alias("_own"))).alias("_row"))
+    times = stored(one.select("_key", "_t", F.floor(F.col("_t") / width).alias("_chunk")))
+
+    def ways(rows: pa.Table) -> pa.Table:
+        """Each door of a chunk with the last time that is accepted from there."""
+        rows = rows.sort_by("_t")
+        at, start = rows["_t"].to_numpy(), rows["_chunk"][0].as_py() * width
+        after = np.searchsorted(at, at + wait)
+        last, step = np.arange(len(at)), np.append(after, len(at))
+        while (step[:-1] < len(at)).any():
+            live = step[:-1] < len(at)
+            last = np.where(live, last[np.minimum(step[:-1], len(at) - 1)], last)
+            step = step[step]
+        doors = min(int(np.searchsorted(at, start + wait)) + 1, len(at))
+        return rows.slice(0, doors).append_column("_last", pa.array(at[last[:doors]]))
+
+    doors = times.groupBy("_key", "_chunk").applyInArrow(ways, times.withColumn("_last", F.lit(None).cast("long")).schema)
+    free = doors.select("_key", (F.col("_last") + wait - 1).alias("_free"), F.col("_t").alias("_a"))
+    ahead = next_any(free, doors.select("_key", F.col("_t").alias("_free")), ["_key"], [], "_free", width)
+    steps = [stored(ahead.where("match_t is not null").select("_key", "_a", F.col("match_t").alias("_b")))]
+    most = times.groupBy("_key").agg(F.count_distinct("_chunk").alias("n")).agg(F.max("n")).first()[0] or 0
+    while 2 ** len(steps) < most:
+        then = steps[-1].select("_key", F.col("_a").alias("_b"), F.col("_b").alias("_c"))
+        steps.append(stored(steps[-1].join(then, ["_key", "_b"]).select("_key", "_a", F.col("_c").alias("_b"))))
+    reached = times.groupBy("_key").agg(F.min("_t").alias("_a"))
+    for step in reversed(steps):
+        reached = stored(reached.unionByName(reached.join(step, ["_key", "_a"]).select("_key", F.col("_b").alias("_a"))))
+
+    def follow(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_t")
+        at, door = rows["_t"].to_numpy(), rows["_door"].to_numpy()
+        k, taken = int(np.argmax(door)) if door.any() else len(at), []
         while k < len(at):
-            keep.append(k)
+            taken.append(k)
             k = int(np.searchsorted(at, at[k] + wait))
-        return pdf.sort_values(t).iloc[keep]
+        return rows.take(pa.array(taken, pa.int64())).drop_columns("_door")
 
-    whole = x.select(*df.columns, "_island")
-    return whole.groupBy(*keys, "_island").applyInPandas(pick, whole.schema).drop("_island")
+    entered = times.join(reached.select("_key", F.col("_a").alias("_t"), F.lit(True).alias("_door")), ["_key", "_t"], "left").withColumn("_door", F.coalesce("_door", F.lit(False)))
+    taken = entered.groupBy("_key", "_chunk").applyInArrow(follow, entered.drop("_door").schema)
+    back = {t: F.col("_row._own")} | {k: F.col(f"_key.`{k}`") for k in keys}
+    return one.join(taken, ["_key", "_t"], "left_semi").select(*(back.get(c, F.col(f"_row._rest.`{c}`")).alias(c) for c in df.columns))
 
 
 def first_touch(events: DataFrame, path: DataFrame, keys: list[str], bars: int, bar: int, take: float, stop: float, t: str = "t") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as fn
 from ..operators.bars import BAR, at_offset, complete, gaps, grid, ordered, prefix, rolling
 from ..operators.quantiles import quantiles
+from ..operators.ranks import below_before
 from .common import events, market, r6, stored, with_bars
 from .registry import query
 
@@ -133,13 +134,9 @@ def w8(spark, d):
 
 @query("w10_causal_rank", with_bars(f"select a.symbol, a.t, case when count(*) >= 20 then round(sum((p.close < a.close)::int) / count(*), 6) end as rank from b a join b p on p.symbol = a.symbol and p.t >= a.t - {DAY} and p.t < a.t group by a.symbol, a.t"))
 def w10(spark, d):
-    """Share of the previous day's closes below this one, by a band join on days."""
-    from ..operators.joins import interval_join
-
-    b = market(spark, d)
-    a = b.select("symbol", F.col("t").alias("at"), (F.col("t") - DAY).alias("from"), F.col("close").alias("now"))
-    pairs = interval_join(a, b.select("symbol", "t", "close"), KEYS, "from", "at", "t", DAY)
-    return pairs.groupBy("symbol", F.col("at").alias("t")).agg(r6(complete(F.sum((F.col("close") < F.col("now")).cast("int")) / F.count("*"), F.count("*"), 20)).alias("rank"))
+    """Share of the previous day's closes below this one; bars without any before them are left out."""
+    x = below_before(market(spark, d).select("symbol", "t", "close"), KEYS, "close", DAY)
+    return x.where("seen > 0").select("symbol", "t", r6(complete(F.col("below") / F.col("seen"), F.col("seen"), 20)).alias("rank"))
 
 
 @query("w11_prior_range", with_bars(f"select symbol, t, max(high) over w as prior_high, min(low) over w as prior_low, round(avg(high - low) over w, 6) as mean_range, round(avg((close > open)::int) over w, 6) as up_share from b window w as (partition by symbol order by t range between {4 * BAR} preceding and 1 preceding)"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators.bars import BAR, MONEY, at_offset, complete, ordered, rolling, seconds
+from ..operators.ranks import below_before
 from .common import events, market, r6, with_bars
 from .guards import observable
 from .registry import query
@@ -117,11 +118,9 @@ def f3(spark, d):
     prior = (-_Z, -1)
     windows = {f"{s}_{k}": (f(k), *prior) for k in _SCORED for s, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_samp))}
     windows |= {f"{s}_{n}": (e, -n * BAR, -1) for n in (6, 24) for s, e in (("q", F.sum(c("u") * c("u"))), ("k", F.count("u")))}
-    windows |= {"seen": (F.count("*"), *prior), "volumes": (F.collect_list("volume"), *prior)}
-    x = rolling(x, KEYS, windows)
+    x = below_before(rolling(x, KEYS, windows), KEYS, "volume", _Z)
     x = x.withColumns({k: F.when((c(f"n_{s}") >= _Z_LEAST) & (c(f"s_{s}") > 0), (c(s) - c(f"m_{s}")) / c(f"s_{s}")) for s, k in _SCORED.items()} | {f"rv_{n}": complete(F.sqrt(f"q_{n}"), c(f"k_{n}"), n) for n in (6, 24)})
-    below = F.size(F.filter("volumes", lambda v: v < c("volume")))
-    x = x.withColumns({"move": F.when(c("rv_6") > 0, fn.clipped(c("r1") / c("rv_6"))), "sham_vol": F.when(c("rv_24") > 0, fn.clipped(c("rv_6") / c("rv_24") - 1)), "sham_rank": F.when(c("seen") >= _Z_LEAST, below / c("seen") - 0.5)}).drop("volumes", *windows.keys() - {"volumes"})
+    x = x.withColumns({"move": F.when(c("rv_6") > 0, fn.clipped(c("r1") / c("rv_6"))), "sham_vol": F.when(c("rv_24") > 0, fn.clipped(c("rv_6") / c("rv_24") - 1)), "sham_rank": F.when(c("seen") >= _Z_LEAST, c("below") / c("seen") - 0.5)}).drop("seen", "below", *windows)
     x = rolling(x, KEYS, {"sham_lag": at_offset("move", -BAR)})
     x = x.withColumns({"move_sq": c("move") ** 2, "return_z_sq": c("return_z") ** 2, "imbalance_x_move": c("imb") * c("move")})
     tod, dow = 2 * F.pi() * (c("t") % 86400) / 86400, 2 * F.pi() * ((F.floor(c("t") / 86400) + 3) % 7) / 7
