@@ -57,11 +57,10 @@ def merge_into(new: DataFrame, path: str, keys: list[str]) -> int:
 
 
 def latest_version(spark: SparkSession, path: str) -> int:
-    """The largest finished version of a merged table, 0 if there is none."""
-    n = 0
-    while _there(spark, f"{path}/version={n + 1}"):
-        n += 1
-    return n
+    """The largest finished version of a merged table, 0 if there is none; one listing, however many there are."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    files = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found)
+    return max((int(f.getPath().getParent().getName().removeprefix("version=")) for f in files or []), default=0)
 
 
 def record_run(row: DataFrame, path: str, run_id: str) -> None:
