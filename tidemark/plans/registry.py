@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Importing the modules of queries registers them."""
-    for module in ("features", "relations", "rules", "statistics", "micro", "prices", "lookups", "reports", "landing", "trials", "depth", "guarded", "nested", "books", "lifecycle", "controls"):
+    for module in ("features", "relations", "rules", "statistics", "micro", "prices", "lookups", "reports", "landing", "trials", "depth", "guarded", "nested", "books", "lifecycle", "controls", "normalised"):
         importlib.import_module(f"{__package__}.{module}")
 
 
