@@ -6,9 +6,10 @@ import random
 import statistics as plain
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import trials
+from tidemark.operators import ledger, trials
 
 
 def drawn(seed, *parts):
@@ -94,3 +95,69 @@ def test_least_detectable(spark):
     df = spark.createDataFrame([(11, 2.0), (31, 1.0), (2, 1.0)], "n long, sd double")
     got = [r[0] for r in df.orderBy("n").select(trials.least_detectable(F.col("n"), F.col("sd"))).collect()]
     assert got[0] is None and math.isclose(got[1], 2.228139 * 2 / math.sqrt(11), rel_tol=2e-4) and math.isclose(got[2], 2.042272 / math.sqrt(31), rel_tol=1e-4)
+
+
+def test_two_stages_draw_for_candidates_only_and_go_on(spark):
+    rng = random.Random(4)
+    observed = spark.createDataFrame([("strong", 0.99), ("middle", 0.9), ("weak", 0.2), ("none", None)], "cell string, v double")
+    asked = []
+    table = {(c, k): rng.random() * 0.95 for c in ("strong", "middle", "weak") for k in range(200)}
+
+    def draws(n):
+        def of(cells):
+            names = sorted(r.cell for r in cells.collect())
+            asked.append((n, names))
+            return spark.createDataFrame([(c, table[c, k]) for c in names for k in range(n)] + [("strong", None)], "cell string, v double")
+        return of
+
+    got = {r.cell: r for r in trials.two_stages(observed, draws(20), draws(200), ["cell"], "v", 2).collect()}
+    exceed = lambda c, n, v: sum(table[c, k] >= v for k in range(n))
+    names = [c for c, v in (("middle", 0.9), ("strong", 0.99)) if exceed(c, 20, v) <= 2]
+    assert asked == [(20, ["middle", "strong", "weak"]), (200, names)] and "strong" in names and got.keys() == {"strong", "middle", "weak"}
+    assert got["strong"].p == 1 / 201 and got["weak"].p == (1 + exceed("weak", 20, 0.2)) / 21 and got["weak"].k_2 is None and not got["weak"].candidate
+    done = trials.two_stages(observed.where("cell = 'weak'"), draws(20), draws(200), ["cell"], "v", 2)
+    asked.clear()
+    again = trials.two_stages(observed, draws(20), draws(200), ["cell"], "v", 2, done)
+    assert asked[0] == (20, ["middle", "strong"]) and {tuple(r) for r in again.collect()} == {tuple(r) for r in got.values()}
+
+
+def test_barriers_match_a_loop_under_each_policy(spark):
+    rng = random.Random(5)
+    path, price = [], 100.0
+    for k in range(300):
+        o = price * rng.choice([1, 1, 1.15, 0.85])
+        c = o * rng.uniform(0.9, 1.1)
+        path.append((k, o, max(o, c) * rng.uniform(1, 1.15), min(o, c) / rng.uniform(1, 1.15)))
+        price = c
+    path = [r for r in path if r[0] % 97]
+    df = spark.createDataFrame([("x", *r) for r in path], "s string, t long, open double, high double, low double")
+    at = {r[0]: r for r in path}
+    for policy in ("stop", "take", "exclude"):
+        want = {}
+        for t, entry, _, _ in path:
+            if any(t + k not in at for k in range(6)):
+                continue
+            up, down, hit = entry * 1.1, entry * 0.9, ("timeout", t + 5, at[t + 5][1], False)
+            for k in range(5):
+                _, o, high, low = at[t + k]
+                both = high >= up and low <= down
+                if o >= up:
+                    hit = ("stop", t + k, o, False)
+                elif o <= down:
+                    hit = ("take", t + k, down, False)
+                elif both:
+                    hit = {"stop": ("stop", t + k, up, True), "take": ("take", t + k, down, True), "exclude": ("excluded", t + k, None, True)}[policy]
+                elif high >= up:
+                    hit = ("stop", t + k, up, False)
+                elif low <= down:
+                    hit = ("take", t + k, down, False)
+                else:
+                    continue
+                break
+            want[t] = hit
+        got = {r.id: (r.outcome, r.exit_t, r.exit_price, r.ambiguous) for r in ledger.first_touch(df.withColumn("id", F.col("t")), df, ["s"], 5, 1, 0.1, 0.1, ambiguous=policy).collect()}
+        assert got.keys() == want.keys() and any(w[3] for w in want.values())
+        for t, w in want.items():
+            assert got[t][:2] == w[:2] and got[t][3] == w[3] and (got[t][2] is w[2] is None or math.isclose(got[t][2], w[2], rel_tol=1e-12))
+    with pytest.raises(ValueError):
+        ledger.first_touch(df.withColumn("id", F.col("t")), df, ["s"], 5, 1, 0.1, 0.1, ambiguous="both")

@@ -145,19 +145,24 @@ def cooled(df: DataFrame, keys: list[str], wait: int, t: str = "t", chunk: int |
     return one.join(taken, ["_key", "_t"], "left_semi").select(*(back.get(c, F.col(f"_row._rest.`{c}`")).alias(c) for c in df.columns))
 
 
-def first_touch(events: DataFrame, path: DataFrame, keys: list[str], bars: int, bar: int, take: float, stop: float, t: str = "t") -> DataFrame:
-    """Short entries at the open of the bar at t: the first bar that gaps over or touches a barrier decides, the stop
-    first if both are touched in one bar; else the exit is at the open after ``bars`` bars. Events without a whole path
-    are left out. Adds outcome, exit_t, exit_price, mae and mfe."""
+def first_touch(events: DataFrame, path: DataFrame, keys: list[str], bars: int, bar: int, take: float, stop: float, t: str = "t", ambiguous: str = "stop") -> DataFrame:
+    """Short entries at the open of the bar at t: the first bar that gaps over or touches a barrier decides; else the exit is at the
+    open after ``bars`` bars. A gap over the stop is filled at the open, one over the take at the barrier, since a resting
+    order gets no better price. If one bar touches both, ``ambiguous`` says what counts: stop, take, or exclude (outcome excluded, no
+    price). Events without a whole path are left out. Adds entry_price, outcome, exit_t, exit_price, ambiguous, mae and mfe."""
+    if ambiguous not in ("stop", "take", "exclude"):
+        raise ValueError(f"ambiguous has to be stop, take or exclude, not {ambiguous}")
     e = events.select(*keys, F.col("id"), F.col(t).alias("entry_t"), F.col("open").alias("entry_price")).withColumn("end_t", F.col("entry_t") + bars * bar + 1)
     p = interval_join(e, path.select(*keys, t, "open", "high", "low"), keys, "entry_t", "end_t", t, bars * bar)
     up, down = F.col("entry_price") * (1 + stop), F.col("entry_price") * (1 - take)
     last = F.col(t) == F.col("entry_t") + bars * bar
-    as_hit = lambda outcome, price: F.struct(F.lit(outcome).alias("outcome"), price.alias("price"))
+    as_hit = lambda outcome, price, both=False: F.struct(F.lit(outcome).alias("outcome"), price.alias("price"), F.lit(both).alias("both"))
+    either = {"stop": as_hit("stop", up, True), "take": as_hit("take", down, True), "exclude": as_hit("excluded", F.lit(None).cast("double"), True)}[ambiguous]
     hit = (
         F.when(last, as_hit("timeout", F.col("open")))
         .when(F.col("open") >= up, as_hit("stop", F.col("open")))
-        .when((F.col("open") <= down) & (F.col(t) > F.col("entry_t")), as_hit("take", F.col("open")))
+        .when((F.col("open") <= down) & (F.col(t) > F.col("entry_t")), as_hit("take", down))
+        .when((F.col("high") >= up) & (F.col("low") <= down), either)
         .when(F.col("high") >= up, as_hit("stop", up))
         .when(F.col("low") <= down, as_hit("take", down))
     )
@@ -167,7 +172,7 @@ def first_touch(events: DataFrame, path: DataFrame, keys: list[str], bars: int,
         .groupBy(*keys, "id", "entry_t", "entry_price")
         .agg(F.count("*").alias("n"), F.min_by("hit", F.when(F.col("hit").isNotNull(), F.col(t))).alias("h"), F.min(F.when(F.col("hit").isNotNull(), F.col(t))).alias("exit_t"), F.max(F.when(inner, F.col("high"))).alias("top"), F.min(F.when(inner, F.col("low"))).alias("bottom"))
         .where(F.col("n") == bars + 1)
-        .select(*keys, "id", "entry_t", F.col("h.outcome").alias("outcome"), "exit_t", F.col("h.price").alias("exit_price"), (F.col("top") / F.col("entry_price") - 1).alias("mae"), (1 - F.col("bottom") / F.col("entry_price")).alias("mfe"))
+        .select(*keys, "id", "entry_t", "entry_price", F.col("h.outcome").alias("outcome"), "exit_t", F.col("h.price").alias("exit_price"), F.col("h.both").alias("ambiguous"), (F.col("top") / F.col("entry_price") - 1).alias("mae"), (1 - F.col("bottom") / F.col("entry_price")).alias("mfe"))
     )
 
 

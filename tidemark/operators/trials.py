@@ -3,7 +3,7 @@ bootstraps. Draws are hashes of (seed, repetition, key), so results don't depend
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -109,3 +109,29 @@ def least_detectable(n: Column, deviation: Column) -> Column:
     z, v = 1.959963984540054, n - 1
     t = F.lit(z) + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v * v) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * v * v * v)
     return F.when(n >= 3, t * deviation / F.sqrt(n.cast("double")))
+
+
+def exceedance(observed: DataFrame, null: DataFrame, by: list[str], value: str, suffix: str) -> DataFrame:
+    """Adds k, exceed, p and detectable (the null's 95th percentile) of each cell's draws; exceed counts those that reach the observed.
+    A cell without draws has k 0 and p 1. Null draws are left out."""
+    x = null.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_draw")).join(observed.select(*by, F.col(value).alias("_seen")), by)
+    counts = x.groupBy(*by).agg(F.count("*").alias(f"k{suffix}"), F.count_if(F.col("_draw") >= F.col("_seen")).alias(f"exceed{suffix}"), F.expr("percentile_cont(0.95) within group (order by _draw)").alias(f"detectable{suffix}"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = observed.join(counts, by, "left").withColumns({c: zero(c) for c in (f"k{suffix}", f"exceed{suffix}")})
+    return out.withColumn(f"p{suffix}", (1 + F.col(f"exceed{suffix}")) / (1 + F.col(f"k{suffix}")))
+
+
+def two_stages(observed: DataFrame, first: Callable[[DataFrame], DataFrame], second: Callable[[DataFrame], DataFrame], by: list[str], value: str, most: int, done: DataFrame | None = None) -> DataFrame:
+    """Each cell's placebo test with few draws, and for those with at most ``most`` draws at or above the observed, with all draws.
+    ``first`` and ``second`` give the draws (by..., value) of the cells they get (by...), so nothing is drawn for cells that can't reach
+    the floor. Only the rank promotes, never the size of the effect; p is the second stage's where there is one.
+
+    Cells of ``done``, an earlier result of this function, are not tested again but returned as they are, so a run that died goes on."""
+    todo = observed.where(F.col(value).isNotNull())
+    todo = stored(todo if done is None else todo.join(done.select(*by), by, "left_anti"))
+    one = stored(exceedance(todo, first(todo.select(*by)), by, value, "_1")).withColumn("candidate", (F.col("k_1") > 0) & (F.col("exceed_1") <= most))
+    up = one.where("candidate").select(*by, value)
+    two = exceedance(up, second(up.select(*by)), by, value, "_2").drop(value)
+    out = one.join(two, by, "left").withColumns({"p": F.coalesce("p_2", "p_1"), "detectable": F.coalesce("detectable_2", "detectable_1")})
+    names = [*by, value, *(f"{k}_{s}" for s in (1, 2) for k in ("k", "exceed", "p")), "candidate", "p", "detectable"]
+    return out.select(*names) if done is None else out.select(*names).unionByName(done.select(*names))

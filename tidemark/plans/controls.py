@@ -123,3 +123,23 @@ def r30_random(spark, d):
     seen = x.agg(F.avg("outcome").alias("o"))
     reach = F.round("mean", 9) >= F.round("o", 9)
     return null.crossJoin(F.broadcast(seen)).agg(F.round((1 + F.count_if(reach)) / (1 + F.count("*")), 6).alias("p"), r6(F.avg("mean")).alias("null_mean"), F.min("n").alias("trades"), F.count("*").alias("reps"))  # one row
+
+
+_FEW, _ALL, _MOST = [2, 5, 9, 14, 18, 23, 27], list(range(1, 30)), 1
+
+
+@query("r15_two_stages", with_bars(
+    f"""select o.symbol, round(o.corr, 5) as corr, k_1, e_1 as exceed_1, e_1 <= {_MOST} as candidate, case when e_1 <= {_MOST} then k_2 end as k_2, case when e_1 <= {_MOST} then e_2 end as exceed_2, round(case when e_1 <= {_MOST} then (1 + e_2) / (1.0 + k_2) else (1 + e_1) / (1.0 + k_1) end, 6) as p, round(case when e_1 <= {_MOST} then d_2 else d_1 end, 5) as detectable
+ from o join (select symbol, count(*) filter (where few) as k_1, count(*) as k_2, count(*) filter (where few and n.corr >= o.corr) as e_1, count(*) filter (where n.corr >= o.corr) as e_2, quantile_cont(n.corr, 0.95) filter (where few) as d_1, quantile_cont(n.corr, 0.95) as d_2 from n join o using (symbol) group by 1) using (symbol)""",
+    _PAIR,
+    f"c as (select l.symbol, shift, abs(corr(l.y, r.x)) as corr from j l join (select symbol, x, t % 86400 as s, (t // 86400 % 30 + shift) % 30 as day, shift from j, (select unnest({[0, *_ALL]}) as shift)) r on r.symbol = l.symbol and r.s = l.t % 86400 and r.day = l.t // 86400 % 30 group by 1, 2)",
+    "o as (select symbol, corr from c where shift = 0)",
+    f"n as (select symbol, corr, shift in ({', '.join(map(str, _FEW))}) as few from c where shift <> 0)",
+))
+def r15_stages(spark, d):
+    """Correlations against day shifts: few shifts for all series, all shifts for those whose rank can reach the floor."""
+    j = stored(paired(spark, d))
+    draws = lambda cells, shifts: st.day_shift_placebo(j.join(cells, KEYS, "left_semi"), KEYS, "x", "y", 30, shifts).select(*KEYS, F.abs("corr").alias("corr"))
+    observed = draws(j.select(*KEYS).distinct(), [0])
+    x = trials.two_stages(observed, lambda cells: draws(cells, _FEW), lambda cells: draws(cells, _ALL), KEYS, "corr", _MOST)
+    return x.select("symbol", F.round("corr", 5).alias("corr"), "k_1", "exceed_1", "candidate", "k_2", "exceed_2", r6(F.col("p")).alias("p"), F.round("detectable", 5).alias("detectable"))

@@ -187,7 +187,7 @@ _TOUCH = 6
  select symbol, id, count(*) as n, arg_min(hit, t) filter (where hit is not null) as outcome, arg_min(price, t) filter (where hit is not null) as price, min(t) filter (where hit is not null) as exit_t, max(high) filter (where not last) / any_value(e) - 1 as mae, 1 - min(low) filter (where not last) / any_value(e) as mfe from (
  select a.symbol, a.t as id, p.t, p.high, p.low, a.open as e, p.t = a.t + {_TOUCH * BAR} as last,
  case when p.t = a.t + {_TOUCH * BAR} then 'timeout' when p.open >= a.open * 1.5 then 'stop' when p.open <= a.open * 0.5 and p.t > a.t then 'take' when p.high >= a.open * 1.5 then 'stop' when p.low <= a.open * 0.5 then 'take' end as hit,
- case when p.t = a.t + {_TOUCH * BAR} then p.open when p.open >= a.open * 1.5 then p.open when p.open <= a.open * 0.5 and p.t > a.t then p.open when p.high >= a.open * 1.5 then a.open * 1.5 when p.low <= a.open * 0.5 then a.open * 0.5 end as price
+ case when p.t = a.t + {_TOUCH * BAR} then p.open when p.open >= a.open * 1.5 then p.open when p.open <= a.open * 0.5 and p.t > a.t then a.open * 0.5 when p.high >= a.open * 1.5 then a.open * 1.5 when p.low <= a.open * 0.5 then a.open * 0.5 end as price
  from b a join b p on p.symbol = a.symbol and p.t between a.t and a.t + {_TOUCH * BAR} where a.volume > 6) group by 1, 2) where n = {_TOUCH + 1}"""))
 def b9(spark, d):
     b = market(spark, d)
@@ -196,6 +196,27 @@ def b9(spark, d):
     return out.select("symbol", "id", "outcome", "exit_t", *(r6(F.col(c)).alias(c) for c in ("exit_price", "mae", "mfe")))
 
 
+_POLICIES = {"stop": "stop", "take": "take", "exclude": "excluded"}
+_TOUCHED_SQL = f"p.t < a.t + {_TOUCH * BAR} and p.open < a.open * 1.2 and not (p.open <= a.open * 0.8 and p.t > a.t) and p.high >= a.open * 1.2 and p.low <= a.open * 0.8"
+
+
+@query("b9_barrier_policies", with_bars(
+    "select policy, h.outcome as outcome, h.two as ambiguous, count(*) as n, round(avg((e - h.price) / e), 6) as mean_return from g group by 1, 2, 3",
+    f"""x as (select a.symbol, a.t as id, a.open as e, p.t, p.open, p.high, p.low, p.t = a.t + {_TOUCH * BAR} as last, {_TOUCHED_SQL} as two, p.open >= a.open * 1.2 as gap_up, p.open <= a.open * 0.8 and p.t > a.t as gap_down, p.high >= a.open * 1.2 as up, p.low <= a.open * 0.8 as down
+ from b a join b p on p.symbol = a.symbol and p.t between a.t and a.t + {_TOUCH * BAR} where a.open > 0)""",
+    f"y as (select *, case when last then 'timeout' when gap_up then 'stop' when gap_down then 'take' when two then word when up then 'stop' when down then 'take' end as hit from x, (values {', '.join(f"('{k}', '{v}')" for k, v in _POLICIES.items())}) w(policy, word))",
+    "z as (select *, case when last or gap_up then open when hit = 'stop' then e * 1.2 when hit = 'take' then e * 0.8 end as price from y)",
+    f"g as (select policy, symbol, id, any_value(e) as e, min_by(struct_pack(outcome := hit, price := price, two := two), t) filter (where hit is not null) as h from z group by 1, 2, 3 having count(*) = {_TOUCH + 1})",
+))
+def b9_policies(spark, d):
+    """What a bar that touches both barriers counts as: outcomes and mean returns under each policy, over all bars."""
+    b = stored(market(spark, d))
+    e = b.where("open > 0").withColumn("id", F.col("t"))
+    parts = [ledger.first_touch(e, b, KEYS, _TOUCH, BAR, 0.2, 0.2, ambiguous=k).withColumn("policy", F.lit(k)) for k in _POLICIES]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.groupBy("policy", "outcome", "ambiguous").agg(F.count("*").alias("n"), r6(F.avg((F.col("entry_price") - F.col("exit_price")) / F.col("entry_price"))).alias("mean_return"))
+
+
 @query("b10_whole_paths", with_bars(f"select symbol, t from b qualify count(*) over (partition by symbol order by t range between current row and {8 * BAR} following) = 9"))
 def b10(spark, d):
     return rolling(market(spark, d), KEYS, {"n": (F.count("*"), 0, 8 * BAR)}).where("n = 9").select("symbol", "t")
