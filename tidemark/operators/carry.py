@@ -5,11 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import interval_join
+from .joins import first_after, interval_join
 
 RAY = 10**27
 
 
+def two_leg_fills(signals: DataFrame, bars: DataFrame, keys: list[str], cancel: int, capital: float, leverage: float, lot: float, least: float, t: str = "t") -> DataFrame:
+    """Where both legs of a trade are filled: signals (keys, id, entry_signal, exit_signal) against bars (keys, unique time, spot_open,
+    perp_open). A fill is the first bar strictly after its signal, at most ``cancel`` seconds later, that has both opens; bars
+    without one of them are passed over.
+
+    A trade without such a bar for its entry isn't opened. Its size is what ``capital`` pays for both legs, rounded down to lots; none or
+    less than ``least`` of the perpetual isn't opened either. The exit is sought after the entry and its own signal; if there is none in
+    time, the series' last bar with both legs counts, and if that isn't after the entry, the trade has no exit. Adds reason (null
+    if opened), entry_t, spot_entry, perp_entry, quantity, residual, exit_kind (signal, last or none), exit_t, spot_exit and perp_exit."""
+    both = bars.where((F.col("spot_open") > 0) & (F.col("perp_open") > 0)).select(*keys, t, "spot_open", "perp_open")
+    last = both.groupBy(*keys).agg(F.max_by(F.struct(F.col(t).alias("t"), "spot_open", "perp_open"), t).alias("_last"))
+    names = lambda side: {"match_t": f"{side}_t", "spot_open": f"spot_{side}", "perp_open": f"perp_{side}"}
+    x = first_after(signals.withColumn(t, F.col("entry_signal")), both, keys, cancel, ["spot_open", "perp_open"], t).withColumnsRenamed(names("entry"))
+    x = x.withColumn(t, F.greatest("exit_signal", "entry_t"))
+    x = first_after(x, both, keys, cancel, ["spot_open", "perp_open"], t).withColumnsRenamed(names("exit")).join(last, keys, "left")
+    raw = capital * leverage / ((leverage + 1.0) * F.col("spot_entry"))
+    x = x.withColumn("quantity", F.floor(raw / lot) * lot).withColumn("residual", raw - F.col("quantity"))
+    reason = F.when(F.col("entry_t").isNull(), "no_entry_fill").when(F.col("quantity") <= 0, "rounds_to_zero").when(F.col("quantity") * F.col("perp_entry") < least, "below_least")
+    kind = F.when(F.col("exit_t").isNotNull(), "signal").when(F.col("_last.t") > F.col("entry_t"), "last").otherwise("none")
+    x = x.withColumns({"reason": reason, "exit_kind": F.when(reason.isNull(), kind)})
+    of = lambda own, field: F.when(F.col("exit_kind") == "signal", F.col(own)).when(F.col("exit_kind") == "last", F.col(f"_last.{field}"))
+    ends = {"exit_t": of("exit_t", "t"), "spot_exit": of("spot_exit", "spot_open"), "perp_exit": of("perp_exit", "perp_open")}
+    opened = {c: F.when(F.col("reason").isNull(), F.col(c)) for c in ("entry_t", "spot_entry", "perp_entry", "quantity", "residual")}
+    return x.withColumns(ends).withColumns(opened).select(*keys, "id", "entry_signal", "exit_signal", "reason", *opened, "exit_kind", *ends)
+
+
 def funding_cash(trades: DataFrame, settlements: DataFrame, keys: list[str], bucket: int = 86400) -> DataFrame:
     """Cash of each trade (id, entry_t, exit_t, quantity) from settlements (t, rate, mark) with entry_t < t <= exit_t, and how
     many there were; a short perpetual receives a positive rate."""

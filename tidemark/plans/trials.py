@@ -276,6 +276,33 @@ def b14(spark, d):
     return y.select("id", F.round(F.col("pnl") - F.col("funding") + F.col("cost"), 5).alias("legs"), "settlements", F.round("funding", 5).alias("funding"), F.round("cost", 5).alias("cost"))
 
 
+_CANCEL, _CAPITAL = 3 * BAR, 250.0
+
+
+@query("b14_two_leg_fills", with_bars(
+    """select x.id, x.reason, x.entry_t, x.exit_kind, x.exit_t, round(x.q, 6) as quantity, round(x.q * (x.so - x.si) - x.q * (x.po - x.pi), 5) as legs, case when x.exit_t is not null then count(f.t) end as settlements, round(case when x.exit_t is not null then coalesce(sum(x.q * f.close * 0.01), 0) end, 5) as funding
+ from x left join b f on f.symbol = 'click' and f.t % 28800 = 0 and f.t > x.entry_t and f.t <= x.exit_t group by x.id, x.reason, x.entry_t, x.exit_kind, x.exit_t, x.q, x.so, x.si, x.po, x.pi""",
+    "two as (select p.t, s.open as spot, p.open as perp from b p join b s on s.symbol = 'view' and s.t = p.t where p.symbol = 'click' and p.t % 25200 <> 0 and s.open > 0 and p.open > 0)",
+    f"s as (select t as id, t as a, t + 172800 as z from b where symbol = 'click' and t % 21600 = 0), i as (select s.*, case when n.t <= s.a + {_CANCEL} then n.t end as et, n.spot as si, n.perp as pi from s asof left join two n on s.a < n.t)",
+    f"""q as (select *, greatest(z, et) as zz, floor({_CAPITAL} * 2 / (3 * si) / 0.5) * 0.5 as q from i),
+ o as (select q.*, case when n.t <= q.zz + {_CANCEL} then n.t end as xt, n.spot as so, n.perp as po from q asof left join two n on q.zz < n.t), l as (select max(t) as t, arg_max(spot, t) as spot, arg_max(perp, t) as perp from two)""",
+    """k as (select o.*, case when et is null then 'no_entry_fill' when q <= 0 then 'rounds_to_zero' when q * pi < 20 then 'below_least' end as reason, l.t as lt, l.spot as ls, l.perp as lp from o, l),
+ m as (select *, case when reason is null then case when xt is not null then 'signal' when lt > et then 'last' else 'none' end end as exit_kind from k),
+ x as (select id, reason, exit_kind, case when reason is null then et end as entry_t, case when reason is null then q end as q, si, pi, case exit_kind when 'signal' then xt when 'last' then lt end as exit_t, case exit_kind when 'signal' then so when 'last' then ls end as so, case exit_kind when 'signal' then po when 'last' then lp end as po from m)""",
+))
+def b14_fills(spark, d):
+    """Two-leg trades from signals every six hours: fills at the next bars that have both legs, sizes in lots, and what holding paid."""
+    b = stored(market(spark, d))
+    spot, perp = (b.where(F.col("symbol") == s).select("t", F.col("open").alias(f"{c}_open")) for s, c in (("view", "spot"), ("click", "perp")))
+    legs = perp.join(spot, "t", "full").withColumn("spot_open", F.when(F.col("t") % 25200 != 0, F.col("spot_open"))).withColumn("k", F.lit(1))
+    signals = perp.where("t % 21600 = 0").select(F.lit(1).alias("k"), F.col("t").alias("id"), F.col("t").alias("entry_signal"), (F.col("t") + 172800).alias("exit_signal"))
+    x = stored(carry.two_leg_fills(signals, legs, ["k"], _CANCEL, _CAPITAL, 2.0, 0.5, 20.0))
+    paid = b.where("symbol = 'click' and t % 28800 = 0").select(F.lit(1).alias("k"), "t", F.lit(0.01).alias("rate"), F.col("close").alias("mark"))
+    held = carry.funding_cash(x.where("exit_t is not null").select("k", "id", "entry_t", "exit_t", "quantity"), paid, ["k"]).select("id", "settlements", "funding")
+    gain = F.col("quantity") * (F.col("spot_exit") - F.col("spot_entry")) - F.col("quantity") * (F.col("perp_exit") - F.col("perp_entry"))
+    return x.join(held, "id", "left").select("id", "reason", "entry_t", "exit_kind", "exit_t", r6(F.col("quantity")).alias("quantity"), F.round(gain, 5).alias("legs"), "settlements", F.round("funding", 5).alias("funding"))
+
+
 def _legs(spark, d):
     """A day's short leg of one series from its first open."""
     x = market(spark, d).where("symbol = 'click'").withColumn("trade", F.floor(F.col("t") / 86400))
