@@ -6,11 +6,14 @@ joins on buckets with an equi-join, so that Spark can split skewed buckets."""
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bars import ordered, prefix
+
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int, take: list[str], t: str = "t", forward: bool = False, strict: bool = False) -> DataFrame:
     """Each left row with the ``take`` columns of the nearest right row at or before its time (``forward``: at or after;
@@ -106,33 +109,73 @@ def first_after(left: DataFrame, right: DataFrame, keys: list[str], within: int,
     return as_of(left, right, keys, within, take, t, forward=True, strict=True)
 
 
-def matched_controls(events: DataFrame, pool: DataFrame, strata: list[str], reach: int, cooldown: int, t: str = "t") -> DataFrame:
-    """For each event the nearest control of its stratum (ties: the earlier), no control within ``cooldown`` of one that
-    is taken. Candidates come from a band join. Events further apart than both reaches and the cooldown cannot take
-    each other's controls, so strata fall into islands there, and the choice runs through each island in time order."""
-    from .bars import ordered, prefix
-
-    e = events.select(*strata, F.col("id").alias("event_id"), F.col(t).alias("event_t"))
-    e = ordered(e, strata, {"_p": ("lag", "event_t")}, "event_t").withColumn("_new", F.coalesce((F.col("event_t") - F.col("_p") > 2 * reach + cooldown).cast("int"), F.lit(1)))
-    e = prefix(e, strata, {"_island": ("sum", "_new")}, "event_t").drop("_p", "_new")
-    p = pool.select(*strata, F.col("id").alias("control_id"), F.col(t).alias("control_t"))
-    pairs = band_join(e, p, strata, reach, "event_t", "control_t").where("event_t <> control_t")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(d=(pdf.control_t - pdf.event_t).abs()).sort_values(["event_t", "event_id", "d", "control_t", "control_id"])
+def _nearest_free(strata: int, reach: int, cooldown: int):
+    """Reads (strata..., _island, _at, is_event, t, id) in order of island, _at and kind, where a control comes ``reach`` before its
+    time, and yields each event's choice. Kept are the free controls of one window and what was taken there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, done = None, None
+        times: list[int] = []  # free controls in order
+        ids: list[int | None] = []
         taken: list[int] = []  # sorted
-        out, done = [], None
-        for r in pdf.itertuples():
-            if (r.event_t, r.event_id) == done:
-                continue
-            k = bisect.bisect_left(taken, r.control_t)
-            if all(abs(r.control_t - x) >= cooldown for x in taken[max(k - 1, 0) : k + 1]):
-                taken.insert(k, r.control_t)
-                out.append((r.event_id, r.event_t, r.control_id, r.control_t))
-                done = (r.event_t, r.event_id)
-        return pd.DataFrame(out, columns=["event_id", "event_t", "control_id", "control_t"])
-
-    return pairs.groupBy(*strata, "_island").applyInPandas(choose, "event_id long, event_t long, control_id long, control_t long")
+        for batch in batches:
+            out: list[tuple] = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for key, is_event, t, i in zip(zip(*columns[: strata + 1], strict=True), *columns[strata + 2 :], strict=True):
+                if key != group:
+                    group, done, times, ids, taken = key, None, [], [], []
+                if not is_event:
+                    k = bisect.bisect_left(taken, t)
+                    if all(abs(t - x) >= cooldown for x in taken[max(k - 1, 0) : k + 1]):
+                        times.append(t)
+                        ids.append(i)
+                    continue
+                if (t, i) == done:
+                    continue
+                gone = bisect.bisect_left(times, t - reach)
+                if 2 * gone > len(times):  # not at each step, as lists move
+                    del times[:gone], ids[:gone]
+                    gone = 0
+                before, after = bisect.bisect_left(times, t) - 1, bisect.bisect_right(times, t)
+                near = [k for k in (before, after) if gone <= k < len(times)]  # all that came are at most reach ahead
+                if not near:
+                    continue
+                k = min(near, key=lambda k: (abs(times[k] - t), k))
+                control = times[k]
+                out.append((i, t, ids[k], control))
+                done = (t, i)
+                if cooldown > 0:
+                    lo, hi = bisect.bisect_right(times, control - cooldown), bisect.bisect_left(times, control + cooldown)
+                    del times[lo:hi], ids[lo:hi]
+                del taken[: bisect.bisect_left(taken, t - reach - cooldown)]
+                bisect.insort(taken, control)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)] or [pa.array([], pa.int64())] * 4, names=_CHOICE)
+
+    return run
+
+
+_CHOICE = ["event_id", "event_t", "control_id", "control_t"]
+
+
+def matched_controls(events: DataFrame, pool: DataFrame, strata: list[str], reach: int, cooldown: int, t: str = "t") -> DataFrame:
+    """For each event the nearest control of its stratum (ties: the earlier, then the smaller id), no control within ``cooldown``
+    of one that is taken. Events further apart than both reaches and the cooldown cannot take each other's controls, so strata
+    fall into islands there. Events and controls stream through each island in time order; no pairs are made, and a task
+    holds the controls of one window, once a second."""
+    given = " and ".join(f"`{c}` is not null" for c in [*strata, "_t"])
+    e = events.select(*strata, F.col("id"), F.col(t).alias("_t")).where(given)
+    times = e.select(*strata, "_t").distinct()  # equal times would have no order
+    times = ordered(times, strata, {"_p": ("lag", "_t")}, "_t").withColumn("_new", F.coalesce((F.col("_t") - F.col("_p") > 2 * reach + cooldown).cast("int"), F.lit(1)))
+    islands = prefix(times, strata, {"_island": ("sum", "_new")}, "_t").groupBy(*strata, "_island").agg((F.min("_t") - reach).alias("_lo"), (F.max("_t") + reach + 1).alias("_hi"))
+    # of controls at one time only the smallest id is ever taken
+    p = pool.select(*strata, F.col("id"), F.col(t).alias("_t")).where(given).groupBy(*strata, "_t").agg(F.min("id").alias("id"))
+    rows = e.withColumns({"_event": F.lit(True), "_at": F.col("_t")}).unionByName(p.withColumns({"_event": F.lit(False), "_at": F.col("_t") - reach}))
+    bucket = max(2 * reach, 1)  # islands and their reaches don't overlap, so that few meet a bucket
+    islands = islands.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_lo") / bucket), F.floor(F.col("_hi") / bucket))))
+    near = rows.withColumn("_bucket", F.floor(F.col("_t") / bucket)).join(islands, [*strata, "_bucket"]).where("_t >= _lo and _t < _hi")
+    dealt = near.select(*strata, "_island", "_at", "_event", "_t", "id").repartition(*strata, "_island")
+    inner = dealt.sortWithinPartitions(*strata, "_island", "_at", "_event", "_t", F.asc_nulls_last("id"))
+    return inner.mapInArrow(_nearest_free(len(strata), reach, cooldown), ", ".join(f"{c} long" for c in _CHOICE))
 
 
 def candidate_rules(events: DataFrame, bars: DataFrame, keys: list[str], bar: int, rules: list[tuple[str, int, str]], t: str = "t") -> DataFrame:
