@@ -32,3 +32,22 @@ def test_controls_make_no_pairs_in_an_hour_that_holds_everything(spark):
     pool = spark.range(40_000).selectExpr("id", "0 as h", "(id * 7) % 3600 as t")
     x = joins.matched_controls(events, pool, ["h"], 3600, 600)  # 800 million pairs
     assert 4 <= x.count() <= 7
+
+
+def test_totals_after_match_a_loop(spark):
+    draw = random.Random(4)
+    left = [(i, draw.randrange(200_000) // 7 * 7) for i in range(200)] + [(999, None)]
+    points = [(draw.randrange(200_000) // 7 * 7, draw.choice([None, 1.0, 2.5])) for _ in range(400)]
+    one, two = spark.createDataFrame(left, "id long, t long"), spark.createDataFrame(points, "t long, v double").selectExpr("t", "cast(v as decimal(18,6)) as v")
+    got = {r.id: (r.n, float(r.total)) for r in joins.totals_after(one, two, [], 700, "v").collect()}
+    for i, t in left:
+        inside = [v for p, v in points if t is not None and t < p <= t + 700]
+        assert got[i] == (len(inside), sum(v or 0 for v in inside))
+
+
+def test_totals_after_make_no_pairs_in_dense_seconds(spark):
+    left = spark.range(100_000).selectExpr("id", "id % 60 as t")
+    points = spark.range(400_000).selectExpr("id % 60 as t", "cast(1 as decimal(18,6)) as v")
+    got = joins.totals_after(left, points, [], 600, "v").selectExpr("sum(n) as n", "sum(total) as total").first()
+    each = 100_000 // 60 * 400_000 // 60
+    assert abs(got.n / (each * 59 * 30) - 1) < 0.01 and got.total == got.n  # 20 billion pairs

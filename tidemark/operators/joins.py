@@ -80,6 +80,19 @@ def interval_join(left: DataFrame, points: DataFrame, keys: list[str], start: st
     return out.drop(*(r[k] for k in [*keys, "_bucket"])).drop("_bucket")
 
 
+def totals_after(left: DataFrame, points: DataFrame, keys: list[str], within: int, value: str, t: str = "t") -> DataFrame:
+    """Left rows with ``n`` and ``total``: how many points have a time in (t, t + within], and the sum of a decimal column over
+    them. From running totals at the seconds that matter, so that no pairs are made, however dense the points."""
+    times = left.select(*keys, t).distinct()
+    ends = times.select(*keys, F.explode(F.array(F.col(t), F.col(t) + within)).alias(t), F.lit(0).alias("n"), F.lit(0).alias("total"))
+    ends = points.select(*keys, t, F.lit(1).alias("n"), F.coalesce(value, F.lit(0)).alias("total")).unionByName(ends)
+    ends = ends.groupBy(*keys, t).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    at = prefix(ends, keys, {"_n": ("sum", "n"), "_total": ("sum", "total")}, t, 86400).select(*keys, t, "_n", "_total")
+    until = at.select(*keys, (F.col(t) - within).alias(t), F.col("_n").alias("n"), F.col("_total").alias("total"))
+    sums = times.join(at, [*keys, t]).join(until, [*keys, t]).select(*keys, t, (F.col("n") - F.col("_n")).alias("n"), (F.col("total") - F.col("_total")).alias("total"))
+    return left.join(sums, [*keys, t], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "total")})
+
+
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int, value: str, agree: float = 1e-9) -> DataFrame:
     """One-to-one match of two event tables (id, t, value) within a tolerance; every row of both sides is kept with a
     status: matched, value_mismatch, ambiguous (several candidates), shared (its candidate serves several) or unmatched,

@@ -77,10 +77,8 @@ def j10(spark, d):
 @query("j11_events_in_window", f"with {_E} select a.id, count(b.id) as n, coalesce(sum(b.value::decimal(18,6)), 0)::double as total from (select * from e where event_type = 'purchase') a left join e b on b.t > a.t and b.t <= a.t + 7200 and b.event_type = 'error' group by a.id")
 def j11(spark, d):
     e = timed(spark, d)
-    a = e.where("event_type = 'purchase'").select(F.col("id").alias("left_id"), F.col("t").alias("from_t"), (F.col("t") + 7200).alias("to_t"))
-    got = joins.interval_join(a, e.where("event_type = 'error'").select("t", "value"), [], "from_t", "to_t", "t", 7200, closed="right")
-    sums = got.groupBy("left_id").agg(F.count("*").alias("n"), F.sum(F.col("value").cast(MONEY)).cast("double").alias("total"))
-    return a.join(sums, "left_id", "left").select(F.col("left_id").alias("id"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"))
+    points = e.where("event_type = 'error'").select("t", F.col("value").cast(MONEY).alias("value"))
+    return joins.totals_after(e.where("event_type = 'purchase'").select("id", "t"), points, [], 7200, "value").select("id", "n", F.col("total").cast("double").alias("total"))
 
 
 @query("j13_none_near", f"with {_E} select a.id from e a where event_type = 'signup' and not exists (select 1 from e b where b.event_type = 'error' and b.t between a.t - 900 and a.t + 900)")
