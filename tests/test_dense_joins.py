@@ -51,3 +51,33 @@ def test_totals_after_make_no_pairs_in_dense_seconds(spark):
     got = joins.totals_after(left, points, [], 600, "v").selectExpr("sum(n) as n", "sum(total) as total").first()
     each = 100_000 // 60 * 400_000 // 60
     assert abs(got.n / (each * 59 * 30) - 1) < 0.01 and got.total == got.n  # 20 billion pairs
+
+
+def plain_reconcile(left, right, tolerance):
+    near = {i: [r for r in right if r[1] is not None and t is not None and abs(r[1] - t) <= tolerance] for i, t, _ in left}
+    serves = {k: sum(k in [r[0] for r in rs] for rs in near.values()) for k, _, _ in right}
+    out = []
+    for i, t, v in left:
+        if len(near[i]) == 1:
+            k, u, w = near[i][0]
+            status = "shared" if serves[k] > 1 else "value_mismatch" if abs(v - w) > 1e-9 else "matched"
+            out.append((i, t, k, u - t, status) if status != "shared" else (i, t, None, None, status))
+        else:
+            out.append((i, t, None, None, "ambiguous" if near[i] else "unmatched"))
+    return out + [(None, None, k, None, "unmatched_right") for k, _, _ in right if not serves[k]]
+
+
+def test_reconcile_matches_a_loop(spark):
+    draw = random.Random(5)
+    for span in (300, 3000):
+        left, right = ([(i, draw.randrange(span), float(draw.randrange(2))) for i in range(150)] + [(999, None, 1.0)] for _ in range(2))
+        one, two = (spark.createDataFrame(x, "id long, t long, value double").repartition(3) for x in (left, right))
+        got = [tuple(r) for r in joins.reconcile(one, two, [], 2, "value").collect()]
+        assert sorted(got, key=str) == sorted(plain_reconcile(left, right, 2), key=str)
+
+
+def test_reconcile_makes_no_pairs_in_dense_seconds(spark):
+    left = spark.range(300_000).selectExpr("id", "id % 3 as t", "1.0D as value")
+    right = spark.range(400_000).selectExpr("id", "id % 3 + 2 as t", "1.0D as value")
+    got = {r.status: r["count"] for r in joins.reconcile(left, right, [], 2, "value").groupBy("status").count().collect()}
+    assert got == {"ambiguous": 300_000}  # 80 billion pairs

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bars import ordered, prefix
+from .bars import ordered, prefix, rolling
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int, take: list[str], t: str = "t", forward: bool = False, strict: bool = False) -> DataFrame:
@@ -94,27 +94,31 @@ def totals_after(left: DataFrame, points: DataFrame, keys: list[str], within: in
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int, value: str, agree: float = 1e-9) -> DataFrame:
-    """One-to-one match of two event tables (id, t, value) within a tolerance; every row of both sides is kept with a
-    status: matched, value_mismatch, ambiguous (several candidates), shared (its candidate serves several) or unmatched,
-    and unmatched_right."""
+    """One-to-one match of two event tables (id, t, value; whole seconds) within a tolerance; every row of both sides is kept
+    with a status: matched, value_mismatch, ambiguous (several candidates), shared (its candidate serves several) or unmatched,
+    and unmatched_right. Candidates are counted by second and the only one is the least, so no pairs are made."""
     l = left.select(*keys, F.col("id").alias("left_id"), F.col("t").alias("left_t"), F.col(value).alias("left_value"))  # noqa: E741
     r = right.select(*keys, F.col("id").alias("right_id"), F.col("t").alias("right_t"), F.col(value).alias("right_value"))
-    # each right row with all left rows near it, or none; then one row a left row, and one a right row without any
-    pairs = band_join(r, l, keys, tolerance, "right_t", "left_t", "left").withColumn("of_right", F.count("left_id").over(Window.partitionBy(*keys, "right_id")))
-    lone = F.when(F.col("left_id").isNull(), F.col("right_id"))
-    best = F.min(F.struct("right_id", "right_t", "right_value", "of_right"))
-    one = pairs.groupBy(*keys, "left_id", lone.alias("lone")).agg(F.count("left_id").alias("of_left"), best.alias("c")).select(*keys, "left_id", "lone", "of_left", "c.*")
+    none = F.lit(None)
+    rights = r.select(*keys, F.col("right_t").alias("t"), F.struct("right_id", "right_t", "right_value").alias("c"))
+    both = rights.unionByName(l.select(*keys, F.col("left_t").alias("t"), none.cast(rights.schema["c"].dataType).alias("c")))
+    by_second = both.groupBy(*keys, "t").agg(F.count("c").alias("rights"), F.count_if(F.col("c").isNull()).alias("lefts"), F.min("c").alias("c")).where("t is not null")
+    span = (-tolerance, tolerance)
+    near = rolling(by_second, keys, {"of_left": (F.sum("rights"), *span), "of_right": (F.sum("lefts"), *span), "c": (F.min("c"), *span)})
+    served = near.select(*keys, F.col("t").alias("right_t"), "of_right")
+    one = near.select(*keys, F.col("t").alias("left_t"), "of_left", "c.*").join(served, [*keys, "right_t"])
     status = (
-        F.when(F.col("lone").isNotNull(), "unmatched_right")
-        .when(F.col("of_left").isNull(), "unmatched")
+        F.when(F.col("of_left").isNull(), "unmatched")
         .when(F.col("of_left") > 1, "ambiguous")
         .when(F.col("of_right") > 1, "shared")
         .when(F.abs(F.col("left_value") - F.col("right_value")) > agree, "value_mismatch")
         .otherwise("matched")
     )
     sure = F.col("status").isin("matched", "value_mismatch")
-    main = l.join(one, [*keys, "left_id"], "full").withColumn("status", status)
-    return main.select("left_id", "left_t", F.when(sure, F.col("right_id")).otherwise(F.col("lone")).alias("right_id"), F.when(sure, F.col("right_t") - F.col("left_t")).alias("offset"), "status")
+    main = l.join(one, [*keys, "left_t"], "left").withColumn("status", status)
+    main = main.select("left_id", "left_t", F.when(sure, F.col("right_id")).alias("right_id"), F.when(sure, F.col("right_t") - F.col("left_t")).alias("offset"), "status")
+    lone = r.join(served.where("of_right > 0"), [*keys, "right_t"], "left_anti")
+    return main.unionByName(lone.select(none.cast(main.schema["left_id"].dataType).alias("left_id"), none.cast(main.schema["left_t"].dataType).alias("left_t"), "right_id", none.cast(main.schema["offset"].dataType).alias("offset"), F.lit("unmatched_right").alias("status")))
 
 
 def first_after(left: DataFrame, right: DataFrame, keys: list[str], within: int, take: list[str], t: str = "t") -> DataFrame:
