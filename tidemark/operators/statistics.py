@@ -159,7 +159,8 @@ def in_folds(df: DataFrame, folds: DataFrame, embargo: int = 0, t: str = "t") ->
 def conditions_outcome(df: DataFrame, conditions: dict[str, tuple[Column, Column]], outcome: str, keys: list[str], overlap: int, apart: int, t: str = "t") -> DataFrame:
     """Each condition (name -> (mask, side)) evaluated over one pass: n, episodes (new after ``apart`` seconds without a hit),
     effect (mean of side times the outcome less its mean over all rows), t by the effective number of hits, and in how many thirds of
-    the time the effect is positive. Rows without an outcome are left out; a null mask is false."""
+    the time the effect is positive. A condition that holds in a whole third has no effect there: what is left of its mean is rounding, which
+    depends on the order of rows, and doesn't count. Rows without an outcome are left out; a null mask is false."""
     valid = df.where(F.col(outcome).isNotNull())
     span = valid.agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.avg(outcome).alias("mean"))
     third = F.least(F.lit(2), F.floor((F.col(t) - F.col("lo")) * 3 / (F.col("hi") - F.col("lo") + 1))).cast("int")
@@ -171,8 +172,8 @@ def conditions_outcome(df: DataFrame, conditions: dict[str, tuple[Column, Column
     x = x.select(*keys, t, "third", F.col("h.name").alias("name"), (F.col("h.side") * F.col("y")).alias("o"), (F.col("h.side") * F.col("y3")).alias("o3"))
     gap = F.col(t) - F.lag(t).over(Window.partitionBy("name", *keys).orderBy(t))
     x = x.withColumn("fresh", F.coalesce(gap >= apart, F.lit(True)).cast("int"))
-    parts = x.groupBy("name", "third").agg(F.count("*").alias("n"), F.sum("o").alias("s"), F.sum(F.col("o") * F.col("o")).alias("q"), F.avg("o3").alias("m"), F.sum("fresh").alias("episodes"))
-    out = parts.groupBy("name").agg(F.sum("n").alias("n"), F.sum("episodes").alias("episodes"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.count_if(F.col("m") > 0).alias("positive_thirds"))
+    parts = x.groupBy("name", "third").agg(F.count("*").alias("n"), F.sum("o").alias("s"), F.sum(F.col("o") * F.col("o")).alias("q"), F.avg("o3").alias("m"), F.avg(F.abs("o3")).alias("size"), F.sum("fresh").alias("episodes"))
+    out = parts.groupBy("name").agg(F.sum("n").alias("n"), F.sum("episodes").alias("episodes"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.count_if(F.col("m") > F.col("size") * 1e-10).alias("positive_thirds"))
     mean, variance = F.col("s") / F.col("n"), (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
     enough = F.least(F.col("n") / overlap, F.col("episodes"))
     return out.select("name", "n", "episodes", mean.alias("effect"), F.when((F.col("n") > 1) & (variance > 1e-18), mean / F.sqrt(variance) * F.sqrt(enough)).alias("t"), "positive_thirds")
