@@ -36,9 +36,9 @@ def m1_whole(spark, d):
 
 @query("m2_payload_items", "select event_id, unnest(range((props->>'k')::bigint)) as idx, (props->>'k')::bigint as k from events")
 def m2(spark, d):
-    k = F.from_json("props", "k long")["k"]
-    items = F.when(k > 0, F.sequence(F.lit(0).cast("long"), k - 1))
-    return events(spark, d).select("event_id", k.alias("k"), F.explode(items).alias("idx")).select("event_id", "idx", "k")
+    """Payloads are read before the explode; beside it Spark would read them again for each item."""
+    read = events(spark, d).select("event_id", F.from_json("props", "k long")["k"].alias("k")).where("k > 0")
+    return read.select("event_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("idx"), "k")
 
 
 @query("m7_post_ready", f"with {_F} select session, frame_no, coalesce(max((event_type = 'signup')::int) over (partition by session order by frame_no) > 0, false) as post_ready from f")
