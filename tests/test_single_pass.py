@@ -21,3 +21,8 @@ def test_payloads_are_read_before_they_are_exploded(spark, folder):
     plan = optimized(registry.queries()["m2_payload_items"](spark, folder))
     above = plan[: plan.index("Generate")]
     assert "from_json" not in above and "jsontostructs" not in above.lower()
+
+
+def test_books_are_replayed_once(spark, folder):
+    plan = optimized(registry.queries()["m14_net_depletion"](spark, folder))
+    assert "FlatMapCoGroups" not in plan

@@ -11,7 +11,7 @@ from ..operators import joins, sessions
 from ..operators.bars import ordered
 from ..operators.books import book_states, net_depletion
 from ..sources import landed
-from .common import events, r6
+from .common import events, r6, stored
 from .depth import raw_frames
 from .micro import _F, frames
 from .registry import query
@@ -66,7 +66,8 @@ def m14_states(spark, d):
  select symbol, t, round(1 - bid_depth / ub, 6) as bid_short, round(1 - ask_depth / ua, 6) as ask_short, round(1 - ask_depth / ua - (1 - bid_depth / ub), 6) as depletion from w""")
 def m14_depletion(spark, d):
     """On a grid of ids, each point with the state in force: the shortfall from the median of eight points before."""
-    states = book_states(messages(spark, d), KEYS, BPS, "id", 2000).withColumn("t", F.col("id"))
+    states = book_states(messages(spark, d), KEYS, BPS, "id", 2000).select("symbol", F.col("id").alias("t"), F.col("id"), "bid_depth", "ask_depth")
+    states = stored(states)  # replayed once, for the span and for the points
     span = states.groupBy("symbol").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     step = F.lit(STEP).cast("long")
     grid = span.select("symbol", F.explode(F.sequence(F.floor(F.col("lo") / step) * step, F.col("hi"), step)).alias("t"))
