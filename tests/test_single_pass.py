@@ -26,3 +26,8 @@ def test_payloads_are_read_before_they_are_exploded(spark, folder):
 def test_books_are_replayed_once(spark, folder):
     plan = optimized(registry.queries()["m14_net_depletion"](spark, folder))
     assert "FlatMapCoGroups" not in plan
+
+
+def test_book_payloads_are_parsed_once(spark, folder):
+    plan = optimized(registry.queries()["m4_book_messages"](spark, folder))
+    assert plan.count("Relation [") == 1 and plan.count("from_json") + plan.count("jsontostructs") == 1

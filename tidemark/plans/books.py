@@ -94,6 +94,7 @@ def m4_messages(spark, d):
     item = F.struct(side.alias("asks"), F.when(k == 0, level).otherwise(none).alias("bids"), F.when(k == 4, "x").otherwise(i.cast("string")).alias("seqId"), prev.cast("string").alias("prevSeqId"), F.when(k == 5, "").otherwise("5").alias("ts"))
     data = F.when(k == 2, F.slice(F.array(item), 1, 0)).otherwise(F.array(item))
     payload = F.to_json(F.struct(F.struct(F.lit("books").alias("channel"), F.lit("I").alias("instId")).alias("arg"), F.when(k == 1, "party").otherwise("update").alias("action"), data.alias("data")))
-    good, bad = landed.book_messages(raw_frames(spark, d, payload))
-    none_of = {c: F.lit(None).cast(t).alias(c) for c, t in (("seq", "long"), ("ask_levels", "int"), ("is_heartbeat", "boolean"), ("is_reset", "boolean"))}
-    return good.select("frame_no", F.lit("ok").alias("status"), "seq", "ask_levels", "is_heartbeat", "is_reset").unionByName(bad.select("frame_no", F.col("reason").alias("status"), *none_of.values()))
+    x = landed.judged_book_messages(raw_frames(spark, d, payload))
+    ok = F.col("reason").isNull()
+    flags = [F.when(ok, F.col(c)).alias(c) for c in ("seq", "ask_levels", "is_heartbeat", "is_reset")]
+    return x.select("frame_no", F.coalesce("reason", F.lit("ok")).alias("status"), *flags)

@@ -118,33 +118,40 @@ def book_levels(frame: DataFrame) -> DataFrame:
     return sides[0].union(sides[1]).select("session_id", "frame_no", "action", "side", "level", F.get("l", 0).try_cast("double").alias("price"), F.get("l", 1).try_cast("double").alias("size"))
 
 
-def book_messages(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Book frames as (good, bad). good: one row an item (session_id, frame_no, idx, action, event_ts_ms, prev, seq, ask_levels,
-    bid_levels, is_heartbeat, is_reset, asks, bids), the last two arrays of price and size for book_states(). bad: (session_id,
-    frame_no, idx, reason) of each frame or item that is malformed, with the first of: no_action, no_data, sides_missing,
-    bad_sequence, bad_time, bad_level. Control frames with an event and other channels are in neither."""
+def judged_book_messages(frame: DataFrame) -> DataFrame:
+    """One row an item of book frames (session_id, frame_no, idx, action, event_ts_ms, prev, seq, ask_levels, bid_levels,
+    is_heartbeat, is_reset, asks, bids, reason), or one with idx null where a frame as a whole has a reason. The payload is read
+    once: it is exploded as an array of one, so that no filter reads it again."""
     item = "struct<asks: array<array<string>>, bids: array<array<string>>, seqId: string, prevSeqId: string, ts: string>"
     p = F.from_json("payload", f"struct<event: string, arg: struct<channel: string, instId: string>, action: string, data: array<{item}>>")
-    x = frame.withColumn("p", p).where("p.arg.channel = 'books' and p.event is null")
+    x = frame.select("session_id", "frame_no", F.explode(F.array(p)).alias("p")).where("p.arg.channel = 'books' and p.event is null")
     known = F.col("p.action").isin("snapshot", "update")
     whole = F.when(~F.coalesce(known, F.lit(False)), "no_action").when(F.coalesce(F.size("p.data"), F.lit(0)) <= 0, "no_data")
     x = x.select("session_id", "frame_no", whole.alias("whole"), F.col("p.action").alias("action"), F.col("p.data").alias("data"))
-    bad = x.where("whole is not null").select("session_id", "frame_no", F.lit(None).cast("int").alias("idx"), F.col("whole").alias("reason"))
     side = lambda c: F.transform(F.col(c), lambda v: F.struct(F.get(v, F.lit(0)).try_cast("double").alias("price"), F.get(v, F.lit(1)).try_cast("double").alias("size")))
-    each = x.where("whole is null").select("session_id", "frame_no", "action", F.posexplode("data").alias("idx", "d"))
-    each = each.select("session_id", "frame_no", "idx", "action", F.col("d.ts").try_cast("long").alias("event_ts_ms"), F.col("d.prevSeqId").try_cast("long").alias("prev"), F.col("d.seqId").try_cast("long").alias("seq"), side("d.asks").alias("asks"), side("d.bids").alias("bids"))
+    each = x.select("session_id", "frame_no", "action", "whole", F.posexplode_outer(F.when(F.col("whole").isNull(), F.col("data"))).alias("idx", "d"))
+    each = each.select("session_id", "frame_no", "idx", "action", "whole", F.col("d.ts").try_cast("long").alias("event_ts_ms"), F.col("d.prevSeqId").try_cast("long").alias("prev"), F.col("d.seqId").try_cast("long").alias("seq"), side("d.asks").alias("asks"), side("d.bids").alias("bids"))
     wrong = lambda c: F.exists(c, lambda v: v["price"].isNull() | v["size"].isNull() | (v["price"] <= 0) | (v["size"] < 0))
     reason = (
-        F.when(F.col("asks").isNull() | F.col("bids").isNull(), "sides_missing")
+        F.when(F.col("whole").isNotNull(), F.col("whole"))
+        .when(F.col("asks").isNull() | F.col("bids").isNull(), "sides_missing")
         .when(F.col("prev").isNull() | F.col("seq").isNull() | (F.col("seq") < 0), "bad_sequence")
         .when(F.col("event_ts_ms").isNull(), "bad_time")
         .when(wrong("asks") | wrong("bids"), "bad_level")
     )
-    each = each.withColumn("reason", reason)
     same, empty = (F.col("action") == "update") & (F.col("seq") == F.col("prev")), (F.size("asks") == 0) & (F.size("bids") == 0)
-    good = each.where("reason is null").withColumns({"ask_levels": F.size("asks"), "bid_levels": F.size("bids"), "is_heartbeat": same & empty, "is_reset": (F.col("action") == "update") & (F.col("seq") < F.col("prev"))})
-    columns = ["session_id", "frame_no", "idx", "action", "event_ts_ms", "prev", "seq", "ask_levels", "bid_levels", "is_heartbeat", "is_reset", "asks", "bids"]
-    return good.select(*columns), bad.unionByName(each.where("reason is not null").select("session_id", "frame_no", "idx", "reason"))
+    flags = {"ask_levels": F.size("asks"), "bid_levels": F.size("bids"), "is_heartbeat": same & empty, "is_reset": (F.col("action") == "update") & (F.col("seq") < F.col("prev")), "reason": reason}
+    columns = ["session_id", "frame_no", "idx", "action", "event_ts_ms", "prev", "seq", "ask_levels", "bid_levels", "is_heartbeat", "is_reset", "asks", "bids", "reason"]
+    return each.withColumns(flags).select(*columns)
+
+
+def book_messages(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Book frames as (good, bad). good: one row an item (session_id, frame_no, idx, action, event_ts_ms, prev, seq, ask_levels,
+    bid_levels, is_heartbeat, is_reset, asks, bids), the last two arrays of price and size for book_states(). bad: (session_id,
+    frame_no, idx, reason) of each frame or item that is malformed, with the first of: no_action, no_data, sides_missing,
+    bad_sequence, bad_time, bad_level. Control frames with an event and other channels are in neither."""
+    x = judged_book_messages(frame)
+    return x.where("reason is null").drop("reason"), x.where("reason is not null").select("session_id", "frame_no", "idx", "reason")
 
 
 def checksums(files: DataFrame, published: DataFrame) -> DataFrame:
