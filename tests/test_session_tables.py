@@ -62,3 +62,13 @@ def test_publishing_fails_closed_and_runs_again(spark, tmp_path):
 def test_no_frames(spark):
     t = st.session_tables(frames(spark, ["pong"]).where("false"))
     assert all(df.isEmpty() for df in t.values())
+
+
+def test_fates_agree_with_the_tables(spark):
+    f = frames(spark, [p for p, _ in PAYLOADS])
+    t = st.session_tables(f)
+    want = [(c, "kept") for c, table in st.TABLES.items() for _ in range(t[table].count())]
+    want += [(r.channel, r.kind) for r in t["controls"].collect()] + [(r.channel, r.reason) for r in t["rejected"].collect()]
+    got = st.fates(f).collect()
+    assert sorted(((r.channel, r.fate) for r in got), key=str) == sorted(want, key=str)
+    assert sum(r.levels for r in got) == t["book_levels"].count()

@@ -31,3 +31,8 @@ def test_books_are_replayed_once(spark, folder):
 def test_book_payloads_are_parsed_once(spark, folder):
     plan = optimized(registry.queries()["m4_book_messages"](spark, folder))
     assert plan.count("Relation [") == 1 and plan.count("from_json") + plan.count("jsontostructs") == 1
+
+
+def test_session_files_are_read_once(spark, folder):
+    plan = optimized(registry.queries()["s16_session_tables"](spark, folder))
+    assert "Union" not in plan and plan.count("Relation [") == 1

@@ -42,18 +42,23 @@ def _first(**tests: Column) -> Column:
     return F.coalesce(*(F.when(test, F.lit(reason)) for reason, test in tests.items()))
 
 
-def items(frames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(items, controls, rejected) of typed frames: items of known channels as text, frames that hold none, and data frames
-    without an array of items (no_items) or that can't be read (malformed)."""
+def framed(frames: DataFrame) -> DataFrame:
+    """Typed frames with the fields of their payloads and their kind; each payload is read once."""
     p = F.from_json("payload", "event string, arg struct<channel: string, instId: string>, action string, data array<string>")
-    x = frames.withColumn("p", p).select("session_id", "frame_no", "received_at_ns", "payload", F.col("p.event").alias("event"), F.col("p.arg.channel").alias("channel"), F.col("p.arg.instId").alias("inst"), F.col("p.action").alias("action"), F.col("p.data").alias("data"))
+    x = frames.select("*", F.explode(F.array(p)).alias("p")).select("session_id", "frame_no", "received_at_ns", "payload", F.col("p.event").alias("event"), F.col("p.arg.channel").alias("channel"), F.col("p.arg.instId").alias("inst"), F.col("p.action").alias("action"), F.col("p.data").alias("data"))
     control = F.col("event").isin(*landed.CONTROL_EVENTS)
     pong = F.col("payload").isin("ping", "pong")
     kind = (
         F.when(control | pong, "control").when(F.col("event").isNotNull(), "unknown_event").when(F.col("channel").isNull(), "malformed")
         .when(~F.col("channel").isin(*FIELDS), "unknown_channel").when(F.col("data").isNull() | (F.size("data") == 0), "no_items").otherwise("data")
     )
-    x = x.withColumn("kind", kind)
+    return x.withColumn("kind", kind)
+
+
+def items(frames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, controls, rejected) of typed frames: items of known channels as text, frames that hold none, and data frames
+    without an array of items (no_items) or that can't be read (malformed)."""
+    x = framed(frames)
     controls = x.where("kind in ('control', 'unknown_event', 'unknown_channel')").select("session_id", "frame_no", "received_at_ns", "kind", "event", "channel")
     rejected = x.where("kind in ('malformed', 'no_items')").select("session_id", "frame_no", F.lit(None).cast("int").alias("idx"), "channel", F.col("kind").alias("reason"))
     each = x.where("kind = 'data'").select("session_id", "frame_no", "received_at_ns", "channel", "inst", "action", F.posexplode("data").alias("idx", "item"))
@@ -65,9 +70,9 @@ def _read(each: DataFrame, channel: str) -> DataFrame:
     return x.withColumn("d", F.when(F.col("item").rlike(r"^\s*\{"), F.col("d")))
 
 
-def judged_items(each: DataFrame, channel: str) -> DataFrame:
-    """Items of a channel as columns, with the first reason against each, or null."""
-    x, d = _read(each, channel), lambda k: F.col(f"d.{k}")
+def _judged(item: Column, channel: str) -> tuple[dict[str, Column], Column]:
+    """The columns of a channel's item (a struct of its FIELDS) and the first reason against it, or null."""
+    d = lambda k: item[k]
     if channel == "trades":
         named = {"trade_id": d("tradeId"), "px_raw": d("px"), "px": _number(d("px")), "sz": _number(d("sz")), "side": d("side"), "ts": d("ts").try_cast("long")}
         tests = {"no_trade_id": named["trade_id"].isNull() | (named["trade_id"] == ""), "bad_price": named["px"].isNull() | (named["px"] <= 0), "bad_size": named["sz"].isNull() | (named["sz"] < 0), "bad_side": ~F.coalesce(named["side"].isin("buy", "sell"), F.lit(False)), "bad_time": named["ts"].isNull() | (named["ts"] < 0)}
@@ -81,8 +86,32 @@ def judged_items(each: DataFrame, channel: str) -> DataFrame:
     else:
         named = {"id": d("instId"), "tick_size": _number(d("tickSz")), "lot_size": _number(d("lotSz")), "contract_value": _number(d("ctVal")), "state": d("state")}
         tests = {"no_instrument": named["id"].isNull() | (named["id"] == "")}
-    reason = _first(not_an_object=F.col("d").isNull(), **tests)
-    return x.select(*_AT, *(c.alias(k) for k, c in named.items()), reason.alias("reason"))
+    return named, _first(not_an_object=item.isNull(), **tests)
+
+
+def judged_items(each: DataFrame, channel: str) -> DataFrame:
+    """Items of a channel as columns, with the first reason against each, or null."""
+    named, reason = _judged(F.col("d"), channel)
+    return _read(each, channel).select(*_AT, *(c.alias(k) for k, c in named.items()), reason.alias("reason"))
+
+
+def fates(frames: DataFrame) -> DataFrame:
+    """(channel, fate, levels) of each item, or of each frame that holds none, in one pass: kept, or the kind of control or reason
+    that session_tables() gives it, and how many book levels are kept. Payloads and items are exploded as arrays of one, so
+    that nothing reads them again."""
+    x = framed(frames).select("channel", "action", "kind", F.posexplode_outer(F.when(F.col("kind") == "data", F.col("data"))).alias("idx", "item"))
+    whole = F.col("item").rlike(r"^\s*\{")
+    read = F.struct(*(F.when((F.col("kind") == "data") & (F.col("channel") == c) & whole, F.from_json("item", FIELDS[c])).alias(TABLES[c]) for c in FIELDS))
+    x = x.select("channel", "action", "kind", F.explode(F.array(read)).alias("d"))
+    reason, kept = F.lit(None).cast("string"), F.lit(0)
+    for c in FIELDS:
+        named, why = _judged(F.col(f"d.{TABLES[c]}"), c)
+        reason = F.when(F.col("channel") == c, why).otherwise(reason)
+        if c == "books":
+            kept = F.when(F.col("channel") == c, F.size(named["asks"]) + F.size(named["bids"])).otherwise(kept)
+    fate = F.when(F.col("kind") == "data", F.coalesce(reason, F.lit("kept"))).otherwise(F.col("kind"))
+    x = x.select("channel", fate.alias("fate"), kept.alias("levels"))
+    return x.withColumn("levels", F.when(F.col("fate") == "kept", F.col("levels")).otherwise(0))
 
 
 def session_tables(frames: DataFrame) -> dict[str, DataFrame]:
