@@ -11,6 +11,9 @@ from ..operators.quantiles import quantiles
 from .common import events, market, r6, with_bars
 from .registry import query
 
+#: Rows of a part where an aggregate keeps nearly all rows that it reads.
+DEALT = 400_000
+
 _E = "e as (select event_id as id, event_type, user_id, value, epoch_us(ts) // 1000000 as t from events)"
 
 
@@ -121,11 +124,14 @@ def a3(spark, d):
 
 @query("a7_distinct_accounting", "with x as (select l_orderkey, l_linenumber, l_quantity from lineitem union all select l_orderkey, l_linenumber, l_quantity + (l_orderkey % 3)::int from lineitem where l_orderkey % 5 = 0) select count(*) as n, (select count(*) from (select distinct * from x)) as rows_distinct, (select count(*) from (select distinct l_orderkey, l_linenumber from x)) as keys_distinct from x")
 def a7(spark, d):
-    """Rows, distinct rows and distinct keys, by grouping once by row and once by key."""
-    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
-    x = li.union(li.where("l_orderkey % 5 = 0").select("l_orderkey", "l_linenumber", (F.col("l_quantity") + (F.col("l_orderkey") % 3).cast("int")).alias("l_quantity")))
-    by_row = x.groupBy(*x.columns).agg(F.count("*").alias("n"))
-    by_key = by_row.groupBy("l_orderkey", "l_linenumber").agg(F.sum("n").alias("n"), F.count("*").alias("r"))
+    """Rows, distinct rows and distinct keys. Rows are dealt once by key, into as many parts as their number asks for, and
+    counted there by row and then by key: a task's tables hold about DEALT rows, however large the input is."""
+    keys = ["l_orderkey", "l_linenumber"]
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select(*keys, "l_quantity")
+    x = li.union(li.where("l_orderkey % 5 = 0").select(*keys, (F.col("l_quantity") + (F.col("l_orderkey") % 3).cast("int")).alias("l_quantity")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), li.count() // DEALT + 1)
+    by_row = x.repartition(parts, *keys).groupBy(*x.columns).agg(F.count("*").alias("n"))
+    by_key = by_row.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("r"))
     return by_key.agg(F.sum("n").alias("n"), F.sum("r").alias("rows_distinct"), F.count("*").alias("keys_distinct"))
 
 
